@@ -164,3 +164,123 @@ SELECT a.account_id, cast(greatest(coalesce(s.d, 0), 1) AS bigint) AS duration_m
        cast({TARGET} - to_months(cast(greatest(coalesce(s.d, 0), 1) - 1 AS integer)) AS date) AS risk_start_month
 FROM (SELECT DISTINCT account_id FROM latest) a LEFT JOIN streak s ON a.account_id = s.account_id""",
 }
+
+
+# --- delivery, ledger, digest -------------------------------------------------------------
+
+ATTEMPTS = """
+SELECT * FROM (
+  SELECT user_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS bigint) AS attempt_no,
+         CASE event_type WHEN 'purchase' THEN 200 WHEN 'click' THEN 429 WHEN 'error' THEN 500
+                         WHEN 'view' THEN 503 ELSE 404 END AS status,
+         CASE event_type WHEN 'click' THEN cast(cast(floor(value) AS bigint) AS varchar)
+                         WHEN 'error' THEN 'soon' ELSE NULL END AS retry_after
+  FROM events) q
+WHERE attempt_no < 5"""
+
+CLASS = """CASE WHEN status IS NULL THEN 'retry' WHEN status < 300 THEN 'ok'
+            WHEN status = 429 OR (status >= 500 AND status < 600) THEN 'retry' ELSE 'fail' END"""
+
+RA = "try_cast(retry_after AS double)"
+WAIT = f"""coalesce(CASE WHEN trim(retry_after) <> '' AND {RA} >= 0 AND NOT isnan({RA}) AND NOT isinf({RA})
+                         THEN {RA} END,
+                    least(60.0, 1.0 * pow(2.0, attempt_no)))"""
+
+SCHEDULE = with_(
+    att=ATTEMPTS,
+    g=f"SELECT user_id, attempt_no, status, retry_after, {CLASS} AS response_class FROM att",
+    t="""SELECT *, coalesce(min(CASE WHEN response_class <> 'retry' THEN attempt_no END)
+                           OVER (PARTITION BY user_id), 4) AS last_no FROM g""",
+    s=f"""SELECT user_id, attempt_no, status, response_class,
+                 CASE WHEN response_class = 'retry' AND attempt_no < last_no THEN {WAIT} END AS wait_seconds
+          FROM t WHERE attempt_no <= last_no""",
+    e="""SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY attempt_no DESC) AS rd,
+                sum(wait_seconds) OVER (PARTITION BY user_id) AS total_wait FROM s""",
+)
+
+RESOLVE = SCHEDULE + """
+SELECT user_id, response_class = 'ok' AS ok, cast(status AS integer) AS status_code,
+       cast(attempt_no + 1 AS bigint) AS attempts,
+       CASE WHEN response_class = 'ok' THEN NULL
+            WHEN response_class = 'fail' THEN 'HTTP ' || cast(status AS varchar) || ' (non-retryable)'
+            ELSE 'HTTP ' || cast(status AS varchar) END AS error,
+       cast(coalesce(total_wait, 0) AS double) AS planned_wait_seconds
+FROM e WHERE rd = 1"""
+
+OUTCOME_LOG = """
+SELECT seq, concat('r', cast(seq AS varchar)) AS run_id, user_id AS account_id,
+       CASE WHEN event_type = 'purchase' AND user_id % 2 = 0 THEN 'sent' ELSE 'failed' END AS status,
+       CASE WHEN event_type = 'purchase' AND user_id % 2 = 0 THEN NULL
+            WHEN event_type = 'signup' THEN 'unknown_region' ELSE 'delivery_failed' END AS reason
+FROM (SELECT *, cast(day(ts) AS bigint) AS seq,
+             row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY ts DESC, event_id DESC) AS rn
+      FROM events) q
+WHERE rn = 1"""
+
+CURRENT = """
+SELECT account_id, seq, run_id, status, reason FROM (
+  SELECT *, row_number() OVER (PARTITION BY account_id
+                               ORDER BY (status = 'sent') DESC,
+                                        CASE WHEN status = 'sent' THEN seq END ASC NULLS LAST,
+                                        seq DESC) AS rn
+  FROM log) q WHERE rn = 1"""
+
+
+def ledger_base() -> str:
+    return base() + ",\n" + with_(
+        log=OUTCOME_LOG,
+        cur=CURRENT,
+        cur_s="SELECT concat('a', lpad(cast(account_id AS varchar), 5, '0')) AS account_id, seq, run_id, status, "
+              "reason FROM cur",
+        sent="SELECT DISTINCT account_id FROM cur_s WHERE status = 'sent'",
+        dec="""
+SELECT r.*, CASE WHEN NOT r.routable THEN 'unknown_region'
+                 WHEN s.account_id IS NOT NULL THEN 'skipped_replay' ELSE 'send' END AS decision,
+            CASE WHEN NOT r.routable THEN 'unknown_region' ELSE 'would_send' END AS dry_decision
+FROM routed r LEFT JOIN sent s ON r.account_id = s.account_id""",
+    )[len("WITH "):]
+
+
+DIGEST_HEAD = ("' account(s) could not be routed to a channel (missing/unknown region). "
+               "No alert was sent for these:'")
+
+SQL.update({
+    "response_classes": with_(att=ATTEMPTS) + f"\nSELECT user_id, attempt_no, status, {CLASS} AS response_class FROM att",
+    "backoff_schedule": SCHEDULE + "\nSELECT user_id, attempt_no, status, response_class, wait_seconds FROM s",
+    "resolve_attempts": RESOLVE,
+    "deliver_replay": RESOLVE,
+    "outcomes_current": with_(log=OUTCOME_LOG) + "\n" + CURRENT,
+    "already_sent_anti": ledger_base() + """
+SELECT account_id FROM cand c WHERE NOT EXISTS (SELECT 1 FROM sent s WHERE s.account_id = c.account_id)""",
+    "decisions": ledger_base() + "\nSELECT account_id, channel, decision FROM dec",
+    "decision_counts": ledger_base() + """
+SELECT cast(0 AS bigint) AS alerts_sent,
+       count(*) FILTER (WHERE decision = 'skipped_replay') AS skipped_replay,
+       count(*) FILTER (WHERE decision = 'unknown_region') AS failed_deliveries,
+       count(*) FILTER (WHERE decision = 'send') AS to_send FROM dec""",
+    "dry_run_counts": ledger_base() + """
+SELECT count(*) FILTER (WHERE dry_decision = 'would_send') AS alerts_sent, cast(0 AS bigint) AS skipped_replay,
+       count(*) FILTER (WHERE dry_decision = 'unknown_region') AS failed_deliveries,
+       cast(0 AS bigint) AS to_send FROM dec""",
+    "status_samples": ledger_base() + """
+SELECT run_id, sample, account_id, status, reason FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id, sample ORDER BY account_id) AS rn
+  FROM (SELECT *, CASE WHEN status IN ('sent', 'skipped_replay') THEN 'alert'
+                       WHEN status = 'failed' THEN 'error' END AS sample FROM cur_s) a
+  WHERE sample IS NOT NULL) b WHERE rn <= 10""",
+    "unknown_region_digest": base() + f"""
+SELECT 'preview-1998-06-01' AS run_id, 0 AS part, count(*) AS n_accounts, count(*) AS n_lines,
+       'Run preview-1998-06-01: ' || cast(count(*) AS varchar) || {DIGEST_HEAD} || chr(10) ||
+       string_agg('  - ' || account_id || ' (' || account_name || ') region=' ||
+                  CASE WHEN account_region IS NULL THEN 'None' ELSE '''' || account_region || '''' END,
+                  chr(10) ORDER BY account_id) AS body
+FROM routed WHERE NOT routable HAVING count(*) > 0""",
+    "run_month_replay": base() + """
+SELECT cast(run_no AS bigint) AS run_no, 'succeeded' AS status,
+       (SELECT count(*) FROM win) AS rows_scanned,
+       (SELECT count(*) FROM win) - (SELECT count(*) FROM latest) AS duplicate_rows,
+       CASE WHEN run_no = 1 THEN (SELECT count(*) FROM routed WHERE routable) ELSE 0 END AS alerts_sent,
+       CASE WHEN run_no = 2 THEN (SELECT count(*) FROM routed WHERE routable) ELSE 0 END AS skipped_replay,
+       (SELECT count(*) FROM routed WHERE NOT routable) AS failed_deliveries
+FROM (VALUES (1), (2)) v(run_no)""",
+})

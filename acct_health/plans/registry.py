@@ -165,3 +165,129 @@ QUERIES: dict[str, Query] = {
     "month_contract": q_month_contract,
     "streak_mid_month": q_streak_mid_month,
 }
+
+
+# --- delivery, ledger, digest -------------------------------------------------------------
+
+from acct_health.functions.backoff import response_class  # noqa: E402
+from acct_health.operators.delivery import (  # noqa: E402
+    RetryPolicy,
+    backoff_schedule,
+    deliver,
+    replay_transport,
+    resolve_attempts,
+)
+from acct_health.operators.digest import unknown_region_digest  # noqa: E402
+from acct_health.operators.ledger import (  # noqa: E402
+    current_outcomes,
+    decide,
+    decision_counts,
+    sent_keys,
+    status_samples,
+)
+from acct_health.sources.fixtures import attempts_from_events, outcome_log_from_events  # noqa: E402
+
+NO_JITTER = RetryPolicy(jitter=False)
+DIGEST_RUN_ID = "preview-1998-06-01"
+
+
+def q_response_classes(spark, sf_dir):
+    return attempts_from_events(spark, sf_dir).select(
+        "user_id", "attempt_no", "status", response_class("status").alias("response_class"))
+
+
+def q_backoff_schedule(spark, sf_dir):
+    return backoff_schedule(attempts_from_events(spark, sf_dir), NO_JITTER)
+
+
+def q_resolve_attempts(spark, sf_dir):
+    return resolve_attempts(attempts_from_events(spark, sf_dir), NO_JITTER)
+
+
+def q_deliver_replay(spark, sf_dir):
+    """The delivery stage itself (retry loop in mapInPandas) answering from the recorded responses;
+    must equal the closed form of ``resolve_attempts``."""
+    att = attempts_from_events(spark, sf_dir, NO_JITTER.max_attempts)
+    rows = (att.groupBy("user_id")
+            .agg(F.array_sort(F.collect_list(F.struct("attempt_no", "status", "retry_after"))).alias("responses"))
+            .select("user_id", F.lit("replay").alias("channel"), F.lit('{"text": "replay"}').alias("payload"),
+                    "responses"))
+    out = deliver(rows, replay_transport("responses"), NO_JITTER, base_url="http://receiver.invalid",
+                  key_cols=("user_id",), keep=("user_id",), sleep=lambda s: None)
+    return out.select("user_id", "ok", "status_code", "attempts", "error",
+                      F.col("waited_seconds").alias("planned_wait_seconds"))
+
+
+def _current(spark, sf_dir, string_ids=False):
+    log = outcome_log_from_events(spark, sf_dir)
+    if string_ids:
+        log = log.withColumn("account_id", F.concat(F.lit("a"), F.lpad(F.col("account_id").cast("string"), 5, "0")))
+    return current_outcomes(log, key=("account_id",))
+
+
+def q_outcomes_current(spark, sf_dir):
+    return _current(spark, sf_dir).select("account_id", "seq", "run_id", "status", "reason")
+
+
+def q_already_sent_anti(spark, sf_dir):
+    c = candidates(_win(spark, sf_dir), TARGET_MONTH, Params()).select("account_id")
+    return c.join(sent_keys(_current(spark, sf_dir, True)), on="account_id", how="left_anti")
+
+
+def q_decisions(spark, sf_dir):
+    d = decide(_routed(spark, sf_dir), sent_keys(_current(spark, sf_dir, True)), dry_run=False)
+    return d.select("account_id", "channel", "decision")
+
+
+def q_decision_counts(spark, sf_dir):
+    return decision_counts(decide(_routed(spark, sf_dir), sent_keys(_current(spark, sf_dir, True)), dry_run=False))
+
+
+def q_dry_run_counts(spark, sf_dir):
+    return decision_counts(decide(_routed(spark, sf_dir), sent_keys(_current(spark, sf_dir, True)), dry_run=True))
+
+
+def q_status_samples(spark, sf_dir):
+    return status_samples(_current(spark, sf_dir, True)).select("run_id", "sample", "account_id", "status", "reason")
+
+
+def q_unknown_region_digest(spark, sf_dir):
+    return unknown_region_digest(_routed(spark, sf_dir), DIGEST_RUN_ID)
+
+
+def _accept_all(req):
+    """Deterministic receiver for the end-to-end check: every post is accepted."""
+    return 200, {}
+
+
+def q_run_month_replay(spark, sf_dir):
+    """Two real runs of 1998-06-01 into a fresh ledger under the checkpoint folder: the second
+    posts nothing and reports every routable candidate as skipped."""
+    from acct_health.operators.ledger import read_runs
+    from acct_health.plans.run import run_month
+    from acct_health.session import scratch_path
+    ledger = scratch_path(spark, "ledger")
+    params = Params(webhook_base_url="http://receiver.invalid", retry_base_seconds=0.0, retry_cap_seconds=0.0)
+    am = _am(spark, sf_dir)
+    first = run_month(spark, am, TARGET_MONTH, ledger, params, transport=_accept_all, sleep=lambda s: None)
+    second = run_month(spark, am, TARGET_MONTH, ledger, params, transport=_accept_all, sleep=lambda s: None)
+    runs = read_runs(spark, ledger).where(F.col("id").isin(first, second))
+    return runs.select(F.when(F.col("id") == first, 1).otherwise(2).cast("bigint").alias("run_no"),
+                       "status", "rows_scanned", "duplicate_rows", "alerts_sent", "skipped_replay",
+                       "failed_deliveries")
+
+
+QUERIES.update({
+    "response_classes": q_response_classes,
+    "backoff_schedule": q_backoff_schedule,
+    "resolve_attempts": q_resolve_attempts,
+    "deliver_replay": q_deliver_replay,
+    "outcomes_current": q_outcomes_current,
+    "already_sent_anti": q_already_sent_anti,
+    "decisions": q_decisions,
+    "decision_counts": q_decision_counts,
+    "dry_run_counts": q_dry_run_counts,
+    "status_samples": q_status_samples,
+    "unknown_region_digest": q_unknown_region_digest,
+    "run_month_replay": q_run_month_replay,
+})
