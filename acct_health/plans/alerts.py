@@ -36,10 +36,15 @@ ALERT_COLUMNS = ["account_id", "account_name", "account_region", "channel", "dur
 
 
 def account_snapshot(window_df: DataFrame, target_month, lookback_months: int) -> DataFrame:
-    """One row per account of the window: risk mask, target-month row (null when absent),
+    """One row per account of the window: streak, target-month row (null when absent),
     ``n_rows`` scanned and ``n_keys`` distinct months."""
-    target = validate_month(target_month)
     latest = latest_by_key(window_df, count_col="n_versions")
+    return snapshot_from_latest(latest, target_month, lookback_months)
+
+
+def snapshot_from_latest(latest: DataFrame, target_month, lookback_months: int) -> DataFrame:
+    """Per-account aggregate over deduplicated rows carrying ``n_versions`` (rows seen per key)."""
+    target = validate_month(target_month)
     at_target = F.when(F.col("month") == F.lit(target), F.struct(*[F.col(c) for c in _TARGET_FIELDS]))
     aggs = [
         F.max(at_target).alias("target_row"),
@@ -64,10 +69,15 @@ def is_candidate(arr_threshold: int):
             & (t.getField("arr").isNull() | (t.getField("arr") >= F.lit(arr_threshold))))
 
 
-def routed_snapshot(spark: SparkSession, window_df: DataFrame, target_month, params: Params) -> DataFrame:
-    """Snapshot with candidate flag, flattened target row, channel and message for every account."""
+def routed_snapshot(spark: SparkSession, window_df: DataFrame | None, target_month, params: Params,
+                    latest: DataFrame | None = None) -> DataFrame:
+    """Snapshot with candidate flag, flattened target row, channel and message for every account.
+    Pass ``latest`` (deduplicated rows with ``n_versions``) instead of ``window_df`` to skip the dedup."""
     target = validate_month(target_month)
-    snap = account_snapshot(window_df, target, params.lookback_months)
+    if latest is not None:
+        snap = snapshot_from_latest(latest, target, params.lookback_months)
+    else:
+        snap = account_snapshot(window_df, target, params.lookback_months)
     flat = snap.select(
         "account_id",
         *[F.col("target_row").getField(c).alias(c) for c in _TARGET_FIELDS],

@@ -284,3 +284,8 @@ SELECT cast(run_no AS bigint) AS run_no, 'succeeded' AS status,
        (SELECT count(*) FROM routed WHERE NOT routable) AS failed_deliveries
 FROM (VALUES (1), (2)) v(run_no)""",
 })
+
+SQL.update({
+    "stream_dedup": SQL["dedup_latest"],
+    "stream_alerts": SQL["preview_alerts"],
+})

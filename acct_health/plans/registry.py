@@ -291,3 +291,38 @@ QUERIES.update({
     "unknown_region_digest": q_unknown_region_digest,
     "run_month_replay": q_run_month_replay,
 })
+
+
+# --- streaming ----------------------------------------------------------------------------
+
+def _feed(spark, sf_dir, files=4):
+    """Write the derived account months as several files under the checkpoint folder, then read
+    them as a stream one file per trigger (several micro-batches, keys split across them)."""
+    from acct_health.session import scratch_path
+    from acct_health.streaming.stream import read_feed
+    src = scratch_path(spark, "feed")
+    _am(spark, sf_dir).repartition(files).write.parquet(src)
+    return read_feed(spark, src, files_per_trigger=1)
+
+
+def q_stream_dedup(spark, sf_dir):
+    from acct_health.session import scratch_path
+    from acct_health.streaming.stream import read_latest, run_latest_stream
+    out, ckpt = scratch_path(spark, "stream-latest"), scratch_path(spark, "stream-ckpt")
+    feed = month_window(_feed(spark, sf_dir), TARGET_MONTH, LOOKBACK)
+    run_latest_stream(spark, feed, out, ckpt)
+    return read_latest(spark, out).drop("n_versions")
+
+
+def q_stream_alerts(spark, sf_dir):
+    from acct_health.session import scratch_path
+    from acct_health.streaming.stream import read_alerts, run_alert_stream
+    state, ckpt = scratch_path(spark, "stream-state"), scratch_path(spark, "stream-ckpt")
+    run_alert_stream(spark, _feed(spark, sf_dir), TARGET_MONTH, Params(), state, ckpt)
+    return read_alerts(spark, state)
+
+
+QUERIES.update({
+    "stream_dedup": q_stream_dedup,
+    "stream_alerts": q_stream_alerts,
+})

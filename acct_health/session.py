@@ -13,6 +13,7 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Keep a finished task's output when a later task of the same job fails (ledger appends).
     "spark.hadoop.mapreduce.fileoutputcommitter.algorithm.version": "2",
