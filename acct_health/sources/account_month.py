@@ -107,3 +107,15 @@ def month_window(df: DataFrame, target_month, lookback_months: int) -> DataFrame
 def mid_month_rows(df: DataFrame) -> DataFrame:
     """Rows whose ``month`` is not a first of month; the streak never visits them (J4 as a data check)."""
     return df.where(F.dayofmonth("month") != 1)
+
+
+def write_account_month(df: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists") -> None:
+    """Write an account-month table laid out by month (partition pruning for the window scan).
+
+    Rows are range-partitioned on (month, account_id) first, so each task writes a few month folders
+    with balanced file sizes instead of every task writing a small file into every month.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartitionByRange(n, "month", "account_id")
+     .write.mode(mode).partitionBy("month").parquet(path))

@@ -4,8 +4,7 @@ K1  ``latest_stream``: incremental latest-by-key of an arriving feed; update mod
     micro-batch, the current winner and row count of every key that changed.
 K2  optional watermark on the month (event time) so state older than the lookback is dropped.
     Only valid for a month-ordered feed and targets at or after the newest month seen.
-K3  ``run_alert_stream``: ``foreachBatch`` appends the emitted winners to a log (partitioned by
-    month), then recomputes the streak, routing and message of the accounts touched by the batch
+K3  ``run_alert_stream``: ``foreachBatch`` appends the emitted winners to a log, then recomputes the streak, routing and message of the accounts touched by the batch
     from the log's current state, and appends one row per touched account. A late correction to an
     old month changes the streaks of later months, so the whole lookback of a touched account is
     recomputed rather than patched. The last row per account is the current alert state.
@@ -67,8 +66,7 @@ def run_latest_stream(spark: SparkSession, feed: DataFrame, out_dir: str, checkp
                       watermark_months: int | None = None, available_now: bool = True):
     """K1: append each micro-batch's emissions (with ``batch_id``) under ``out_dir``."""
     def handle(batch: DataFrame, batch_id: int):
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")) \
-             .write.mode("append").partitionBy("month").parquet(out_dir)
+        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(out_dir)
 
     q = _start(latest_stream(feed, watermark_months), handle, checkpoint, available_now)
     if available_now:
@@ -89,12 +87,17 @@ def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params:
 
     def handle(batch: DataFrame, batch_id: int):
         bid = F.lit(batch_id).cast("bigint").alias("batch_id")
-        batch.select("*", bid).write.mode("append").partitionBy("month").parquet(latest_dir)
-        touched = batch.select("account_id").distinct()
-        state = current_latest(spark.read.parquet(latest_dir)).join(touched, on="account_id", how="left_semi")
-        routed = routed_snapshot(spark, None, target, params, latest=state)
-        (routed.select("account_id", "is_candidate", *[c for c in ALERT_COLUMNS if c != "account_id"], bid)
-         .write.mode("append").parquet(alerts_dir))
+        # the batch frame is used twice; persisting it keeps the stateful aggregate from running again
+        emitted = batch.select("*", bid).persist()
+        try:
+            emitted.write.mode("append").parquet(latest_dir)
+            touched = emitted.select("account_id").distinct()
+            state = current_latest(spark.read.parquet(latest_dir)).join(touched, on="account_id", how="left_semi")
+            routed = routed_snapshot(spark, None, target, params, latest=state)
+            (routed.select("account_id", "is_candidate", *[c for c in ALERT_COLUMNS if c != "account_id"], bid)
+             .write.mode("append").parquet(alerts_dir))
+        finally:
+            emitted.unpersist()
 
     q = _start(latest_stream(window), handle, checkpoint, available_now)
     if available_now:
