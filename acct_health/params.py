@@ -54,8 +54,13 @@ class Params:
     retry_base_seconds: float = DEFAULT_RETRY_BASE
     retry_cap_seconds: float = DEFAULT_RETRY_CAP
     support_email: str | None = None
-    delivery_partitions: int = 8
-    delivery_waves: int = 1
+    # Delivery parallelism: None sizes it from the number of sends (sends_per_task each, at most
+    # max_delivery_tasks at once); waves bound how much one failed job can leave unrecorded.
+    delivery_partitions: int | None = None
+    sends_per_task: int = 200
+    max_delivery_tasks: int = 256
+    delivery_waves: int | None = None
+    wave_size: int = 50_000
 
     def with_region_json(self, text: str | None) -> "Params":
         return _replace(self, region_channel_map=parse_region_map(text))

@@ -70,6 +70,15 @@ def _outcome_rows(df: DataFrame, run_id: str, seq: int, recorded_at: dt.datetime
         "attempts", "status_code", F.lit(recorded_at).alias("recorded_at"), "month")
 
 
+def delivery_layout(max_sends: int, params: Params) -> tuple[int, int]:
+    """(tasks per wave, waves) for at most ``max_sends`` posts, from the params or from the count."""
+    waves = params.delivery_waves or max(1, math.ceil(max_sends / max(1, params.wave_size)))
+    per_wave = math.ceil(max_sends / waves) if max_sends else 0
+    tasks = params.delivery_partitions or min(params.max_delivery_tasks,
+                                              max(1, math.ceil(per_wave / max(1, params.sends_per_task))))
+    return int(tasks), int(waves)
+
+
 def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Params | None = None,
               transport: Transport | None = None, dry_run: bool = False,
               sleep: Callable[[float], None] = time.sleep, run_id: str | None = None) -> str:
@@ -118,11 +127,11 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
 
     policy = RetryPolicy(params.retry_max_attempts, params.retry_base_seconds, params.retry_cap_seconds)
     to_send = decisions.where(d == SEND).select("account_id", "month", "channel", payload_json("message"))
-    waves = max(1, int(params.delivery_waves))
+    partitions, waves = delivery_layout(counts["at_risk_count"] - counts["unknown_region_count"], params)
     for w in range(waves):
         wave = to_send if waves == 1 else to_send.where(F.pmod(F.xxhash64("account_id"), F.lit(waves)) == w)
         results = deliver(wave, transport, policy, params.webhook_base_url, params.webhook_url,
-                          key_prefix=ALERT_TYPE, partitions=params.delivery_partitions, sleep=sleep)
+                          key_prefix=ALERT_TYPE, partitions=partitions, sleep=sleep)
         ok = F.col("ok")
         rows = results.select(
             "account_id", "month", "channel",
