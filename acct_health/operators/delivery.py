@@ -188,16 +188,25 @@ def deliver(df: DataFrame, transport: Transport, policy: RetryPolicy | None = No
 
 def attempt_grid(attempts: DataFrame, key: str = "user_id", max_attempts: int = 5) -> DataFrame:
     """Recorded attempts below ``max_attempts``; a key that neither ends nor reaches the limit gets its
-    missing attempts as transport errors (null status), as a transport with no more answers behaves."""
+    missing attempts as transport errors (null status), as a transport with no more answers behaves.
+
+    One pass: window aggregates over the key (attempts per key are bounded by ``max_attempts``), and
+    the last recorded row of such a key expands into itself plus the missing attempts.
+    """
     att = attempts.where(F.col("attempt_no") < max_attempts).select(key, "attempt_no", "status", "retry_after")
-    per = att.groupBy(key).agg(F.max("attempt_no").alias("_last"),
-                               F.count(F.when(response_class("status") != RETRY, 1)).alias("_terms"))
-    missing = (per.where((F.col("_terms") == 0) & (F.col("_last") < max_attempts - 1))
-               .select(key, F.explode(F.sequence(F.col("_last") + 1, F.lit(max_attempts - 1).cast("bigint")))
-                       .alias("attempt_no"))
-               .select(key, "attempt_no", F.lit(None).cast("int").alias("status"),
-                       F.lit(None).cast("string").alias("retry_after")))
-    return att.unionByName(missing.select(*att.columns))
+    w = Window.partitionBy(key)
+    last = F.max("attempt_no").over(w)
+    terms = F.count(F.when(response_class("status") != RETRY, 1)).over(w)
+    row = F.struct(F.col("attempt_no"), F.col("status"), F.col("retry_after"))
+    fill = F.transform(
+        F.sequence(F.col("attempt_no") + 1, F.lit(max_attempts - 1).cast("bigint")),
+        lambda n: F.struct(n.alias("attempt_no"), F.lit(None).cast("int").alias("status"),
+                           F.lit(None).cast("string").alias("retry_after")))
+    grows = (F.col("_terms") == 0) & (F.col("attempt_no") == F.col("_last")) & (F.col("_last") < max_attempts - 1)
+    rows = F.when(grows, F.concat(F.array(row), fill)).otherwise(F.array(row))
+    return (att.withColumn("_last", last).withColumn("_terms", terms)
+            .select(key, F.explode(rows).alias("_r"))
+            .select(key, "_r.attempt_no", "_r.status", "_r.retry_after"))
 
 
 def backoff_schedule(attempts: DataFrame, policy: RetryPolicy, key: str = "user_id") -> DataFrame:

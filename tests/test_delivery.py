@@ -110,3 +110,19 @@ def test_message_nulls_follow_python_formatting(spark):
     neg = spark.createDataFrame([(-1500,), (0,), (2 ** 60,)], "arr long")
     from acct_health.functions.render import arr_text
     assert [r[0] for r in neg.select(arr_text()).collect()] == ["$-1,500", "$0", f"${2 ** 60:,}"]
+
+
+def test_short_attempt_log_counts_missing_attempts_as_transport_errors(spark):
+    from acct_health.operators.delivery import NO_RESPONSE, replay_transport
+    att = spark.createDataFrame([(1, 0, 503, None), (1, 1, 429, "2"), (2, 0, 404, None)],
+                                "user_id long, attempt_no long, status int, retry_after string")
+    got = {r["user_id"]: r for r in resolve_attempts(att, RetryPolicy(jitter=False)).collect()}
+    assert (got[1]["ok"], got[1]["status_code"], got[1]["attempts"], got[1]["error"]) == (False, 429, 5, NO_RESPONSE)
+    assert got[1]["planned_wait_seconds"] == 1.0 + 2.0 + 4.0 + 8.0 - 2.0 + 2.0  # 1, RA 2, 4, 8
+    assert (got[2]["attempts"], got[2]["error"]) == (1, "HTTP 404 (non-retryable)")
+    waits = []
+    res = send_with_retry(replay_transport("r"), "u", "{}", "k",
+                          {"r": [{"status": 503, "retry_after": None}, {"status": 429, "retry_after": "2"}]},
+                          RetryPolicy(jitter=False), waits.append)
+    assert (res["ok"], res["status_code"], res["attempts"], res["error"]) == (False, 429, 5, NO_RESPONSE)
+    assert sum(waits) == got[1]["planned_wait_seconds"]
