@@ -150,14 +150,17 @@ def decision_counts(decisions: DataFrame) -> DataFrame:
     )
 
 
+def outcome_count_columns() -> list[Column]:
+    """Run counts over outcome rows (H6), usable in ``agg`` or ``observe``."""
+    s = F.col("status")
+    return [F.count(F.when(s == "sent", 1)).alias("alerts_sent"),
+            F.count(F.when(s == "skipped_replay", 1)).alias("skipped_replay"),
+            F.count(F.when(s == "failed", 1)).alias("failed_deliveries")]
+
+
 def outcome_counts(run_rows: DataFrame) -> DataFrame:
     """Counts of one run from its log rows (H6)."""
-    s = F.col("status")
-    return run_rows.agg(
-        F.count(F.when(s == "sent", 1)).alias("alerts_sent"),
-        F.count(F.when(s == "skipped_replay", 1)).alias("skipped_replay"),
-        F.count(F.when(s == "failed", 1)).alias("failed_deliveries"),
-    )
+    return run_rows.agg(*outcome_count_columns())
 
 
 def status_samples(current: DataFrame, limit: int = 10, run_col: str = "run_id") -> DataFrame:

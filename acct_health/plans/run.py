@@ -3,9 +3,10 @@
 1. Read + window + per-account snapshot, checkpointed once into the shared checkpoint folder
    (the load guard: any load error becomes a failed run row, H7).
 2. Current outcomes of the month from the ledger (partition-pruned), anti/semi logic as a join.
-3. Decisions (H2). Outcomes that need no send are appended at once; sends go in waves, each wave
-   one ``mapInPandas`` delivery stage written straight to the log in the same action.
-4. Run counts from this run's log rows; one run row appended; the unknown-region digest appended.
+3. Decisions (H2). Sends go in waves, each wave one ``mapInPandas`` delivery stage written straight
+   to the log in the same action; outcomes that need no send are written with the first wave.
+4. Run counts observed while the outcome rows are written (no read-back); one run row appended;
+   the unknown-region digest appended.
 
 Delivery is at-least-once: a lost task or two concurrent runs of one month can repeat a post. The
 idempotency key sent with each post lets the receiver drop such repeats.
@@ -19,7 +20,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from acct_health.functions.render import payload_json
@@ -36,7 +37,7 @@ from acct_health.operators.ledger import (
     decide,
     decision_counts,
     digests_path,
-    outcome_counts,
+    outcome_count_columns,
     read_log,
     read_runs,
     sent_keys,
@@ -123,11 +124,11 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
         F.when(d == UNKNOWN_REGION, F.lit("unknown_region")).alias("reason"),
         F.lit(None).cast("timestamp").alias("sent_at"), F.lit(None).cast("string").alias("error"),
         F.lit(None).cast("bigint").alias("attempts"), F.lit(None).cast("int").alias("status_code"))
-    append_log(_outcome_rows(no_send, run_id, seq, _now()), ledger_dir)
 
     policy = RetryPolicy(params.retry_max_attempts, params.retry_base_seconds, params.retry_cap_seconds)
     to_send = decisions.where(d == SEND).select("account_id", "month", "channel", payload_json("message"))
     partitions, waves = delivery_layout(counts["at_risk_count"] - counts["unknown_region_count"], params)
+    totals = {"alerts_sent": 0, "skipped_replay": 0, "failed_deliveries": 0}
     for w in range(waves):
         wave = to_send if waves == 1 else to_send.where(F.pmod(F.xxhash64("account_id"), F.lit(waves)) == w)
         results = deliver(wave, transport, policy, params.webhook_base_url, params.webhook_url,
@@ -138,13 +139,15 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
             F.when(ok, F.lit("sent")).otherwise(F.lit("failed")).alias("status"),
             F.when(~ok, F.lit("delivery_failed")).alias("reason"),
             "sent_at", "error", "attempts", "status_code")
-        append_log(_outcome_rows(rows, run_id, seq, _now()), ledger_dir)
-
-    this_run = read_log(spark, ledger_dir).where((F.col("month") == F.lit(target)) & (F.col("run_id") == run_id))
-    oc = outcome_counts(this_run).first()
-    append_run(_run_row(spark, base, status="succeeded", alerts_sent=oc["alerts_sent"],
-                        skipped_replay=oc["skipped_replay"], failed_deliveries=oc["failed_deliveries"]),
-               ledger_dir)
+        if w == 0:  # outcomes that need no send ride along with the first wave's append
+            rows = no_send.unionByName(rows)
+        # counts are observed while the rows are written: one action per wave, no read-back
+        seen = Observation(f"outcomes-{run_id}-{w}")
+        append_log(_outcome_rows(rows, run_id, seq, _now()).observe(seen, *outcome_count_columns()), ledger_dir)
+        for k, v in seen.get.items():
+            totals[k] += int(v or 0)
+
+    append_run(_run_row(spark, base, status="succeeded", **totals), ledger_dir)
 
     n_unknown = counts["unknown_region_count"]
     if n_unknown:
