@@ -24,6 +24,15 @@ DEFAULT_ORDER = ("updated_at",)
 
 
 
+def ntz_micros(c: Column) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ from its date and clock fields, so no session
+    time zone (and no daylight-saving gap or overlap) is involved."""
+    days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint")
+    secs = F.hour(c).cast("bigint") * 3600 + F.minute(c).cast("bigint") * 60
+    micros = (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")  # seconds with fraction
+    return days * 86_400_000_000 + secs * 1_000_000 + micros
+
+
 def _as_long(c: Column, dtype: T.DataType) -> Column:
     """An order-preserving bigint of a numeric, boolean, date or timestamp column."""
     if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
@@ -33,7 +42,7 @@ def _as_long(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.DateType):
         return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("bigint")
     if isinstance(dtype, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+        return ntz_micros(c)
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(c)
     raise TypeError(f"descending order needs an integer-like column, got {dtype.simpleString()}")
