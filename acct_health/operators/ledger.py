@@ -172,3 +172,8 @@ def status_samples(current: DataFrame, limit: int = 10, run_col: str = "run_id")
     w = Window.partitionBy(run_col, "sample").orderBy(F.col("account_id").asc_nulls_last())
     return (tagged.withColumn("_rn", F.row_number().over(w))
             .where(F.col("_rn") <= limit).drop("_rn"))
+
+
+def key_violations(current: DataFrame, key=OUTCOME_KEY) -> DataFrame:
+    """Keys that occur more than once (H4); empty for any view built by :func:`current_outcomes`."""
+    return current.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
