@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from acct_health.session import ship_package
 from acct_health.functions.backoff import (
     FAIL,
     OK,
@@ -160,6 +161,7 @@ def deliver(df: DataFrame, transport: Transport, policy: RetryPolicy | None = No
     """
     policy = policy or RetryPolicy()
     url = target_url(channel_col, base_url, single_url)
+    ship_package(df.sparkSession)
     key = F.concat_ws("|", F.lit(key_prefix), *[F.col(c).cast("string") for c in key_cols])
     inp = df.select(*df.columns, url.alias("_url"), key.alias("_key"))
     if partitions:

@@ -64,3 +64,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/acct_health/{name}-{uuid.uuid4().hex}"
 
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on Python workers, once per SparkContext.
+
+    Stages that run Python (the delivery ``mapInPandas``) pickle functions by module reference, so
+    the workers must import ``acct_health`` even when the driver found it through a path the
+    workers do not share. The package is zipped into the shared checkpoint folder (through the
+    Hadoop FileSystem API, so any cluster file system works) and added with ``addPyFile``, the same
+    mechanism as ``--py-files``.
+    """
+    import io
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_acct_health_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    target = scratch_path(spark, "pyfiles") + "/acct_health.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(buf.getvalue())
+    finally:
+        out.close()
+    sc.addPyFile(str(fs.makeQualified(path).toString()))
+    sc._acct_health_shipped = True
