@@ -4,7 +4,8 @@ K1  ``latest_stream``: incremental latest-by-key of an arriving feed; update mod
     micro-batch, the current winner and row count of every key that changed.
 K2  optional watermark on the month (event time) so state older than the lookback is dropped.
     Only valid for a month-ordered feed and targets at or after the newest month seen.
-K3  ``run_alert_stream``: ``foreachBatch`` appends the emitted winners to a log, then recomputes the streak, routing and message of the accounts touched by the batch
+K3  ``run_alert_stream``: ``foreachBatch`` appends the emitted winners to a log partitioned by
+    account-hash bucket, then recomputes the streak, routing and message of the accounts touched by the batch
     from the log's current state, and appends one row per touched account. A late correction to an
     old month changes the streaks of later months, so the whole lookback of a touched account is
     recomputed rather than patched. The last row per account is the current alert state.
@@ -78,21 +79,36 @@ def read_latest(spark: SparkSession, out_dir: str) -> DataFrame:
     return current_latest(spark.read.parquet(out_dir)).select(*ACCOUNT_MONTH_COLUMNS, "n_versions")
 
 
+def account_bucket(buckets: int):
+    """Hash bucket of the account id: the emission log is partitioned by it."""
+    return F.pmod(F.xxhash64("account_id"), F.lit(buckets)).cast("int")
+
+
 def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params: Params, state_dir: str,
-                     checkpoint: str, available_now: bool = True):
-    """K3: keep the alert state of ``target_month`` current as rows arrive."""
+                     checkpoint: str, available_now: bool = True, state_buckets: int = 8):
+    """K3: keep the alert state of ``target_month`` current as rows arrive.
+
+    The emission log is partitioned by account-hash bucket, one file per touched bucket and batch;
+    a micro-batch reads back only the buckets it touched (partition pruning), so its cost follows
+    the accounts it changes rather than the whole log. The list of touched buckets has at most
+    ``state_buckets`` entries. Raise ``state_buckets`` for a large state (each bucket's share of the
+    log is what a touching batch rereads); :func:`compact_log` bounds the log to one row per key.
+    """
     target = validate_month(target_month)
     latest_dir, alerts_dir = f"{state_dir}/latest", f"{state_dir}/alerts"
     window = month_window(feed, target, params.lookback_months)
 
     def handle(batch: DataFrame, batch_id: int):
         bid = F.lit(batch_id).cast("bigint").alias("batch_id")
-        # the batch frame is used twice; persisting it keeps the stateful aggregate from running again
-        emitted = batch.select("*", bid).persist()
+        # the batch frame is used more than once; persisting it keeps the stateful aggregate from running again
+        emitted = batch.select("*", bid, account_bucket(state_buckets).alias("bucket")).persist()
         try:
-            emitted.write.mode("append").parquet(latest_dir)
+            (emitted.repartition(state_buckets, "bucket").write.mode("append")
+             .partitionBy("bucket").parquet(latest_dir))
+            touched_buckets = [r[0] for r in emitted.select("bucket").distinct().collect()]
             touched = emitted.select("account_id").distinct()
-            state = current_latest(spark.read.parquet(latest_dir)).join(touched, on="account_id", how="left_semi")
+            log = spark.read.parquet(latest_dir).where(F.col("bucket").isin(touched_buckets)).drop("bucket")
+            state = current_latest(log).join(touched, on="account_id", how="left_semi")
             routed = routed_snapshot(spark, None, target, params, latest=state)
             (routed.select("account_id", "is_candidate", *[c for c in ALERT_COLUMNS if c != "account_id"], bid)
              .write.mode("append").parquet(alerts_dir))
@@ -105,6 +121,17 @@ def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params:
     return q
 
 
+def compact_log(spark: SparkSession, state_dir: str, out_dir: str) -> None:
+    """Rewrite the emission log as one row per key (the current winners), keeping the bucket layout.
+    Point a restarted stream's ``state_dir/latest`` at the result to bound read-back cost."""
+    log = spark.read.parquet(f"{state_dir}/latest")
+    n = log.select(F.max("bucket")).first()[0]
+    n = int(n) + 1 if n is not None else 1
+    cur = current_latest(log.drop("bucket"))
+    (cur.withColumn("batch_id", F.lit(-1).cast("bigint")).withColumn("bucket", account_bucket(n))
+     .repartition(n, "bucket").write.partitionBy("bucket").parquet(out_dir))
+
+
 def read_alerts(spark: SparkSession, state_dir: str) -> DataFrame:
     """Current alerts: per account the row of the highest batch id, kept when it is a candidate."""
     rows = spark.read.parquet(f"{state_dir}/alerts")
