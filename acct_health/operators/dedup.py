@@ -107,3 +107,11 @@ def deduplicate(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
                 order: Sequence[str] = DEFAULT_ORDER) -> tuple[DataFrame, DataFrame]:
     """In-memory-table form (B5): (latest rows, one-row frame with ``duplicate_rows``)."""
     return latest_by_key(df, keys, order), dedup_counts(df, keys).select("duplicate_rows")
+
+
+def load_and_deduplicate(spark, source_uri: str, target_month, lookback_months: int):
+    """Read a source, keep its month window and deduplicate (B4): (latest rows, one-row counts frame
+    with ``rows_scanned`` and ``duplicate_rows``). Both outputs are lazy."""
+    from acct_health.sources.account_month import month_window, read_account_month
+    window = month_window(read_account_month(spark, source_uri), target_month, lookback_months)
+    return latest_by_key(window), dedup_counts(window)

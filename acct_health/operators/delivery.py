@@ -166,6 +166,7 @@ def deliver(df: DataFrame, transport: Transport, policy: RetryPolicy | None = No
     inp = df.select(*df.columns, url.alias("_url"), key.alias("_key"))
     if partitions:
         inp = inp.repartition(partitions, *[F.col(c) for c in key_cols])
+    inp = inp.sortWithinPartitions(*key_cols)  # each task posts in key order (C3)
     keep = tuple(keep)
     out_schema = T.StructType([inp.schema[c] for c in keep] + RESULT_FIELDS)
     cols = inp.columns

@@ -31,18 +31,20 @@ def _target_index(target: dt.date) -> int:
     return target.year * 12 + target.month - 1
 
 
-def risk_bit(target_month, status_col: str = "status", month_col: str = "month") -> Column:
-    """``1 << (target - month)`` for an At-Risk first-of-month row at or before the target, else 0."""
+def risk_bit(target_month, lookback_months: int = MAX_MASK_LOOKBACK, status_col: str = "status",
+             month_col: str = "month") -> Column:
+    """``1 << (target - month)`` for an At-Risk first-of-month row within the lookback, else 0."""
     target = validate_month(target_month)
     offset = F.lit(_target_index(target)) - month_index(month_col)
     ok = ((F.col(status_col) == F.lit(AT_RISK)) & is_first_of_month(month_col)
-          & (offset >= 0) & (offset <= MAX_MASK_LOOKBACK))
+          & (offset >= 0) & (offset <= min(lookback_months, MAX_MASK_LOOKBACK)))
     return F.when(ok, F.call_function("shiftleft", F.lit(1).cast("bigint"), offset.cast("int"))).otherwise(F.lit(0).cast("bigint"))
 
 
-def risk_mask(target_month, status_col: str = "status", month_col: str = "month") -> Column:
+def risk_mask(target_month, lookback_months: int = MAX_MASK_LOOKBACK, status_col: str = "status",
+              month_col: str = "month") -> Column:
     """Aggregate: OR of :func:`risk_bit` over an account's deduplicated rows."""
-    return F.bit_or(risk_bit(target_month, status_col, month_col)).alias("risk_mask")
+    return F.bit_or(risk_bit(target_month, lookback_months, status_col, month_col)).alias("risk_mask")
 
 
 def streak_from_mask(mask: Column, target_month) -> tuple[Column, Column]:
@@ -54,14 +56,21 @@ def streak_from_mask(mask: Column, target_month) -> tuple[Column, Column]:
     return duration.alias("duration_months"), start.alias("risk_start_month")
 
 
+def truncated(lookback_months: int, duration: str = "duration_months") -> Column:
+    """True when the streak reaches the window edge, so the real streak may be longer."""
+    return (F.col(duration) >= F.lit(lookback_months + 1)).alias("is_truncated")
+
+
 def streak_to(latest: DataFrame, target_month, lookback_months: int,
-              key: str = "account_id") -> DataFrame:
+              key: str = "account_id", with_truncation: bool = False) -> DataFrame:
     """Streak ending at the target for every account of a deduplicated window frame (bitmask plan)."""
     if lookback_months > MAX_MASK_LOOKBACK:
-        return streak_to_ranked(latest, target_month, lookback_months, key)
-    per = latest.groupBy(key).agg(risk_mask(target_month))
-    duration, start = streak_from_mask(F.col("risk_mask"), target_month)
-    return per.select(key, duration, start)
+        out = streak_to_ranked(latest, target_month, lookback_months, key)
+    else:
+        per = latest.groupBy(key).agg(risk_mask(target_month, lookback_months))
+        duration, start = streak_from_mask(F.col("risk_mask"), target_month)
+        out = per.select(key, duration, start)
+    return out.withColumn("is_truncated", truncated(lookback_months)) if with_truncation else out
 
 
 def streak_to_ranked(latest: DataFrame, target_month, lookback_months: int,

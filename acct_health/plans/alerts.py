@@ -52,7 +52,7 @@ def snapshot_from_latest(latest: DataFrame, target_month, lookback_months: int)
         F.count(F.lit(1)).alias("n_keys"),
     ]
     if lookback_months <= MAX_MASK_LOOKBACK:
-        aggs.insert(0, risk_mask(target))
+        aggs.insert(0, risk_mask(target, lookback_months))
     snap = latest.groupBy("account_id").agg(*aggs)
     if lookback_months <= MAX_MASK_LOOKBACK:
         duration, start = streak_from_mask(F.col("risk_mask"), target)

@@ -31,6 +31,25 @@ WHERE (l.l_suppkey + month(l.l_shipdate)) % 11 <> 0
 AM_MONTH = AM.format(month_expr="cast(date_trunc('month', l.l_shipdate) AS date)")
 AM_RAW = AM.format(month_expr="cast(l.l_shipdate AS date)")
 
+# Low-duplicate account months from orders (same mapping as sources.fixtures.account_month_from_orders).
+AM_ORDERS = """
+SELECT concat('c', lpad(cast(o.o_custkey AS varchar), 6, '0')) AS account_id,
+       c.c_name AS account_name,
+       CASE r.r_name WHEN 'AMERICA' THEN 'AMER' WHEN 'EUROPE' THEN 'EMEA' WHEN 'ASIA' THEN 'APAC'
+                     WHEN 'AFRICA' THEN 'AFRICA' ELSE NULL END AS account_region,
+       cast(date_trunc('month', o.o_orderdate) AS date) AS month,
+       CASE o.o_orderstatus WHEN 'O' THEN 'At Risk' WHEN 'P' THEN 'Healthy' ELSE 'Churned' END AS status,
+       cast(o.o_orderdate AS date) AS renewal_date,
+       CASE WHEN o.o_orderpriority = '1-URGENT' THEN NULL WHEN o.o_orderpriority = '2-HIGH' THEN ''
+            ELSE concat('owner', substr(o.o_orderpriority, 1, 1), '@example.com') END AS account_owner,
+       cast(floor(o.o_totalprice) AS bigint) - 100000 AS arr,
+       o.o_orderdate AS updated_at
+FROM orders o
+JOIN customer c ON o.o_custkey = c.c_custkey
+JOIN nation n ON c.c_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey
+"""
+
 TARGET = "DATE '1998-06-01'"
 TARGET_INDEX = 1998 * 12 + 6 - 1
 
@@ -70,12 +89,12 @@ def with_(**ctes) -> str:
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items())
 
 
-def base(lookback: int = 24, floor: int = 0, region_values: str | None = None) -> str:
+def base(lookback: int = 24, floor: int = 0, region_values: str | None = None, am_sql: str | None = None) -> str:
     """Common CTEs: am, win, latest, streak, cand (candidates with streak), dim, routed."""
     values = region_values or ("('AMER', 'amer-risk-alerts'), ('EMEA', 'emea-risk-alerts'), "
                                "('APAC', 'apac-risk-alerts')")
     return with_(
-        am=AM_MONTH,
+        am=am_sql or AM_MONTH,
         win=window(lookback),
         latest=latest("win"),
         streak=streak("latest", lookback),
@@ -289,3 +308,8 @@ SQL.update({
     "stream_dedup": SQL["dedup_latest"],
     "stream_alerts": SQL["preview_alerts"],
 })
+
+SQL.update({
+    "orders_preview_alerts": base(am_sql=AM_ORDERS) + "\n" + ALERTS,
+    "orders_preview_counts": base(am_sql=AM_ORDERS) + SQL["preview_counts"][len(base()):],
+})

@@ -326,3 +326,21 @@ QUERIES.update({
     "stream_dedup": q_stream_dedup,
     "stream_alerts": q_stream_alerts,
 })
+
+
+# --- low-duplicate input (orders) -----------------------------------------------------------
+
+def q_orders_preview_alerts(spark, sf_dir):
+    from acct_health.sources.fixtures import account_month_from_orders
+    return preview(spark, account_month_from_orders(spark, sf_dir), TARGET_MONTH, Params())[0]
+
+
+def q_orders_preview_counts(spark, sf_dir):
+    from acct_health.sources.fixtures import account_month_from_orders
+    return preview(spark, account_month_from_orders(spark, sf_dir), TARGET_MONTH, Params())[1]
+
+
+QUERIES.update({
+    "orders_preview_alerts": q_orders_preview_alerts,
+    "orders_preview_counts": q_orders_preview_counts,
+})

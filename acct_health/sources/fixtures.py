@@ -25,6 +25,18 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation key -> account region code (fixed-size tables, broadcast)."""
+    code = None
+    for name, value in REGION_NAMES.items():
+        cond = F.col("r_name") == F.lit(name)
+        code = F.when(cond, F.lit(value)) if code is None else code.when(cond, F.lit(value))
+    return (_read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+            .join(F.broadcast(_read(spark, sf_dir, "region").select("r_regionkey", "r_name")),
+                  F.col("n_regionkey") == F.col("r_regionkey"))
+            .select("n_nationkey", code.alias("account_region")))
+
+
 def account_month_from_tables(spark: SparkSession, sf_dir: str, first_of_month: bool = True) -> DataFrame:
     """The nine-column ``account_month`` frame built from the TPC-H-like tables.
 
@@ -33,16 +45,9 @@ def account_month_from_tables(spark: SparkSession, sf_dir: str, first_of_month:
         "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_returnflag", "l_linestatus", "l_shipdate")
     li = li.where((F.col("l_suppkey") + F.month("l_shipdate")) % 11 != 0)
-    region_case = None
-    for name, code in REGION_NAMES.items():
-        cond = F.col("r_name") == F.lit(name)
-        region_case = F.when(cond, F.lit(code)) if region_case is None else region_case.when(cond, F.lit(code))
     # nation and region have a fixed number of rows; supplier grows with the data and is
     # left to Spark's size-based join choice.
-    geo = (_read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-           .join(F.broadcast(_read(spark, sf_dir, "region").select("r_regionkey", "r_name")),
-                 F.col("n_regionkey") == F.col("r_regionkey"))
-           .select("n_nationkey", region_case.alias("account_region")))
+    geo = _geo(spark, sf_dir)
     sup = (_read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
            .join(F.broadcast(geo), F.col("s_nationkey") == F.col("n_nationkey"))
            .select("s_suppkey", "s_name", "account_region"))
@@ -68,6 +73,36 @@ def account_month_from_tables(spark: SparkSession, sf_dir: str, first_of_month:
     )
 
 
+def account_month_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A low-duplicate account-month frame: an account is a customer, each order one version of that
+    customer's month (about 6% duplicate keys, close to the few duplicates of real feeds).
+
+    Status: open orders are At Risk, pending Healthy, finished Churned. Owner: null for urgent,
+    empty for high priority, else by priority digit. ARR: floor(total price) - 100000 (some negative).
+    """
+    o = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                                              "o_orderpriority")
+    geo = _geo(spark, sf_dir)
+    cust = (_read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+            .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+            .select("c_custkey", "c_name", "account_region"))
+    j = o.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    st, pr = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return j.select(
+        F.concat(F.lit("c"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("account_id"),
+        F.col("c_name").alias("account_name"),
+        F.col("account_region"),
+        F.trunc(F.to_date("o_orderdate"), "month").alias("month"),
+        F.when(st == "O", F.lit("At Risk")).when(st == "P", F.lit("Healthy")).otherwise(F.lit("Churned"))
+         .alias("status"),
+        F.to_date("o_orderdate").alias("renewal_date"),
+        F.when(pr == "1-URGENT", F.lit(None).cast("string")).when(pr == "2-HIGH", F.lit(""))
+         .otherwise(F.concat(F.lit("owner"), F.substring(pr, 1, 1), F.lit("@example.com"))).alias("account_owner"),
+        (F.floor("o_totalprice").cast("bigint") - 100000).alias("arr"),
+        F.col("o_orderdate").alias("updated_at"),
+    )
+
+
 def attempts_from_events(spark: SparkSession, sf_dir: str, max_attempts: int = 5) -> DataFrame:
     """Delivery attempts per user: (user_id, attempt_no, status, retry_after), first ``max_attempts``.
 

@@ -30,6 +30,7 @@ from acct_health.sources.account_month import month_window, read_account_month,
 from acct_health.sources.fixtures import (  # noqa: E402
     LOOKBACK,
     TARGET_MONTH,
+    account_month_from_orders,
     account_month_from_tables,
     attempts_from_events,
 )
@@ -56,6 +57,17 @@ def suite(spark, sf_dir: str, timed) -> None:
         counts.collect()
 
     timed("preview", q_preview)
+
+    orders_table = scratch_path(spark, "bench-orders-month")
+    timed("build_orders_month", lambda: write_account_month(account_month_from_orders(spark, sf_dir), orders_table))
+    orders_am = read_account_month(spark, orders_table)
+
+    def q_preview_orders():
+        alerts, counts = preview(spark, orders_am, TARGET_MONTH, params, materialize=True)
+        _noop(alerts)
+        counts.collect()
+
+    timed("preview_low_duplicates", q_preview_orders)
     timed("dedup_window", lambda: _noop(latest_by_key(month_window(am, TARGET_MONTH, LOOKBACK))))
     timed("dedup_full_history", lambda: _noop(latest_by_key(am)))
     timed("streaks_all_months", lambda: _noop(streaks_all(latest_by_key(am), LOOKBACK)))

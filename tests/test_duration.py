@@ -94,3 +94,20 @@ def test_long_lookback_falls_back_to_ranks(spark):
     h = {month_minus(target, k): AR for k in range(70)}
     r = streak_to(_latest(spark, h), target, 80).first()
     assert r["duration_months"] == 70
+
+
+def test_truncation_flag(spark):
+    target = dt.date(2026, 1, 1)
+    h = {month_minus(target, k): AR for k in range(5)}
+    r = streak_to(_latest(spark, h), target, 2, with_truncation=True).first()
+    assert (r["duration_months"], r["is_truncated"]) == (3, True)
+    r = streak_to(_latest(spark, h), target, 24, with_truncation=True).first()
+    assert (r["duration_months"], r["is_truncated"]) == (5, False)
+
+
+def test_load_and_deduplicate(spark, sample_parquet):
+    from acct_health.operators.dedup import load_and_deduplicate
+    latest, counts = load_and_deduplicate(spark, sample_parquet, "2026-01-01", 24)
+    c = counts.first()
+    assert (c["rows_scanned"], c["duplicate_rows"]) == (11, 1)
+    assert latest.count() == 10
