@@ -48,6 +48,10 @@ def validate_month(value) -> dt.date:
     return d
 
 
+def _ntz_from_micros(micros: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def _conform(field: T.StructField) -> Column:
     name, typ = field.name, field.dataType
     c = F.col(name)
@@ -65,14 +69,16 @@ def _conform(field: T.StructField) -> Column:
         if isinstance(typ, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
             return c.cast("bigint").alias(name)
         raise SourceContractError(f"column arr must be an integer, got {typ.simpleString()}")
-    # updated_at: naive micros arrive as NTZ; UTC-adjusted ones are normalised to NTZ in UTC;
-    # nanosecond files read with spark.sql.legacy.parquet.nanosAsLong=true arrive as bigint nanos.
+    # updated_at: naive micros arrive as NTZ; UTC-adjusted ones become the UTC wall time as NTZ;
+    # nanosecond files read with spark.sql.legacy.parquet.nanosAsLong=true arrive as bigint nanos
+    # (kept to the microsecond). Both conversions are epoch arithmetic, never through the session
+    # time zone, where two instants of a daylight-saving overlap would share one wall time.
     if isinstance(typ, T.TimestampNTZType):
         return c
     if isinstance(typ, T.TimestampType):
-        return c.cast("timestamp_ntz").alias(name)
+        return _ntz_from_micros(F.unix_micros(c)).alias(name)
     if isinstance(typ, T.LongType):
-        return F.timestamp_micros(F.floor(c / 1000)).cast("timestamp_ntz").alias(name)
+        return _ntz_from_micros(F.floor(c / 1000)).alias(name)
     if isinstance(typ, T.DateType):
         return c.cast("timestamp_ntz").alias(name)
     raise SourceContractError(f"column updated_at must be a timestamp, got {typ.simpleString()}")

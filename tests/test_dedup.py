@@ -104,3 +104,20 @@ def test_missing_column_is_a_contract_error(spark, tmp_path):
     pq.write_table(t, str(tmp_path / "bad.parquet"))
     with pytest.raises(SourceContractError):
         read_account_month(spark, str(tmp_path / "bad.parquet"))
+
+
+def test_utc_adjusted_timestamps_keep_their_order_in_any_session_zone(spark, tmp_path):
+    # two instants one hour apart that share one Los Angeles wall time (fall-back overlap)
+    schema = pa.schema([f if f.name != "updated_at" else pa.field("updated_at", pa.timestamp("us", tz="UTC"))
+                        for f in ARROW_SCHEMA])
+    t1, t2 = dt.datetime(2021, 11, 7, 8, 30), dt.datetime(2021, 11, 7, 9, 30)
+    rows = [_row("a1", dt.date(2021, 11, 1), "Healthy", t1), _row("a1", dt.date(2021, 11, 1), "At Risk", t2)]
+    path = write_rows(tmp_path / "utc.parquet", rows, schema)
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        am = read_account_month(spark, path)
+        assert dict(am.dtypes)["updated_at"] == "timestamp_ntz"
+        got = latest_by_key(am).first()
+        assert got["status"] == "At Risk" and got["updated_at"] == t2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
