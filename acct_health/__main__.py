@@ -24,6 +24,9 @@ def _params(a) -> Params:
                webhook_url=getattr(a, "webhook_url", None) or None)
     if a.region_map:
         p = dataclasses.replace(p, region_channel_map=parse_region_map(a.region_map))
+    if getattr(a, "max_attempts", None) is not None:
+        p = dataclasses.replace(p, retry_max_attempts=a.max_attempts, retry_base_seconds=a.retry_base,
+                                retry_cap_seconds=a.retry_cap)
     return p
 
 
@@ -51,6 +54,9 @@ def main(argv=None) -> int:
     rn.add_argument("--webhook-base-url", default=None)
     rn.add_argument("--webhook-url", default=None)
     rn.add_argument("--dry-run", action="store_true")
+    rn.add_argument("--max-attempts", type=int, default=Params().retry_max_attempts)
+    rn.add_argument("--retry-base", type=float, default=Params().retry_base_seconds)
+    rn.add_argument("--retry-cap", type=float, default=Params().retry_cap_seconds)
     st = sub.add_parser("status")
     st.add_argument("--ledger", required=True)
     st.add_argument("--run-id", required=True)

@@ -11,6 +11,7 @@ need an external lock).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,19 +62,15 @@ def digests_path(ledger_dir: str) -> str:
     return f"{ledger_dir.rstrip('/')}/digests"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
-
-
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """An append-only table, or an empty frame of its schema when nothing was written yet.
     Readers never require ``_SUCCESS``: finished tasks of a failed append stay readable."""
-    if _exists(spark, path):
+    try:
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def read_log(spark: SparkSession, ledger_dir: str) -> DataFrame:

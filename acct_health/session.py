@@ -14,6 +14,8 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Remove checkpoint files once their RDD is no longer referenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Keep a finished task's output when a later task of the same job fails (ledger appends).
     "spark.hadoop.mapreduce.fileoutputcommitter.algorithm.version": "2",

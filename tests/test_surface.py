@@ -102,3 +102,14 @@ def test_watermark_stream_on_month_ordered_feed(spark, tmp_path):
     run_latest_stream(spark, read_feed(spark, str(feed), 1), out, ckpt, watermark_months=2)
     got = {r["month"]: r["status"] for r in read_latest(spark, out).collect()}
     assert set(got) == set(months) and set(got.values()) == {"Healthy"}
+
+
+def test_cli_dry_run_and_status(sample_parquet, capsys, spark, tmp_path):
+    from acct_health.__main__ import main
+    ledger = str(tmp_path / "ledger")
+    assert main(["run", "--source", sample_parquet, "--month", "2026-01-01", "--ledger", ledger, "--dry-run"]) == 0
+    run_id = json.loads(capsys.readouterr().out.strip().splitlines()[-1])["run_id"]
+    assert main(["status", "--ledger", ledger, "--run-id", run_id]) == 0
+    st = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert st["dry_run"] is True and st["counts"]["alerts_sent"] == 2 and st["counts"]["failed_deliveries"] == 1
+    assert main(["status", "--ledger", ledger, "--run-id", "nope"]) == 1
