@@ -49,9 +49,13 @@ def _as_long(c: Column, dtype: T.DataType) -> Column:
 
 
 def sort_key(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
-             order: Sequence[str] = DEFAULT_ORDER) -> list[Column]:
+             order: Sequence[str] = DEFAULT_ORDER, position: str | None = None) -> list[Column]:
     """Fields whose struct minimum is the winning row: ``order`` descending, then the rest ascending,
-    nulls last everywhere."""
+    nulls last everywhere.
+
+    With ``position`` (a scan-position column) ties on ``order`` go by scan order instead: the last
+    scanned row wins among equal values, the first scanned among rows whose first order column is null.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
     fields = []
     for i, c in enumerate(order):
@@ -61,7 +65,10 @@ def sort_key(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
             fields.append((-v).alias(f"_ov{i}"))
         else:
             fields.append(F.bitwise_not(_as_long(F.col(c), types[c])).alias(f"_ov{i}"))
-    rest = [c for c in df.columns if c not in keys and c not in order]
+    if position:
+        p = F.col(position)
+        fields.append(F.when(F.col(order[0]).isNotNull(), F.bitwise_not(p)).otherwise(p).alias("_pos"))
+    rest = [c for c in df.columns if c not in keys and c not in order and c != position]
     for i, c in enumerate(rest):
         fields.append(F.col(c).isNull().alias(f"_tn{i}"))
         fields.append(F.col(c).alias(f"_tv{i}"))
@@ -69,26 +76,37 @@ def sort_key(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 
 
 def latest_struct(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
-                  order: Sequence[str] = DEFAULT_ORDER, alias: str = "_latest") -> Column:
+                  order: Sequence[str] = DEFAULT_ORDER, alias: str = "_latest",
+                  position: str | None = None) -> Column:
     """Aggregate picking the winning row of a group: a struct of sort key then the non-key columns."""
-    row = [F.col(c).alias(c) for c in df.columns if c not in keys]
-    return F.min(F.struct(*sort_key(df, keys, order), F.struct(*row).alias("row"))).alias(alias)
+    row = [F.col(c).alias(c) for c in df.columns if c not in keys and c != position]
+    return F.min(F.struct(*sort_key(df, keys, order, position), F.struct(*row).alias("row"))).alias(alias)
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
                   order: Sequence[str] = DEFAULT_ORDER,
-                  count_col: str | None = None) -> DataFrame:
+                  count_col: str | None = None, tie_break: str = "columns") -> DataFrame:
     """One row per key, the latest by ``order``; the original column order is kept.
 
     With ``count_col`` the number of input rows of each key is added (duplicates = count - 1).
+    ``tie_break="scan_order"`` resolves ties by the ``_scan_pos`` column (see
+    ``sources.account_month.with_scan_position``), which is dropped from the output.
     Works on any DataFrame; an empty input gives an empty output.
     """
     keys, order = list(keys), list(order)
-    aggs = [latest_struct(df, keys, order)]
+    position = None
+    if tie_break == "scan_order":
+        position = "_scan_pos"
+        if position not in df.columns:
+            raise ValueError("tie_break='scan_order' needs a _scan_pos column (read with scan_position=True)")
+    elif tie_break != "columns":
+        raise ValueError(f"unknown tie_break {tie_break!r}")
+    aggs = [latest_struct(df, keys, order, position=position)]
     if count_col:
         aggs.append(F.count(F.lit(1)).alias(count_col))
     grouped = df.groupBy(*keys).agg(*aggs)
-    cols = [F.col(c) if c in keys else F.col(f"_latest.row.{c}").alias(c) for c in df.columns]
+    out_cols = [c for c in df.columns if c != position]
+    cols = [F.col(c) if c in keys else F.col(f"_latest.row.{c}").alias(c) for c in out_cols]
     if count_col:
         cols.append(F.col(count_col))
     return grouped.select(*cols)

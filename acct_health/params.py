@@ -48,6 +48,9 @@ class Params:
     arr_threshold: int = DEFAULT_ARR_THRESHOLD
     lookback_months: int = DEFAULT_LOOKBACK
     details_base_url: str = DEFAULT_DETAILS_BASE_URL
+    # "columns": ties on updated_at go to the smallest other columns (deterministic anywhere);
+    # "scan_order": to the last scanned row (first when updated_at is null); needs a _scan_pos column.
+    tie_break: str = "columns"
     webhook_base_url: str | None = None
     webhook_url: str | None = None
     retry_max_attempts: int = DEFAULT_MAX_ATTEMPTS

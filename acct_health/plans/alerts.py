@@ -35,10 +35,11 @@ ALERT_COLUMNS = ["account_id", "account_name", "account_region", "channel", "dur
                  "risk_start_month", "arr", "routable", "reason", "message"]
 
 
-def account_snapshot(window_df: DataFrame, target_month, lookback_months: int) -> DataFrame:
+def account_snapshot(window_df: DataFrame, target_month, lookback_months: int,
+                     tie_break: str = "columns") -> DataFrame:
     """One row per account of the window: streak, target-month row (null when absent),
     ``n_rows`` scanned and ``n_keys`` distinct months."""
-    latest = latest_by_key(window_df, count_col="n_versions")
+    latest = latest_by_key(window_df, count_col="n_versions", tie_break=tie_break)
     return snapshot_from_latest(latest, target_month, lookback_months)
 
 
@@ -77,7 +78,7 @@ def routed_snapshot(spark: SparkSession, window_df: DataFrame | None, target_mon
     if latest is not None:
         snap = snapshot_from_latest(latest, target, params.lookback_months)
     else:
-        snap = account_snapshot(window_df, target, params.lookback_months)
+        snap = account_snapshot(window_df, target, params.lookback_months, params.tie_break)
     flat = snap.select(
         "account_id",
         *[F.col("target_row").getField(c).alias(c) for c in _TARGET_FIELDS],
@@ -111,7 +112,7 @@ def counts_from_snapshot(routed: DataFrame, target_month) -> DataFrame:
 def candidates(window_df: DataFrame, target_month, params: Params) -> DataFrame:
     """At-Risk accounts of the target month above the floor, with their streak."""
     target = validate_month(target_month)
-    snap = account_snapshot(window_df, target, params.lookback_months)
+    snap = account_snapshot(window_df, target, params.lookback_months, params.tie_break)
     return snap.where(is_candidate(params.arr_threshold)).select(
         "account_id",
         *[F.col("target_row").getField(c).alias(c) for c in _TARGET_FIELDS],

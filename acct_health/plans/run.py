@@ -97,7 +97,8 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
     try:
         if not dry_run:
             target_url("channel", params.webhook_base_url, params.webhook_url)  # config check before any job
-        am = read_account_month(spark, source) if isinstance(source, str) else conform_account_month(source)
+        am = (read_account_month(spark, source, scan_position=params.tie_break == "scan_order")
+              if isinstance(source, str) else conform_account_month(source))
         window = month_window(am, target, params.lookback_months)
         routed = routed_snapshot(spark, window, target, params).checkpoint(eager=True)
         counts = counts_from_snapshot(routed, target).first()

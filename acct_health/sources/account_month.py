@@ -84,19 +84,44 @@ def _conform(field: T.StructField) -> Column:
     raise SourceContractError(f"column updated_at must be a timestamp, got {typ.simpleString()}")
 
 
+SCAN_POSITION = "_scan_pos"
+# File ordinals are broadcast; the list is the file listing the driver already holds.
+MAX_BROADCAST_FILES = 1_000_000
+
+
 def conform_account_month(df: DataFrame) -> DataFrame:
-    """Check the nine columns exist with usable types and project them in the fixed order (A3)."""
+    """Check the nine columns exist with usable types and project them in the fixed order (A3).
+    A scan-position column, when present, is kept."""
     by_name = {f.name: f for f in df.schema.fields}
     missing = [c for c in ACCOUNT_MONTH_COLUMNS if c not in by_name]
     if missing:
         raise SourceContractError(f"missing required columns: {', '.join(missing)}")
-    return df.select(*[_conform(by_name[c]) for c in ACCOUNT_MONTH_COLUMNS])
+    extra = [F.col(SCAN_POSITION)] if SCAN_POSITION in by_name else []
+    return df.select(*[_conform(by_name[c]) for c in ACCOUNT_MONTH_COLUMNS], *extra)
+
+
+def with_scan_position(raw: DataFrame) -> DataFrame:
+    """Add ``_scan_pos``: the row's place in a scan that reads files in path order and rows in file
+    order (file ordinal * 2^40 + row index in the file). Used by the ``scan_order`` tie-break."""
+    spark = raw.sparkSession
+    files = sorted(raw.inputFiles())
+    ordinals = spark.createDataFrame(list(enumerate(files)), "_file_ord long, _file string")
+    if len(files) <= MAX_BROADCAST_FILES:
+        ordinals = F.broadcast(ordinals)
+    pos = raw.withColumn("_file", F.input_file_name()).withColumn("_row", F.col("_metadata.row_index"))
+    joined = pos.join(ordinals, on="_file", how="left")
+    return joined.withColumn(SCAN_POSITION, F.col("_file_ord") * F.lit(1 << 40) + F.col("_row")) \
+                 .drop("_file", "_row", "_file_ord")
 
 
-def read_account_month(spark: SparkSession, source_uri: str) -> DataFrame:
+def read_account_month(spark: SparkSession, source_uri: str, scan_position: bool = False) -> DataFrame:
     """Parquet file or folder -> the nine-column frame. Read with the file's own schema
-    (an imposed schema would turn a missing column into silent NULLs)."""
-    return conform_account_month(spark.read.parquet(resolve_uri(source_uri)))
+    (an imposed schema would turn a missing column into silent NULLs). ``scan_position`` adds
+    ``_scan_pos`` for the ``scan_order`` tie-break."""
+    raw = spark.read.parquet(resolve_uri(source_uri))
+    if scan_position:
+        raw = with_scan_position(raw)
+    return conform_account_month(raw)
 
 
 def month_window(df: DataFrame, target_month, lookback_months: int) -> DataFrame:

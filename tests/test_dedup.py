@@ -121,3 +121,36 @@ def test_utc_adjusted_timestamps_keep_their_order_in_any_session_zone(spark, tmp
         assert got["status"] == "At Risk" and got["updated_at"] == t2
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def _scan_latest(spark, path):
+    am = read_account_month(spark, path, scan_position=True)
+    return {(r["account_id"], r["month"]): r["status"] for r in latest_by_key(am, tie_break="scan_order").collect()}
+
+
+def test_scan_order_tie_break_within_a_file(spark, tmp_path):
+    m, t = dt.date(2026, 1, 1), dt.datetime(2026, 1, 5)
+    rows = [_row("k1", m, "At Risk", t), _row("k1", m, "Healthy", t),       # equal times: last scanned wins
+            _row("k2", m, "Healthy", None), _row("k2", m, "At Risk", None),  # all null: first scanned wins
+            _row("k3", m, "Churned", None), _row("k3", m, "Healthy", t), _row("k3", m, "At Risk", None)]
+    path = write_rows(tmp_path / "ties.parquet", rows)
+    got = _scan_latest(spark, path)
+    assert got == {("k1", m): "Healthy", ("k2", m): "Healthy", ("k3", m): "Healthy"}
+    by_columns = {r["account_id"]: r["status"] for r in latest_by_key(read_account_month(spark, path)).collect()}
+    assert by_columns == {"k1": "At Risk", "k2": "At Risk", "k3": "Healthy"}
+
+
+def test_scan_order_follows_file_path_order(spark, tmp_path):
+    m, t = dt.date(2026, 1, 1), dt.datetime(2026, 1, 5)
+    folder = tmp_path / "files"
+    folder.mkdir()
+    write_rows(folder / "b.parquet", [_row("k1", m, "At Risk", t), _row("k2", m, "At Risk", None)])
+    write_rows(folder / "a.parquet", [_row("k1", m, "Healthy", t), _row("k2", m, "Healthy", None)])
+    got = _scan_latest(spark, str(folder))
+    assert got == {("k1", m): "At Risk", ("k2", m): "Healthy"}  # b scanned after a
+
+
+def test_scan_order_requires_a_position(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        latest_by_key(spark.createDataFrame([], ACCOUNT_MONTH_SCHEMA), tie_break="scan_order")

@@ -132,3 +132,14 @@ def test_digest_written_for_unknown_regions(spark, sample_parquet, params, tmp_p
     d = spark.read.parquet(f"{ledger}/digests").where(F.col("run_id") == rid).collect()
     assert len(d) == 1 and d[0]["n_accounts"] == 1
     assert d[0]["body"].endswith("\n  - a3 (Acct 3) region=None")
+
+
+def test_scan_order_tie_break_end_to_end(spark, sample_parquet, params, tmp_path):
+    scan = dataclasses.replace(params, tie_break="scan_order")
+    am = read_account_month(spark, sample_parquet, scan_position=True)
+    alerts, counts = preview(spark, am, MONTH, scan)
+    assert sorted(r["account_id"] for r in alerts.collect()) == ["a1", "a2", "a3"]
+    assert counts.first()["duplicate_rows"] == 1
+    ledger = str(tmp_path / "ledger")
+    rid = run_month(spark, sample_parquet, MONTH, ledger, scan, transport=FakeTransport(200), sleep=lambda s: None)
+    assert run_status(spark, ledger, rid)["counts"]["alerts_sent"] == 2
