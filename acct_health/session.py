@@ -49,12 +49,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder; create a local one only when none is configured (tests)."""
+    """Return the checkpoint folder. Only a local-mode session without one (tests) gets a folder
+    of its own; on a cluster a machine-local folder would be invisible to the executors, so the
+    shared folder must be configured."""
     value = checkpoint_dir(spark)
     if value:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(value)
         return value
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     value = tempfile.mkdtemp(prefix="acct-health-ckpt-")
     spark.conf.set("spark.checkpoint.dir", value)
     spark.sparkContext.setCheckpointDir(value)
