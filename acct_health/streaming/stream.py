@@ -16,7 +16,9 @@ Every write carries the micro-batch id; readers take the highest id per key, so
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from acct_health.operators.dedup import latest_struct
@@ -103,9 +105,12 @@ def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params:
         # the batch frame is used more than once; persisting it keeps the stateful aggregate from running again
         emitted = batch.select("*", bid, account_bucket(state_buckets).alias("bucket")).persist()
         try:
-            (emitted.repartition(state_buckets, "bucket").write.mode("append")
+            # the touched buckets (at most state_buckets values) are observed during the write
+            seen = Observation(f"buckets-{batch_id}-{uuid.uuid4().hex}")
+            (emitted.observe(seen, F.collect_set("bucket").alias("buckets"))
+             .repartition(state_buckets, "bucket").write.mode("append")
              .partitionBy("bucket").parquet(latest_dir))
-            touched_buckets = [r[0] for r in emitted.select("bucket").distinct().collect()]
+            touched_buckets = list(seen.get["buckets"] or [])
             touched = emitted.select("account_id").distinct()
             log = spark.read.parquet(latest_dir).where(F.col("bucket").isin(touched_buckets)).drop("bucket")
             state = current_latest(log).join(touched, on="account_id", how="left_semi")
