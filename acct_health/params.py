@@ -6,7 +6,7 @@ Settings are plain arguments; only the region -> channel map is data.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,12 +66,8 @@ class Params:
     wave_size: int = 50_000
 
     def with_region_json(self, text: str | None) -> "Params":
-        return _replace(self, region_channel_map=parse_region_map(text))
-
-
-def _replace(p: Params, **kw) -> Params:
-    from dataclasses import replace
-    return replace(p, **kw)
+        """The same parameters with the region map parsed from JSON text."""
+        return replace(self, region_channel_map=parse_region_map(text))
 
 
 def parse_region_map(text: str | None) -> dict:
