@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 
@@ -154,3 +156,45 @@ def test_scan_order_requires_a_position(spark):
     import pytest
     with pytest.raises(ValueError):
         latest_by_key(spark.createDataFrame([], ACCOUNT_MONTH_SCHEMA), tie_break="scan_order")
+
+
+def _fold(rows):
+    """Plain fold in scan order: a null never replaces, a value replaces a null, >= replaces."""
+    best = {}
+    for r in rows:
+        k = (r["account_id"], r["month"])
+        cur = best.get(k)
+        if cur is None:
+            best[k] = r
+        elif r["updated_at"] is not None and (cur["updated_at"] is None or r["updated_at"] >= cur["updated_at"]):
+            best[k] = r
+    return best
+
+
+def _columns_rule(rows):
+    """The documented default: updated_at desc nulls last, then the other columns asc nulls last."""
+    cols = ["account_name", "account_region", "status", "renewal_date", "account_owner", "arr"]
+    def key(r):
+        t = r["updated_at"]
+        return ((t is None, -(t - dt.datetime(1970, 1, 1)).total_seconds() if t else 0),
+                *[(r[c] is None, r[c] if r[c] is not None else 0) for c in cols])
+    best = {}
+    for r in sorted(rows, key=key):
+        best.setdefault((r["account_id"], r["month"]), r)
+    return best
+
+
+@pytest.mark.parametrize("seed", [3, 11])
+def test_dedup_rules_against_brute_force(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    months = [dt.date(2026, m, 1) for m in (1, 2)]
+    times = [None, dt.datetime(2026, 1, 3), dt.datetime(2026, 1, 4)]
+    rows = [_row(f"k{rng.randrange(6)}", rng.choice(months), rng.choice(["At Risk", "Healthy", "Churned"]),
+                 rng.choice(times), arr=rng.choice([None, 1, 2]), account_owner=rng.choice([None, "", "o"]))
+            for _ in range(400)]
+    path = write_rows(tmp_path / f"rand{seed}.parquet", rows)
+    pick = lambda d: {k: (v["status"], v["arr"], v["account_owner"], v["updated_at"]) for k, v in d.items()}
+    got_scan = latest_by_key(read_account_month(spark, path, scan_position=True), tie_break="scan_order")
+    assert pick({(r["account_id"], r["month"]): r for r in got_scan.collect()}) == pick(_fold(rows))
+    got_cols = latest_by_key(read_account_month(spark, path).repartition(4))
+    assert pick({(r["account_id"], r["month"]): r for r in got_cols.collect()}) == pick(_columns_rule(rows))
