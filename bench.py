@@ -16,7 +16,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from acct_health.operators.dedup import latest_by_key  # noqa: E402
 from acct_health.operators.delivery import RetryPolicy, resolve_attempts  # noqa: E402

@@ -5,10 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-import pytest
-
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from acct_health.operators.dedup import dedup_counts, deduplicate, latest_by_key
 from acct_health.sources.account_month import ACCOUNT_MONTH_SCHEMA, month_window, read_account_month
@@ -100,7 +99,6 @@ def test_nanosecond_timestamps(spark, tmp_path):
 
 
 def test_missing_column_is_a_contract_error(spark, tmp_path):
-    import pytest
     from acct_health.sources.account_month import SourceContractError
     t = pa.Table.from_pylist([{"account_id": "a1", "month": dt.date(2026, 1, 1)}])
     pq.write_table(t, str(tmp_path / "bad.parquet"))
@@ -153,7 +151,6 @@ def test_scan_order_follows_file_path_order(spark, tmp_path):
 
 
 def test_scan_order_requires_a_position(spark):
-    import pytest
     with pytest.raises(ValueError):
         latest_by_key(spark.createDataFrame([], ACCOUNT_MONTH_SCHEMA), tie_break="scan_order")
 

@@ -16,7 +16,7 @@ from acct_health.plans.run import delivery_layout, run_month, run_status
 from acct_health.params import Params
 from acct_health.sources.account_month import validate_month
 from acct_health.sources.uri import resolve_uri
-from tests.conftest import SAMPLE_ROWS, FakeTransport, posts, row, write_rows
+from tests.conftest import FakeTransport, posts, row, write_rows
 
 
 def test_uri_schemes():
