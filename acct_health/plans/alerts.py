@@ -97,16 +97,20 @@ def alerts_from_snapshot(routed: DataFrame) -> DataFrame:
     return routed.where(F.col("is_candidate")).drop("is_candidate", "n_rows", "n_keys")
 
 
-def counts_from_snapshot(routed: DataFrame, target_month) -> DataFrame:
-    """One row with the preview counts, from a single aggregation over the snapshot."""
+def snapshot_count_columns():
+    """Preview counts as aggregate columns over a routed snapshot (usable in ``agg`` or ``observe``)."""
     cand = F.col("is_candidate")
-    return routed.agg(
-        F.lit(validate_month(target_month)).alias("month"),
+    return [
         F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("rows_scanned"),
         F.coalesce(F.sum(F.col("n_rows") - F.col("n_keys")), F.lit(0)).cast("bigint").alias("duplicate_rows"),
         F.count(F.when(cand, 1)).cast("bigint").alias("at_risk_count"),
         F.count(F.when(cand & ~F.col("routable"), 1)).cast("bigint").alias("unknown_region_count"),
-    )
+    ]
+
+
+def counts_from_snapshot(routed: DataFrame, target_month) -> DataFrame:
+    """One row with the preview counts, from a single aggregation over the snapshot."""
+    return routed.agg(F.lit(validate_month(target_month)).alias("month"), *snapshot_count_columns())
 
 
 def candidates(window_df: DataFrame, target_month, params: Params) -> DataFrame:

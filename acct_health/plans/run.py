@@ -1,7 +1,8 @@
 """Run a month end to end (J1) and read a run back.
 
-1. Read + window + per-account snapshot, checkpointed once into the shared checkpoint folder
-   (the load guard: any load error becomes a failed run row, H7).
+1. Read + window + per-account snapshot; one job observes the counts over all accounts and writes
+   only the candidates to a table in the shared checkpoint folder (the lineage cut; also the load
+   guard: any load error becomes a failed run row, H7).
 2. Current outcomes of the month from the ledger (partition-pruned), anti/semi logic as a join.
 3. Decisions (H2). Sends go in waves, each wave one ``mapInPandas`` delivery stage written straight
    to the log in the same action; outcomes that need no send are written with the first wave.
@@ -44,8 +45,8 @@ from acct_health.operators.ledger import (
     status_samples,
 )
 from acct_health.params import ALERT_TYPE, Params
-from acct_health.session import ensure_checkpoint_dir
-from acct_health.plans.alerts import alerts_from_snapshot, counts_from_snapshot, routed_snapshot
+from acct_health.session import ensure_checkpoint_dir, scratch_path
+from acct_health.plans.alerts import routed_snapshot, snapshot_count_columns
 from acct_health.sources.account_month import (
     conform_account_month,
     month_window,
@@ -100,14 +101,21 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
         am = (read_account_month(spark, source, scan_position=params.tie_break == "scan_order")
               if isinstance(source, str) else conform_account_month(source))
         window = month_window(am, target, params.lookback_months)
-        routed = routed_snapshot(spark, window, target, params).checkpoint(eager=True)
-        counts = counts_from_snapshot(routed, target).first()
+        routed = routed_snapshot(spark, window, target, params)
+        # One job: counts over every account are observed while only the candidates are written
+        # to a table in the shared checkpoint folder (the lineage cut every later job reads).
+        seen = Observation(f"scan-{run_id}")
+        cands = (routed.observe(seen, *snapshot_count_columns())
+                 .where(F.col("is_candidate")).drop("is_candidate", "n_rows", "n_keys"))
+        cand_path = scratch_path(spark, f"run-{run_id}-candidates")
+        cands.write.parquet(cand_path)
+        counts = seen.get
+        alerts = spark.read.schema(cands.schema).parquet(cand_path)
     except Exception as exc:  # load failure -> failed run, id still returned
         append_run(_run_row(spark, base, status="failed", error=f"{type(exc).__name__}: {exc}"), ledger_dir)
         return run_id
 
     base.update(rows_scanned=counts["rows_scanned"], duplicate_rows=counts["duplicate_rows"])
-    alerts = alerts_from_snapshot(routed)
     month_log = read_log(spark, ledger_dir).where(F.col("month") == F.lit(target))
     sent = sent_keys(current_outcomes(month_log), target, ALERT_TYPE)
     decisions = decide(alerts, sent, dry_run)

@@ -143,3 +143,13 @@ def test_scan_order_tie_break_end_to_end(spark, sample_parquet, params, tmp_path
     ledger = str(tmp_path / "ledger")
     rid = run_month(spark, sample_parquet, MONTH, ledger, scan, transport=FakeTransport(200), sleep=lambda s: None)
     assert run_status(spark, ledger, rid)["counts"]["alerts_sent"] == 2
+
+
+def test_month_without_candidates(spark, sample_parquet, params, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    rid = run_month(spark, sample_parquet, "2030-01-01", ledger, params, transport=FakeTransport(200),
+                    sleep=lambda s: None)
+    st = run_status(spark, ledger, rid)
+    assert st["status"] == "succeeded"
+    assert st["counts"] == {"rows_scanned": 0, "duplicate_rows": 0, "alerts_sent": 0, "skipped_replay": 0,
+                            "failed_deliveries": 0}
