@@ -10,7 +10,9 @@ key never lands whole in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from acct_health.functions.render import message_text
@@ -23,6 +25,7 @@ from acct_health.operators.streak import (
     streak_to_ranked,
 )
 from acct_health.params import AT_RISK, Params, region_dim
+from acct_health.session import scratch_path
 from acct_health.sources.account_month import (
     ACCOUNT_MONTH_COLUMNS,
     month_window,
@@ -123,18 +126,34 @@ def candidates(window_df: DataFrame, target_month, params: Params) -> DataFrame:
         "duration_months", "risk_start_month")
 
 
+def materialize_candidates(spark: SparkSession, routed: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """One job: observe the counts over every account of ``routed`` and write only its candidates
+    to a table in the shared checkpoint folder. Returns (candidates read back, counts)."""
+    seen = Observation(f"counts-{name}")
+    cands = (routed.observe(seen, *snapshot_count_columns())
+             .where(F.col("is_candidate")).drop("is_candidate", "n_rows", "n_keys"))
+    path = scratch_path(spark, f"{name}-candidates")
+    cands.write.parquet(path)
+    return spark.read.schema(cands.schema).parquet(path), dict(seen.get)
+
+
 def preview(spark: SparkSession, account_month: DataFrame, target_month, params: Params | None = None,
             materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """(alerts, counts) for a month without sending or persisting anything.
 
     ``account_month`` is the conformed source frame; the month window is applied here. With
-    ``materialize`` the per-account snapshot is checkpointed once so both outputs reuse it.
+    ``materialize`` the snapshot is evaluated once: counts are observed while only the candidates are
+    written to the checkpoint folder, and both outputs read from that.
     """
     params = params or Params()
     target = validate_month(target_month)
     window = month_window(account_month, target, params.lookback_months)
     routed = routed_snapshot(spark, window, target, params)
     if materialize:
-        routed = routed.checkpoint(eager=True)
+        alerts, c = materialize_candidates(spark, routed, f"preview-{uuid.uuid4().hex}")
+        names = ["rows_scanned", "duplicate_rows", "at_risk_count", "unknown_region_count"]
+        counts = spark.createDataFrame([(target, *[int(c[n] or 0) for n in names])],
+                                       "month date, " + ", ".join(f"{n} bigint" for n in names))
+        return alerts.select(*ALERT_COLUMNS), counts
     alerts = alerts_from_snapshot(routed).select(*ALERT_COLUMNS)
     return alerts, counts_from_snapshot(routed, target)

@@ -45,8 +45,8 @@ from acct_health.operators.ledger import (
     status_samples,
 )
 from acct_health.params import ALERT_TYPE, Params
-from acct_health.session import ensure_checkpoint_dir, scratch_path
-from acct_health.plans.alerts import routed_snapshot, snapshot_count_columns
+from acct_health.session import ensure_checkpoint_dir
+from acct_health.plans.alerts import materialize_candidates, routed_snapshot
 from acct_health.sources.account_month import (
     conform_account_month,
     month_window,
@@ -104,13 +104,7 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
         routed = routed_snapshot(spark, window, target, params)
         # One job: counts over every account are observed while only the candidates are written
         # to a table in the shared checkpoint folder (the lineage cut every later job reads).
-        seen = Observation(f"scan-{run_id}")
-        cands = (routed.observe(seen, *snapshot_count_columns())
-                 .where(F.col("is_candidate")).drop("is_candidate", "n_rows", "n_keys"))
-        cand_path = scratch_path(spark, f"run-{run_id}-candidates")
-        cands.write.parquet(cand_path)
-        counts = seen.get
-        alerts = spark.read.schema(cands.schema).parquet(cand_path)
+        alerts, counts = materialize_candidates(spark, routed, f"run-{run_id}")
     except Exception as exc:  # load failure -> failed run, id still returned
         append_run(_run_row(spark, base, status="failed", error=f"{type(exc).__name__}: {exc}"), ledger_dir)
         return run_id
