@@ -25,7 +25,7 @@ from acct_health.operators.streak import (
     streak_to_ranked,
 )
 from acct_health.params import AT_RISK, Params, region_dim
-from acct_health.session import scratch_path
+from acct_health.session import ensure_checkpoint_dir
 from acct_health.sources.account_month import (
     ACCOUNT_MONTH_COLUMNS,
     month_window,
@@ -127,14 +127,14 @@ def candidates(window_df: DataFrame, target_month, params: Params) -> DataFrame:
 
 
 def materialize_candidates(spark: SparkSession, routed: DataFrame, name: str) -> tuple[DataFrame, dict]:
-    """One job: observe the counts over every account of ``routed`` and write only its candidates
-    to a table in the shared checkpoint folder. Returns (candidates read back, counts)."""
+    """One job: observe the counts over every account of ``routed`` while only its candidates are
+    checkpointed (reliable checkpoint into the shared checkpoint folder; the account_id partitioning
+    is kept for later joins). Returns (checkpointed candidates, counts)."""
+    ensure_checkpoint_dir(spark)
     seen = Observation(f"counts-{name}")
     cands = (routed.observe(seen, *snapshot_count_columns())
              .where(F.col("is_candidate")).drop("is_candidate", "n_rows", "n_keys"))
-    path = scratch_path(spark, f"{name}-candidates")
-    cands.write.parquet(path)
-    return spark.read.schema(cands.schema).parquet(path), dict(seen.get)
+    return cands.checkpoint(eager=True), dict(seen.get)
 
 
 def preview(spark: SparkSession, account_month: DataFrame, target_month, params: Params | None = None,
@@ -143,7 +143,7 @@ def preview(spark: SparkSession, account_month: DataFrame, target_month, params:
 
     ``account_month`` is the conformed source frame; the month window is applied here. With
     ``materialize`` the snapshot is evaluated once: counts are observed while only the candidates are
-    written to the checkpoint folder, and both outputs read from that.
+    checkpointed, and both outputs come from that job.
     """
     params = params or Params()
     target = validate_month(target_month)

@@ -1,8 +1,8 @@
 """Run a month end to end (J1) and read a run back.
 
-1. Read + window + per-account snapshot; one job observes the counts over all accounts and writes
-   only the candidates to a table in the shared checkpoint folder (the lineage cut; also the load
-   guard: any load error becomes a failed run row, H7).
+1. Read + window + per-account snapshot; one job observes the counts over all accounts and
+   checkpoints only the candidates into the shared checkpoint folder (the lineage cut; also the
+   load guard: any load error becomes a failed run row, H7).
 2. Current outcomes of the month from the ledger (partition-pruned), anti/semi logic as a join.
 3. Decisions (H2). Sends go in waves, each wave one ``mapInPandas`` delivery stage written straight
    to the log in the same action; outcomes that need no send are written with the first wave.
@@ -102,8 +102,8 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
               if isinstance(source, str) else conform_account_month(source))
         window = month_window(am, target, params.lookback_months)
         routed = routed_snapshot(spark, window, target, params)
-        # One job: counts over every account are observed while only the candidates are written
-        # to a table in the shared checkpoint folder (the lineage cut every later job reads).
+        # One job: counts over every account are observed while only the candidates are checkpointed
+        # into the shared checkpoint folder (the lineage cut every later job reads).
         alerts, counts = materialize_candidates(spark, routed, f"run-{run_id}")
     except Exception as exc:  # load failure -> failed run, id still returned
         append_run(_run_row(spark, base, status="failed", error=f"{type(exc).__name__}: {exc}"), ledger_dir)
