@@ -7,6 +7,8 @@ there is exactly one part. No rows come out when nothing is unroutable.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +34,16 @@ def digest_line() -> Column:
                     py_repr(F.col("account_region")))
 
 
-def unknown_region_digest(routed: DataFrame, run_id: str, parts: int = 1) -> DataFrame:
+def unknown_region_digest(routed: DataFrame, run_id: str, parts: int | None = None,
+                          max_lines: int = DEFAULT_MAX_LINES) -> DataFrame:
     """(run_id, part, n_accounts, n_lines, body) for the unroutable rows of ``routed``.
 
-    ``parts`` > 1 splits the list by account hash; pick it as ceil(unroutable / max_lines).
+    ``parts`` > 1 splits the list by account hash. ``None`` sizes it as ceil(unroutable / max_lines)
+    from a count (one scalar reaches the driver), so no part grows with the data beyond that.
     """
     unrouted = routed.where(~F.col("routable")).select("account_id", digest_line().alias("line"))
+    if parts is None:
+        parts = max(1, math.ceil(unrouted.count() / max(1, max_lines)))
     part = F.pmod(F.xxhash64("account_id"), F.lit(parts)) if parts > 1 else F.lit(0)
     per_part = (unrouted.withColumn("part", part.cast("int"))
                 .groupBy("part")

@@ -74,6 +74,8 @@ def test_digest_parts_cover_every_account_once(spark):
     assert len(parts) == 4 and all(p["n_accounts"] == 500 for p in parts)
     assert sum(p["n_lines"] for p in parts) == 500
     assert sorted(l for p in parts for l in p["body"].split("\n")[1:]) == sorted(lines)
+    auto = unknown_region_digest(routed, "r1", max_lines=100).collect()
+    assert len(auto) == 5 and sum(p["n_lines"] for p in auto) == 500
 
 
 def test_region_repr_quotes_like_python(spark):
