@@ -8,14 +8,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acct_health.functions.backoff import response_class
 from acct_health.functions.render import message_text, payload_json
 from acct_health.operators.dedup import dedup_counts, latest_by_key
+from acct_health.operators.delivery import (
+    RetryPolicy,
+    backoff_schedule,
+    deliver,
+    replay_transport,
+    resolve_attempts,
+)
+from acct_health.operators.digest import unknown_region_digest
+from acct_health.operators.ledger import (
+    current_outcomes,
+    decide,
+    decision_counts,
+    read_runs,
+    sent_keys,
+    status_samples,
+)
 from acct_health.operators.routing import route, route_counts
 from acct_health.operators.streak import month_gaps, streak_to, streaks_all
 from acct_health.params import Params, region_dim, region_dim_from_json
 from acct_health.plans.alerts import ALERT_COLUMNS, candidates, preview
+from acct_health.plans.run import run_month
+from acct_health.session import scratch_path
 from acct_health.sources.account_month import month_window
-from acct_health.sources.fixtures import LOOKBACK, TARGET_MONTH, account_month_from_tables
+from acct_health.sources.fixtures import (
+    LOOKBACK,
+    TARGET_MONTH,
+    account_month_from_orders,
+    account_month_from_tables,
+    attempts_from_events,
+    outcome_log_from_events,
+)
+from acct_health.streaming.stream import (
+    read_alerts,
+    read_feed,
+    read_latest,
+    run_alert_stream,
+    run_latest_stream,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -169,24 +202,6 @@ QUERIES: dict[str, Query] = {
 
 # --- delivery, ledger, digest -------------------------------------------------------------
 
-from acct_health.functions.backoff import response_class  # noqa: E402
-from acct_health.operators.delivery import (  # noqa: E402
-    RetryPolicy,
-    backoff_schedule,
-    deliver,
-    replay_transport,
-    resolve_attempts,
-)
-from acct_health.operators.digest import unknown_region_digest  # noqa: E402
-from acct_health.operators.ledger import (  # noqa: E402
-    current_outcomes,
-    decide,
-    decision_counts,
-    sent_keys,
-    status_samples,
-)
-from acct_health.sources.fixtures import attempts_from_events, outcome_log_from_events  # noqa: E402
-
 NO_JITTER = RetryPolicy(jitter=False)
 DIGEST_RUN_ID = "preview-1998-06-01"
 
@@ -263,9 +278,6 @@ def _accept_all(req):
 def q_run_month_replay(spark, sf_dir):
     """Two real runs of 1998-06-01 into a fresh ledger under the checkpoint folder: the second
     posts nothing and reports every routable candidate as skipped."""
-    from acct_health.operators.ledger import read_runs
-    from acct_health.plans.run import run_month
-    from acct_health.session import scratch_path
     ledger = scratch_path(spark, "ledger")
     params = Params(webhook_base_url="http://receiver.invalid", retry_base_seconds=0.0, retry_cap_seconds=0.0)
     am = _am(spark, sf_dir)
@@ -298,16 +310,12 @@ QUERIES.update({
 def _feed(spark, sf_dir, files=4):
     """Write the derived account months as several files under the checkpoint folder, then read
     them as a stream one file per trigger (several micro-batches, keys split across them)."""
-    from acct_health.session import scratch_path
-    from acct_health.streaming.stream import read_feed
     src = scratch_path(spark, "feed")
     _am(spark, sf_dir).repartition(files).write.parquet(src)
     return read_feed(spark, src, files_per_trigger=1)
 
 
 def q_stream_dedup(spark, sf_dir):
-    from acct_health.session import scratch_path
-    from acct_health.streaming.stream import read_latest, run_latest_stream
     out, ckpt = scratch_path(spark, "stream-latest"), scratch_path(spark, "stream-ckpt")
     feed = month_window(_feed(spark, sf_dir), TARGET_MONTH, LOOKBACK)
     run_latest_stream(spark, feed, out, ckpt)
@@ -315,8 +323,6 @@ def q_stream_dedup(spark, sf_dir):
 
 
 def q_stream_alerts(spark, sf_dir):
-    from acct_health.session import scratch_path
-    from acct_health.streaming.stream import read_alerts, run_alert_stream
     state, ckpt = scratch_path(spark, "stream-state"), scratch_path(spark, "stream-ckpt")
     run_alert_stream(spark, _feed(spark, sf_dir), TARGET_MONTH, Params(), state, ckpt)
     return read_alerts(spark, state)
@@ -331,12 +337,10 @@ QUERIES.update({
 # --- low-duplicate input (orders) -----------------------------------------------------------
 
 def q_orders_preview_alerts(spark, sf_dir):
-    from acct_health.sources.fixtures import account_month_from_orders
     return preview(spark, account_month_from_orders(spark, sf_dir), TARGET_MONTH, Params())[0]
 
 
 def q_orders_preview_counts(spark, sf_dir):
-    from acct_health.sources.fixtures import account_month_from_orders
     return preview(spark, account_month_from_orders(spark, sf_dir), TARGET_MONTH, Params())[1]
 
 
