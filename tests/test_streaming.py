@@ -51,3 +51,21 @@ def test_late_correction_updates_alert_state(spark, tmp_path):
     run_alert_stream(spark, read_feed(spark, str(feed_dir)), jan, params, state, ckpt)
     assert read_alerts(spark, state).count() == 0
     assert spark.read.parquet(f"{state}/alerts").select(F.max("batch_id")).first()[0] == 2
+
+
+def test_compact_log_keeps_current_winners(spark, tmp_path, params):
+    from acct_health.streaming.stream import compact_log, current_latest
+    feed_dir = tmp_path / "feed"
+    feed_dir.mkdir()
+    for i, r in enumerate(SAMPLE_ROWS):
+        write_rows(feed_dir / f"f{i:02d}.parquet", [r])
+    state = str(tmp_path / "state")
+    run_alert_stream(spark, read_feed(spark, str(feed_dir), 3), "2026-01-01", params, state, str(tmp_path / "ck"))
+    log = spark.read.parquet(f"{state}/latest").drop("bucket")
+    before = sorted(tuple(r) for r in current_latest(log).drop("batch_id").collect())
+    out = str(tmp_path / "compacted")
+    compact_log(spark, state, out)
+    compacted = spark.read.parquet(out)
+    assert compacted.count() == compacted.select("account_id", "month").distinct().count() == 10
+    after = sorted(tuple(r) for r in current_latest(compacted.drop("bucket")).drop("batch_id").collect())
+    assert after == before
