@@ -29,7 +29,7 @@ from acct_health.operators.ledger import (
 )
 from acct_health.operators.routing import route, route_counts
 from acct_health.operators.streak import month_gaps, streak_to, streaks_all
-from acct_health.params import Params, region_dim, region_dim_from_json
+from acct_health.params import Params, parse_region_map, region_dim, region_dim_from_json
 from acct_health.plans.alerts import ALERT_COLUMNS, candidates, preview
 from acct_health.plans.run import run_month
 from acct_health.session import scratch_path
@@ -132,7 +132,9 @@ def q_region_map_json(spark, sf_dir):
     text = spark.createDataFrame([(REGION_JSON,)], "region_json string")
     dim = region_dim_from_json(spark, text)
     c = candidates(_win(spark, sf_dir), TARGET_MONTH, Params())
-    return route(c, dim, dim_entries=1000).select("account_id", "account_region", "channel", "routable")
+    # the dimension has at most as many entries as the JSON map has keys (known on the driver)
+    return route(c, dim, dim_entries=len(parse_region_map(REGION_JSON))).select(
+        "account_id", "account_region", "channel", "routable")
 
 
 def q_message_text(spark, sf_dir):

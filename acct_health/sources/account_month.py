@@ -85,8 +85,9 @@ def _conform(field: T.StructField) -> Column:
 
 
 SCAN_POSITION = "_scan_pos"
-# File ordinals are broadcast; the list is the file listing the driver already holds.
-MAX_BROADCAST_FILES = 1_000_000
+# File ordinals are broadcast (one short row per file, ~15 MB at this bound); the list is the file
+# listing the driver already holds. Larger listings are joined normally.
+MAX_BROADCAST_FILES = 100_000
 
 
 def conform_account_month(df: DataFrame) -> DataFrame:
