@@ -157,3 +157,39 @@ def preview(spark: SparkSession, account_month: DataFrame, target_month, params:
         return alerts.select(*ALERT_COLUMNS), counts
     alerts = alerts_from_snapshot(routed).select(*ALERT_COLUMNS)
     return alerts, counts_from_snapshot(routed, target)
+
+
+def backfill_alerts(spark: SparkSession, account_month: DataFrame, params: Params | None = None,
+                    first_month=None, last_month=None) -> DataFrame:
+    """Preview alerts of every month in one pass (D9): for each first-of-month M, the rows that
+    ``preview(M)`` would return, plus ``month``. One dedup over the whole history, then the capped
+    island streak on the At-Risk rows (the candidates themselves, so no join), then routing.
+
+    Equal to calling ``preview`` once per month, since a key's latest row does not depend on the
+    window and ``preview`` caps streaks at lookback+1 months.
+    """
+    from pyspark.sql import Window
+
+    from acct_health.functions.months import is_first_of_month, month_index
+    params = params or Params()
+    L = params.lookback_months
+    latest = latest_by_key(account_month, tie_break=params.tie_break)
+    risky = latest.where((F.col("status") == AT_RISK) & is_first_of_month("month")).withColumn("_mi", month_index("month"))
+    w = Window.partitionBy("account_id").orderBy("_mi")
+    island = risky.withColumn("_island", F.col("_mi") - F.row_number().over(w))
+    wi = Window.partitionBy("account_id", "_island").orderBy("_mi")
+    streak = (island
+              .withColumn("duration_months",
+                          F.least(F.row_number().over(wi), F.lit(L + 1)).cast("bigint"))
+              .withColumn("risk_start_month",
+                          F.greatest(F.min("month").over(wi), F.add_months("month", -L))))
+    floor = params.arr_threshold
+    cands = streak.where(F.col("arr").isNull() | (F.col("arr") >= F.lit(floor)))
+    if first_month is not None:
+        cands = cands.where(F.col("month") >= F.lit(validate_month(first_month)))
+    if last_month is not None:
+        cands = cands.where(F.col("month") <= F.lit(validate_month(last_month)))
+    dim = region_dim(spark, params.region_channel_map)
+    routed = route(cands.drop("_mi", "_island"), dim, dim_entries=len(params.region_channel_map))
+    return routed.select("month", *[c for c in ALERT_COLUMNS if c != "message"],
+                         message_text(base_url=params.details_base_url))

@@ -313,3 +313,23 @@ SQL.update({
     "orders_preview_alerts": base(am_sql=AM_ORDERS) + "\n" + ALERTS,
     "orders_preview_counts": base(am_sql=AM_ORDERS) + SQL["preview_counts"][len(base()):],
 })
+
+SQL["backfill_alerts"] = with_(
+    am=AM_MONTH,
+    latest_all=latest("am"),
+    r="""SELECT *, year(month) * 12 + month(month) - 1 AS mi FROM latest_all
+         WHERE status = 'At Risk' AND day(month) = 1""",
+    i="SELECT *, mi - row_number() OVER (PARTITION BY account_id ORDER BY mi) AS isl FROM r",
+    s="""SELECT *, least(row_number() OVER (PARTITION BY account_id, isl ORDER BY mi), 25) AS duration_months,
+                greatest(min(month) OVER (PARTITION BY account_id, isl),
+                         cast(month - INTERVAL 24 MONTH AS date)) AS risk_start_month
+         FROM i""",
+    routed="""SELECT s.*, d.channel, d.channel IS NOT NULL AS routable,
+                     CASE WHEN d.channel IS NULL THEN 'unknown_region' END AS reason
+              FROM s LEFT JOIN (VALUES ('AMER', 'amer-risk-alerts'), ('EMEA', 'emea-risk-alerts'),
+                                       ('APAC', 'apac-risk-alerts')) d(account_region, channel)
+                ON s.account_region = d.account_region
+              WHERE s.arr IS NULL OR s.arr >= 0""",
+) + f"""
+SELECT month, account_id, account_name, account_region, channel, duration_months, risk_start_month,
+       arr, routable, reason, {MESSAGE} AS message FROM routed"""

@@ -30,7 +30,7 @@ from acct_health.operators.ledger import (
 from acct_health.operators.routing import route, route_counts
 from acct_health.operators.streak import month_gaps, streak_to, streaks_all
 from acct_health.params import Params, parse_region_map, region_dim, region_dim_from_json
-from acct_health.plans.alerts import ALERT_COLUMNS, candidates, preview
+from acct_health.plans.alerts import ALERT_COLUMNS, backfill_alerts, candidates, preview
 from acct_health.plans.run import run_month
 from acct_health.session import scratch_path
 from acct_health.sources.account_month import month_window
@@ -350,3 +350,13 @@ QUERIES.update({
     "orders_preview_alerts": q_orders_preview_alerts,
     "orders_preview_counts": q_orders_preview_counts,
 })
+
+
+# --- backfill ------------------------------------------------------------------------------
+
+def q_backfill_alerts(spark, sf_dir):
+    """Preview alerts of every month of the history in one pass."""
+    return backfill_alerts(spark, _am(spark, sf_dir), Params())
+
+
+QUERIES["backfill_alerts"] = q_backfill_alerts

@@ -21,7 +21,7 @@ from acct_health.operators.dedup import latest_by_key  # noqa: E402
 from acct_health.operators.delivery import RetryPolicy, resolve_attempts  # noqa: E402
 from acct_health.operators.streak import streaks_all  # noqa: E402
 from acct_health.params import Params  # noqa: E402
-from acct_health.plans.alerts import preview  # noqa: E402
+from acct_health.plans.alerts import backfill_alerts, preview  # noqa: E402
 from acct_health.plans.registry import QUERIES  # noqa: E402
 from acct_health.plans.run import run_month  # noqa: E402
 from acct_health.session import get_spark, scratch_path  # noqa: E402
@@ -70,6 +70,7 @@ def suite(spark, sf_dir: str, timed) -> None:
     timed("dedup_window", lambda: _noop(latest_by_key(month_window(am, TARGET_MONTH, LOOKBACK))))
     timed("dedup_full_history", lambda: _noop(latest_by_key(am)))
     timed("streaks_all_months", lambda: _noop(streaks_all(latest_by_key(am), LOOKBACK)))
+    timed("backfill_alerts_all_months", lambda: _noop(backfill_alerts(spark, am, params)))
     ledger = scratch_path(spark, "bench-ledger")
     timed("run_month_first", lambda: run_month(spark, table, TARGET_MONTH, ledger, params,
                                                transport=_accept, sleep=lambda s: None))

@@ -71,3 +71,14 @@ def test_window_filter_reaches_the_scan(spark, tmp_path):
     plan = alerts._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan and "1996-06-01" in plan
     assert "ReadSchema: struct<account_id:string,account_name:string" in plan
+
+
+def test_backfill_equals_one_preview_per_month(spark):
+    from acct_health.plans.alerts import backfill_alerts
+    base = account_month_from_tables(spark, "/root/testdata/sf0.001")
+    params = Params(arr_threshold=5000)
+    all_months = backfill_alerts(spark, base, params).cache()
+    for month in (dt.date(1996, 3, 1), dt.date(1997, 11, 1), TARGET_MONTH):
+        one = _result(preview(spark, base, month, params)[0])
+        assert one == _result(all_months.where(F.col("month") == F.lit(month))), month
+    assert all_months.select("month").distinct().count() > 12
