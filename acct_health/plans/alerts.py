@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from acct_health.functions.months import is_first_of_month, month_index
 from acct_health.functions.render import message_text
 from acct_health.operators.dedup import latest_by_key
 from acct_health.operators.routing import route
@@ -168,9 +169,6 @@ def backfill_alerts(spark: SparkSession, account_month: DataFrame, params: Param
     Equal to calling ``preview`` once per month, since a key's latest row does not depend on the
     window and ``preview`` caps streaks at lookback+1 months.
     """
-    from pyspark.sql import Window
-
-    from acct_health.functions.months import is_first_of_month, month_index
     params = params or Params()
     L = params.lookback_months
     latest = latest_by_key(account_month, tie_break=params.tie_break)
