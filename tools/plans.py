@@ -38,7 +38,7 @@ def main():
     from acct_health.operators.dedup import latest_by_key
     from acct_health.operators.streak import streaks_all
     from acct_health.params import Params
-    from acct_health.plans.alerts import preview
+    from acct_health.plans.alerts import backfill_alerts, preview
     from acct_health.plans.registry import QUERIES
     from acct_health.session import get_spark, scratch_path
     from acct_health.sources.account_month import read_account_month, write_account_month
@@ -55,6 +55,7 @@ def main():
         "preview alerts (month-partitioned table)": alerts,
         "preview counts": counts,
         "streaks_all over full history": streaks_all(latest_by_key(am), LOOKBACK),
+        "backfill_alerts (every month in one pass)": backfill_alerts(spark, am, Params()),
     }
     for name in ("status_samples", "resolve_attempts", "outcomes_current", "decisions", "deliver_replay",
                  "unknown_region_digest"):
