@@ -2,6 +2,8 @@
 
 preview  alerts and counts for a month (no sends, nothing stored); ``--out`` writes all alerts as
          Parquet, stdout shows the counts and at most ``--show`` alerts.
+backfill preview alerts of every month in one pass, written to ``--out`` (Parquet by month);
+         stdout shows the number of alerts per month.
 run      a real (or ``--dry-run``) run into a ledger folder; prints the run id.
 status   a run's counts and samples.
 """
@@ -38,10 +40,15 @@ def _json(obj) -> str:
 def main(argv=None) -> int:
     ap = argparse.ArgumentParser(prog="acct_health")
     sub = ap.add_subparsers(dest="cmd", required=True)
-    for name in ("preview", "run"):
+    for name in ("preview", "run", "backfill"):
         s = sub.add_parser(name)
         s.add_argument("--source", required=True)
-        s.add_argument("--month", required=True)
+        if name == "backfill":
+            s.add_argument("--from-month", default=None)
+            s.add_argument("--to-month", default=None)
+            s.add_argument("--out", required=True)
+        else:
+            s.add_argument("--month", required=True)
         s.add_argument("--arr-threshold", type=int, default=0)
         s.add_argument("--lookback", type=int, default=24)
         s.add_argument("--region-map", default=None, help='JSON: {"AMER": "..."} or {"regions": {...}}')
@@ -75,6 +82,16 @@ def main(argv=None) -> int:
         out = counts.first().asDict()
         out["alerts"] = [r.asDict() for r in alerts.orderBy("account_id").take(a.show)]
         print(_json(out))
+    elif a.cmd == "backfill":
+        from pyspark.sql import functions as F
+
+        from acct_health.plans.alerts import backfill_alerts
+        from acct_health.sources.account_month import read_account_month
+        alerts = backfill_alerts(spark, read_account_month(spark, a.source), _params(a), a.from_month, a.to_month)
+        alerts.write.mode("overwrite").partitionBy("month").parquet(a.out)
+        per_month = (spark.read.parquet(a.out).groupBy("month").agg(F.count(F.lit(1)).alias("alerts"))
+                     .orderBy("month").collect())  # one row per month
+        print(_json({"out": a.out, "alerts_per_month": {str(r["month"]): r["alerts"] for r in per_month}}))
     elif a.cmd == "run":
         from acct_health.operators.delivery import http_transport
         from acct_health.plans.run import run_month

@@ -115,3 +115,12 @@ def test_cli_dry_run_and_status(sample_parquet, capsys, spark, tmp_path):
     st = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert st["dry_run"] is True and st["counts"]["alerts_sent"] == 2 and st["counts"]["failed_deliveries"] == 1
     assert main(["status", "--ledger", ledger, "--run-id", "nope"]) == 1
+
+
+def test_cli_backfill(sample_parquet, capsys, spark, tmp_path):
+    from acct_health.__main__ import main
+    out = str(tmp_path / "backfill")
+    assert main(["backfill", "--source", sample_parquet, "--out", out]) == 0
+    res = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    # a1 Oct+Nov, a2 Nov+Dec, then Jan: a1, a2, a3 (a4 deduped to Healthy)
+    assert res["alerts_per_month"] == {"2025-10-01": 1, "2025-11-01": 2, "2025-12-01": 1, "2026-01-01": 3}
