@@ -94,27 +94,38 @@ def streak_to_ranked(latest: DataFrame, target_month, lookback_months: int,
                       F.add_months(F.lit(target), (F.lit(1) - duration).cast("int")).alias("risk_start_month"))
 
 
+def at_risk_months(latest: DataFrame) -> DataFrame:
+    """The At-Risk first-of-month rows of a deduplicated frame (every column kept)."""
+    return latest.where((F.col("status") == AT_RISK) & is_first_of_month("month"))
+
+
+def with_island_streak(risky: DataFrame, lookback_months: int | None = None,
+                       key: str = "account_id") -> DataFrame:
+    """Add ``duration_months`` and ``risk_start_month`` to At-Risk month rows (gaps and islands):
+    island = month index - rank; the streak ending at a row is its rank in the island, starting at
+    the island's first month. ``lookback_months`` caps both at the window edge, as the windowed scan
+    does; ``None`` leaves them uncapped. Both windows share one exchange on ``key``."""
+    mi = month_index("month").alias("_mi")
+    w = Window.partitionBy(key).orderBy("_mi")
+    island = risky.withColumn("_mi", mi).withColumn("_island", F.col("_mi") - F.row_number().over(w))
+    wi = Window.partitionBy(key, "_island").orderBy("_mi")
+    duration = F.row_number().over(wi).cast("bigint")
+    start = F.min("month").over(wi)
+    if lookback_months is not None:
+        duration = F.least(duration, F.lit(lookback_months + 1).cast("bigint"))
+        start = F.greatest(start, F.add_months("month", -lookback_months))
+    return (island.withColumn("duration_months", duration)
+            .withColumn("risk_start_month", start)
+            .drop("_mi", "_island"))
+
+
 def streaks_all(latest: DataFrame, lookback_months: int | None = None,
                 key: str = "account_id") -> DataFrame:
     """Streak for every At-Risk account-month in one pass (D9): what calling the target form
-    once per month would give. ``lookback_months`` caps each streak at lookback+1 months and its
-    start at the window edge, as the windowed scan does; ``None`` leaves it uncapped."""
-    risky = (latest
-             .where((F.col("status") == AT_RISK) & is_first_of_month("month"))
-             .select(key, "month", month_index("month")))
-    w = Window.partitionBy(key).orderBy("month_index")
-    island = risky.withColumn("_island", F.col("month_index") - F.row_number().over(w))
-    wi = Window.partitionBy(key, "_island").orderBy("month_index")
-    out = (island
-           .withColumn("duration_months", F.row_number().over(wi).cast("bigint"))
-           .withColumn("risk_start_month", F.min("month").over(wi)))
-    if lookback_months is not None:
-        out = out.select(
-            key, "month",
-            F.least(F.col("duration_months"), F.lit(lookback_months + 1).cast("bigint")).alias("duration_months"),
-            F.greatest(F.col("risk_start_month"), F.add_months("month", -lookback_months)).alias("risk_start_month"),
-        )
-    return out.select(key, "month", "duration_months", "risk_start_month")
+    once per month would give."""
+    risky = at_risk_months(latest).select(key, "month")
+    return with_island_streak(risky, lookback_months, key).select(key, "month", "duration_months",
+                                                                  "risk_start_month")
 
 
 def month_gaps(latest: DataFrame, key: str = "account_id") -> DataFrame:

@@ -12,18 +12,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from acct_health.functions.months import is_first_of_month, month_index
 from acct_health.functions.render import message_text
 from acct_health.operators.dedup import latest_by_key
 from acct_health.operators.routing import route
 from acct_health.operators.streak import (
     MAX_MASK_LOOKBACK,
+    at_risk_months,
     risk_mask,
     streak_from_mask,
     streak_to_ranked,
+    with_island_streak,
 )
 from acct_health.params import AT_RISK, Params, region_dim
 from acct_health.session import ensure_checkpoint_dir
@@ -170,17 +171,8 @@ def backfill_alerts(spark: SparkSession, account_month: DataFrame, params: Param
     window and ``preview`` caps streaks at lookback+1 months.
     """
     params = params or Params()
-    L = params.lookback_months
     latest = latest_by_key(account_month, tie_break=params.tie_break)
-    risky = latest.where((F.col("status") == AT_RISK) & is_first_of_month("month")).withColumn("_mi", month_index("month"))
-    w = Window.partitionBy("account_id").orderBy("_mi")
-    island = risky.withColumn("_island", F.col("_mi") - F.row_number().over(w))
-    wi = Window.partitionBy("account_id", "_island").orderBy("_mi")
-    streak = (island
-              .withColumn("duration_months",
-                          F.least(F.row_number().over(wi), F.lit(L + 1)).cast("bigint"))
-              .withColumn("risk_start_month",
-                          F.greatest(F.min("month").over(wi), F.add_months("month", -L))))
+    streak = with_island_streak(at_risk_months(latest), params.lookback_months)
     floor = params.arr_threshold
     cands = streak.where(F.col("arr").isNull() | (F.col("arr") >= F.lit(floor)))
     if first_month is not None:
@@ -188,6 +180,6 @@ def backfill_alerts(spark: SparkSession, account_month: DataFrame, params: Param
     if last_month is not None:
         cands = cands.where(F.col("month") <= F.lit(validate_month(last_month)))
     dim = region_dim(spark, params.region_channel_map)
-    routed = route(cands.drop("_mi", "_island"), dim, dim_entries=len(params.region_channel_map))
+    routed = route(cands, dim, dim_entries=len(params.region_channel_map))
     return routed.select("month", *[c for c in ALERT_COLUMNS if c != "message"],
                          message_text(base_url=params.details_base_url))
