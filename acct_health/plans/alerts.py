@@ -69,9 +69,10 @@ def snapshot_from_latest(latest: DataFrame, target_month, lookback_months: int)
 
 
 def is_candidate(arr_threshold: int):
-    """Target row At Risk and ARR null or at the floor (C1, C2): applied to the target row only."""
+    """Target row At Risk and ARR null or at the floor (C1, C2): applied to the target row only.
+    Rows without an account id fail the contract and are counted as rejected instead."""
     t = F.col("target_row")
-    return (t.isNotNull() & (t.getField("status") == F.lit(AT_RISK))
+    return (F.col("account_id").isNotNull() & t.isNotNull() & (t.getField("status") == F.lit(AT_RISK))
             & (t.getField("arr").isNull() | (t.getField("arr") >= F.lit(arr_threshold))))
 
 
@@ -110,6 +111,8 @@ def snapshot_count_columns():
         F.coalesce(F.sum(F.col("n_rows") - F.col("n_keys")), F.lit(0)).cast("bigint").alias("duplicate_rows"),
         F.count(F.when(cand, 1)).cast("bigint").alias("at_risk_count"),
         F.count(F.when(cand & ~F.col("routable"), 1)).cast("bigint").alias("unknown_region_count"),
+        F.coalesce(F.sum(F.when(F.col("account_id").isNull(), F.col("n_rows"))), F.lit(0))
+         .cast("bigint").alias("rejected_rows"),
     ]
 
 
@@ -153,7 +156,7 @@ def preview(spark: SparkSession, account_month: DataFrame, target_month, params:
     routed = routed_snapshot(spark, window, target, params)
     if materialize:
         alerts, c = materialize_candidates(spark, routed, f"preview-{uuid.uuid4().hex}")
-        names = ["rows_scanned", "duplicate_rows", "at_risk_count", "unknown_region_count"]
+        names = ["rows_scanned", "duplicate_rows", "at_risk_count", "unknown_region_count", "rejected_rows"]
         counts = spark.createDataFrame([(target, *[int(c[n] or 0) for n in names])],
                                        "month date, " + ", ".join(f"{n} bigint" for n in names))
         return alerts.select(*ALERT_COLUMNS), counts

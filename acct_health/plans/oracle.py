@@ -102,7 +102,8 @@ def base(lookback: int = 24, floor: int = 0, region_values: str | None = None, a
 SELECT l.*, cast(greatest(coalesce(s.d, 0), 1) AS bigint) AS duration_months,
        cast({TARGET} - to_months(cast(greatest(coalesce(s.d, 0), 1) - 1 AS integer)) AS date) AS risk_start_month
 FROM latest l LEFT JOIN streak s ON l.account_id = s.account_id
-WHERE l.month = {TARGET} AND l.status = 'At Risk' AND (l.arr IS NULL OR l.arr >= {floor})""",
+WHERE l.month = {TARGET} AND l.status = 'At Risk' AND (l.arr IS NULL OR l.arr >= {floor})
+  AND l.account_id IS NOT NULL""",
         dim=f"SELECT * FROM (VALUES {values}) t(account_region, channel)",
         routed="""
 SELECT c.*, d.channel, d.channel IS NOT NULL AS routable,
@@ -170,7 +171,8 @@ SELECT {TARGET} AS month,
        (SELECT count(*) FROM win) AS rows_scanned,
        (SELECT count(*) FROM win) - (SELECT count(*) FROM latest) AS duplicate_rows,
        (SELECT count(*) FROM routed) AS at_risk_count,
-       (SELECT count(*) FROM routed WHERE NOT routable) AS unknown_region_count""",
+       (SELECT count(*) FROM routed WHERE NOT routable) AS unknown_region_count,
+       (SELECT count(*) FROM win WHERE account_id IS NULL) AS rejected_rows""",
     "preview_floor": base(floor=10000,
                           region_values="('AMER', 'amer-risk-alerts'), ('EMEA', 'emea-risk-alerts'), "
                                         "('APAC', 'apac-risk-alerts'), ('AFRICA', 'africa-risk-alerts')")

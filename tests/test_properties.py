@@ -82,3 +82,14 @@ def test_backfill_equals_one_preview_per_month(spark):
         one = _result(preview(spark, base, month, params)[0])
         assert one == _result(all_months.where(F.col("month") == F.lit(month))), month
     assert all_months.select("month").distinct().count() > 12
+
+
+def test_rows_without_account_id_are_rejected(spark, tmp_path):
+    rows = [row(None, "No id", "AMER", JAN, "At Risk", T), row(None, "No id", "AMER", JAN, "At Risk", T),
+            row("ok", "Fine", "AMER", JAN, "At Risk", T)]
+    am = read_account_month(spark, write_rows(tmp_path / "noid.parquet", rows))
+    for materialize in (False, True):
+        alerts, counts = preview(spark, am, JAN, Params(), materialize=materialize)
+        assert [r["account_id"] for r in alerts.collect()] == ["ok"]
+        c = counts.first()
+        assert (c["rows_scanned"], c["duplicate_rows"], c["at_risk_count"], c["rejected_rows"]) == (3, 1, 1, 2)
