@@ -81,6 +81,54 @@ def delivery_layout(max_sends: int, params: Params) -> tuple[int, int]:
     return int(tasks), int(waves)
 
 
+def record_run(spark: SparkSession, ledger_dir: str, **fields) -> None:
+    """Append one run row (H9); missing counts are 0, ``created_at`` defaults to now."""
+    base = dict(dry_run=False, status="succeeded", created_at=_now(), rows_scanned=0, duplicate_rows=0,
+                alerts_sent=0, skipped_replay=0, failed_deliveries=0)
+    append_run(_run_row(spark, base, **fields), ledger_dir)
+
+
+def decide_and_deliver(spark: SparkSession, alerts: DataFrame, target, ledger_dir: str, params: Params,
+                       transport: Transport, run_id: str, seq: int,
+                       sleep: Callable[[float], None] = time.sleep, max_sends: int | None = None) -> dict:
+    """H1-H3 for a frame of routed candidates: decide against the ledger's sent set, post the
+    sends in waves, and append every outcome; returns the run counts (observed during the writes).
+    The ledger decides, so running it again for the same alerts posts nothing new."""
+    month_log = read_log(spark, ledger_dir).where(F.col("month") == F.lit(target))
+    sent = sent_keys(current_outcomes(month_log), target, ALERT_TYPE)
+    decisions = decide(alerts, sent, dry_run=False)
+    d = F.col("decision")
+    no_send = decisions.where(d.isin(UNKNOWN_REGION, SKIPPED)).select(
+        "account_id", "month", "channel",
+        F.when(d == UNKNOWN_REGION, F.lit("failed")).otherwise(F.lit("skipped_replay")).alias("status"),
+        F.when(d == UNKNOWN_REGION, F.lit("unknown_region")).alias("reason"),
+        F.lit(None).cast("timestamp").alias("sent_at"), F.lit(None).cast("string").alias("error"),
+        F.lit(None).cast("bigint").alias("attempts"), F.lit(None).cast("int").alias("status_code"))
+
+    policy = RetryPolicy(params.retry_max_attempts, params.retry_base_seconds, params.retry_cap_seconds)
+    to_send = decisions.where(d == SEND).select("account_id", "month", "channel", payload_json("message"))
+    partitions, waves = delivery_layout(max_sends if max_sends is not None else params.wave_size, params)
+    totals = {"alerts_sent": 0, "skipped_replay": 0, "failed_deliveries": 0}
+    for w in range(waves):
+        wave = to_send if waves == 1 else to_send.where(F.pmod(F.xxhash64("account_id"), F.lit(waves)) == w)
+        results = deliver(wave, transport, policy, params.webhook_base_url, params.webhook_url,
+                          key_prefix=ALERT_TYPE, partitions=partitions, sleep=sleep)
+        ok = F.col("ok")
+        rows = results.select(
+            "account_id", "month", "channel",
+            F.when(ok, F.lit("sent")).otherwise(F.lit("failed")).alias("status"),
+            F.when(~ok, F.lit("delivery_failed")).alias("reason"),
+            "sent_at", "error", "attempts", "status_code")
+        if w == 0:  # outcomes that need no send ride along with the first wave's append
+            rows = no_send.unionByName(rows)
+        # counts are observed while the rows are written: one action per wave, no read-back
+        seen = Observation(f"outcomes-{run_id}-{w}")
+        append_log(_outcome_rows(rows, run_id, seq, _now()).observe(seen, *outcome_count_columns()), ledger_dir)
+        for k, v in seen.get.items():
+            totals[k] += int(v or 0)
+    return totals
+
+
 def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Params | None = None,
               transport: Transport | None = None, dry_run: bool = False,
               sleep: Callable[[float], None] = time.sleep, run_id: str | None = None) -> str:
@@ -110,46 +158,17 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
         return run_id
 
     base.update(rows_scanned=counts["rows_scanned"], duplicate_rows=counts["duplicate_rows"])
-    month_log = read_log(spark, ledger_dir).where(F.col("month") == F.lit(target))
-    sent = sent_keys(current_outcomes(month_log), target, ALERT_TYPE)
-    decisions = decide(alerts, sent, dry_run)
 
     if dry_run:
+        month_log = read_log(spark, ledger_dir).where(F.col("month") == F.lit(target))
+        decisions = decide(alerts, sent_keys(current_outcomes(month_log), target, ALERT_TYPE), dry_run=True)
         c = decision_counts(decisions).first()
         append_run(_run_row(spark, base, status="succeeded", alerts_sent=c["alerts_sent"],
                             skipped_replay=0, failed_deliveries=c["failed_deliveries"]), ledger_dir)
         return run_id
 
-    d = F.col("decision")
-    no_send = decisions.where(d.isin(UNKNOWN_REGION, SKIPPED)).select(
-        "account_id", "month", "channel",
-        F.when(d == UNKNOWN_REGION, F.lit("failed")).otherwise(F.lit("skipped_replay")).alias("status"),
-        F.when(d == UNKNOWN_REGION, F.lit("unknown_region")).alias("reason"),
-        F.lit(None).cast("timestamp").alias("sent_at"), F.lit(None).cast("string").alias("error"),
-        F.lit(None).cast("bigint").alias("attempts"), F.lit(None).cast("int").alias("status_code"))
-
-    policy = RetryPolicy(params.retry_max_attempts, params.retry_base_seconds, params.retry_cap_seconds)
-    to_send = decisions.where(d == SEND).select("account_id", "month", "channel", payload_json("message"))
-    partitions, waves = delivery_layout(counts["at_risk_count"] - counts["unknown_region_count"], params)
-    totals = {"alerts_sent": 0, "skipped_replay": 0, "failed_deliveries": 0}
-    for w in range(waves):
-        wave = to_send if waves == 1 else to_send.where(F.pmod(F.xxhash64("account_id"), F.lit(waves)) == w)
-        results = deliver(wave, transport, policy, params.webhook_base_url, params.webhook_url,
-                          key_prefix=ALERT_TYPE, partitions=partitions, sleep=sleep)
-        ok = F.col("ok")
-        rows = results.select(
-            "account_id", "month", "channel",
-            F.when(ok, F.lit("sent")).otherwise(F.lit("failed")).alias("status"),
-            F.when(~ok, F.lit("delivery_failed")).alias("reason"),
-            "sent_at", "error", "attempts", "status_code")
-        if w == 0:  # outcomes that need no send ride along with the first wave's append
-            rows = no_send.unionByName(rows)
-        # counts are observed while the rows are written: one action per wave, no read-back
-        seen = Observation(f"outcomes-{run_id}-{w}")
-        append_log(_outcome_rows(rows, run_id, seq, _now()).observe(seen, *outcome_count_columns()), ledger_dir)
-        for k, v in seen.get.items():
-            totals[k] += int(v or 0)
-
+    totals = decide_and_deliver(spark, alerts, target, ledger_dir, params, transport, run_id, seq, sleep,
+                                max_sends=counts["at_risk_count"] - counts["unknown_region_count"])
     append_run(_run_row(spark, base, status="succeeded", **totals), ledger_dir)
 
     n_unknown = counts["unknown_region_count"]

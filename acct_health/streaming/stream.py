@@ -16,6 +16,7 @@ Every write carries the micro-batch id; readers take the highest id per key, so
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from acct_health.operators.dedup import latest_struct
 from acct_health.params import Params
-from acct_health.plans.alerts import ALERT_COLUMNS, routed_snapshot
+from acct_health.plans.alerts import ALERT_COLUMNS, materialize_candidates, routed_snapshot
+from acct_health.plans.run import decide_and_deliver, record_run
 from acct_health.sources.account_month import ACCOUNT_MONTH_COLUMNS, ACCOUNT_MONTH_SCHEMA, month_window, validate_month
 
 KEYS = ("account_id", "month")
@@ -87,7 +89,8 @@ def account_bucket(buckets: int):
 
 
 def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params: Params, state_dir: str,
-                     checkpoint: str, available_now: bool = True, state_buckets: int = 8):
+                     checkpoint: str, available_now: bool = True, state_buckets: int = 8,
+                     ledger_dir: str | None = None, transport=None, sleep=time.sleep):
     """K3: keep the alert state of ``target_month`` current as rows arrive.
 
     The emission log is partitioned by account-hash bucket, one file per touched bucket and batch;
@@ -95,6 +98,11 @@ def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params:
     the accounts it changes rather than the whole log. The list of touched buckets has at most
     ``state_buckets`` entries. Raise ``state_buckets`` for a large state (each bucket's share of the
     log is what a touching batch rereads); :func:`compact_log` bounds the log to one row per key.
+
+    With ``ledger_dir`` each micro-batch also alerts (H1-H3): the touched candidates are decided
+    against the ledger's sent set, sends are posted through ``transport``, outcomes appended, and
+    one run row per batch is recorded. A replayed batch or a later update of an account that was
+    already sent posts nothing, because the ledger decides.
     """
     target = validate_month(target_month)
     latest_dir, alerts_dir = f"{state_dir}/latest", f"{state_dir}/alerts"
@@ -114,9 +122,14 @@ def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params:
             touched = emitted.select("account_id").distinct()
             log = spark.read.parquet(latest_dir).where(F.col("bucket").isin(touched_buckets)).drop("bucket")
             state = current_latest(log).join(touched, on="account_id", how="left_semi")
-            routed = routed_snapshot(spark, None, target, params, latest=state)
-            (routed.select("account_id", "is_candidate", *[c for c in ALERT_COLUMNS if c != "account_id"], bid)
-             .write.mode("append").parquet(alerts_dir))
+            routed = routed_snapshot(spark, None, target, params, latest=state).persist()
+            try:
+                (routed.select("account_id", "is_candidate", *[c for c in ALERT_COLUMNS if c != "account_id"], bid)
+                 .write.mode("append").parquet(alerts_dir))
+                if ledger_dir is not None:
+                    _alert_batch(spark, routed, target, params, ledger_dir, transport, sleep, batch_id)
+            finally:
+                routed.unpersist()
         finally:
             emitted.unpersist()
 
@@ -126,6 +139,17 @@ def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params:
     return q
 
 
+def _alert_batch(spark, routed, target, params, ledger_dir, transport, sleep, batch_id) -> None:
+    """H1-H3 for the accounts a micro-batch touched, recorded as one run of the month."""
+    run_id = f"stream-{batch_id}-{uuid.uuid4().hex[:12]}"
+    seq = time.time_ns() // 1000
+    cands, counts = materialize_candidates(spark, routed, run_id)
+    totals = decide_and_deliver(spark, cands, target, ledger_dir, params, transport, run_id, seq, sleep,
+                                max_sends=counts["at_risk_count"] - counts["unknown_region_count"])
+    record_run(spark, ledger_dir, id=run_id, seq=seq, source_uri=f"stream batch {batch_id}", month=target,
+               rows_scanned=counts["rows_scanned"], duplicate_rows=counts["duplicate_rows"], **totals)
+
+
 def compact_log(spark: SparkSession, state_dir: str, out_dir: str) -> None:
     """Rewrite the emission log as one row per key (the current winners), keeping the bucket layout.
     Point a restarted stream's ``state_dir/latest`` at the result to bound read-back cost."""

@@ -69,3 +69,32 @@ def test_compact_log_keeps_current_winners(spark, tmp_path, params):
     assert compacted.count() == compacted.select("account_id", "month").distinct().count() == 10
     after = sorted(tuple(r) for r in current_latest(compacted.drop("bucket")).drop("batch_id").collect())
     assert after == before
+
+
+def test_stream_alerting_posts_each_alert_once(spark, tmp_path, params):
+    from acct_health.operators.ledger import current_outcomes, read_log, read_runs
+    from tests.conftest import FakeTransport, posts
+    feed_dir = tmp_path / "feed"
+    feed_dir.mkdir()
+    jan, dec = dt.date(2026, 1, 1), dt.date(2025, 12, 1)
+    write_rows(feed_dir / "f0.parquet", [row("a1", "A", "AMER", dec, "At Risk", dt.datetime(2025, 12, 2)),
+                                         row("a1", "A", "AMER", jan, "At Risk", dt.datetime(2026, 1, 2)),
+                                         row("a3", "C", None, jan, "At Risk", dt.datetime(2026, 1, 2))])
+    state, ckpt, ledger = str(tmp_path / "state"), str(tmp_path / "ckpt"), str(tmp_path / "ledger")
+    tr = FakeTransport(200, str(tmp_path))
+
+    def run():
+        run_alert_stream(spark, read_feed(spark, str(feed_dir)), jan, params, state, ckpt,
+                         ledger_dir=ledger, transport=tr, sleep=lambda s: None)
+
+    run()
+    assert [p.split()[-1] for p in posts(str(tmp_path))] == ["at_risk|a1|2026-01-01"]
+    # a later update of a1 (still at risk) posts nothing; a new account is sent
+    write_rows(feed_dir / "f1.parquet", [row("a1", "A", "AMER", jan, "At Risk", dt.datetime(2026, 1, 20), arr=1),
+                                         row("a2", "B", "EMEA", jan, "At Risk", dt.datetime(2026, 1, 20))])
+    run()
+    assert sorted(p.split()[-1] for p in posts(str(tmp_path))) == ["at_risk|a1|2026-01-01", "at_risk|a2|2026-01-01"]
+    cur = {r["account_id"]: (r["status"], r["reason"]) for r in current_outcomes(read_log(spark, ledger)).collect()}
+    assert cur == {"a1": ("sent", None), "a2": ("sent", None), "a3": ("failed", "unknown_region")}
+    runs = read_runs(spark, ledger).orderBy("seq").collect()
+    assert [(r["alerts_sent"], r["skipped_replay"], r["failed_deliveries"]) for r in runs] == [(1, 0, 1), (1, 1, 0)]
