@@ -171,13 +171,17 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
                                 max_sends=counts["at_risk_count"] - counts["unknown_region_count"])
     append_run(_run_row(spark, base, status="succeeded", **totals), ledger_dir)
 
-    n_unknown = counts["unknown_region_count"]
+    write_digest(alerts, run_id, counts["unknown_region_count"], ledger_dir)
+    return run_id
+
+
+def write_digest(alerts: DataFrame, run_id: str, n_unknown: int, ledger_dir: str) -> None:
+    """Append the unknown-region digest of a run (I1); nothing when every alert was routable."""
     if n_unknown:
         parts = max(1, math.ceil(n_unknown / DEFAULT_MAX_LINES))
         (unknown_region_digest(alerts, run_id, parts)
          .withColumn("recorded_at", F.lit(_now()))
          .write.mode("append").parquet(digests_path(ledger_dir)))
-    return run_id
 
 
 def run_status(spark: SparkSession, ledger_dir: str, run_id: str, limit: int = 10) -> dict | None:

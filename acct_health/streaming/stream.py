@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from acct_health.operators.dedup import latest_struct
 from acct_health.params import Params
 from acct_health.plans.alerts import ALERT_COLUMNS, materialize_candidates, routed_snapshot
-from acct_health.plans.run import decide_and_deliver, record_run
+from acct_health.plans.run import decide_and_deliver, record_run, write_digest
 from acct_health.sources.account_month import ACCOUNT_MONTH_COLUMNS, ACCOUNT_MONTH_SCHEMA, month_window, validate_month
 
 KEYS = ("account_id", "month")
@@ -148,6 +148,7 @@ def _alert_batch(spark, routed, target, params, ledger_dir, transport, sleep, ba
                                 max_sends=counts["at_risk_count"] - counts["unknown_region_count"])
     record_run(spark, ledger_dir, id=run_id, seq=seq, source_uri=f"stream batch {batch_id}", month=target,
                rows_scanned=counts["rows_scanned"], duplicate_rows=counts["duplicate_rows"], **totals)
+    write_digest(cands, run_id, counts["unknown_region_count"], ledger_dir)
 
 
 def compact_log(spark: SparkSession, state_dir: str, out_dir: str) -> None:

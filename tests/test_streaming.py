@@ -98,3 +98,5 @@ def test_stream_alerting_posts_each_alert_once(spark, tmp_path, params):
     assert cur == {"a1": ("sent", None), "a2": ("sent", None), "a3": ("failed", "unknown_region")}
     runs = read_runs(spark, ledger).orderBy("seq").collect()
     assert [(r["alerts_sent"], r["skipped_replay"], r["failed_deliveries"]) for r in runs] == [(1, 0, 1), (1, 1, 0)]
+    digests = spark.read.parquet(f"{ledger}/digests").collect()
+    assert len(digests) == 1 and digests[0]["run_id"] == runs[0]["id"] and "a3 (C) region=None" in digests[0]["body"]
