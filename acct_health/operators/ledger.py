@@ -45,6 +45,7 @@ RUNS_SCHEMA = T.StructType([
     T.StructField("alerts_sent", T.LongType()),
     T.StructField("skipped_replay", T.LongType()),
     T.StructField("failed_deliveries", T.LongType()),
+    T.StructField("rejected_rows", T.LongType()),
     T.StructField("error", T.StringType()),
     T.StructField("created_at", T.TimestampType()),
 ])

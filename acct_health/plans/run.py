@@ -84,7 +84,7 @@ def delivery_layout(max_sends: int, params: Params) -> tuple[int, int]:
 def record_run(spark: SparkSession, ledger_dir: str, **fields) -> None:
     """Append one run row (H9); missing counts are 0, ``created_at`` defaults to now."""
     base = dict(dry_run=False, status="succeeded", created_at=_now(), rows_scanned=0, duplicate_rows=0,
-                alerts_sent=0, skipped_replay=0, failed_deliveries=0)
+                alerts_sent=0, skipped_replay=0, failed_deliveries=0, rejected_rows=0)
     append_run(_run_row(spark, base, **fields), ledger_dir)
 
 
@@ -141,7 +141,8 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
     created = _now()
     source_uri = source if isinstance(source, str) else "<dataframe>"
     base = dict(id=run_id, seq=seq, source_uri=source_uri, month=target, dry_run=bool(dry_run), created_at=created,
-                rows_scanned=0, duplicate_rows=0, alerts_sent=0, skipped_replay=0, failed_deliveries=0)
+                rows_scanned=0, duplicate_rows=0, alerts_sent=0, skipped_replay=0, failed_deliveries=0,
+                rejected_rows=0)
 
     try:
         if not dry_run:
@@ -157,7 +158,8 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
         append_run(_run_row(spark, base, status="failed", error=f"{type(exc).__name__}: {exc}"), ledger_dir)
         return run_id
 
-    base.update(rows_scanned=counts["rows_scanned"], duplicate_rows=counts["duplicate_rows"])
+    base.update(rows_scanned=counts["rows_scanned"], duplicate_rows=counts["duplicate_rows"],
+                rejected_rows=counts["rejected_rows"])
 
     if dry_run:
         month_log = read_log(spark, ledger_dir).where(F.col("month") == F.lit(target))
@@ -202,6 +204,7 @@ def run_status(spark: SparkSession, ledger_dir: str, run_id: str, limit: int = 1
         "error": run["error"],
         "counts": {k: run[k] for k in ("rows_scanned", "duplicate_rows", "alerts_sent", "skipped_replay",
                                        "failed_deliveries")},
+        "rejected_rows": run["rejected_rows"],
         "sample_alerts": pick("alert"),
         "sample_errors": pick("error"),
     }

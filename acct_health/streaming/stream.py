@@ -147,7 +147,8 @@ def _alert_batch(spark, routed, target, params, ledger_dir, transport, sleep, ba
     totals = decide_and_deliver(spark, cands, target, ledger_dir, params, transport, run_id, seq, sleep,
                                 max_sends=counts["at_risk_count"] - counts["unknown_region_count"])
     record_run(spark, ledger_dir, id=run_id, seq=seq, source_uri=f"stream batch {batch_id}", month=target,
-               rows_scanned=counts["rows_scanned"], duplicate_rows=counts["duplicate_rows"], **totals)
+               rows_scanned=counts["rows_scanned"], duplicate_rows=counts["duplicate_rows"],
+               rejected_rows=counts["rejected_rows"], **totals)
     write_digest(cands, run_id, counts["unknown_region_count"], ledger_dir)
 
 

@@ -153,3 +153,14 @@ def test_month_without_candidates(spark, sample_parquet, params, tmp_path):
     assert st["status"] == "succeeded"
     assert st["counts"] == {"rows_scanned": 0, "duplicate_rows": 0, "alerts_sent": 0, "skipped_replay": 0,
                             "failed_deliveries": 0}
+
+
+def test_run_records_rejected_rows(spark, params, tmp_path):
+    from tests.conftest import SAMPLE_ROWS, row, write_rows
+    import datetime as dt
+    rows = SAMPLE_ROWS + [row(None, "No id", "AMER", dt.date(2026, 1, 1), "At Risk", dt.datetime(2026, 1, 3))]
+    path = write_rows(tmp_path / "with_null.parquet", rows)
+    ledger = str(tmp_path / "ledger")
+    rid = run_month(spark, path, MONTH, ledger, params, transport=FakeTransport(200), sleep=lambda s: None)
+    st = run_status(spark, ledger, rid)
+    assert st["rejected_rows"] == 1 and st["counts"]["rows_scanned"] == 12 and st["counts"]["alerts_sent"] == 2
