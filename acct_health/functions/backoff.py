@@ -22,12 +22,19 @@ def response_class(status="status") -> Column:
             .otherwise(F.lit(FAIL)))
 
 
+# Decimal number text as Python's float() reads it (after whitespace and digit-group underscores
+# are removed); Spark's own cast would also take Java forms such as "1d", "2f" or hex floats.
+_NUMBER_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def retry_after_seconds(retry_after="retry_after") -> Column:
-    """Retry-After as seconds when it is a finite number >= 0; malformed, negative, NaN or infinite -> null."""
+    """Retry-After as seconds when it is a finite number >= 0; malformed, negative, NaN or infinite -> null.
+    Text is read the way Python's ``float()`` reads it, so the closed form and the delivery loop agree."""
     c = F.col(retry_after) if isinstance(retry_after, str) else retry_after
-    d = c.try_cast("double")
-    valid = d.isNotNull() & ~F.isnan(d) & (d >= 0) & (d < F.lit(float("inf")))
-    return F.when((F.trim(c) != "") & valid, d)
+    text = F.regexp_replace(c, r"^\s+|\s+$", "")
+    text = F.regexp_replace(text, r"(?<=[0-9])_(?=[0-9])", "")
+    d = F.when(text.rlike(_NUMBER_TEXT), text.try_cast("double"))
+    return F.when(d.isNotNull() & (d >= 0) & (d < F.lit(float("inf"))), d)
 
 
 def backoff_seconds(attempt="attempt_no", retry_after="retry_after", base: float = 1.0,

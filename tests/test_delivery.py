@@ -126,3 +126,15 @@ def test_short_attempt_log_counts_missing_attempts_as_transport_errors(spark):
                           RetryPolicy(jitter=False), waits.append)
     assert (res["ok"], res["status_code"], res["attempts"], res["error"]) == (False, 429, 5, NO_RESPONSE)
     assert sum(waits) == got[1]["planned_wait_seconds"]
+
+
+def test_retry_after_parsing_matches_python(spark):
+    from pyspark.sql import functions as F
+
+    from acct_health.functions.backoff import py_retry_after, retry_after_seconds
+    vals = ["2", " 2 ", "2.5", ".5", "5.", "+3", "-1", "1e3", "1E3", "inf", "Infinity", "nan", "1_000",
+            "1__000", "_1", "1_", "0x10", "0x1p3", "", " ", "soon", "3 s", "\t4\n", "1,5", "007", "1d", "2f",
+            "1e999", "1e1_0", None]
+    df = spark.createDataFrame([(v,) for v in vals], "r string")
+    got = [r[0] for r in df.select(retry_after_seconds(F.col("r"))).collect()]
+    assert got == [py_retry_after(v) for v in vals]
