@@ -138,3 +138,17 @@ def test_retry_after_parsing_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "r string")
     got = [r[0] for r in df.select(retry_after_seconds(F.col("r"))).collect()]
     assert got == [py_retry_after(v) for v in vals]
+
+
+def test_classes_and_backoff_match_the_loop(spark):
+    from pyspark.sql import functions as F
+
+    from acct_health.functions.backoff import backoff_seconds, py_backoff, py_classify, response_class
+    statuses = [None] + list(range(100, 700))
+    df = spark.createDataFrame([(s,) for s in statuses], "status int")
+    got = [r[0] for r in df.select(response_class("status")).collect()]
+    assert got == [py_classify(s) for s in statuses]
+    grid = [(a, ra) for a in range(12) for ra in (None, "3", "soon", "-2", "0")]
+    g = spark.createDataFrame(grid, "attempt_no long, retry_after string")
+    waits = [r[0] for r in g.select(backoff_seconds("attempt_no", "retry_after", 1.5, 40.0)).collect()]
+    assert waits == [py_backoff(a, ra, 1.5, 40.0, None) for a, ra in grid]
