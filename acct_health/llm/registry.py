@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from acct_health.llm import substring_dedup
+from acct_health.llm import (
+    html_extract,
+    jaccard_join,
+    language_id,
+    packing,
+    sentencepiece_codec,
+    substring_dedup,
+    topk,
+    toxicity,
+)
 
 QUERIES = {
+    "op2_norm_sorted_topk": topk.op2_norm_sorted_topk,
+    "op3_sentencepiece_codec": sentencepiece_codec.op3_sentencepiece_codec,
+    "op5_language_id": language_id.op5_language_id,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_html_extract": html_extract.op7_html_extract,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 SQL = {
+    "op2_norm_sorted_topk": topk.ORACLE_SQL,
+    "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
 }
