@@ -7,15 +7,19 @@ from acct_health.llm import (
     jaccard_join,
     language_id,
     packing,
+    quality_rules,
     sentencepiece_codec,
     substring_dedup,
     topk,
     toxicity,
+    url_filter,
 )
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_norm_sorted_topk": topk.op2_norm_sorted_topk,
     "op3_sentencepiece_codec": sentencepiece_codec.op3_sentencepiece_codec,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_language_id": language_id.op5_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_html_extract": html_extract.op7_html_extract,
@@ -25,6 +29,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_url_filter": url_filter.ORACLE_SQL,
     "op2_norm_sorted_topk": topk.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,

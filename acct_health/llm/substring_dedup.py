@@ -119,10 +119,12 @@ def _judged(w: _Windows, gone: np.ndarray, with_text: bool) -> pa.Table:
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text``; a text that loses no word stays as it was."""
-    found = repeated_words(docs, width).where("n_removed > 0").select("__h", "kept")
+    """``docs`` with repeated passages cut out of ``text`` (and ``n_chars``, if there is one, to match); a
+    text that loses no word stays as it was."""
+    found = repeated_words(docs, width).where("n_removed > 0").select("__h", F.col("kept").alias("__kept"))
     joined = docs.withColumn("__h", text_hash(F.col("text"))).join(found, "__h", "left")
-    return joined.select(*[F.coalesce("kept", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    new = {"text": F.coalesce("__kept", "text"), "n_chars": F.coalesce(F.length("__kept").cast("long"), "n_chars")}
+    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

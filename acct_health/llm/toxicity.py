@@ -8,7 +8,7 @@ strongest match: the term's log odds plus the path's weight. A text's score is t
 its strongest clause gives, or that of unmatched texts; words outside a matched clause count nothing.
 
 Terms and path weights are learnt from at most ``TRAIN_ROWS`` labelled rows (by a hash of their id)
-with crc32(doc_id) % 4 <> 2. A term needs enough different contexts among toxic rows that chance
+with crc32(doc_id) % 4 <> 2. A term needs enough toxic texts with contexts of their own that chance
 would not give a single one among all candidates, so words of a toxic text with many copies don't
 become terms. Lists of function words are fixed; a score uses the text only.
 
@@ -36,9 +36,9 @@ from acct_health.llm.wordcache import text_slices
 
 TRAIN_ROWS = 20_000
 #: Lengths of word beginnings tried as terms.
-STEMS = (4, 5, 6)
-#: Share of toxic contexts that a term needs.
-PRECISION = 0.7
+STEMS = (4, 5, 6, 7)
+#: Share of toxic texts among those with it that a word, and a word beginning, needs.
+PRECISION, STEM_PRECISION = 0.85, 0.96
 THRESHOLD = 0.3
 #: Words read on each side of a match, within its clause.
 REACH = 12
@@ -153,21 +153,23 @@ def _fit(sample: DataFrame) -> Grammar:
         return Grammar()
     words = F.filter(F.transform(F.split("text", r"[ \t-\r]+"), lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", ""))),
                      lambda w: w != "")
-    with_words = sample.select("toxic", words.alias("w"))
+    with_words = sample.select("toxic", F.xxhash64("text").alias("doc"), words.alias("w"))
 
     def keys(word):
         stems = [F.when(F.length(word) > n, F.concat(F.substring(word, 1, n), F.lit("*"))) for n in STEMS]
         return F.filter(F.array(word, *stems), lambda k: k.isNotNull())
 
     near = F.transform("w", lambda x, i: F.struct(x.alias("word"), F.xxhash64(
-        F.try_element_at("w", i), F.try_element_at("w", i + 2)).alias("near")))
-    seen = with_words.where("toxic").select(F.explode(near).alias("x")).select(F.explode(keys(F.col("x.word"))).alias("key"), F.col("x.near").alias("near"))
-    # contexts, not occurrences: copies of a text bring no new ones
-    contexts = seen.distinct().groupBy("key").agg(F.count("*").alias("yes")).where("yes >= 4")
+        F.get("w", i - 1), F.get("w", i + 1)).alias("near")))
+    seen = with_words.where("toxic").select("doc", F.explode(near).alias("x")).select(
+        "doc", F.explode(keys(F.col("x.word"))).alias("key"), F.col("x.near").alias("near"))
+    # texts that bring a context of their own: copies of a text don't
+    contexts = seen.groupBy("key").agg(F.least(F.countDistinct("doc"), F.countDistinct("near")).alias("yes")).where("yes >= 4")
     other = with_words.where("not toxic").select(F.explode(F.array_distinct(F.flatten(F.transform("w", keys)))).alias("key"))
     both = contexts.join(other.join(contexts, "key", "left_semi").groupBy("key").agg(F.count("*").alias("no")), "key", "left").fillna(0, ["no"])
     share = toxic / (toxic + clean)
-    both = both.withColumn("n", F.col("yes") + F.col("no")).withColumn("p", F.col("yes") / F.col("n")).where(F.col("p") >= max(PRECISION, share))
+    both = both.withColumn("n", F.col("yes") + F.col("no")).withColumn("p", F.col("yes") / F.col("n")).where(
+        F.col("p") >= F.when(F.endswith("key", F.lit("*")), F.lit(max(STEM_PRECISION, share))).otherwise(F.lit(max(PRECISION, share))))
     rest = F.when(F.col("p") < 1, (1 - F.col("p")) * F.log((1 - F.col("p")) / (1 - share))).otherwise(0.0)
     gain = F.col("n") * (F.col("p") * F.log(F.col("p") / share) + rest)  # Chernoff's exponent against chance
     chance = math.log(max(2, contexts.count())) + 2

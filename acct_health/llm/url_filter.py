@@ -113,12 +113,17 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), RULES).drop("trust", "distrust")
 
 
-_FITS = " ".join(f"WHEN (host = '{r[:r.index('/')]}' OR ends_with(host, '.{r[:r.index('/')]}')) AND starts_with(path, '{r[r.index('/'):]}') THEN '{{{a}}}'"
-                 for a, r in sorted(RULES, key=lambda x: (-len(x[1]), -x[1].index("/"))))
+def _case(value) -> str:
+    """SQL branches over the rules, the winning one first."""
+    longest = sorted(RULES, key=lambda x: (-len(x[1]), -x[1].index("/")))
+    return " ".join(f"WHEN (host = '{r[:r.index('/')]}' OR ends_with(host, '.{r[:r.index('/')]}')) AND starts_with(path, '{r[r.index('/'):]}') "
+                    f"THEN '{value(a, r)}'" for a, r in longest)
+
+
 ORACLE_SQL = f"""
 WITH RECURSIVE u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-r AS (SELECT *, CASE {_FITS.replace("{allow}", "allow").replace("{block}", "block")} END AS action FROM u),
+r AS (SELECT *, CASE {_case(lambda a, r: a)} END AS action, CASE {_case(lambda a, r: r)} END AS rule FROM u),
 s AS (SELECT host, avg((coalesce(action, '') = 'allow')::INT) AS trust, avg((coalesce(action, '') = 'block')::INT) AS distrust FROM r WHERE host <> '' GROUP BY host),
 l AS (SELECT host AS src, lower(unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\\s>]+)', 1))) AS dst FROM u WHERE html IS NOT NULL AND host <> ''),
 e AS (SELECT src, dst, count(*) AS n FROM l WHERE dst <> '' AND dst <> src GROUP BY ALL),
@@ -133,8 +138,7 @@ p AS (SELECT 0 AS i, host, kind, seed * {1 - DAMPING} AS rank FROM seed
       LEFT JOIN p p1 ON p1.kind = w.kind AND p1.host = w.a WHERE p0.i < {ITERATIONS} GROUP BY p0.i, p0.host, p0.kind),
 t AS (SELECT host, max(CASE kind WHEN 'trust' THEN rank END) AS trust, max(CASE kind WHEN 'distrust' THEN rank END) AS distrust
       FROM p WHERE i = {ITERATIONS} GROUP BY host)
-SELECT r.page_id, r.host, r.path, CASE {{rule}} END AS rule,
+SELECT r.page_id, r.host, r.path, r.rule,
        coalesce(action, CASE WHEN distrust > trust AND distrust >= {(1 - DAMPING) * BLOCK_SHARE} THEN 'block' END, 'allow') AS verdict
 FROM r LEFT JOIN t ON t.host = r.host
-""".replace("{rule}", " ".join(f"WHEN (r.host = '{r[:r.index('/')]}' OR ends_with(r.host, '.{r[:r.index('/')]}')) AND starts_with(r.path, '{r[r.index('/'):]}') THEN '{r}'"
-                               for _, r in sorted(RULES, key=lambda x: (-len(x[1]), -x[1].index("/")))))
+"""
