@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from acct_health.llm.common import mix
 
 #: Bytes of text in a block and items in a shard, on average: what one task holds at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_ITEMS = 3 << 20
 
 

@@ -76,7 +76,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     shingles that may occur in another text (null for the rest)."""
     layout = Layout.of(docs)
     classes = text_classes(docs, layout)
-    sketch = Sketch(layout)
+    sketch = Sketch(layout, rows=1)  # it only narrows the search; a second row would cost more than it saves
 
     def estimate(block: int, table: pa.Table) -> list[dict]:
         s = _Sets(table)
@@ -276,7 +276,7 @@ def jaccard_join(docs: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     classes = stored(jaccard_classes(docs, part_docs), "classes")
     rows = docs.select("doc_id", text_hash(F.col("text")).alias("h")).join(classes, "h").select("doc_id", "n_shingles", "class")
-    least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
+    least = stored(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "least")
     return rows.join(least, "class", "left").select(
         "doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
