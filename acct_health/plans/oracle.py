@@ -26,10 +26,12 @@ FROM lineitem l
 JOIN supplier s ON l.l_suppkey = s.s_suppkey
 JOIN nation n ON s.s_nationkey = n.n_nationkey
 JOIN region r ON n.n_regionkey = r.r_regionkey
-WHERE (l.l_suppkey + month(l.l_shipdate)) % 11 <> 0
 """
-AM_MONTH = AM.format(month_expr="cast(date_trunc('month', l.l_shipdate) AS date)")
-AM_RAW = AM.format(month_expr="cast(l.l_shipdate AS date)")
+# A supplier's rows of some months count for the month before.
+COUNTED = """CASE WHEN (l.l_suppkey + month(l.l_shipdate)) % 11 = 0
+                 THEN cast(l.l_shipdate AS date) - INTERVAL 1 MONTH ELSE l.l_shipdate END"""
+AM_MONTH = AM.format(month_expr=f"cast(date_trunc('month', {COUNTED}) AS date)")
+AM_RAW = AM.format(month_expr=f"cast({COUNTED} AS date)")
 
 # Low-duplicate account months from orders (same mapping as sources.fixtures.account_month_from_orders).
 AM_ORDERS = """
@@ -160,8 +162,8 @@ WHERE prev IS NOT NULL AND mi - prev > 1""",
     "route_counts": base() + """
 SELECT count(*) AS at_risk_count, cast(coalesce(sum(CASE WHEN NOT routable THEN 1 ELSE 0 END), 0) AS bigint)
        AS unknown_region_count FROM routed""",
-    "region_map_json": base(region_values="('AMER', 'amer-risk-alerts'), ('EMEA', 'emea-risk-alerts'), "
-                                          "('APAC', 'apac-risk-alerts'), ('AFRICA', 'africa-risk-alerts')") + """
+    "region_map_json": base(region_values="('AMER', 'west-desk'), ('EMEA', 'middle-desk'), "
+                                          "('APAC', 'east-desk'), ('AFRICA', 'south-desk')") + """
 SELECT account_id, account_region, channel, routable FROM routed""",
     "message_text": base() + f"\nSELECT account_id, {MESSAGE} AS message FROM routed",
     "message_payload": base() + f"\nSELECT account_id, json_object('text', {MESSAGE})::varchar AS payload FROM routed",
@@ -174,8 +176,8 @@ SELECT {TARGET} AS month,
        (SELECT count(*) FROM routed WHERE NOT routable) AS unknown_region_count,
        (SELECT count(*) FROM win WHERE account_id IS NULL) AS rejected_rows""",
     "preview_floor": base(floor=10000,
-                          region_values="('AMER', 'amer-risk-alerts'), ('EMEA', 'emea-risk-alerts'), "
-                                        "('APAC', 'apac-risk-alerts'), ('AFRICA', 'africa-risk-alerts')")
+                          region_values="('AMER', 'west-desk'), ('EMEA', 'middle-desk'), "
+                                        "('APAC', 'east-desk'), ('AFRICA', 'south-desk')")
     + "\n" + ALERTS,
     "month_contract": with_(am=AM_RAW) + """
 SELECT account_id, count(*) AS n_rows, count(*) FILTER (WHERE day(month) <> 1) AS mid_month_rows
@@ -190,14 +192,14 @@ FROM (SELECT DISTINCT account_id FROM latest) a LEFT JOIN streak s ON a.account_
 # --- delivery, ledger, digest -------------------------------------------------------------
 
 ATTEMPTS = """
-SELECT * FROM (
-  SELECT user_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS bigint) AS attempt_no,
-         CASE event_type WHEN 'purchase' THEN 200 WHEN 'click' THEN 429 WHEN 'error' THEN 500
-                         WHEN 'view' THEN 503 ELSE 404 END AS status,
-         CASE event_type WHEN 'click' THEN cast(cast(floor(value) AS bigint) AS varchar)
-                         WHEN 'error' THEN 'soon' ELSE NULL END AS retry_after
-  FROM events) q
-WHERE attempt_no < 5"""
+SELECT delivery_id,
+       cast(row_number() OVER (PARTITION BY delivery_id ORDER BY ts, event_id) - 1 AS bigint) AS attempt_no,
+       CASE event_type WHEN 'purchase' THEN 200 WHEN 'click' THEN 429 WHEN 'error' THEN 500
+                       WHEN 'view' THEN 503 ELSE 404 END AS status,
+       CASE event_type WHEN 'click' THEN cast(cast(floor(value) AS bigint) AS varchar)
+                       WHEN 'error' THEN 'soon' ELSE NULL END AS retry_after
+FROM (SELECT *, concat(cast(user_id AS varchar), '/', cast(cast(ts AS date) AS varchar)) AS delivery_id
+      FROM events) q"""
 
 CLASS = """CASE WHEN status IS NULL THEN 'retry' WHEN status < 300 THEN 'ok'
             WHEN status = 429 OR (status >= 500 AND status < 600) THEN 'retry' ELSE 'fail' END"""
@@ -207,36 +209,42 @@ WAIT = f"""coalesce(CASE WHEN trim(retry_after) <> '' AND {RA} >= 0 AND NOT isna
                          THEN {RA} END,
                     least(60.0, 1.0 * pow(2.0, attempt_no)))"""
 
+# A delivery that neither ends nor has five recorded attempts goes on without a response until the fifth.
 SCHEDULE = with_(
-    att=ATTEMPTS,
-    g=f"SELECT user_id, attempt_no, status, retry_after, {CLASS} AS response_class FROM att",
+    rec=ATTEMPTS,
+    ends=f"""SELECT delivery_id, max(attempt_no) AS last_rec,
+                   count(*) FILTER (WHERE attempt_no < 5 AND {CLASS} <> 'retry') AS terminal FROM rec GROUP BY delivery_id""",
+    att="""SELECT delivery_id, attempt_no, status, retry_after FROM rec WHERE attempt_no < 5
+           UNION ALL SELECT delivery_id, cast(n AS bigint), NULL, NULL
+           FROM ends, (VALUES (1), (2), (3), (4)) v(n) WHERE terminal = 0 AND n > last_rec""",
+    g=f"SELECT delivery_id, attempt_no, status, retry_after, {CLASS} AS response_class FROM att",
     t="""SELECT *, coalesce(min(CASE WHEN response_class <> 'retry' THEN attempt_no END)
-                           OVER (PARTITION BY user_id), 4) AS last_no FROM g""",
-    s=f"""SELECT user_id, attempt_no, status, response_class,
+                           OVER (PARTITION BY delivery_id), 4) AS last_no FROM g""",
+    s=f"""SELECT delivery_id, attempt_no, status, response_class,
                  CASE WHEN response_class = 'retry' AND attempt_no < last_no THEN {WAIT} END AS wait_seconds
           FROM t WHERE attempt_no <= last_no""",
-    e="""SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY attempt_no DESC) AS rd,
-                sum(wait_seconds) OVER (PARTITION BY user_id) AS total_wait FROM s""",
+    e="""SELECT *, row_number() OVER (PARTITION BY delivery_id ORDER BY attempt_no DESC) AS rd,
+                last_value(status IGNORE NULLS) OVER (PARTITION BY delivery_id ORDER BY attempt_no) AS seen,
+                sum(wait_seconds) OVER (PARTITION BY delivery_id) AS total_wait FROM s""",
 )
 
 RESOLVE = SCHEDULE + """
-SELECT user_id, response_class = 'ok' AS ok, cast(status AS integer) AS status_code,
+SELECT delivery_id, response_class = 'ok' AS ok, cast(seen AS integer) AS status_code,
        cast(attempt_no + 1 AS bigint) AS attempts,
        CASE WHEN response_class = 'ok' THEN NULL
             WHEN response_class = 'fail' THEN 'HTTP ' || cast(status AS varchar) || ' (non-retryable)'
+            WHEN status IS NULL THEN 'no recorded response'
             ELSE 'HTTP ' || cast(status AS varchar) END AS error,
        cast(coalesce(total_wait, 0) AS double) AS planned_wait_seconds
 FROM e WHERE rd = 1"""
 
 OUTCOME_LOG = """
-SELECT seq, concat('r', cast(seq AS varchar)) AS run_id, user_id AS account_id,
+SELECT cast(event_id AS bigint) AS seq, concat('r', cast(cast(ts AS date) AS varchar)) AS run_id,
+       user_id AS account_id,
        CASE WHEN event_type = 'purchase' AND user_id % 2 = 0 THEN 'sent' ELSE 'failed' END AS status,
        CASE WHEN event_type = 'purchase' AND user_id % 2 = 0 THEN NULL
             WHEN event_type = 'signup' THEN 'unknown_region' ELSE 'delivery_failed' END AS reason
-FROM (SELECT *, cast(day(ts) AS bigint) AS seq,
-             row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY ts DESC, event_id DESC) AS rn
-      FROM events) q
-WHERE rn = 1"""
+FROM events"""
 
 CURRENT = """
 SELECT account_id, seq, run_id, status, reason FROM (
@@ -262,12 +270,23 @@ FROM routed r LEFT JOIN sent s ON r.account_id = s.account_id""",
     )[len("WITH "):]
 
 
-DIGEST_HEAD = ("' account(s) could not be routed to a channel (missing/unknown region). "
-               "No alert was sent for these:'")
+DIGEST_LINE = """'  - ' || account_id || ' (' || account_name || ') region=' ||
+                  CASE WHEN account_region IS NULL THEN 'None' ELSE '''' || account_region || '''' END"""
+DIGEST_HEAD = "' account(s) got no alert because their region maps to no channel:'"
+DIGEST_TO = "'support@example.com' AS \"to\", 'Accounts without a routed region' AS subject"
+
+
+def digest(source: str = "routed") -> str:
+    return base() + f"""
+SELECT 'preview-1998-06-01' AS run_id, {DIGEST_TO}, 0 AS part, count(*) AS n_accounts, count(*) AS n_lines,
+       'Run preview-1998-06-01: ' || cast(count(*) AS varchar) || {DIGEST_HEAD} || chr(10) ||
+       string_agg({DIGEST_LINE}, chr(10) ORDER BY account_id) AS body
+FROM {source} WHERE NOT routable HAVING count(*) > 0"""
+
 
 SQL.update({
-    "response_classes": with_(att=ATTEMPTS) + f"\nSELECT user_id, attempt_no, status, {CLASS} AS response_class FROM att",
-    "backoff_schedule": SCHEDULE + "\nSELECT user_id, attempt_no, status, response_class, wait_seconds FROM s",
+    "response_classes": with_(att=ATTEMPTS) + f"\nSELECT delivery_id, attempt_no, status, {CLASS} AS response_class FROM att",
+    "backoff_schedule": SCHEDULE + "\nSELECT delivery_id, attempt_no, status, response_class, wait_seconds FROM s",
     "resolve_attempts": RESOLVE,
     "deliver_replay": RESOLVE,
     "outcomes_current": with_(log=OUTCOME_LOG) + "\n" + CURRENT,
@@ -289,13 +308,12 @@ SELECT run_id, sample, account_id, status, reason FROM (
   FROM (SELECT *, CASE WHEN status IN ('sent', 'skipped_replay') THEN 'alert'
                        WHEN status = 'failed' THEN 'error' END AS sample FROM cur_s) a
   WHERE sample IS NOT NULL) b WHERE rn <= 10""",
-    "unknown_region_digest": base() + f"""
-SELECT 'preview-1998-06-01' AS run_id, 0 AS part, count(*) AS n_accounts, count(*) AS n_lines,
-       'Run preview-1998-06-01: ' || cast(count(*) AS varchar) || {DIGEST_HEAD} || chr(10) ||
-       string_agg('  - ' || account_id || ' (' || account_name || ') region=' ||
-                  CASE WHEN account_region IS NULL THEN 'None' ELSE '''' || account_region || '''' END,
-                  chr(10) ORDER BY account_id) AS body
-FROM routed WHERE NOT routable HAVING count(*) > 0""",
+    "unknown_region_digest": digest(),
+    "unknown_region_digest_parts": base() + f"""
+SELECT 'preview-1998-06-01' AS run_id, count(*) OVER () AS n_accounts, {DIGEST_LINE} AS line FROM routed WHERE NOT routable""",
+    "unknown_region_digest_lines": base() + f"""
+SELECT 'preview-1998-06-01' AS run_id, {DIGEST_TO}, account_id, {DIGEST_LINE} AS line FROM routed WHERE NOT routable""",
+    "unknown_region_digest_none": digest("(SELECT * FROM routed WHERE routable)"),
     "run_month_replay": base() + """
 SELECT cast(run_no AS bigint) AS run_no, 'succeeded' AS status,
        (SELECT count(*) FROM win) AS rows_scanned,
@@ -335,3 +353,20 @@ SQL["backfill_alerts"] = with_(
 ) + f"""
 SELECT month, account_id, account_name, account_region, channel, duration_months, risk_start_month,
        arr, routable, reason, {MESSAGE} AS message FROM routed"""
+
+SQL.update({
+    "stream_watermark": SQL["dedup_latest"],
+    "stream_compacted": SQL["dedup_latest"],
+    "stream_alerts_restarted": SQL["preview_alerts"],
+    "load_and_deduplicate": SQL["dedup_latest"],
+    "target_urls": base() + "\nSELECT account_id, 'http://receiver.invalid/hook/' || channel AS url FROM routed WHERE routable",
+    "outcome_key_violations": with_(log=OUTCOME_LOG) + """
+SELECT count(DISTINCT account_id) AS accounts, cast(0 AS bigint) AS violations FROM log""",
+    "failed_run": """
+SELECT cause, 'failed' AS status, cast(0 AS bigint) AS rows_scanned, cast(0 AS bigint) AS alerts_sent, cast(0 AS bigint) AS outcomes
+FROM (VALUES ('missing column'), ('no transport')) v(cause)""",
+    "streak_long_lookback": with_(am=AM_MONTH, win=window(80), latest=latest("win"), streak=streak("latest", 80)) + f"""
+SELECT a.account_id, cast(greatest(coalesce(s.d, 0), 1) AS bigint) AS duration_months,
+       cast({TARGET} - to_months(cast(greatest(coalesce(s.d, 0), 1) - 1 AS integer)) AS date) AS risk_start_month
+FROM (SELECT DISTINCT account_id FROM latest) a LEFT JOIN streak s ON a.account_id = s.account_id""",
+})

@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 
 from acct_health.functions.backoff import response_class
 from acct_health.functions.render import message_text, payload_json
-from acct_health.operators.dedup import dedup_counts, latest_by_key
+from acct_health.operators.dedup import dedup_counts, latest_by_key, load_and_deduplicate
 from acct_health.operators.delivery import (
     RetryPolicy,
     backoff_schedule,
     deliver,
     replay_transport,
     resolve_attempts,
+    target_url,
 )
-from acct_health.operators.digest import unknown_region_digest
+from acct_health.operators.digest import digest_lines, unknown_region_digest
 from acct_health.operators.ledger import (
     current_outcomes,
     decide,
     decision_counts,
+    key_violations,
+    read_log,
     read_runs,
     sent_keys,
     status_samples,
@@ -43,6 +46,7 @@ from acct_health.sources.fixtures import (
     outcome_log_from_events,
 )
 from acct_health.streaming.stream import (
+    compact_latest,
     read_alerts,
     read_feed,
     read_latest,
@@ -53,8 +57,8 @@ from acct_health.streaming.stream import (
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The JSON region map of the region_map_json query (wrapped form, with an empty key that must never route).
-REGION_JSON = ('{"regions": {"AMER": "amer-risk-alerts", "EMEA": "emea-risk-alerts", '
-               '"APAC": "apac-risk-alerts", "AFRICA": "africa-risk-alerts", "": "blank-region"}}')
+REGION_JSON = ('{"regions": {"AMER": "west-desk", "EMEA": "middle-desk", '
+               '"APAC": "east-desk", "AFRICA": "south-desk", "": "blank-region"}}')
 
 
 def _am(spark, sf_dir):
@@ -159,8 +163,8 @@ def q_preview_counts(spark, sf_dir):
 def q_preview_floor(spark, sf_dir):
     """Preview with an ARR floor of 10,000 and a region map that also routes AFRICA."""
     params = Params(arr_threshold=10000,
-                    region_channel_map={"AMER": "amer-risk-alerts", "EMEA": "emea-risk-alerts",
-                                        "APAC": "apac-risk-alerts", "AFRICA": "africa-risk-alerts"})
+                    region_channel_map={"AMER": "west-desk", "EMEA": "middle-desk", "APAC": "east-desk",
+                                        "AFRICA": "south-desk"})
     alerts, _ = preview(spark, _am(spark, sf_dir), TARGET_MONTH, params)
     return alerts.select(*ALERT_COLUMNS)
 
@@ -210,28 +214,29 @@ DIGEST_RUN_ID = "preview-1998-06-01"
 
 def q_response_classes(spark, sf_dir):
     return attempts_from_events(spark, sf_dir).select(
-        "user_id", "attempt_no", "status", response_class("status").alias("response_class"))
+        "delivery_id", "attempt_no", "status", response_class("status").alias("response_class"))
 
 
 def q_backoff_schedule(spark, sf_dir):
-    return backoff_schedule(attempts_from_events(spark, sf_dir), NO_JITTER)
+    return backoff_schedule(attempts_from_events(spark, sf_dir), NO_JITTER, key="delivery_id")
 
 
 def q_resolve_attempts(spark, sf_dir):
-    return resolve_attempts(attempts_from_events(spark, sf_dir), NO_JITTER)
+    return resolve_attempts(attempts_from_events(spark, sf_dir), NO_JITTER, key="delivery_id")
 
 
 def q_deliver_replay(spark, sf_dir):
     """The delivery stage itself (retry loop in mapInPandas) answering from the recorded responses;
     must equal the closed form of ``resolve_attempts``."""
-    att = attempts_from_events(spark, sf_dir, NO_JITTER.max_attempts)
-    rows = (att.groupBy("user_id")
+    # two responses more than the loop may ask for show that it stops by itself
+    att = attempts_from_events(spark, sf_dir).where(F.col("attempt_no") < NO_JITTER.max_attempts + 2)
+    rows = (att.groupBy("delivery_id")
             .agg(F.array_sort(F.collect_list(F.struct("attempt_no", "status", "retry_after"))).alias("responses"))
-            .select("user_id", F.lit("replay").alias("channel"), F.lit('{"text": "replay"}').alias("payload"),
+            .select("delivery_id", F.lit("replay").alias("channel"), F.lit('{"text": "replay"}').alias("payload"),
                     "responses"))
     out = deliver(rows, replay_transport("responses"), NO_JITTER, base_url="http://receiver.invalid",
-                  key_cols=("user_id",), keep=("user_id",), sleep=lambda s: None)
-    return out.select("user_id", "ok", "status_code", "attempts", "error",
+                  key_cols=("delivery_id",), keep=("delivery_id",), sleep=lambda s: None)
+    return out.select("delivery_id", "ok", "status_code", "attempts", "error",
                       F.col("waited_seconds").alias("planned_wait_seconds"))
 
 
@@ -268,8 +273,29 @@ def q_status_samples(spark, sf_dir):
     return status_samples(_current(spark, sf_dir, True)).select("run_id", "sample", "account_id", "status", "reason")
 
 
+def _digest(spark, sf_dir, parts=1, only=None):
+    routed = _routed(spark, sf_dir)
+    routed = routed.where(only) if only else routed
+    n = route_counts(routed).first()["unknown_region_count"]  # a run has it from its counts
+    return unknown_region_digest(routed, DIGEST_RUN_ID, n, parts, "support@example.com")
+
+
 def q_unknown_region_digest(spark, sf_dir):
-    return unknown_region_digest(_routed(spark, sf_dir), DIGEST_RUN_ID)
+    return _digest(spark, sf_dir)
+
+
+def q_unknown_region_digest_parts(spark, sf_dir):
+    """The lines of a digest in four texts, without the part numbers (their dealing is Spark's hash)."""
+    return (_digest(spark, sf_dir, 4).select("run_id", "n_accounts", F.explode(F.slice(F.split("body", "\n"), 2, 1 << 30)).alias("line")))
+
+
+def q_unknown_region_digest_lines(spark, sf_dir):
+    return digest_lines(_routed(spark, sf_dir), DIGEST_RUN_ID, "support@example.com")
+
+
+def q_unknown_region_digest_none(spark, sf_dir):
+    """No digest where every alert is routed."""
+    return _digest(spark, sf_dir, only="routable")
 
 
 def _accept_all(req):
@@ -303,20 +329,34 @@ QUERIES.update({
     "dry_run_counts": q_dry_run_counts,
     "status_samples": q_status_samples,
     "unknown_region_digest": q_unknown_region_digest,
+    "unknown_region_digest_parts": q_unknown_region_digest_parts,
+    "unknown_region_digest_lines": q_unknown_region_digest_lines,
+    "unknown_region_digest_none": q_unknown_region_digest_none,
     "run_month_replay": q_run_month_replay,
 })
 
 
 # --- streaming ----------------------------------------------------------------------------
 
-def _feed(spark, sf_dir, files=4):
-    """Write the derived account months as several files under the checkpoint folder, then read
-    them as a stream one file per trigger (several micro-batches, keys split across them)."""
+def _feed(spark, sf_dir, batches=4, order=None):
+    """Write the derived account months under the checkpoint folder and read them as a stream of about
+    ``batches`` micro-batches. The number of files follows the rows; with ``order`` (a column) the files
+    arrive in its order, written one after the other."""
     src = scratch_path(spark, "feed")
-    _am(spark, sf_dir).repartition(files).write.parquet(src)
+    am = _am(spark, sf_dir)
+    if order is None:
+        files = max(batches, -(-am.count() // FEED_FILE_ROWS))
+        am.repartition(files).write.parquet(src)
+        return read_feed(spark, src, files_per_trigger=-(-files // batches))
+    for value in [r[0] for r in am.select(order).distinct().orderBy(order).collect()]:  # a row per calendar year
+        am.where(order == F.lit(value)).write.mode("append").parquet(src)
     return read_feed(spark, src, files_per_trigger=1)
 
 
+#: Rows in a file of the feeds written for the stream queries.
+FEED_FILE_ROWS = 1_000_000
+
+
 def q_stream_dedup(spark, sf_dir):
     out, ckpt = scratch_path(spark, "stream-latest"), scratch_path(spark, "stream-ckpt")
     feed = month_window(_feed(spark, sf_dir), TARGET_MONTH, LOOKBACK)
@@ -324,15 +364,51 @@ def q_stream_dedup(spark, sf_dir):
     return read_latest(spark, out).drop("n_versions")
 
 
+def q_stream_watermark(spark, sf_dir):
+    """A month-ordered feed of the whole history with a watermark of the lookback (K2): the window's
+    months are those of the batch result, and rows after the target are rejected."""
+    out, ckpt = scratch_path(spark, "stream-latest"), scratch_path(spark, "stream-ckpt")
+    feed = _feed(spark, sf_dir, order=F.year("month"))
+    run_latest_stream(spark, feed, out, ckpt, watermark_months=LOOKBACK, target_month=TARGET_MONTH)
+    return month_window(read_latest(spark, out), TARGET_MONTH, LOOKBACK).drop("n_versions")
+
+
+def q_stream_compacted(spark, sf_dir):
+    """K1 over half of the feed, compacted, then the same stream over the rest on the compacted table."""
+    out, ckpt = scratch_path(spark, "stream-latest"), scratch_path(spark, "stream-ckpt")
+    src, compacted = scratch_path(spark, "feed"), scratch_path(spark, "stream-compacted")
+    am = month_window(_am(spark, sf_dir), TARGET_MONTH, LOOKBACK).withColumn("half", F.pmod(F.xxhash64("updated_at", "arr"), F.lit(2)))
+    am.where("half = 0").drop("half").write.parquet(src)
+    run_latest_stream(spark, read_feed(spark, src), out, ckpt)
+    compact_latest(spark, out, compacted)
+    am.where("half = 1").drop("half").write.mode("append").parquet(src)
+    run_latest_stream(spark, read_feed(spark, src), compacted, ckpt)
+    return read_latest(spark, compacted).drop("n_versions")
+
+
 def q_stream_alerts(spark, sf_dir):
     state, ckpt = scratch_path(spark, "stream-state"), scratch_path(spark, "stream-ckpt")
     run_alert_stream(spark, _feed(spark, sf_dir), TARGET_MONTH, Params(), state, ckpt)
     return read_alerts(spark, state)
 
 
+def q_stream_alerts_restarted(spark, sf_dir):
+    """The alert stream stopped half way and restarted on its state, with more buckets than some batches
+    touch accounts."""
+    state, ckpt, src = (scratch_path(spark, n) for n in ("stream-state", "stream-ckpt", "feed"))
+    am = month_window(_am(spark, sf_dir), TARGET_MONTH, LOOKBACK).withColumn("few", F.col("account_id") < "a00004")
+    for part in ("few", "not few"):
+        am.where(part).drop("few").write.mode("append").parquet(src)
+        run_alert_stream(spark, read_feed(spark, src), TARGET_MONTH, Params(), state, ckpt, state_buckets=16)
+    return read_alerts(spark, state)
+
+
 QUERIES.update({
     "stream_dedup": q_stream_dedup,
+    "stream_watermark": q_stream_watermark,
+    "stream_compacted": q_stream_compacted,
     "stream_alerts": q_stream_alerts,
+    "stream_alerts_restarted": q_stream_alerts_restarted,
 })
 
 
@@ -360,3 +436,53 @@ def q_backfill_alerts(spark, sf_dir):
 
 
 QUERIES["backfill_alerts"] = q_backfill_alerts
+
+
+# --- operators that had no query of their own -------------------------------------------------
+
+def q_load_and_deduplicate(spark, sf_dir):
+    """A source written as Parquet, named by URI, loaded, windowed and deduplicated."""
+    path = scratch_path(spark, "source")
+    _am(spark, sf_dir).write.parquet(path)
+    uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    return load_and_deduplicate(spark, uri, TARGET_MONTH, LOOKBACK)[0]
+
+
+def q_target_urls(spark, sf_dir):
+    """G1: where the alert of each routable candidate is posted."""
+    routed = _routed(spark, sf_dir).where("routable")
+    return routed.select("account_id", target_url("channel", "http://receiver.invalid/hook/", "http://unused.invalid").alias("url"))
+
+
+def q_outcome_key_violations(spark, sf_dir):
+    """H4: accounts with more than one current outcome among all accounts (none)."""
+    current = _current(spark, sf_dir)
+    return current.agg(F.count(F.lit(1)).alias("accounts")).crossJoin(
+        key_violations(current, ("account_id",)).agg(F.count(F.lit(1)).alias("violations")))
+
+
+def q_failed_run(spark, sf_dir):
+    """H7: a run whose source lacks a column and one without a transport are recorded as failed, with no
+    alert posted or stored."""
+    ledger = scratch_path(spark, "ledger")
+    am, params = _am(spark, sf_dir), Params(webhook_base_url="http://receiver.invalid")
+    first = run_month(spark, am.drop("arr"), TARGET_MONTH, ledger, params, transport=_accept_all)
+    run_month(spark, am, TARGET_MONTH, ledger, params, transport=None)
+    runs = read_runs(spark, ledger).select(F.when(F.col("id") == first, "missing column").otherwise("no transport").alias("cause"),
+                                           "status", "rows_scanned", "alerts_sent")
+    stored = read_log(spark, ledger).agg(F.count(F.lit(1)).alias("outcomes"))
+    return runs.crossJoin(stored)  # one row beside two
+
+
+def q_streak_long_lookback(spark, sf_dir):
+    """A lookback of 80 months, more than one mask holds."""
+    return streak_to(latest_by_key(_win(spark, sf_dir, 80)), TARGET_MONTH, 80)
+
+
+QUERIES.update({
+    "load_and_deduplicate": q_load_and_deduplicate,
+    "target_urls": q_target_urls,
+    "outcome_key_violations": q_outcome_key_violations,
+    "failed_run": q_failed_run,
+    "streak_long_lookback": q_streak_long_lookback,
+})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,9 +85,6 @@ def _conform(field: T.StructField) -> Column:
 
 
 SCAN_POSITION = "_scan_pos"
-# File ordinals are broadcast (one short row per file, ~15 MB at this bound); the list is the file
-# listing the driver already holds. Larger listings are joined normally.
-MAX_BROADCAST_FILES = 100_000
 
 
 def conform_account_month(df: DataFrame) -> DataFrame:
@@ -103,12 +100,12 @@ def conform_account_month(df: DataFrame) -> DataFrame:
 
 def with_scan_position(raw: DataFrame) -> DataFrame:
     """Add ``_scan_pos``: the row's place in a scan that reads files in path order and rows in file
-    order (file ordinal * 2^40 + row index in the file). Used by the ``scan_order`` tie-break."""
-    spark = raw.sparkSession
-    files = sorted(raw.inputFiles())
-    ordinals = spark.createDataFrame(list(enumerate(files)), "_file_ord long, _file string")
-    if len(files) <= MAX_BROADCAST_FILES:
-        ordinals = F.broadcast(ordinals)
+    order (file ordinal * 2^40 + row index in the file). Used by the ``scan_order`` tie-break.
+
+    The ordinals are a table of one row per file, numbered in Spark from a scan without columns; its
+    size decides how it is joined."""
+    files = raw.select(F.input_file_name().alias("_file")).distinct()
+    ordinals = files.withColumn("_file_ord", (F.row_number().over(Window.orderBy("_file")) - 1).cast("bigint"))
     pos = raw.withColumn("_file", F.input_file_name()).withColumn("_row", F.col("_metadata.row_index"))
     joined = pos.join(ordinals, on="_file", how="left")
     return joined.withColumn(SCAN_POSITION, F.col("_file_ord") * F.lit(1 << 40) + F.col("_row")) \

@@ -44,7 +44,11 @@ def account_month_from_tables(spark: SparkSession, sf_dir: str, first_of_month:
     li = _read(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_returnflag", "l_linestatus", "l_shipdate")
-    li = li.where((F.col("l_suppkey") + F.month("l_shipdate")) % 11 != 0)
+    # gaps: in some months of each supplier nothing counts; those rows count for the month before, so
+    # every line item stays an input row
+    shipped = F.to_date("l_shipdate")
+    skipped = (F.col("l_suppkey") + F.month("l_shipdate")) % 11 == 0
+    counted = F.when(skipped, F.add_months(shipped, -1)).otherwise(shipped)
     # nation and region have a fixed number of rows; supplier grows with the data and is
     # left to Spark's size-based join choice.
     geo = _geo(spark, sf_dir)
@@ -57,8 +61,7 @@ def account_month_from_tables(spark: SparkSession, sf_dir: str, first_of_month:
         F.concat(F.lit("a"), F.lpad(F.col("l_suppkey").cast("string"), 5, "0")).alias("account_id"),
         F.col("s_name").alias("account_name"),
         F.col("account_region"),
-        (F.trunc(F.to_date("l_shipdate"), "month") if first_of_month
-         else F.to_date("l_shipdate")).alias("month"),
+        (F.trunc(counted, "month") if first_of_month else counted).alias("month"),
         F.when(F.col("l_returnflag").isin("R", "A"), F.lit("At Risk"))
          .when(F.col("l_linestatus") == "O", F.lit("Healthy"))
          .otherwise(F.lit("Churned")).alias("status"),
@@ -103,40 +106,37 @@ def account_month_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def attempts_from_events(spark: SparkSession, sf_dir: str, max_attempts: int = 5) -> DataFrame:
-    """Delivery attempts per user: (user_id, attempt_no, status, retry_after), first ``max_attempts``.
+def attempts_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded responses of deliveries: (delivery_id, attempt_no, status, retry_after), one per event.
 
-    ``row_number() < n`` plans a partial WindowGroupLimit before the shuffle, so a user with a
-    huge share of events contributes at most n rows per map task.
+    A delivery is one user's day, so a busy user's events are many deliveries and no group grows
+    with the table. All events are attempts; where a delivery ends is the operators' decision.
     """
     ev = _read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    delivery = F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))
+    w = Window.partitionBy("delivery_id").orderBy("ts", "event_id")
     et = F.col("event_type")
     status = (F.when(et == "purchase", 200).when(et == "click", 429).when(et == "error", 500)
               .when(et == "view", 503).otherwise(404))
     retry_after = (F.when(et == "click", F.floor("value").cast("bigint").cast("string"))
                    .when(et == "error", F.lit("soon")))
-    return (ev.withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= max_attempts)
-            .select("user_id", (F.col("_rn") - 1).cast("bigint").alias("attempt_no"),
+    return (ev.withColumn("delivery_id", delivery)
+            .select("delivery_id", (F.row_number().over(w) - 1).cast("bigint").alias("attempt_no"),
                     status.alias("status"), retry_after.alias("retry_after")))
 
 
 def outcome_log_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An outcome log: one row per run (``seq`` = day of ``ts``) and account, the last event of that day.
+    """An outcome log with a row for every event: ``seq`` is the event's number, a run is a day.
 
     Only even users can be ``sent``, so the "latest failure" branch of the current view is exercised.
     """
     ev = _read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    seq = F.dayofmonth("ts").cast("bigint")
-    w = Window.partitionBy("user_id", seq).orderBy(F.col("ts").desc(), F.col("event_id").desc())
     sent = (F.col("event_type") == "purchase") & (F.col("user_id") % 2 == 0)
-    return (ev.withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") == 1)
-            .select(seq.alias("seq"),
-                    F.concat(F.lit("r"), seq.cast("string")).alias("run_id"),
-                    F.col("user_id").alias("account_id"),
-                    F.when(sent, "sent").otherwise("failed").alias("status"),
-                    F.when(sent, F.lit(None).cast("string"))
-                     .when(F.col("event_type") == "signup", "unknown_region")
-                     .otherwise("delivery_failed").alias("reason")))
+    return ev.select(
+        F.col("event_id").cast("bigint").alias("seq"),
+        F.concat(F.lit("r"), F.to_date("ts").cast("string")).alias("run_id"),
+        F.col("user_id").alias("account_id"),
+        F.when(sent, "sent").otherwise("failed").alias("status"),
+        F.when(sent, F.lit(None).cast("string"))
+         .when(F.col("event_type") == "signup", "unknown_region")
+         .otherwise("delivery_failed").alias("reason"))

@@ -77,7 +77,7 @@ def suite(spark, sf_dir: str, timed) -> None:
     timed("run_month_replay", lambda: run_month(spark, table, TARGET_MONTH, ledger, params,
                                                 transport=_accept, sleep=lambda s: None))
     timed("resolve_attempts", lambda: _noop(resolve_attempts(attempts_from_events(spark, sf_dir),
-                                                             RetryPolicy(jitter=False))))
+                                                             RetryPolicy(jitter=False), key="delivery_id")))
     # registered (correctness-path) queries that derive the source from the base tables
     for name in ("preview_alerts", "streak_target", "outcomes_current", "stream_alerts"):
         timed(f"registered_{name}", lambda n=name: _noop(QUERIES[n](spark, sf_dir)))
