@@ -1,6 +1,6 @@
 """Latest row per key.
 
-``groupBy(keys).agg(min(struct(sort key..., row...)))``: the aggregate has a map-side partial,
+``groupBy(keys).agg(min(struct(sort key...)))``: the aggregate has a map-side partial,
 so a key that holds a large share of all rows is reduced to one row per map task before the
 shuffle. ``dropDuplicates`` would keep an arbitrary row and is not used.
 
@@ -78,9 +78,18 @@ def sort_key(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 def latest_struct(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
                   order: Sequence[str] = DEFAULT_ORDER, alias: str = "_latest",
                   position: str | None = None) -> Column:
-    """Aggregate picking the winning row of a group: a struct of sort key then the non-key columns."""
-    row = [F.col(c).alias(c) for c in df.columns if c not in keys and c != position]
-    return F.min(F.struct(*sort_key(df, keys, order, position), F.struct(*row).alias("row"))).alias(alias)
+    """Aggregate picking the winning row of a group: a struct of the sort key, which holds every other
+    column once, and the order columns as they are (their sort form is reversed)."""
+    own = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    return F.min(F.struct(*sort_key(df, keys, order, position), *own)).alias(alias)
+
+
+def latest_columns(columns: Sequence[str], keys: Sequence[str] = DEFAULT_KEYS, order: Sequence[str] = DEFAULT_ORDER,
+                   alias: str = "_latest", position: str | None = None) -> list[Column]:
+    """``columns`` of the winning row again, from the grouped frame of :func:`latest_struct`."""
+    rest = [c for c in columns if c not in keys and c not in order and c != position]
+    place = {c: f"_o{i}" for i, c in enumerate(order)} | {c: f"_tv{i}" for i, c in enumerate(rest)}
+    return [F.col(c) if c in keys else F.col(f"{alias}.{place[c]}").alias(c) for c in columns if c != position]
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
@@ -105,8 +114,7 @@ def latest_by_key(df: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
     if count_col:
         aggs.append(F.count(F.lit(1)).alias(count_col))
     grouped = df.groupBy(*keys).agg(*aggs)
-    out_cols = [c for c in df.columns if c != position]
-    cols = [F.col(c) if c in keys else F.col(f"_latest.row.{c}").alias(c) for c in out_cols]
+    cols = latest_columns(df.columns, keys, order, position=position)
     if count_col:
         cols.append(F.col(count_col))
     return grouped.select(*cols)

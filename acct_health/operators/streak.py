@@ -3,10 +3,10 @@
 Walking back from the target month, a streak continues while the month exists and its
 status is At Risk. Two equivalent plans are offered:
 
-* bitmask (``risk_mask`` / ``streak_from_mask``): each At-Risk first-of-month row of the window
-  sets bit ``target_index - month_index``; the streak is the number of trailing one bits.
-  ``bit_or`` is a fixed-width buffer, so it stays in a hash aggregate with a map-side partial.
-  Usable while lookback <= 61 (bit 62 is the highest safe shift of a signed long).
+* bitmask (``risk_masks`` / ``streak_from_masks``): each At-Risk first-of-month row of the window
+  sets bit ``target_index - month_index``; the streak is the number of trailing one bits. A long
+  holds 62 months (bit 62 would be unsafe to add one to); a longer lookback takes further masks in
+  the same aggregate, so there is one plan for every lookback, with a map-side partial.
 * ranks (``streak_to_ranked``): among At-Risk months ordered newest first, the streak is the
   prefix whose offsets equal their ranks. Any lookback.
 
@@ -24,38 +24,50 @@ from acct_health.functions.months import is_first_of_month, month_index
 from acct_health.params import AT_RISK
 from acct_health.sources.account_month import validate_month
 
-MAX_MASK_LOOKBACK = 61
+#: Months in one mask.
+MASK_MONTHS = 62
 
 
 def _target_index(target: dt.date) -> int:
     return target.year * 12 + target.month - 1
 
 
-def risk_bit(target_month, lookback_months: int = MAX_MASK_LOOKBACK, status_col: str = "status",
-             month_col: str = "month") -> Column:
-    """``1 << (target - month)`` for an At-Risk first-of-month row within the lookback, else 0."""
+def risk_bit(target_month, lookback_months: int, status_col: str = "status", month_col: str = "month",
+             first_offset: int = 0) -> Column:
+    """``1 << (target - month - first_offset)`` for an At-Risk first-of-month row within the lookback whose
+    offset falls into the mask that begins at ``first_offset``, else 0."""
     target = validate_month(target_month)
     offset = F.lit(_target_index(target)) - month_index(month_col)
+    last = min(lookback_months, first_offset + MASK_MONTHS - 1)
     ok = ((F.col(status_col) == F.lit(AT_RISK)) & is_first_of_month(month_col)
-          & (offset >= 0) & (offset <= min(lookback_months, MAX_MASK_LOOKBACK)))
-    return F.when(ok, F.call_function("shiftleft", F.lit(1).cast("bigint"), offset.cast("int"))).otherwise(F.lit(0).cast("bigint"))
+          & (offset >= first_offset) & (offset <= last))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (offset - first_offset).cast("int"))
+    return F.when(ok, bit).otherwise(F.lit(0).cast("bigint"))
 
 
-def risk_mask(target_month, lookback_months: int = MAX_MASK_LOOKBACK, status_col: str = "status",
-              month_col: str = "month") -> Column:
-    """Aggregate: OR of :func:`risk_bit` over an account's deduplicated rows."""
-    return F.bit_or(risk_bit(target_month, lookback_months, status_col, month_col)).alias("risk_mask")
+def risk_masks(target_month, lookback_months: int, status_col: str = "status", month_col: str = "month") -> list[Column]:
+    """Aggregates risk_mask_0, risk_mask_1, ...: OR of :func:`risk_bit` over an account's deduplicated rows."""
+    firsts = range(0, lookback_months + 1, MASK_MONTHS)
+    return [F.bit_or(risk_bit(target_month, lookback_months, status_col, month_col, first)).alias(f"risk_mask_{i}")
+            for i, first in enumerate(firsts)]
 
 
-def streak_from_mask(mask: Column, target_month) -> tuple[Column, Column]:
-    """(duration_months, risk_start_month) from a mask; duration is at least 1 (D6 fallback)."""
+def streak_from_masks(masks: list[Column], target_month) -> tuple[Column, Column]:
+    """(duration_months, risk_start_month) from the masks; duration is at least 1 (D6 fallback)."""
     target = validate_month(target_month)
-    trailing = F.bit_count(F.bitwise_not(mask).bitwiseAND(mask + 1) - 1)  # trailing one bits
-    duration = F.greatest(F.coalesce(trailing, F.lit(0)), F.lit(1)).cast("bigint")
+    total = F.lit(0)
+    for mask in reversed(masks):  # a full mask goes on in the next one
+        ones = F.coalesce(F.bit_count(F.bitwise_not(mask).bitwiseAND(mask + 1) - 1), F.lit(0))
+        total = ones + F.when(ones == MASK_MONTHS, total).otherwise(F.lit(0))
+    duration = F.greatest(total, F.lit(1)).cast("bigint")
     start = F.add_months(F.lit(target), (F.lit(1) - duration).cast("int"))
     return duration.alias("duration_months"), start.alias("risk_start_month")
 
 
+def mask_columns(lookback_months: int) -> list[Column]:
+    return [F.col(f"risk_mask_{i}") for i in range(-(-(lookback_months + 1) // MASK_MONTHS))]
+
+
 def truncated(lookback_months: int, duration: str = "duration_months") -> Column:
     """True when the streak reaches the window edge, so the real streak may be longer."""
     return (F.col(duration) >= F.lit(lookback_months + 1)).alias("is_truncated")
@@ -64,12 +76,9 @@ def truncated(lookback_months: int, duration: str = "duration_months") -> Column
 def streak_to(latest: DataFrame, target_month, lookback_months: int,
               key: str = "account_id", with_truncation: bool = False) -> DataFrame:
     """Streak ending at the target for every account of a deduplicated window frame (bitmask plan)."""
-    if lookback_months > MAX_MASK_LOOKBACK:
-        out = streak_to_ranked(latest, target_month, lookback_months, key)
-    else:
-        per = latest.groupBy(key).agg(risk_mask(target_month, lookback_months))
-        duration, start = streak_from_mask(F.col("risk_mask"), target_month)
-        out = per.select(key, duration, start)
+    per = latest.groupBy(key).agg(*risk_masks(target_month, lookback_months))
+    duration, start = streak_from_masks(mask_columns(lookback_months), target_month)
+    out = per.select(key, duration, start)
     return out.withColumn("is_truncated", truncated(lookback_months)) if with_truncation else out
 
 
@@ -88,7 +97,8 @@ def streak_to_ranked(latest: DataFrame, target_month, lookback_months: int,
     run = ranked.where(F.col("_rk") == F.col("offset"))
     agg = run.groupBy(key).agg(F.count(F.lit(1)).alias("_d"))
     accounts = latest.select(key).distinct()
-    out = accounts.join(agg, on=key, how="left")
+    agg = agg.withColumnRenamed(key, "_key")  # a null account is an account of its own
+    out = accounts.join(agg, accounts[key].eqNullSafe(agg["_key"]), "left")
     duration = F.greatest(F.coalesce(F.col("_d"), F.lit(0)), F.lit(1)).cast("bigint")
     return out.select(key, duration.alias("duration_months"),
                       F.add_months(F.lit(target), (F.lit(1) - duration).cast("int")).alias("risk_start_month"))

@@ -19,11 +19,10 @@ from acct_health.functions.render import message_text
 from acct_health.operators.dedup import latest_by_key
 from acct_health.operators.routing import route
 from acct_health.operators.streak import (
-    MAX_MASK_LOOKBACK,
     at_risk_months,
-    risk_mask,
-    streak_from_mask,
-    streak_to_ranked,
+    mask_columns,
+    risk_masks,
+    streak_from_masks,
     with_island_streak,
 )
 from acct_health.params import AT_RISK, Params, region_dim
@@ -57,15 +56,9 @@ def snapshot_from_latest(latest: DataFrame, target_month, lookback_months: int)
         F.sum("n_versions").alias("n_rows"),
         F.count(F.lit(1)).alias("n_keys"),
     ]
-    if lookback_months <= MAX_MASK_LOOKBACK:
-        aggs.insert(0, risk_mask(target, lookback_months))
-    snap = latest.groupBy("account_id").agg(*aggs)
-    if lookback_months <= MAX_MASK_LOOKBACK:
-        duration, start = streak_from_mask(F.col("risk_mask"), target)
-        return snap.select("account_id", duration, start, "target_row", "n_rows", "n_keys")
-    streaks = streak_to_ranked(latest, target, lookback_months)
-    return snap.join(streaks, on="account_id", how="left").select(
-        "account_id", "duration_months", "risk_start_month", "target_row", "n_rows", "n_keys")
+    snap = latest.groupBy("account_id").agg(*risk_masks(target, lookback_months), *aggs)
+    duration, start = streak_from_masks(mask_columns(lookback_months), target)
+    return snap.select("account_id", duration, start, "target_row", "n_rows", "n_keys")
 
 
 def is_candidate(arr_threshold: int):

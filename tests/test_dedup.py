@@ -11,37 +11,31 @@ import pytest
 
 from acct_health.operators.dedup import dedup_counts, deduplicate, latest_by_key
 from acct_health.sources.account_month import ACCOUNT_MONTH_SCHEMA, month_window, read_account_month
-from tests.conftest import ARROW_SCHEMA, SAMPLE_ROWS, write_rows
+from tests.conftest import ARROW_SCHEMA, SAMPLE_ROWS, TARGET, row, write_rows
 
 
 def _row(account_id, month, status, updated_at, **kw):
-    base = {"account_id": account_id, "account_name": "n", "account_region": "AMER", "month": month,
-            "status": status, "renewal_date": None, "account_owner": None, "arr": 1, "updated_at": updated_at}
-    base.update(kw)
-    return base
+    return row(account_id, "Any", "EMEA", month, status, updated_at, arr=1, renewal=None, owner=None) | kw
 
 
 def _df(spark, rows):
     return spark.createDataFrame([tuple(r[c] for c in ACCOUNT_MONTH_SCHEMA.names) for r in rows], ACCOUNT_MONTH_SCHEMA)
 
 
-def test_latest_updated_at_wins_and_counts_duplicates(spark):
-    df = _df(spark, [
-        _row("a1", dt.date(2026, 1, 1), "At Risk", dt.datetime(2026, 1, 1)),
-        _row("a1", dt.date(2026, 1, 1), "Healthy", dt.datetime(2026, 1, 9)),
-        _row("a2", dt.date(2026, 1, 1), "At Risk", dt.datetime(2026, 1, 5)),
-    ])
-    latest, dup = deduplicate(df)
-    assert dup.first()["duplicate_rows"] == 1
-    by_id = {r["account_id"]: r for r in latest.collect()}
-    assert by_id["a1"]["status"] == "Healthy"
-    assert by_id["a2"]["status"] == "At Risk"
+def test_versions_of_a_month_become_the_latest(spark):
+    versions = [_row("oak", dt.date(2023, 7, 1), s, dt.datetime(2023, 7, d)) for d, s in [(9, "Churned"), (28, "At Risk"), (14, "Healthy")]]
+    other = [_row("oak", dt.date(2023, 8, 1), "Healthy", None), _row("yew", dt.date(2023, 7, 1), "Churned", dt.datetime(2023, 7, 1))]
+    latest, dup = deduplicate(_df(spark, versions + other))
+    assert dup.first()["duplicate_rows"] == 2
+    got = {(r["account_id"], r["month"].month): (r["status"], r["updated_at"]) for r in latest.collect()}
+    assert got == {("oak", 7): ("At Risk", dt.datetime(2023, 7, 28)), ("oak", 8): ("Healthy", None),
+                   ("yew", 7): ("Churned", dt.datetime(2023, 7, 1))}
 
 
-def test_empty_table(spark):
+def test_no_rows(spark):
     latest, dup = deduplicate(spark.createDataFrame([], ACCOUNT_MONTH_SCHEMA))
-    assert latest.collect() == []
-    assert dup.first()["duplicate_rows"] == 0
+    assert latest.columns == ACCOUNT_MONTH_SCHEMA.names
+    assert (latest.count(), dup.first()["duplicate_rows"]) == (0, 0)
 
 
 def test_null_never_beats_a_value_and_ties_are_deterministic(spark):
@@ -61,18 +55,15 @@ def test_null_never_beats_a_value_and_ties_are_deterministic(spark):
         assert by_id["a2"]["status"] == "At Risk"
 
 
-def test_dedup_across_files(spark, tmp_path):
-    # one row per file: dedup must work across files (the batch-boundary test of the reference)
+def test_versions_in_different_files(spark, tmp_path):
     folder = tmp_path / "split"
     folder.mkdir()
-    for i, r in enumerate(SAMPLE_ROWS):
+    for i, r in enumerate(SAMPLE_ROWS):  # a file for every row
         write_rows(folder / f"part-{i:02d}.parquet", [r])
-    am = read_account_month(spark, f"file://{folder}")
-    win = month_window(am, "2026-01-01", 24)
+    win = month_window(read_account_month(spark, f"file://{folder}"), TARGET, 24)
     c = dedup_counts(win).first()
-    assert c["rows_scanned"] == 11 and c["duplicate_rows"] == 1
-    by_id = {(r["account_id"], r["month"]): r for r in latest_by_key(win).collect()}
-    assert by_id[("a4", dt.date(2026, 1, 1))]["status"] == "Healthy"
+    assert (c["rows_scanned"], c["duplicate_rows"]) == (16, 2)
+    assert {r["status"] for r in latest_by_key(win).where("account_id = 'elm'").collect()} == {"Healthy"}
 
 
 def test_window_bounds_are_inclusive(spark):
@@ -93,7 +84,7 @@ def test_nanosecond_timestamps(spark, tmp_path):
         am = read_account_month(spark, path)
         assert dict(am.dtypes)["updated_at"] == "timestamp_ntz"
         latest = {(r["account_id"], r["month"]): r for r in latest_by_key(am).collect()}
-        assert latest[("a4", dt.date(2026, 1, 1))]["status"] == "Healthy"
+        assert latest[("elm", TARGET)]["status"] == "Healthy"
     finally:
         spark.conf.unset("spark.sql.legacy.parquet.nanosAsLong")
 

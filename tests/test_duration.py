@@ -1,4 +1,4 @@
-"""Continuous At-Risk duration: both streak plans against the cases of the reference and a plain walk."""
+"""Continuous At-Risk duration: both streak plans against patterns and a plain walk."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import random
 import pytest
 
 from acct_health.functions.months import month_minus
+from tests.conftest import TARGET
 from acct_health.operators.streak import streak_to, streak_to_ranked, streaks_all
 
 AR, H = "At Risk", "Healthy"
@@ -27,33 +28,29 @@ def _both(spark, history, target, lookback=24):
     return out[0]
 
 
-def test_gap_resets_streak(spark):
-    h = {dt.date(2025, 10, 1): AR, dt.date(2025, 11, 1): AR, dt.date(2025, 12, 1): H, dt.date(2026, 1, 1): AR}
-    assert _both(spark, h, dt.date(2026, 1, 1)) == (1, dt.date(2026, 1, 1))
+def _months(target, pattern):
+    """Months back from the target by a pattern: R at risk, h healthy, . no row."""
+    return {month_minus(target, k): {"R": AR, "h": H}[c] for k, c in enumerate(pattern) if c != "."}
 
 
-def test_continuous_streak(spark):
-    h = {dt.date(2025, 11, 1): AR, dt.date(2025, 12, 1): AR, dt.date(2026, 1, 1): AR}
-    assert _both(spark, h, dt.date(2026, 1, 1)) == (3, dt.date(2025, 11, 1))
+@pytest.mark.parametrize("pattern, months", [
+    ("R", 1), ("RRRR", 4), ("RRhRRR", 2), ("RRR.RRRR", 3), ("R.", 1), ("hRRR", 1), (".RRR", 1), ("R" * 14 + "h", 14)])
+def test_streak_patterns(spark, pattern, months):
+    target = dt.date(2021, 2, 1)  # a month early in its year, so streaks cross the turn of the year
+    history = _months(target, pattern) or {month_minus(target, 40): H}
+    assert _both(spark, history, target) == (months, month_minus(target, months - 1))
 
 
-def test_missing_prior_month_stops_count(spark):
-    h = {dt.date(2026, 1, 1): AR, dt.date(2025, 10, 1): AR}
-    assert _both(spark, h, dt.date(2026, 1, 1)) == (1, dt.date(2026, 1, 1))
-
-
-def test_year_boundary(spark):
-    h = {dt.date(2024, 12, 1): AR, dt.date(2025, 1, 1): AR}
-    assert _both(spark, h, dt.date(2025, 1, 1)) == (2, dt.date(2024, 12, 1))
-
-
-def test_no_at_risk_returns_one(spark):
-    assert _both(spark, {dt.date(2026, 1, 1): H}, dt.date(2026, 1, 1))[0] == 1
+def test_mid_month_date_is_never_visited(spark):
+    h = {dt.date(2021, 1, 17): AR, dt.date(2021, 2, 1): AR}
+    assert _both(spark, h, dt.date(2021, 2, 1)) == (1, dt.date(2021, 2, 1))
 
 
-def test_mid_month_date_is_never_visited(spark):
-    h = {dt.date(2025, 12, 15): AR, dt.date(2026, 1, 1): AR}
-    assert _both(spark, h, dt.date(2026, 1, 1)) == (1, dt.date(2026, 1, 1))
+def test_account_without_an_id_has_its_streak_in_both_plans(spark):
+    target = dt.date(2021, 2, 1)
+    rows = [(None, month_minus(target, k), AR) for k in range(3)]
+    df = spark.createDataFrame(rows, "account_id string, month date, status string")
+    assert [fn(df, target, 24).first()["duration_months"] for fn in (streak_to, streak_to_ranked)] == [3, 3]
 
 
 def _walk(history, target, lookback):
@@ -89,11 +86,12 @@ def test_plans_equal_a_plain_walk(spark, seed):
     assert got_all == expect_all
 
 
-def test_long_lookback_falls_back_to_ranks(spark):
+@pytest.mark.parametrize("length", [61, 62, 63, 70, 124, 125, 130])
+def test_lookbacks_of_several_masks(spark, length):
     target = dt.date(2026, 1, 1)
-    h = {month_minus(target, k): AR for k in range(70)}
-    r = streak_to(_latest(spark, h), target, 80).first()
-    assert r["duration_months"] == 70
+    h = {month_minus(target, k): AR for k in range(length)} | {month_minus(target, length + 1): AR}
+    assert _both(spark, h, target, 200)[0] == length
+    assert _both(spark, h, target, 62)[0] == min(length, 63)
 
 
 def test_truncation_flag(spark):
@@ -107,7 +105,7 @@ def test_truncation_flag(spark):
 
 def test_load_and_deduplicate(spark, sample_parquet):
     from acct_health.operators.dedup import load_and_deduplicate
-    latest, counts = load_and_deduplicate(spark, sample_parquet, "2026-01-01", 24)
+    latest, counts = load_and_deduplicate(spark, sample_parquet, TARGET, 24)
     c = counts.first()
-    assert (c["rows_scanned"], c["duplicate_rows"]) == (11, 1)
-    assert latest.count() == 10
+    assert (c["rows_scanned"], c["duplicate_rows"]) == (16, 2)
+    assert latest.count() == 14
