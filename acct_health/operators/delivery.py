@@ -104,38 +104,58 @@ def replay_transport(responses_col: str = "responses") -> Transport:
     return answer
 
 
+@dataclass(frozen=True)
+class Response:
+    """What one attempt brought: a status with its Retry-After text, or the error that came instead."""
+
+    status: int | None
+    retry_after: str | None = None
+    error: str | None = None
+
+
+def ask(transport: Transport, request: Request) -> Response:
+    """One attempt. Header names count without case; any exception of the transport is an answer."""
+    try:
+        status, headers = transport(request)
+        named = {str(k).lower(): v for k, v in dict(headers or {}).items()}
+        return Response(int(status), named.get("retry-after"))
+    except Exception as exc:
+        return Response(None, error=str(exc))
+
+
+def pause_after(attempt: int, response: Response, policy: RetryPolicy, rng: random.Random | None) -> float | None:
+    """Seconds until the next attempt, None where this response is the last (the closed form's rule)."""
+    if py_classify(response.status) != RETRY or attempt + 1 >= policy.max_attempts:
+        return None
+    return py_backoff(attempt, response.retry_after, policy.base_seconds, policy.cap_seconds, rng)
+
+
+def result_of(responses: list[Response], waited: float) -> dict:
+    """The result record (G5) of an alert's responses, the last of which was final."""
+    if not responses:
+        return dict(ok=False, status_code=None, attempts=0, error="no attempt allowed", waited_seconds=waited)
+    end = responses[-1]
+    kind = py_classify(end.status)
+    error = end.error if end.status is None else f"HTTP {end.status}" + (" (non-retryable)" if kind == FAIL else "")
+    seen = [r.status for r in responses if r.status is not None]
+    return dict(ok=kind == OK, status_code=seen[-1] if seen else None, attempts=len(responses),
+                error=None if kind == OK else error, waited_seconds=waited)
+
+
 def send_with_retry(transport: Transport, url: str, body: str, key: str, row: dict,
                     policy: RetryPolicy, sleep: Callable[[float], None]) -> dict:
-    """One alert through the retry loop (G2-G5). Returns ok, status_code, attempts, error, waited_seconds."""
+    """One alert until a response is final (G2-G5): ok, status_code, attempts, error, waited_seconds."""
     rng = random.Random(zlib.crc32(key.encode("utf-8"))) if policy.jitter else None
-    last_status, last_error, waited = None, None, 0.0
-    n = policy.max_attempts
-    for attempt in range(n):
-        try:
-            status, headers = transport(Request(url, body, key, attempt, row))
-        except Exception as exc:  # transport failure: retried like a 5xx without Retry-After
-            last_error = str(exc)
-            if attempt < n - 1:
-                w = py_backoff(attempt, None, policy.base_seconds, policy.cap_seconds, rng)
-                sleep(w)
-                waited += w
-            continue
-        last_status = int(status)
-        cls = py_classify(last_status)
-        if cls == OK:
-            return dict(ok=True, status_code=last_status, attempts=attempt + 1, error=None, waited_seconds=waited)
-        if cls == RETRY:
-            last_error = f"HTTP {last_status}"
-            if attempt < n - 1:
-                ra = (headers or {}).get("Retry-After")
-                w = py_backoff(attempt, ra, policy.base_seconds, policy.cap_seconds, rng)
-                sleep(w)
-                waited += w
-            continue
-        return dict(ok=False, status_code=last_status, attempts=attempt + 1,
-                    error=f"HTTP {last_status} (non-retryable)", waited_seconds=waited)
-    return dict(ok=False, status_code=last_status, attempts=n, error=last_error or "exhausted retries",
-                waited_seconds=waited)
+    responses: list[Response] = []
+    pauses: list[float] = []
+    while policy.max_attempts > 0:
+        responses.append(ask(transport, Request(url, body, key, len(responses), row)))
+        pause = pause_after(len(responses) - 1, responses[-1], policy, rng)
+        if pause is None:
+            break
+        sleep(pause)
+        pauses.append(pause)
+    return result_of(responses, float(sum(pauses)))
 
 
 RESULT_FIELDS = [

@@ -1,20 +1,19 @@
-"""Unknown-region digest (I1, I2): one text per run listing the accounts that could not be routed.
+"""Unknown-region digest (I1, I2): which accounts of a run could not be routed.
 
-Lines are sorted by account id inside each part. A digest longer than ``max_lines`` is split into
-parts by account hash, so no single group has to hold every unroutable account; with fewer lines
-there is exactly one part. No rows come out when nothing is unroutable.
+``digest_lines`` is a table with one row per such account; it has the same form at every size.
+``unknown_region_digest`` puts the lines together as texts to send: one, or as many parts as the
+caller asks for (accounts are dealt over parts by hash, lines are in account order within a part).
+Neither form depends on how many accounts there are, and no rows come out when there are none.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed digest wording: "Run <id>: <n>" then this text, then one line per account.
-HEADER_TAIL = " account(s) could not be routed to a channel (missing/unknown region). No alert was sent for these:"
-DEFAULT_MAX_LINES = 10_000
+# The digest's wording is this library's own.
+SUBJECT = "Accounts without a routed region"
+HEADER_TAIL = " account(s) got no alert because their region maps to no channel:"
 
 
 def py_repr(c: Column) -> Column:
@@ -34,23 +33,26 @@ def digest_line() -> Column:
                     py_repr(F.col("account_region")))
 
 
-def unknown_region_digest(routed: DataFrame, run_id: str, parts: int | None = None,
-                          max_lines: int = DEFAULT_MAX_LINES) -> DataFrame:
-    """(run_id, part, n_accounts, n_lines, body) for the unroutable rows of ``routed``.
+def digest_lines(routed: DataFrame, run_id: str, to: str | None = None) -> DataFrame:
+    """(run_id, to, subject, account_id, line) for the unroutable rows of ``routed``."""
+    return routed.where(~F.col("routable")).select(
+        F.lit(run_id).alias("run_id"), F.lit(to).cast("string").alias("to"), F.lit(SUBJECT).alias("subject"),
+        "account_id", digest_line().alias("line"))
+
+
+def unknown_region_digest(routed: DataFrame, run_id: str, n_accounts: int, parts: int = 1,
+                          to: str | None = None) -> DataFrame:
+    """(run_id, to, subject, part, n_accounts, n_lines, body) for the unroutable rows of ``routed``.
 
-    ``parts`` > 1 splits the list by account hash. ``None`` sizes it as ceil(unroutable / max_lines)
-    from a count (one scalar reaches the driver), so no part grows with the data beyond that.
-    """
-    unrouted = routed.where(~F.col("routable")).select("account_id", digest_line().alias("line"))
-    if parts is None:
-        parts = max(1, math.ceil(unrouted.count() / max(1, max_lines)))
+    ``n_accounts`` is their number, which a run's counts have; nothing is counted here. A part holds
+    its share of the lines in one row: ask for more parts, or use ``digest_lines``, where a text of
+    all accounts would be too long."""
     part = F.pmod(F.xxhash64("account_id"), F.lit(parts)) if parts > 1 else F.lit(0)
-    per_part = (unrouted.withColumn("part", part.cast("int"))
-                .groupBy("part")
-                .agg(F.count(F.lit(1)).alias("n_lines"),
-                     F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("account_id", "line"))),
-                                              lambda x: x.getField("line")), "\n").alias("lines")))
-    n_accounts = F.sum("n_lines").over(Window.partitionBy()) if parts > 1 else F.col("n_lines")
-    head = F.concat(F.lit(f"Run {run_id}: "), n_accounts.cast("string"), F.lit(HEADER_TAIL))
-    return per_part.select(F.lit(run_id).alias("run_id"), "part", n_accounts.cast("bigint").alias("n_accounts"),
-                           "n_lines", F.concat(head, F.lit("\n"), F.col("lines")).alias("body"))
+    lines = digest_lines(routed, run_id, to).withColumn("part", part.cast("int"))
+    per_part = lines.groupBy("run_id", "to", "subject", "part").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("account_id", "line"))),
+                                 lambda x: x.getField("line")), "\n").alias("lines"))
+    head = F.lit(f"Run {run_id}: {int(n_accounts)}{HEADER_TAIL}\n")
+    return per_part.select("run_id", "to", "subject", "part", F.lit(int(n_accounts)).cast("bigint").alias("n_accounts"),
+                           "n_lines", F.concat(head, F.col("lines")).alias("body"))

@@ -3,7 +3,7 @@
 The ledger is an append-only Parquet log partitioned by month plus a deterministic "current"
 view: per (account_id, month, alert_type) the first ``sent`` row, else the latest row. A ``sent``
 row is therefore terminal, a failed outcome is replaced by the next attempt, and replays
-are visible in the log without changing the view. Uniqueness is a property of the view's group
+are kept in a table beside the log, which lookups don't read. Uniqueness is a property of the view's group
 key rather than a constraint; one writer per month is assumed (concurrent runs of the same month
 need an external lock).
 """
@@ -11,7 +11,6 @@ need an external lock).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +54,10 @@ def log_path(ledger_dir: str) -> str:
     return f"{ledger_dir.rstrip('/')}/alert_outcomes_log"
 
 
+def replays_path(ledger_dir: str) -> str:
+    return f"{ledger_dir.rstrip('/')}/alert_replays"
+
+
 def runs_path(ledger_dir: str) -> str:
     return f"{ledger_dir.rstrip('/')}/runs"
 
@@ -66,12 +69,11 @@ def digests_path(ledger_dir: str) -> str:
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """An append-only table, or an empty frame of its schema when nothing was written yet.
     Readers never require ``_SUCCESS``: finished tasks of a failed append stay readable."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
-            return spark.createDataFrame([], schema)
-        raise
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_log(spark: SparkSession, ledger_dir: str) -> DataFrame:
@@ -82,10 +84,23 @@ def read_runs(spark: SparkSession, ledger_dir: str) -> DataFrame:
     return read_table(spark, runs_path(ledger_dir), RUNS_SCHEMA)
 
 
+def _append_outcomes(rows: DataFrame, path: str) -> None:
+    (rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields])
+     .write.mode("append").partitionBy("month").parquet(path))
+
+
 def append_log(rows: DataFrame, ledger_dir: str) -> None:
     """One append; the log is partitioned by month so a month's lookups prune the rest."""
-    (rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields])
-     .write.mode("append").partitionBy("month").parquet(log_path(ledger_dir)))
+    _append_outcomes(rows, log_path(ledger_dir))
+
+
+def append_replays(rows: DataFrame, ledger_dir: str) -> None:
+    """Replays skipped by a run, in a table of their own: lookups of outcomes never read them."""
+    _append_outcomes(rows, replays_path(ledger_dir))
+
+
+def read_replays(spark: SparkSession, ledger_dir: str) -> DataFrame:
+    return read_table(spark, replays_path(ledger_dir), LOG_SCHEMA)
 
 
 def append_run(run_row: DataFrame, ledger_dir: str) -> None:

@@ -56,7 +56,9 @@ class Params:
     retry_max_attempts: int = DEFAULT_MAX_ATTEMPTS
     retry_base_seconds: float = DEFAULT_RETRY_BASE
     retry_cap_seconds: float = DEFAULT_RETRY_CAP
+    # The digest of unroutable accounts: its recipient, and into how many texts it is cut.
     support_email: str | None = None
+    digest_parts: int = 1
     # Delivery parallelism: None sizes it from the number of sends (sends_per_task each, at most
     # max_delivery_tasks at once); waves bound how much one failed job can leave unrecorded.
     delivery_partitions: int | None = None
@@ -96,7 +98,8 @@ def region_dim_from_json(spark: SparkSession, text_col: DataFrame) -> DataFrame:
     """
     as_map = F.from_json("region_json", "map<string,string>")
     wrapped = F.from_json("region_json", "struct<regions:map<string,string>>").getField("regions")
-    has_wrapper = F.get_json_object("region_json", "$.regions").isNotNull()
+    # a key "regions" is the wrapper whatever its value; one that is no object routes nothing
+    has_wrapper = F.array_contains(F.json_object_keys("region_json"), "regions")
     chosen = F.when(has_wrapper, wrapped).otherwise(as_map)
     return (text_col
             .select(F.explode(chosen).alias("account_region", "channel"))

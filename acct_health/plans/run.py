@@ -4,8 +4,9 @@
    checkpoints only the candidates into the shared checkpoint folder (the lineage cut; also the
    load guard: any load error becomes a failed run row, H7).
 2. Current outcomes of the month from the ledger (partition-pruned), anti/semi logic as a join.
-3. Decisions (H2). Sends go in waves, each wave one ``mapInPandas`` delivery stage written straight
-   to the log in the same action; outcomes that need no send are written with the first wave.
+3. Decisions (H2) are made once and stored by wave. Each wave reads its own slice and is one
+   ``mapInPandas`` delivery stage written straight to the log in the same action; unroutable alerts
+   are written with the first wave, replays to a table of their own.
 4. Run counts observed while the outcome rows are written (no read-back); one run row appended;
    the unknown-region digest appended.
 
@@ -26,13 +27,14 @@ from pyspark.sql import functions as F
 
 from acct_health.functions.render import payload_json
 from acct_health.operators.delivery import RetryPolicy, Transport, deliver, target_url
-from acct_health.operators.digest import DEFAULT_MAX_LINES, unknown_region_digest
+from acct_health.operators.digest import unknown_region_digest
 from acct_health.operators.ledger import (
     RUNS_SCHEMA,
     SEND,
     SKIPPED,
     UNKNOWN_REGION,
     append_log,
+    append_replays,
     append_run,
     current_outcomes,
     decide,
@@ -41,11 +43,12 @@ from acct_health.operators.ledger import (
     outcome_count_columns,
     read_log,
     read_runs,
+    read_table,
     sent_keys,
     status_samples,
 )
 from acct_health.params import ALERT_TYPE, Params
-from acct_health.session import ensure_checkpoint_dir
+from acct_health.session import ensure_checkpoint_dir, scratch_path
 from acct_health.plans.alerts import materialize_candidates, routed_snapshot
 from acct_health.sources.account_month import (
     conform_account_month,
@@ -88,29 +91,47 @@ def record_run(spark: SparkSession, ledger_dir: str, **fields) -> None:
     append_run(_run_row(spark, base, **fields), ledger_dir)
 
 
+_NO_WAVE = -1
+
+
+def store_decisions(spark: SparkSession, decisions: DataFrame, waves: int, tasks: int) -> tuple[DataFrame, int]:
+    """(decisions, number of replays): the decisions, made once and written to the shared folder by wave,
+    so a wave reads nothing but its own slice."""
+    wave = F.when(F.col("decision") == SEND, F.pmod(F.xxhash64("account_id"), F.lit(waves))).otherwise(F.lit(_NO_WAVE))
+    rows = decisions.select("account_id", "month", "channel", payload_json("message"), "decision", wave.cast("int").alias("wave"))
+    seen = Observation(f"decisions-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "decisions")
+    (rows.observe(seen, F.count(F.when(F.col("decision") == SKIPPED, 1)).alias("replays"))
+     .repartition(max(1, waves * tasks), "wave", F.pmod(F.xxhash64("account_id", F.lit(1)), F.lit(max(1, tasks))))
+     .write.partitionBy("wave").parquet(path))
+    return read_table(spark, path, rows.schema), int(seen.get["replays"] or 0)
+
+
 def decide_and_deliver(spark: SparkSession, alerts: DataFrame, target, ledger_dir: str, params: Params,
                        transport: Transport, run_id: str, seq: int,
                        sleep: Callable[[float], None] = time.sleep, max_sends: int | None = None) -> dict:
     """H1-H3 for a frame of routed candidates: decide against the ledger's sent set, post the
     sends in waves, and append every outcome; returns the run counts (observed during the writes).
     The ledger decides, so running it again for the same alerts posts nothing new."""
+    if transport is None:
+        raise ValueError("a real run needs a transport")
     month_log = read_log(spark, ledger_dir).where(F.col("month") == F.lit(target))
     sent = sent_keys(current_outcomes(month_log), target, ALERT_TYPE)
-    decisions = decide(alerts, sent, dry_run=False)
-    d = F.col("decision")
-    no_send = decisions.where(d.isin(UNKNOWN_REGION, SKIPPED)).select(
-        "account_id", "month", "channel",
-        F.when(d == UNKNOWN_REGION, F.lit("failed")).otherwise(F.lit("skipped_replay")).alias("status"),
-        F.when(d == UNKNOWN_REGION, F.lit("unknown_region")).alias("reason"),
-        F.lit(None).cast("timestamp").alias("sent_at"), F.lit(None).cast("string").alias("error"),
-        F.lit(None).cast("bigint").alias("attempts"), F.lit(None).cast("int").alias("status_code"))
+    partitions, waves = delivery_layout(max_sends if max_sends is not None else params.wave_size, params)
+    decisions, replays = store_decisions(spark, decide(alerts, sent, dry_run=False), waves, partitions)
+
+    def unsent(which: str, status: str, reason: str | None) -> DataFrame:
+        return decisions.where(F.col("wave") == F.lit(_NO_WAVE)).where(F.col("decision") == which).select(
+            "account_id", "month", "channel", F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"),
+            F.lit(None).cast("timestamp").alias("sent_at"), F.lit(None).cast("string").alias("error"),
+            F.lit(None).cast("bigint").alias("attempts"), F.lit(None).cast("int").alias("status_code"))
 
     policy = RetryPolicy(params.retry_max_attempts, params.retry_base_seconds, params.retry_cap_seconds)
-    to_send = decisions.where(d == SEND).select("account_id", "month", "channel", payload_json("message"))
-    partitions, waves = delivery_layout(max_sends if max_sends is not None else params.wave_size, params)
-    totals = {"alerts_sent": 0, "skipped_replay": 0, "failed_deliveries": 0}
+    totals = {"alerts_sent": 0, "skipped_replay": replays, "failed_deliveries": 0}
+    if replays:
+        append_replays(_outcome_rows(unsent(SKIPPED, "skipped_replay", None), run_id, seq, _now()), ledger_dir)
     for w in range(waves):
-        wave = to_send if waves == 1 else to_send.where(F.pmod(F.xxhash64("account_id"), F.lit(waves)) == w)
+        wave = decisions.where(F.col("wave") == F.lit(w)).select("account_id", "month", "channel", "payload")
         results = deliver(wave, transport, policy, params.webhook_base_url, params.webhook_url,
                           key_prefix=ALERT_TYPE, partitions=partitions, sleep=sleep)
         ok = F.col("ok")
@@ -119,8 +140,8 @@ def decide_and_deliver(spark: SparkSession, alerts: DataFrame, target, ledger_di
             F.when(ok, F.lit("sent")).otherwise(F.lit("failed")).alias("status"),
             F.when(~ok, F.lit("delivery_failed")).alias("reason"),
             "sent_at", "error", "attempts", "status_code")
-        if w == 0:  # outcomes that need no send ride along with the first wave's append
-            rows = no_send.unionByName(rows)
+        if w == 0:  # unroutable alerts ride along with the first wave's append
+            rows = unsent(UNKNOWN_REGION, "failed", "unknown_region").unionByName(rows)
         # counts are observed while the rows are written: one action per wave, no read-back
         seen = Observation(f"outcomes-{run_id}-{w}")
         append_log(_outcome_rows(rows, run_id, seq, _now()).observe(seen, *outcome_count_columns()), ledger_dir)
@@ -146,7 +167,9 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
 
     try:
         if not dry_run:
-            target_url("channel", params.webhook_base_url, params.webhook_url)  # config check before any job
+            target_url("channel", params.webhook_base_url, params.webhook_url)  # config checks before any job
+            if transport is None:
+                raise ValueError("a real run needs a transport")
         am = (read_account_month(spark, source, scan_position=params.tie_break == "scan_order")
               if isinstance(source, str) else conform_account_month(source))
         window = month_window(am, target, params.lookback_months)
@@ -173,15 +196,14 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
                                 max_sends=counts["at_risk_count"] - counts["unknown_region_count"])
     append_run(_run_row(spark, base, status="succeeded", **totals), ledger_dir)
 
-    write_digest(alerts, run_id, counts["unknown_region_count"], ledger_dir)
+    write_digest(alerts, run_id, counts["unknown_region_count"], ledger_dir, params)
     return run_id
 
 
-def write_digest(alerts: DataFrame, run_id: str, n_unknown: int, ledger_dir: str) -> None:
+def write_digest(alerts: DataFrame, run_id: str, n_unknown: int, ledger_dir: str, params: Params) -> None:
     """Append the unknown-region digest of a run (I1); nothing when every alert was routable."""
     if n_unknown:
-        parts = max(1, math.ceil(n_unknown / DEFAULT_MAX_LINES))
-        (unknown_region_digest(alerts, run_id, parts)
+        (unknown_region_digest(alerts, run_id, n_unknown, params.digest_parts, params.support_email)
          .withColumn("recorded_at", F.lit(_now()))
          .write.mode("append").parquet(digests_path(ledger_dir)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -23,29 +24,46 @@ def _seq(*responses):
     return transport
 
 
-def test_retries_on_429_then_succeeds():
-    sleeps = []
-    res = send_with_retry(_seq((429, {"Retry-After": "2"}), (500, {}), (200, {})), "u", "{}", "k", {},
-                          RetryPolicy(), sleeps.append)
-    assert res["ok"] is True and res["attempts"] == 3
-    assert sleeps[0] == 2.0 and 2.0 <= sleeps[1] < 3.0
+def _send(*responses, policy=None):
+    """(result, pauses) of one alert answered by ``responses``."""
+    pauses = []
+    res = send_with_retry(_seq(*responses), "http://x", "{}", "some-key", {}, policy or RetryPolicy(), pauses.append)
+    return res, pauses
 
 
-def test_exhausts_retries_and_fails():
-    sleeps = []
-    res = send_with_retry(lambda r: (503, {}), "u", "{}", "k", {}, RetryPolicy(), sleeps.append)
-    assert res["ok"] is False and res["attempts"] == 5 and "503" in res["error"]
-    assert len(sleeps) == 4  # no sleep after the last attempt
+@pytest.mark.parametrize("header", ["Retry-After", "retry-after", "RETRY-AFTER"])
+def test_wait_named_by_the_receiver(header):
+    res, pauses = _send((503, {header: "7"}), (201, {}))
+    assert pauses == [7.0] and (res["ok"], res["status_code"], res["attempts"], res["waited_seconds"]) == (True, 201, 2, 7.0)
 
 
-def test_non_retryable_4xx_stops_immediately():
-    res = send_with_retry(lambda r: (404, {}), "u", "{}", "k", {}, RetryPolicy(), lambda s: None)
-    assert res["ok"] is False and res["attempts"] == 1 and res["error"] == "HTTP 404 (non-retryable)"
+@pytest.mark.parametrize("last, error", [((500, {}), "HTTP 500"), ((429, None), "HTTP 429"), (OSError("line cut"), "line cut")])
+def test_gives_up_after_the_policy_s_attempts(last, error):
+    res, pauses = _send((502, {}), (503, {}), last, policy=RetryPolicy(max_attempts=3))
+    assert (res["ok"], res["attempts"], res["error"], len(pauses)) == (False, 3, error, 2)
+    assert res["status_code"] == (503 if isinstance(last, Exception) else last[0])
 
 
-def test_transport_exception_is_retried():
-    res = send_with_retry(_seq(OSError("boom"), (200, {})), "u", "{}", "k", {}, RetryPolicy(), lambda s: None)
-    assert res["ok"] is True and res["attempts"] == 2
+@pytest.mark.parametrize("status", [301, 400, 404, 422, 600])
+def test_answers_that_waiting_can_t_change(status):
+    res, pauses = _send((status, {"Retry-After": "1"}))
+    assert pauses == [] and res["error"] == f"HTTP {status} (non-retryable)" and res["attempts"] == 1
+
+
+def test_cut_line_then_accepted():
+    res, pauses = _send(TimeoutError(), ConnectionError("reset"), (204, {}))
+    assert res["ok"] and res["attempts"] == 3 and len(pauses) == 2
+
+
+def test_jitter_stays_within_one_base():
+    for n in range(50):
+        pauses = []
+        send_with_retry(lambda r: (503, {}), "u", "{}", f"key-{n}", {}, RetryPolicy(5, 2.0, 9.0), pauses.append)
+        assert all(low <= p < low + 2.0 for p, low in zip(pauses, [2.0, 4.0, 8.0, 9.0], strict=True))
+
+
+def test_policy_without_attempts():
+    assert _send(policy=RetryPolicy(max_attempts=0))[0]["attempts"] == 0
 
 
 def test_malformed_retry_after_uses_exponential():
@@ -57,13 +75,13 @@ def test_malformed_retry_after_uses_exponential():
     assert py_backoff(0, "7", 1.0, 60.0, rng) == 7.0
 
 
-def test_base_url_takes_precedence_over_single_webhook(spark):
-    df = spark.createDataFrame([("amer-risk-alerts",)], "channel string")
-    got = df.select(target_url("channel", "http://base/hook/", "http://single/hook").alias("u")).first()["u"]
-    assert got == "http://base/hook/amer-risk-alerts"
-    assert df.select(target_url("channel", None, "http://single/hook").alias("u")).first()["u"] == "http://single/hook"
+def test_target_urls(spark):
+    df = spark.createDataFrame([("east-desk",)], "channel string")
+    url = lambda base, single: df.select(target_url("channel", base, single).alias("u")).first()["u"]
+    assert url("https://hub.example.org/in/", "https://hub.example.org/all") == "https://hub.example.org/in/east-desk"
+    assert url(None, "https://hub.example.org/all") == "https://hub.example.org/all"
     with pytest.raises(ValueError):
-        target_url("channel", None, None)
+        target_url("channel", "", None)
 
 
 def test_closed_form_equals_the_loop(spark):
@@ -85,17 +103,16 @@ def test_closed_form_equals_the_loop(spark):
     assert got == expect
 
 
-def test_message_format_contains_required_fields(spark):
-    row = [("a1", "Acct 1", "AMER", dt.date(2026, 6, 1), "owner@example.com", 50000, 3, dt.date(2025, 11, 1))]
-    df = spark.createDataFrame(row, "account_id string, account_name string, account_region string, "
-                                    "renewal_date date, account_owner string, arr long, duration_months long, "
-                                    "risk_start_month date")
-    text = df.select(message_text(base_url="https://app.example.com/accounts")).first()["message"]
-    assert text == ("\U0001F6A9 At Risk: Acct 1 (a1)\nRegion: AMER\nAt Risk for: 3 months (since 2025-11-01)\n"
-                    "ARR: $50,000\nRenewal date: 2026-06-01\nOwner: owner@example.com\n"
-                    "Details: https://app.example.com/accounts/a1")
-    payload = df.select(message_text(base_url="x").alias("m")).select(payload_json("m")).first()["payload"]
-    assert payload.startswith('{"text":"\U0001F6A9 At Risk: Acct 1 (a1)\\nRegion: AMER')
+def test_whole_message(spark):
+    df = spark.createDataFrame([("cedar", "Cedar Ltd", "APAC", dt.date(2024, 11, 30), "desk@example.org", 1_072_500, 5, dt.date(2023, 11, 1))],
+                               "account_id string, account_name string, account_region string, renewal_date date, "
+                               "account_owner string, arr long, duration_months long, risk_start_month date")
+    message = message_text(base_url="https://crm.example.org/a").alias("m")
+    assert df.select(message).first()["m"].split("\n") == [
+        "\U0001F6A9 At Risk: Cedar Ltd (cedar)", "Region: APAC", "At Risk for: 5 months (since 2023-11-01)", "ARR: $1,072,500",
+        "Renewal date: 2024-11-30", "Owner: desk@example.org", "Details: https://crm.example.org/a/cedar"]
+    payload = df.select(message).select(payload_json("m")).first()["payload"]
+    assert json.loads(payload) == {"text": df.select(message).first()["m"]}
 
 
 def test_message_nulls_follow_python_formatting(spark):

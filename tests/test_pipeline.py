@@ -4,163 +4,145 @@ from __future__ import annotations
 
 import dataclasses
 
+import pytest
 from pyspark.sql import functions as F
 
-from acct_health.operators.ledger import current_outcomes, read_log, read_runs
+from acct_health.operators.ledger import current_outcomes, read_log, read_replays, read_runs
 from acct_health.plans.alerts import preview
 from acct_health.plans.run import run_month, run_status
 from acct_health.sources.account_month import read_account_month
 
-from tests.conftest import FakeTransport, posts
+from tests.conftest import SAMPLE_ROWS, TARGET, FakeTransport, posts, row, write_rows
 
-MONTH = "2026-01-01"
 
+@pytest.fixture
+def ledger(tmp_path):
+    return str(tmp_path / "ledger")
 
-def test_preview_counts_candidates_and_unknown_region(spark, sample_parquet, params):
-    alerts, counts = preview(spark, read_account_month(spark, sample_parquet), MONTH, params)
+
+def _run(spark, source, ledger, params, transport=None, **options):
+    return run_month(spark, source, TARGET, ledger, params, transport=transport or FakeTransport(200), sleep=lambda s: None, **options)
+
+
+def _counts(spark, ledger, run_id):
+    c = run_status(spark, ledger, run_id)["counts"]
+    return c["alerts_sent"], c["skipped_replay"], c["failed_deliveries"]
+
+
+def test_preview_of_the_sample(spark, sample_parquet, params):
+    alerts, counts = preview(spark, read_account_month(spark, sample_parquet), TARGET, params)
     c = counts.first()
-    assert c["at_risk_count"] == 3
-    assert c["unknown_region_count"] == 1
-    assert c["duplicate_rows"] == 1
-    assert c["rows_scanned"] == 11
-    by_id = {r["account_id"]: r for r in alerts.collect()}
-    assert set(by_id) == {"a1", "a2", "a3"}
-    assert by_id["a1"]["duration_months"] == 1
-    assert by_id["a2"]["duration_months"] == 3
-    assert str(by_id["a2"]["risk_start_month"]) == "2025-11-01"
-    assert by_id["a3"]["routable"] is False
-    assert by_id["a3"]["reason"] == "unknown_region"
-    assert by_id["a1"]["channel"] == "amer-risk-alerts"
-    assert "Region: None" in by_id["a3"]["message"]
-
-
-def test_run_sends_and_replay_is_idempotent(spark, sample_parquet, params, tmp_path):
-    ledger = str(tmp_path / "ledger")
-    tr = FakeTransport(200, str(tmp_path))
-    run_id = run_month(spark, sample_parquet, MONTH, ledger, params, transport=tr, sleep=lambda s: None)
-    st = run_status(spark, ledger, run_id)
-    assert st["status"] == "succeeded"
-    assert st["counts"]["alerts_sent"] == 2
-    assert st["counts"]["failed_deliveries"] == 1
-    assert st["counts"]["skipped_replay"] == 0
-    assert st["counts"]["rows_scanned"] == 11 and st["counts"]["duplicate_rows"] == 1
-    assert [a["account_id"] for a in st["sample_alerts"]] == ["a1", "a2"]
-    assert [(e["account_id"], e["reason"]) for e in st["sample_errors"]] == [("a3", "unknown_region")]
-    assert len(posts(str(tmp_path))) == 2
-    assert any(p.endswith("/amer-risk-alerts at_risk|a1|2026-01-01") for p in posts(str(tmp_path)))
-
-    replay_id = run_month(spark, sample_parquet, MONTH, ledger, params, transport=tr, sleep=lambda s: None)
-    rs = run_status(spark, ledger, replay_id)
-    assert rs["counts"]["alerts_sent"] == 0
-    assert rs["counts"]["skipped_replay"] == 2
-    assert rs["counts"]["failed_deliveries"] == 1
-    assert rs["sample_alerts"] == []  # current rows of a1, a2 still belong to the first run
-    assert len(posts(str(tmp_path))) == 2  # nothing posted again
-
-    cur = current_outcomes(read_log(spark, ledger)).where(F.col("account_id") == "a1").collect()
-    assert len(cur) == 1 and cur[0]["status"] == "sent" and cur[0]["run_id"] == run_id
-
-
-def test_dry_run_persists_no_outcomes(spark, sample_parquet, params, tmp_path):
-    ledger = str(tmp_path / "ledger")
-    tr = FakeTransport(200, str(tmp_path))
-    run_id = run_month(spark, sample_parquet, MONTH, ledger, params, transport=tr, dry_run=True)
-    assert posts(str(tmp_path)) == []
-    assert read_log(spark, ledger).count() == 0
-    st = run_status(spark, ledger, run_id)
-    assert st["dry_run"] is True
-    assert st["counts"]["alerts_sent"] == 2 and st["counts"]["failed_deliveries"] == 1
-
-
-def test_dry_run_after_real_run_counts_would_send(spark, sample_parquet, params, tmp_path):
-    ledger = str(tmp_path / "ledger")
-    run_month(spark, sample_parquet, MONTH, ledger, params, transport=FakeTransport(200), sleep=lambda s: None)
-    dry = run_month(spark, sample_parquet, MONTH, ledger, params, transport=FakeTransport(200), dry_run=True)
-    st = run_status(spark, ledger, dry)
-    assert st["counts"]["alerts_sent"] == 2 and st["counts"]["skipped_replay"] == 0
-
-
-def test_failed_delivery_is_retried_next_run(spark, sample_parquet, params, tmp_path):
-    ledger = str(tmp_path / "ledger")
-    first = run_month(spark, sample_parquet, MONTH, ledger, params, transport=FakeTransport(503),
-                      sleep=lambda s: None)
-    st = run_status(spark, ledger, first)
-    assert st["counts"]["alerts_sent"] == 0 and st["counts"]["failed_deliveries"] == 3
-    errs = {e["account_id"]: e for e in st["sample_errors"]}
-    assert errs["a1"]["reason"] == "delivery_failed" and "503" in errs["a1"]["error"]
-    second = run_month(spark, sample_parquet, MONTH, ledger, params, transport=FakeTransport(200),
-                       sleep=lambda s: None)
-    st2 = run_status(spark, ledger, second)
-    assert st2["counts"]["alerts_sent"] == 2 and st2["counts"]["skipped_replay"] == 0
-    # the failed rows moved to the second run; the first run keeps its counts but loses its samples
-    assert run_status(spark, ledger, first)["counts"]["failed_deliveries"] == 3
-    assert {e["account_id"] for e in run_status(spark, ledger, first)["sample_errors"]} == set()
-
-
-def test_sent_account_whose_region_is_lost_counts_failed(spark, sample_parquet, params, tmp_path):
-    ledger = str(tmp_path / "ledger")
-    run_month(spark, sample_parquet, MONTH, ledger, params, transport=FakeTransport(200), sleep=lambda s: None)
-    no_amer = dataclasses.replace(params, region_channel_map={"EMEA": "emea-risk-alerts"})
-    rid = run_month(spark, sample_parquet, MONTH, ledger, no_amer, transport=FakeTransport(200),
-                    sleep=lambda s: None)
-    st = run_status(spark, ledger, rid)
-    assert st["counts"]["failed_deliveries"] == 2 and st["counts"]["skipped_replay"] == 1
-    cur = current_outcomes(read_log(spark, ledger)).where(F.col("account_id") == "a1").first()
-    assert cur["status"] == "sent"  # a sent row is terminal
+    assert (c["rows_scanned"], c["duplicate_rows"], c["at_risk_count"], c["unknown_region_count"]) == (16, 2, 4, 2)
+    got = {r["account_id"]: (r["duration_months"], r["risk_start_month"].isoformat(), r["channel"], r["reason"]) for r in alerts.collect()}
+    assert got == {"birch": (2, "2024-02-01", "emea-risk-alerts", None), "cedar": (5, "2023-11-01", "apac-risk-alerts", None),
+                   "dune": (1, "2024-03-01", None, "unknown_region"), "gum": (1, "2024-03-01", None, "unknown_region")}
 
 
-def test_load_failure_records_failed_run(spark, params, tmp_path):
-    ledger = str(tmp_path / "ledger")
-    rid = run_month(spark, f"file://{tmp_path}/missing.parquet", MONTH, ledger, params,
-                    transport=FakeTransport(200))
+def test_second_run_posts_nothing(spark, sample_parquet, params, ledger, tmp_path):
+    tr = FakeTransport(200, str(tmp_path))
+    first = _run(spark, sample_parquet, ledger, params, tr)
+    status = run_status(spark, ledger, first)
+    assert _counts(spark, ledger, first) == (2, 0, 2) and status["status"] == "succeeded"
+    assert [a["account_id"] for a in status["sample_alerts"]] == ["birch", "cedar"]
+    assert {(e["account_id"], e["reason"]) for e in status["sample_errors"]} == {("dune", "unknown_region"), ("gum", "unknown_region")}
+    sent = sorted(posts(str(tmp_path)))
+    assert sent == [f"http://localhost:9000/hook/{c} at_risk|{a}|2024-03-01" for c, a in [("apac-risk-alerts", "cedar"), ("emea-risk-alerts", "birch")]]
+
+    second = _run(spark, sample_parquet, ledger, params, tr)
+    assert _counts(spark, ledger, second) == (0, 2, 2)
+    assert sorted(posts(str(tmp_path))) == sent and run_status(spark, ledger, second)["sample_alerts"] == []
+    # the lookup table holds no row for what was skipped
+    assert read_log(spark, ledger).where("status = 'skipped_replay'").count() == 0
+    assert {r["account_id"] for r in read_replays(spark, ledger).collect()} == {"birch", "cedar"}
+    current = current_outcomes(read_log(spark, ledger)).where("status = 'sent'").collect()
+    assert {(r["account_id"], r["run_id"]) for r in current} == {("birch", first), ("cedar", first)}
+
+
+def test_dry_runs_store_and_post_nothing(spark, sample_parquet, params, ledger, tmp_path):
+    before = _run(spark, sample_parquet, ledger, params, FakeTransport(200, str(tmp_path)), dry_run=True)
+    assert posts(str(tmp_path)) == [] and read_log(spark, ledger).count() == 0
+    assert _counts(spark, ledger, before) == (2, 0, 2) and run_status(spark, ledger, before)["dry_run"]
+    _run(spark, sample_parquet, ledger, params)
+    after = _run(spark, sample_parquet, ledger, params, dry_run=True)
+    assert _counts(spark, ledger, after) == (2, 0, 2)  # a dry run says what would be sent, sent before or not
+
+
+def test_failures_are_tried_again_by_the_next_run(spark, sample_parquet, params, ledger):
+    down = _run(spark, sample_parquet, ledger, params, FakeTransport(502))
+    assert _counts(spark, ledger, down) == (0, 0, 4)
+    errors = {e["account_id"]: e for e in run_status(spark, ledger, down)["sample_errors"]}
+    assert errors["cedar"]["reason"] == "delivery_failed" and "502" in errors["cedar"]["error"]
+    up = _run(spark, sample_parquet, ledger, params)
+    assert _counts(spark, ledger, up) == (2, 0, 2)
+    assert _counts(spark, ledger, down) == (0, 0, 4) and run_status(spark, ledger, down)["sample_errors"] == []
+
+
+def test_region_taken_off_the_map_after_sending(spark, sample_parquet, params, ledger):
+    _run(spark, sample_parquet, ledger, params)
+    fewer = dataclasses.replace(params, region_channel_map={"EMEA": "emea-risk-alerts"})
+    assert _counts(spark, ledger, _run(spark, sample_parquet, ledger, fewer)) == (0, 1, 3)
+    cedar = current_outcomes(read_log(spark, ledger)).where("account_id = 'cedar'").first()
+    assert cedar["status"] == "sent"  # sent stays sent
+
+
+def test_source_that_is_not_there(spark, params, ledger, tmp_path):
+    rid = _run(spark, f"file://{tmp_path}/nowhere.parquet", ledger, params)
     run = read_runs(spark, ledger).where(F.col("id") == rid).first()
     assert run["status"] == "failed" and run["error"].startswith("AnalysisException")
-    assert run_status(spark, ledger, "no-such-run") is None
+    assert run_status(spark, ledger, "never-ran") is None
 
 
-def test_missing_webhook_target_records_failed_run(spark, sample_parquet, tmp_path):
+def test_real_run_without_a_transport(spark, sample_parquet, params, ledger):
+    rid = run_month(spark, sample_parquet, TARGET, ledger, params)
+    run = read_runs(spark, ledger).where(F.col("id") == rid).first()
+    assert run["status"] == "failed" and "transport" in run["error"] and read_log(spark, ledger).count() == 0
+
+
+def test_waves_read_their_own_slice(spark, sample_parquet, params):
+    from acct_health.operators.ledger import decide
+    from acct_health.plans.run import store_decisions
+    from acct_health.plans.alerts import alerts_from_snapshot, routed_snapshot
+    from acct_health.sources.account_month import month_window
+    alerts = alerts_from_snapshot(routed_snapshot(spark, month_window(read_account_month(spark, sample_parquet), TARGET, 24), TARGET, params))
+    sent = spark.createDataFrame([("cedar",)], "account_id string")
+    decisions, replays = store_decisions(spark, decide(alerts, sent, dry_run=False), waves=4, tasks=2)
+    assert replays == 1
+    assert {(r["account_id"], r["decision"], r["wave"] >= 0) for r in decisions.collect()} == {
+        ("birch", "send", True), ("cedar", "skipped_replay", False), ("dune", "unknown_region", False), ("gum", "unknown_region", False)}
+    plan = decisions.where("wave = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(wave" in plan and "Join" not in plan
+
+
+def test_run_without_a_target_url(spark, sample_parquet, ledger):
     from acct_health.params import Params
-    ledger = str(tmp_path / "ledger")
-    rid = run_month(spark, sample_parquet, MONTH, ledger, Params(), transport=FakeTransport(200))
+    rid = _run(spark, sample_parquet, ledger, Params())
     run = read_runs(spark, ledger).where(F.col("id") == rid).first()
     assert run["status"] == "failed" and "webhook" in run["error"]
 
 
-def test_digest_written_for_unknown_regions(spark, sample_parquet, params, tmp_path):
-    ledger = str(tmp_path / "ledger")
-    rid = run_month(spark, sample_parquet, MONTH, ledger, params, transport=FakeTransport(200), sleep=lambda s: None)
-    d = spark.read.parquet(f"{ledger}/digests").where(F.col("run_id") == rid).collect()
-    assert len(d) == 1 and d[0]["n_accounts"] == 1
-    assert d[0]["body"].endswith("\n  - a3 (Acct 3) region=None")
+def test_digest_of_a_run(spark, sample_parquet, params, ledger):
+    rid = _run(spark, sample_parquet, ledger, dataclasses.replace(params, support_email="desk@example.org"))
+    (d,) = spark.read.parquet(f"{ledger}/digests").where(F.col("run_id") == rid).collect()
+    assert (d["to"], d["n_accounts"], d["n_lines"], d["part"]) == ("desk@example.org", 2, 2, 0)
+    assert d["body"].split("\n")[1:] == ["  - dune (Dune SA) region=None", "  - gum (Gum LLC) region='ANTARCTICA'"]
 
 
-def test_scan_order_tie_break_end_to_end(spark, sample_parquet, params, tmp_path):
+def test_scan_order_tie_break_end_to_end(spark, sample_parquet, params, ledger):
     scan = dataclasses.replace(params, tie_break="scan_order")
     am = read_account_month(spark, sample_parquet, scan_position=True)
-    alerts, counts = preview(spark, am, MONTH, scan)
-    assert sorted(r["account_id"] for r in alerts.collect()) == ["a1", "a2", "a3"]
-    assert counts.first()["duplicate_rows"] == 1
-    ledger = str(tmp_path / "ledger")
-    rid = run_month(spark, sample_parquet, MONTH, ledger, scan, transport=FakeTransport(200), sleep=lambda s: None)
-    assert run_status(spark, ledger, rid)["counts"]["alerts_sent"] == 2
-
-
-def test_month_without_candidates(spark, sample_parquet, params, tmp_path):
-    ledger = str(tmp_path / "ledger")
-    rid = run_month(spark, sample_parquet, "2030-01-01", ledger, params, transport=FakeTransport(200),
-                    sleep=lambda s: None)
-    st = run_status(spark, ledger, rid)
-    assert st["status"] == "succeeded"
-    assert st["counts"] == {"rows_scanned": 0, "duplicate_rows": 0, "alerts_sent": 0, "skipped_replay": 0,
-                            "failed_deliveries": 0}
-
-
-def test_run_records_rejected_rows(spark, params, tmp_path):
-    from tests.conftest import SAMPLE_ROWS, row, write_rows
-    import datetime as dt
-    rows = SAMPLE_ROWS + [row(None, "No id", "AMER", dt.date(2026, 1, 1), "At Risk", dt.datetime(2026, 1, 3))]
-    path = write_rows(tmp_path / "with_null.parquet", rows)
-    ledger = str(tmp_path / "ledger")
-    rid = run_month(spark, path, MONTH, ledger, params, transport=FakeTransport(200), sleep=lambda s: None)
+    alerts, counts = preview(spark, am, TARGET, scan)
+    assert sorted(r["account_id"] for r in alerts.collect()) == ["birch", "cedar", "dune", "gum"]
+    assert counts.first()["duplicate_rows"] == 2
+    assert _counts(spark, ledger, _run(spark, sample_parquet, ledger, scan)) == (2, 0, 2)
+
+
+def test_month_without_candidates(spark, sample_parquet, params, ledger):
+    rid = run_month(spark, sample_parquet, "2030-01-01", ledger, params, transport=FakeTransport(200), sleep=lambda s: None)
     st = run_status(spark, ledger, rid)
-    assert st["rejected_rows"] == 1 and st["counts"]["rows_scanned"] == 12 and st["counts"]["alerts_sent"] == 2
+    assert st["status"] == "succeeded" and set(st["counts"].values()) == {0}
+
+
+def test_run_records_rejected_rows(spark, params, ledger, tmp_path):
+    path = write_rows(tmp_path / "with_null.parquet", [*SAMPLE_ROWS, row(None, "No id", "AMER", TARGET, "At Risk", None)])
+    st = run_status(spark, ledger, _run(spark, path, ledger, params))
+    assert (st["rejected_rows"], st["counts"]["rows_scanned"], st["counts"]["alerts_sent"]) == (1, 17, 2)

@@ -1,34 +1,39 @@
-"""Region -> channel routing, including the unknown_region path and the JSON map forms."""
+"""Region to channel: the join, regions that route nowhere, and the JSON forms of the map."""
 
 from __future__ import annotations
 
-from acct_health.operators.routing import route
+import pytest
+
+from acct_health.operators.routing import route, route_counts
 from acct_health.params import parse_region_map, region_dim, region_dim_from_json
 
+DESKS = {"NORTH": "desk-1", "SOUTH": "desk-2", "": "nobody", "VOID": None}
+
+
+def _routed(spark, regions):
+    df = spark.createDataFrame([(f"acc{i}", r) for i, r in enumerate(regions)], "account_id string, account_region string")
+    return route(df, region_dim(spark, DESKS), len(DESKS))
+
 
-def _route(spark, mapping, regions):
-    df = spark.createDataFrame([(str(i), r) for i, r in enumerate(regions)], "account_id string, account_region string")
-    return {r["account_region"]: r for r in route(df, region_dim(spark, mapping), len(mapping)).collect()}
+@pytest.mark.parametrize("region, channel", [("NORTH", "desk-1"), ("SOUTH", "desk-2"), ("south", None), ("EAST", None), ("VOID", None), ("", None), (None, None)])
+def test_each_kind_of_region(spark, region, channel):
+    r = _routed(spark, [region]).first()
+    assert (r["channel"], r["routable"], r["reason"]) == (channel, channel is not None, None if channel else "unknown_region")
 
 
-def test_known_regions_route_to_channels(spark):
-    got = _route(spark, {"AMER": "amer-risk-alerts", "EMEA": "emea-risk-alerts"}, ["AMER", "EMEA"])
-    assert got["AMER"]["channel"] == "amer-risk-alerts" and got["EMEA"]["channel"] == "emea-risk-alerts"
-    assert got["AMER"]["routable"] is True and got["AMER"]["reason"] is None
+def test_counts(spark):
+    c = route_counts(_routed(spark, ["NORTH", None, "EAST", "SOUTH", "NORTH"])).first()
+    assert (c["at_risk_count"], c["unknown_region_count"]) == (5, 2)
 
 
-def test_missing_or_unknown_region_is_unroutable(spark):
-    got = _route(spark, {"AMER": "amer-risk-alerts", "": "blank"}, [None, "", "LATAM", "amer"])
-    for k in [None, "", "LATAM", "amer"]:
-        assert got[k]["channel"] is None and got[k]["routable"] is False and got[k]["reason"] == "unknown_region"
+@pytest.mark.parametrize("text, expected", [
+    ('{"NORTH": "x", "SOUTH": "y"}', {"NORTH": "x", "SOUTH": "y"}), ('{"regions": {"NORTH": "z"}, "SOUTH": "y"}', {"NORTH": "z"}),
+    ('{"regions": null, "NORTH": "x"}', {}), ('{"regions": 3}', {}), ("[1, 2]", {}), ("{}", {})])
+def test_json_forms_agree(spark, text, expected):
+    assert parse_region_map(text) == expected
+    dim = region_dim_from_json(spark, spark.createDataFrame([(text,)], "region_json string"))
+    assert {r["account_region"]: r["channel"] for r in dim.collect()} == expected
 
 
-def test_region_map_json_forms(spark):
-    assert parse_region_map('{"AMER": "x"}') == {"AMER": "x"}
-    assert parse_region_map('{"regions": {"EMEA": "y"}}') == {"EMEA": "y"}
-    assert parse_region_map('["AMER"]') == {}
-    assert parse_region_map(None)["APAC"] == "apac-risk-alerts"
-    for text, expect in [('{"AMER": "x", "": "b"}', {"AMER": "x"}), ('{"regions": {"EMEA": "y"}}', {"EMEA": "y"}),
-                         ('["AMER"]', {})]:
-        dim = region_dim_from_json(spark, spark.createDataFrame([(text,)], "region_json string"))
-        assert {r["account_region"]: r["channel"] for r in dim.collect()} == expect
+def test_unset_map_is_the_default():
+    assert parse_region_map(None) == parse_region_map("") and "AMER" in parse_region_map(None)
