@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,11 +42,12 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names in ``spark.checkpoint.dir`` (None if unset)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, else the one already set on the
+    context (None if neither)."""
     value = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not value:
         value = spark.conf.get("spark.checkpoint.dir", None)
-    return value or None
+    return value or spark.sparkContext.getCheckpointDir() or None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -57,7 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(value)
         return value
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     value = tempfile.mkdtemp(prefix="acct-health-ckpt-")
     spark.conf.set("spark.checkpoint.dir", value)

@@ -3,15 +3,17 @@
 K1  ``latest_stream``: incremental latest-by-key of an arriving feed; update mode emits, per
     micro-batch, the current winner and row count of every key that changed.
 K2  optional watermark on the month (event time) so state older than the lookback is dropped.
-    Only valid for a month-ordered feed and targets at or after the newest month seen.
-K3  ``run_alert_stream``: ``foreachBatch`` appends the emitted winners to a log partitioned by
-    account-hash bucket, then recomputes the streak, routing and message of the accounts touched by the batch
-    from the log's current state, and appends one row per touched account. A late correction to an
-    old month changes the streaks of later months, so the whole lookback of a touched account is
-    recomputed rather than patched. The last row per account is the current alert state.
-
-Every write carries the micro-batch id; readers take the highest id per key, so a replayed batch
-(same id, same content) does not change the result.
+    Only valid for a month-ordered feed and targets at or after the newest month seen. Rows after
+    the target are taken out before the watermark, which they would push ahead, and are counted.
+K3  ``run_alert_stream``: ``foreachBatch`` keeps the current winners and the current alerts as
+    snapshots per account-hash bucket. A micro-batch reads the last snapshot of each bucket it
+    touches, puts its own rows in, and writes the bucket's next snapshot and alerts; older ones go.
+    So a batch costs what the touched buckets hold, however many batches came before it.
+    A late correction to an old month changes the streaks of later months, so the whole lookback of
+    a bucket's accounts is computed anew rather than patched.
+
+A snapshot carries its micro-batch's id and is made from the one before it, so a replayed batch
+writes the same again. The number of buckets is stored with the state and can't change.
 """
 
 from __future__ import annotations
@@ -19,38 +21,95 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from acct_health.operators.dedup import latest_struct
+from acct_health.operators.dedup import latest_columns, latest_struct
 from acct_health.params import Params
 from acct_health.plans.alerts import ALERT_COLUMNS, materialize_candidates, routed_snapshot
 from acct_health.plans.run import decide_and_deliver, record_run, write_digest
-from acct_health.sources.account_month import ACCOUNT_MONTH_COLUMNS, ACCOUNT_MONTH_SCHEMA, month_window, validate_month
+from acct_health.sources.account_month import (
+    ACCOUNT_MONTH_COLUMNS,
+    ACCOUNT_MONTH_SCHEMA,
+    conform_account_month,
+    month_window,
+    validate_month,
+)
 
 KEYS = ("account_id", "month")
+REJECTED = "rows_after_target"
+
+
+# --- files and folders through Hadoop, so any cluster file system works ----------------------------
+
+def _folder(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
+
+
+def _listed(spark: SparkSession, path: str) -> list:
+    fs, where = _folder(spark, path)
+    return list(fs.listStatus(where)) if fs.exists(where) else []
+
+
+class FeedContract:
+    """Checks the schema of every file of a feed before its rows are used: the schema a file source is
+    started with would turn a missing column into nulls."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.seen = spark, path, set()
+
+    def check(self) -> T.StructType | None:
+        """Checks the files that are new since the last call; the first file's schema, None without files."""
+        schema = None
+        for f in _listed(self.spark, self.path):
+            name = f.getPath().toString()
+            if f.isFile() and name not in self.seen and not f.getPath().getName().startswith(("_", ".")):
+                own = self.spark.read.parquet(name)
+                conform_account_month(own)  # raises SourceContractError
+                schema = schema or own.schema
+                self.seen.add(name)
+        return schema
 
 
 def read_feed(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A folder of account-month Parquet files as a stream (file source needs the schema up front)."""
-    r = spark.readStream.schema(ACCOUNT_MONTH_SCHEMA)
+    """A folder of account-month Parquet files as a stream, in the contract's columns and types.
+
+    Files that are there are checked now. Pass ``FeedContract(spark, path)`` to the stream's run to have
+    files that arrive later checked batch by batch."""
+    schema = FeedContract(spark, path).check() or ACCOUNT_MONTH_SCHEMA
+    r = spark.readStream.schema(schema)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.parquet(path)
+    return conform_account_month(r.parquet(path))
 
 
-def latest_stream(feed: DataFrame, watermark_months: int | None = None) -> DataFrame:
-    """Streaming latest-by-key (K1, K2): columns of the feed plus ``n_versions``."""
+def latest_stream(feed: DataFrame, watermark_months: int | None = None, target_month=None) -> DataFrame:
+    """Streaming latest-by-key (K1, K2): columns of the feed plus ``n_versions``.
+
+    A watermark needs the target month: rows after it are dropped first, and counted as the metric
+    ``rows_after_target`` of the query's progress (see :func:`rejected_rows`)."""
     df = feed.select(*ACCOUNT_MONTH_COLUMNS)
     keys = list(KEYS)
     if watermark_months is not None:
+        if target_month is None:
+            raise ValueError("a watermark needs the target month")
+        late = F.col("month") > F.lit(validate_month(target_month))
+        df = df.observe(REJECTED, F.count(F.when(late, 1)).alias("n")).where(~F.coalesce(late, F.lit(False)))
         df = df.withColumn("_month_ts", F.col("month").cast("timestamp")) \
                .withWatermark("_month_ts", f"{int(watermark_months) * 31} days")
         keys.append("_month_ts")
     src = df.drop("_month_ts") if "_month_ts" in df.columns else df
     agg = df.groupBy(*keys).agg(latest_struct(src, KEYS), F.count(F.lit(1)).alias("n_versions"))
-    return agg.select(*[F.col(c) if c in KEYS else F.col(f"_latest.row.{c}").alias(c)
-                        for c in ACCOUNT_MONTH_COLUMNS], "n_versions")
+    return agg.select(*latest_columns(ACCOUNT_MONTH_COLUMNS, KEYS), "n_versions")
+
+
+def rejected_rows(query) -> int:
+    """Rows after the target in the batches of the query's recent progress."""
+    return sum(int(p["observedMetrics"][REJECTED]["n"] or 0) for p in query.recentProgress
+               if REJECTED in (p["observedMetrics"] or {}))
 
 
 def current_latest(emitted: DataFrame) -> DataFrame:
@@ -68,12 +127,15 @@ def _start(stream: DataFrame, handler, checkpoint: str, available_now: bool = Tr
 
 
 def run_latest_stream(spark: SparkSession, feed: DataFrame, out_dir: str, checkpoint: str,
-                      watermark_months: int | None = None, available_now: bool = True):
+                      watermark_months: int | None = None, available_now: bool = True, target_month=None,
+                      contract: FeedContract | None = None):
     """K1: append each micro-batch's emissions (with ``batch_id``) under ``out_dir``."""
     def handle(batch: DataFrame, batch_id: int):
+        if contract:
+            contract.check()
         batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(out_dir)
 
-    q = _start(latest_stream(feed, watermark_months), handle, checkpoint, available_now)
+    q = _start(latest_stream(feed, watermark_months, target_month), handle, checkpoint, available_now)
     if available_now:
         q.awaitTermination()
     return q
@@ -83,21 +145,67 @@ def read_latest(spark: SparkSession, out_dir: str) -> DataFrame:
     return current_latest(spark.read.parquet(out_dir)).select(*ACCOUNT_MONTH_COLUMNS, "n_versions")
 
 
+def compact_latest(spark: SparkSession, out_dir: str, compacted_dir: str) -> None:
+    """Rewrite K1's emissions as one row per key. A stream that goes on with ``compacted_dir`` as its
+    output adds to it: these rows count as older than any batch's."""
+    cur = current_latest(spark.read.parquet(out_dir))
+    cur.withColumn("batch_id", F.lit(-1).cast("bigint")).write.parquet(compacted_dir)
+
+
+# --- bucketed snapshots --------------------------------------------------------------------------
+
 def account_bucket(buckets: int):
-    """Hash bucket of the account id: the emission log is partitioned by it."""
+    """Hash bucket of the account id: snapshots are partitioned by it."""
     return F.pmod(F.xxhash64("account_id"), F.lit(buckets)).cast("int")
 
 
+def fix_buckets(spark: SparkSession, state_dir: str, buckets: int) -> None:
+    """Store the number of buckets with a new state; refuse another number for an existing one."""
+    path = f"{state_dir}/layout"
+    if _listed(spark, path):
+        stored = spark.read.parquet(path).first()["buckets"]
+        if stored != buckets:
+            raise ValueError(f"the state in {state_dir} has {stored} buckets, not {buckets}")
+    else:
+        spark.createDataFrame([(int(buckets),)], "buckets int").coalesce(1).write.parquet(path)
+
+
+def _versions(spark: SparkSession, table: str, bucket: int) -> list[int]:
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in _listed(spark, f"{table}/bucket={bucket}")
+                  if f.getPath().getName().startswith("version="))
+
+
+def _snapshots(spark: SparkSession, table: str, buckets, before: int | None = None) -> DataFrame | None:
+    """The newest snapshot of each of ``buckets`` (older than ``before``), None if there is none."""
+    paths = []
+    for b in buckets:
+        known = [v for v in _versions(spark, table, b) if before is None or v < before]
+        if known:
+            paths.append(f"{table}/bucket={b}/version={known[-1]}")
+    return spark.read.option("basePath", table).parquet(*paths) if paths else None
+
+
+def _write_snapshots(spark: SparkSession, rows: DataFrame, table: str, buckets, version: int, tasks_per_bucket: int) -> None:
+    """One snapshot per bucket; those before the previous one are deleted."""
+    spread = F.pmod(F.xxhash64("account_id", F.lit(1)), F.lit(tasks_per_bucket))
+    (rows.withColumn("version", F.lit(version).cast("bigint"))
+     .repartition(max(1, len(buckets) * tasks_per_bucket), "bucket", spread)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(table))
+    for b in buckets:
+        known = [v for v in _versions(spark, table, b) if v < version]
+        for v in known[:-1]:
+            fs, where = _folder(spark, f"{table}/bucket={b}/version={v}")
+            fs.delete(where, True)
+
+
 def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params: Params, state_dir: str,
                      checkpoint: str, available_now: bool = True, state_buckets: int = 8,
-                     ledger_dir: str | None = None, transport=None, sleep=time.sleep):
+                     ledger_dir: str | None = None, transport=None, sleep=time.sleep,
+                     tasks_per_bucket: int = 1, contract: FeedContract | None = None):
     """K3: keep the alert state of ``target_month`` current as rows arrive.
 
-    The emission log is partitioned by account-hash bucket, one file per touched bucket and batch;
-    a micro-batch reads back only the buckets it touched (partition pruning), so its cost follows
-    the accounts it changes rather than the whole log. The list of touched buckets has at most
-    ``state_buckets`` entries. Raise ``state_buckets`` for a large state (each bucket's share of the
-    log is what a touching batch rereads); :func:`compact_log` bounds the log to one row per key.
+    A micro-batch rewrites the buckets it touches. Choose ``state_buckets`` so that a bucket is what a
+    batch may rewrite, and ``tasks_per_bucket`` so that each of a bucket's files suits one task.
 
     With ``ledger_dir`` each micro-batch also alerts (H1-H3): the touched candidates are decided
     against the ledger's sent set, sends are posted through ``transport``, outcomes appended, and
@@ -105,29 +213,37 @@ def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params:
     already sent posts nothing, because the ledger decides.
     """
     target = validate_month(target_month)
+    if ledger_dir is not None and transport is None:
+        raise ValueError("a stream with a ledger needs a transport")
+    fix_buckets(spark, state_dir, state_buckets)
     latest_dir, alerts_dir = f"{state_dir}/latest", f"{state_dir}/alerts"
     window = month_window(feed, target, params.lookback_months)
 
     def handle(batch: DataFrame, batch_id: int):
-        bid = F.lit(batch_id).cast("bigint").alias("batch_id")
+        if contract:
+            contract.check()
         # the batch frame is used more than once; persisting it keeps the stateful aggregate from running again
-        emitted = batch.select("*", bid, account_bucket(state_buckets).alias("bucket")).persist()
+        emitted = batch.withColumn("bucket", account_bucket(state_buckets)).persist()
         try:
-            # the touched buckets (at most state_buckets values) are observed during the write
-            seen = Observation(f"buckets-{batch_id}-{uuid.uuid4().hex}")
-            (emitted.observe(seen, F.collect_set("bucket").alias("buckets"))
-             .repartition(state_buckets, "bucket").write.mode("append")
-             .partitionBy("bucket").parquet(latest_dir))
-            touched_buckets = list(seen.get["buckets"] or [])
-            touched = emitted.select("account_id").distinct()
-            log = spark.read.parquet(latest_dir).where(F.col("bucket").isin(touched_buckets)).drop("bucket")
-            state = current_latest(log).join(touched, on="account_id", how="left_semi")
+            # the touched buckets: at most state_buckets values
+            touched = [r["bucket"] for r in emitted.select("bucket").distinct().collect()]
+            if not touched:
+                return
+            rows = emitted.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            before = _snapshots(spark, latest_dir, touched, batch_id)
+            if before is not None:
+                rows = rows.unionByName(before.drop("version").withColumn("batch_id", F.lit(-1).cast("bigint")))
+            _write_snapshots(spark, current_latest(rows), latest_dir, touched, batch_id, tasks_per_bucket)
+            state = _snapshots(spark, latest_dir, touched, batch_id + 1).drop("bucket", "version")
             routed = routed_snapshot(spark, None, target, params, latest=state).persist()
             try:
-                (routed.select("account_id", "is_candidate", *[c for c in ALERT_COLUMNS if c != "account_id"], bid)
-                 .write.mode("append").parquet(alerts_dir))
+                current = routed.where("is_candidate").select(*ALERT_COLUMNS).withColumn("bucket", account_bucket(state_buckets))
+                # a row without an account keeps each bucket's snapshot present when its last alert goes
+                marks = spark.range(state_buckets).where(F.col("id").isin(touched)).select(F.col("id").cast("int").alias("bucket"))
+                _write_snapshots(spark, current.unionByName(marks, allowMissingColumns=True), alerts_dir, touched, batch_id, tasks_per_bucket)
                 if ledger_dir is not None:
-                    _alert_batch(spark, routed, target, params, ledger_dir, transport, sleep, batch_id)
+                    changed = routed.join(emitted.select("account_id").distinct(), "account_id", "left_semi")
+                    _alert_batch(spark, changed, target, params, ledger_dir, transport, sleep, batch_id)
             finally:
                 routed.unpersist()
         finally:
@@ -149,24 +265,13 @@ def _alert_batch(spark, routed, target, params, ledger_dir, transport, sleep, ba
     record_run(spark, ledger_dir, id=run_id, seq=seq, source_uri=f"stream batch {batch_id}", month=target,
                rows_scanned=counts["rows_scanned"], duplicate_rows=counts["duplicate_rows"],
                rejected_rows=counts["rejected_rows"], **totals)
-    write_digest(cands, run_id, counts["unknown_region_count"], ledger_dir)
-
-
-def compact_log(spark: SparkSession, state_dir: str, out_dir: str) -> None:
-    """Rewrite the emission log as one row per key (the current winners), keeping the bucket layout.
-    Point a restarted stream's ``state_dir/latest`` at the result to bound read-back cost."""
-    log = spark.read.parquet(f"{state_dir}/latest")
-    n = log.select(F.max("bucket")).first()[0]
-    n = int(n) + 1 if n is not None else 1
-    cur = current_latest(log.drop("bucket"))
-    (cur.withColumn("batch_id", F.lit(-1).cast("bigint")).withColumn("bucket", account_bucket(n))
-     .repartition(n, "bucket").write.partitionBy("bucket").parquet(out_dir))
+    write_digest(cands, run_id, counts["unknown_region_count"], ledger_dir, params)
 
 
 def read_alerts(spark: SparkSession, state_dir: str) -> DataFrame:
-    """Current alerts: per account the row of the highest batch id, kept when it is a candidate."""
-    rows = spark.read.parquet(f"{state_dir}/alerts")
-    rest = [c for c in rows.columns if c not in ("account_id", "batch_id")]
-    cur = (rows.groupBy("account_id").agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_c"))
-           .select("account_id", *[F.col(f"_c.{c}").alias(c) for c in rest]))
-    return cur.where(F.col("is_candidate")).select(*ALERT_COLUMNS)
+    """Current alerts: the newest snapshot of every bucket."""
+    buckets = spark.read.parquet(f"{state_dir}/layout").first()["buckets"]
+    rows = _snapshots(spark, f"{state_dir}/alerts", range(buckets))
+    if rows is None:
+        raise ValueError(f"no batch has been processed in {state_dir}")
+    return rows.where(F.col("account_id").isNotNull()).select(*ALERT_COLUMNS)
