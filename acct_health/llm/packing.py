@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acct_health.llm.common import read_table, stored
-from acct_health.llm.wordcache import ChunkIds, expand, text_slices
+from acct_health.llm.wordcache import CACHE_CHUNKS, ChunkIds, expand, text_slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -53,21 +53,29 @@ class WordTokenizer:
         vocabulary = self.full.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.stop = {p: self.full.encode(p, add_special_tokens=False).ids if p else [] for p in ("", ".", ",")}
+        self.stop = {p: tuple(self.full.encode(p, add_special_tokens=False).ids) if p else () for p in ("", ".", ",")}
+        self.stems: dict[str, tuple[int, ...]] = {}
         self.cache = ChunkIds(self.encode_chunks)
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+    def encode_chunks(self, chunks: list[str]) -> list:
         plain = [self._PLAIN(c) for c in chunks]
-        stems = list(dict.fromkeys(m[1].lower() for m in plain if m))
-        ids: dict[str, list[int]] = {}
-        for i in range(0, len(stems), 500):
-            part = stems[i:i + 500]
-            got = np.array(self.letters.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
-            cut = np.flatnonzero(self.last[got]) + 1
-            ids.update(zip(part, (x.tolist() for x in np.split(got, cut[:-1])), strict=True))
-        other = [c for c, m in zip(chunks, plain, strict=True) if not m]
+        parts = [(m[1].lower(), m[2]) if m else None for m in plain]
+        known = self.stems
+        new = list({p[0] for p in parts if p and p[0] not in known})
+        if len(known) + len(new) > CACHE_CHUNKS:
+            known.clear()
+            new = list({p[0] for p in parts if p})
+        for i in range(0, len(new), 500):
+            part = new[i:i + 500]
+            got = self.letters.encode(" ".join(part), add_special_tokens=False).ids
+            at = 0
+            for stem, end in zip(part, np.flatnonzero(self.last[np.array(got, np.int64)]).tolist(), strict=True):
+                known[stem] = tuple(got[at:end + 1])
+                at = end + 1
+        other = [c for c, p in zip(chunks, parts, strict=True) if p is None]
         rest = dict(zip(other, (e.ids for e in self.full.encode_batch_fast(other, add_special_tokens=False)), strict=True))
-        return [ids[m[1].lower()] + self.stop[m[2]] if m else rest[c] for c, m in zip(chunks, plain, strict=True)]
+        stop = self.stop
+        return [(known[p[0]] + stop[p[1]] if p[1] else known[p[0]]) if p else rest[c] for c, p in zip(chunks, parts, strict=True)]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with END_ID, one after the other; end of each text)."""

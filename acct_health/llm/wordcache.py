@@ -6,14 +6,16 @@ distinct chunks are looked up or tokenized once, and NumPy expands them to the b
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a worker remembers between batches, and bytes of text expanded at once.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 SLICE_BYTES = 8 << 20
 
 
@@ -36,11 +38,18 @@ class ChunkIds:
             self._reset()
         new = [c for c in chunks if c not in self.code]
         if new:
-            got = self.encode(new)
-            n = len(self.code)
-            self.code.update(zip(new, range(n, n + len(new)), strict=True))
-            self.length.append(np.fromiter(map(len, got), np.int64, len(got)))
-            self.ids.append(np.fromiter((i for x in got for i in x), np.int32, int(self.length[-1].sum())))
+            collecting = gc.isenabled()
+            gc.disable()  # a million small lists at once make no cycles, and the collector slow
+            try:
+                got = self.encode(new)
+                n = len(self.code)
+                self.code.update(zip(new, range(n, n + len(new)), strict=True))
+                self.length.append(np.fromiter(map(len, got), np.int64, len(got)))
+                self.ids.append(np.fromiter(chain.from_iterable(got), np.int32, int(self.length[-1].sum())))
+                del got
+            finally:
+                if collecting:
+                    gc.enable()
             self._flat = None
         return np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
 
