@@ -54,15 +54,24 @@ def _check(plan, count, capacity):
     return len(bins)
 
 
+def _best_fit_decreasing(count, capacity):
+    gaps = []
+    for size in sorted(count, reverse=True):
+        for _ in range(count[size]):
+            fits = [g for g in gaps if g >= size]
+            if fits:
+                gaps.remove(min(fits))
+            gaps.append((min(fits) if fits else capacity) - size)
+    return len(gaps)
+
+
 def test_plans():
     rng = random.Random(1)
     for capacity in (12, 30, 100, 2048):
         for _ in range(30):
             count = {rng.randrange(1, capacity + 1): rng.choice([1, 2, 3, 40]) for _ in range(rng.randrange(1, 25))}
             n = _check(plan_packing(count, capacity), count, capacity)
-            total = sum(s * k for s, k in count.items())
-            least = max(-(-total // capacity), sum(k for s, k in count.items() if 2 * s > capacity))
-            assert n <= least * 1.25 + 1
+            assert n <= _best_fit_decreasing(count, capacity)
     assert len(plan_packing({})) == 0
     assert _check(plan_packing({10: 4, 20: 4}, 30), {10: 4, 20: 4}, 30) == 4
     assert _check(plan_packing({1: 61}, 30), {1: 61}, 30) == 3
