@@ -6,7 +6,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from acct_health.plans.oracle import SQL
+from acct_health.plans.registry import QUERIES
 from tools.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -19,12 +21,12 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    ok, ns, nd, _, detail = compare(spark, name, SF, queries()[name], oracle_sql()[name], con)
+    ok, ns, nd, _, detail = compare(spark, name, SF, QUERIES[name], SQL[name], con)
     assert ok, f"{name}: spark={ns} duck={nd} {detail}"
 
 
