@@ -148,3 +148,44 @@ def judged(docs: DataFrame, words_by_language: dict[str, list[str]] = COMMON_WOR
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read_table(spark, sf_dir, "documents")).drop("character_js", "word_js")
+
+
+_LISTED = ", ".join(f"('{lang}', '{word}')" for lang, words in COMMON_WORDS.items() for word in words)
+ORACLE_SQL = rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+f AS (SELECT r, doc_id, lang, ws, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    length(regexp_replace(t, '[^\pL]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS upper,
+    length(regexp_replace(t, '[^0-9]', '', 'g')) AS digit, length(regexp_replace(t, '[^\pP]', '', 'g')) AS punct FROM w),
+g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS q
+    FROM (SELECT r, ws, unnest(range(1, n_words - 1)) AS i FROM f WHERE n_words >= 3)),
+d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, q) AS n FROM g) WHERE n > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM d, (VALUES (0), (1), (2)) v(k) GROUP BY r),
+listed(l, word) AS (VALUES {_LISTED}),
+wc AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(ws) AS word FROM f) GROUP BY ALL),
+sums AS (SELECT lang AS l, sum(n_words) AS words, sum(letters - upper) AS c1, sum(upper) AS c2, sum(digit) AS c3, sum(punct) AS c4,
+    sum(word_chars - letters - digit - punct) AS c5 FROM f WHERE lang IN (SELECT l FROM listed) GROUP BY lang HAVING sum(n_words) > 0),
+refc AS (SELECT l, c, x / greatest(1, c1 + c2 + c3 + c4 + c5) AS q
+    FROM (SELECT *, unnest([c1, c2, c3, c4, c5]) AS x, unnest([1, 2, 3, 4, 5]) AS c FROM sums)),
+refn AS (SELECT s.l, t.word, coalesce(sum(wc.n), 0) AS n FROM sums s JOIN listed t USING (l) LEFT JOIN (wc JOIN f ON f.r = wc.r)
+    ON wc.word = t.word AND f.lang = s.l GROUP BY ALL),
+refw AS (SELECT l, word, n / words AS q FROM refn JOIN sums USING (l)
+    UNION ALL SELECT l, NULL, (any_value(words) - sum(n)) / any_value(words) FROM refn JOIN sums USING (l) GROUP BY l),
+docn AS (SELECT f.r, refw.l, refw.word, refw.q, coalesce(wc.n, 0) AS n, f.n_words FROM f, refw LEFT JOIN wc ON wc.r = f.r AND wc.word = refw.word),
+docw AS (SELECT r, l, q, CASE WHEN word IS NULL THEN n_words - sum(n) OVER (PARTITION BY r, l) ELSE n END / greatest(n_words, 1) AS p FROM docn),
+docc AS (SELECT r, l, q, x / greatest(1, list_sum(xs)) AS p FROM (
+    SELECT r, unnest(xs) AS x, xs, unnest([1, 2, 3, 4, 5]) AS c FROM (
+        SELECT r, [letters - upper, upper, digit, punct, greatest(word_chars - letters - digit - punct, 0)] AS xs FROM f)) JOIN refc USING (c)),
+js AS (SELECT kind, r, l, sqrt(greatest(sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+        + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2), 0)) AS js
+    FROM (SELECT 'w' AS kind, * FROM docw UNION ALL SELECT 'c', * FROM docc) GROUP BY kind, r, l),
+near AS (SELECT r, min({{'w': a.js, 'c': b.js}}) AS x FROM (SELECT * FROM js WHERE kind = 'w') a JOIN (SELECT * FROM js WHERE kind = 'c') b USING (r, l) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, failed AS base_failed,
+    NOT failed AND NOT coalesce(word_chars >= {LEAST_CHARACTERS} AND (x.c > {CHARACTER_LIMIT}
+        OR (n_words >= {LEAST_COMPARED_WORDS} AND x.c > {BOTH_LIMITS[0]} AND x.w > {BOTH_LIMITS[1]})), false) AS kept
+FROM (SELECT f.*, n_repeat_words, x, n_words < {LEAST_WORDS} OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS failed
+      FROM f LEFT JOIN cov USING (r) LEFT JOIN near USING (r))
+"""

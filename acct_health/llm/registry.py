@@ -31,6 +31,7 @@ QUERIES = {
 SQL = {
     "op1_url_filter": url_filter.ORACLE_SQL,
     "op2_norm_sorted_topk": topk.ORACLE_SQL,
+    "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
 }
