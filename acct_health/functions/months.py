@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 def month_minus(d: dt.date, months: int) -> dt.date:
     """First of the month ``months`` before ``d`` (across years)."""
-    total = d.year * 12 + (d.month - 1) - months
-    return dt.date(total // 12, total % 12 + 1, 1)
+    years, month0 = divmod(d.month - 1 - months, 12)
+    return d.replace(year=d.year + years, month=month0 + 1, day=1)
 
 
 def month_index(c) -> Column:

@@ -76,11 +76,10 @@ def parse_region_map(text: str | None) -> dict:
     """``{"AMER": ..}`` or ``{"regions": {..}}``; a non-object routes nothing; unset or empty -> default."""
     if not text:
         return dict(DEFAULT_REGION_MAP)
-    parsed = json.loads(text)
-    if not isinstance(parsed, dict):
-        return {}
-    inner = parsed.get("regions", parsed)
-    return dict(inner) if isinstance(inner, dict) else {}
+    entries = json.loads(text)
+    if isinstance(entries, dict) and "regions" in entries:
+        entries = entries["regions"]
+    return dict(entries) if isinstance(entries, dict) else {}
 
 
 def region_dim(spark: SparkSession, region_map: dict) -> DataFrame:

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from urllib.parse import urlparse
+#: Schemes that are read, and the Hadoop scheme that reads them.
+READABLE = {"gs": "gs", "s3": "s3a", "s3a": "s3a"}
 
 
 def resolve_uri(uri: str) -> str:
-    """``file://`` and bare paths stay local, ``gs://`` passes through, ``s3://`` becomes ``s3a://``.
-
-    Any other scheme raises ``ValueError``. The ``file://`` host part is dropped.
-    Object stores need their connector on the cluster classpath; Spark raises at read time otherwise.
-    """
-    parsed = urlparse(uri)
-    scheme = parsed.scheme or "file"
-    if scheme == "file":
-        return f"file://{parsed.path}" if parsed.scheme else uri
-    if scheme in ("gs", "s3a"):
+    """A bare path stays as it is, ``file:`` loses its host part, ``gs://`` and ``s3://`` go to their
+    connectors (``s3a``), which the cluster must have; any other scheme raises ``ValueError``."""
+    head, colon, rest = uri.partition(":")
+    if not colon or "/" in head:
         return uri
-    if scheme == "s3":
-        return "s3a://" + uri[len("s3://"):]
-    raise ValueError(f"Unsupported source_uri scheme: {scheme!r} ({uri})")
+    kind = head.lower()
+    if kind == "file":
+        path = rest[2:].partition("/")[2] if rest.startswith("//") else rest.lstrip("/")
+        return f"file:///{path}"
+    if kind not in READABLE or not rest.startswith("//"):
+        raise ValueError(f"cannot read {uri}: known are bare paths, file, {', '.join(sorted(READABLE))}")
+    return f"{READABLE[kind]}:{rest}"
