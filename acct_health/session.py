@@ -68,10 +68,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for tables a job writes itself."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/acct_health/{name}-{uuid.uuid4().hex}"
-
+    """A fresh path for a table a job writes itself, in a folder of this application under the shared
+    checkpoint folder. The folder goes when the application ends."""
+    sc = spark.sparkContext
+    if getattr(sc, "_acct_health_scratch", None) is None:
+        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/acct_health/{uuid.uuid4().hex}"
+        where = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        sc._acct_health_scratch = folder
+    return f"{sc._acct_health_scratch}/{name}-{uuid.uuid4().hex}"
 
 
 def ship_package(spark: SparkSession) -> None:
