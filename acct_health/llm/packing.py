@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,11 +54,11 @@ class WordTokenizer:
         vocabulary = self.full.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.stop = {p: tuple(self.full.encode(p, add_special_tokens=False).ids) if p else () for p in ("", ".", ",")}
-        self.stems: dict[str, tuple[int, ...]] = {}
+        self.stop = {p: array("i", self.full.encode(p, add_special_tokens=False).ids).tobytes() if p else b"" for p in ("", ".", ",")}
+        self.stems: dict[str, bytes] = {}
         self.cache = ChunkIds(self.encode_chunks)
 
-    def encode_chunks(self, chunks: list[str]) -> list:
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         plain = [self._PLAIN(c) for c in chunks]
         parts = [(m[1].lower(), m[2]) if m else None for m in plain]
         known = self.stems
@@ -67,13 +68,13 @@ class WordTokenizer:
             new = list({p[0] for p in parts if p})
         for i in range(0, len(new), 500):
             part = new[i:i + 500]
-            got = self.letters.encode(" ".join(part), add_special_tokens=False).ids
-            at = 0
-            for stem, end in zip(part, np.flatnonzero(self.last[np.array(got, np.int64)]).tolist(), strict=True):
-                known[stem] = tuple(got[at:end + 1])
-                at = end + 1
+            got = np.array(self.letters.encode(" ".join(part), add_special_tokens=False).ids, "<i4")
+            raw, at = got.tobytes(), 0
+            for stem, end in zip(part, (4 * np.flatnonzero(self.last[got]) + 4).tolist(), strict=True):
+                known[stem] = raw[at:end]
+                at = end
         other = [c for c, p in zip(chunks, parts, strict=True) if p is None]
-        rest = dict(zip(other, (e.ids for e in self.full.encode_batch_fast(other, add_special_tokens=False)), strict=True))
+        rest = dict(zip(other, (array("i", e.ids).tobytes() for e in self.full.encode_batch_fast(other, add_special_tokens=False)), strict=True))
         stop = self.stop
         return [(known[p[0]] + stop[p[1]] if p[1] else known[p[0]]) if p else rest[c] for c, p in zip(chunks, parts, strict=True)]
 

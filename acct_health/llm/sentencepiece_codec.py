@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,8 +146,8 @@ class Codec:
 
     # -- segmentation -------------------------------------------------------------------------------
 
-    def _segment(self, chunks: list[str]) -> list[list[int]]:
-        return self.segmenter.encode(chunks, num_threads=1)
+    def _segment(self, chunks: list[str]) -> list[bytes]:
+        return [array("i", ids).tobytes() for ids in self.segmenter.encode(chunks, num_threads=1)]
 
     def _chunks(self, normal: pa.Array) -> pa.Array:
         """Chunks of each normalised text: a run of marks with what follows it, or a loose character."""
