@@ -78,6 +78,12 @@ class WordTokenizer:
         stop = self.stop
         return [(known[p[0]] + stop[p[1]] if p[1] else known[p[0]]) if p else rest[c] for c, p in zip(chunks, parts, strict=True)]
 
+    def forget(self) -> None:
+        """Gives a task's memory back: the worker may wait long for its next one."""
+        self.cache.forget()
+        self.stems.clear()
+        pa.default_memory_pool().release_unused()
+
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with END_ID, one after the other; end of each text)."""
         split = pc.ascii_split_whitespace(texts)
@@ -123,6 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                     [b.column("doc_id").slice(row, len(texts)).cast(pa.int64()).take(pa.array(doc)),
                      pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tok.forget()
 
     return docs.select("doc_id", "text").mapInArrow(cut, _PIECES)
 

@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a worker remembers between batches, and bytes of text expanded at once.
-CACHE_CHUNKS = 400_000
-SLICE_BYTES = 8 << 20
+#: Chunks that a task remembers between batches, and bytes of text expanded at once.
+CACHE_CHUNKS = 250_000
+SLICE_BYTES = 2 << 20
 
 
 class ChunkIds:
@@ -23,9 +23,9 @@ class ChunkIds:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_CHUNKS):
         self.encode, self.limit = encode, limit
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
         self.code: dict[str, int] = {}
         self.ids: list[np.ndarray] = []
         self.length: list[np.ndarray] = []
@@ -34,7 +34,7 @@ class ChunkIds:
     def codes(self, chunks: list[str]) -> np.ndarray:
         """The chunks' codes, valid until the next call."""
         if len(self.code) > self.limit:
-            self._reset()
+            self.forget()
         new = [c for c in chunks if c not in self.code]
         if new:
             collecting = gc.isenabled()
