@@ -3,12 +3,17 @@
 Words pass through small transducers into classes: insult (terms learnt from labelled rows, as whole
 words or as word beginnings), threat, target, negation, reported speech. Composed, they read a clause
 from left to right; each insult or threat that is matched leaves by a path that says whether a target
-was read in the clause, whether it is negated and whether it is reported. A clause scores its
-strongest match: the term's log odds plus the path's weight. A text's score is the probability that
-its strongest clause gives, or that of unmatched texts; words outside a matched clause count nothing.
-
-Terms and path weights are learnt from at most ``TRAIN_ROWS`` labelled rows (by a hash of their id)
-with crc32(doc_id) % 4 <> 2. A term needs enough toxic texts with contexts of their own that chance
+was read in the clause, whether it is negated and whether it is reported. A threat is only matched
+where its clause has a target. A clause scores its strongest match: the term's log odds plus the
+path's weight; by a negated or reported path a term counts ``CALM`` at most, so that such a match is
+clean whatever the term, unless labelled rows with no other matches say otherwise. A text's score is
+the probability that its strongest clause gives, or that of unmatched texts; words outside a matched
+clause count nothing.
+
+Terms, threats and path weights are learnt from at most ``TRAIN_ROWS`` labelled rows (by a hash of
+their id) with crc32(doc_id) % 4 <> 2. Each threat word has log odds of its own, from the texts that
+have it with a target (``THREAT`` without any), so one that is an ordinary word of another language
+loses its weight there. A term needs enough toxic texts with contexts of their own that chance
 would not give a single one among all candidates, so words of a toxic text with many copies don't
 become terms. Lists of function words are fixed; a score uses the text only.
 
@@ -40,10 +45,13 @@ STEMS = (4, 5, 6, 7)
 #: Share of toxic texts among those with it that a word, and a word beginning, needs.
 PRECISION, STEM_PRECISION = 0.85, 0.96
 THRESHOLD = 0.3
-#: Words read on each side of a match, within its clause.
-REACH = 12
-#: Log odds of a threat before its path's weight.
+#: Log odds of a threat before its path's weight, where no labelled text has it.
 THREAT = 1.0
+#: Log odds that a term has at most by a negated or reported path, before the path's weight. With any
+#: path's weight before learning it gives less than ``THRESHOLD``.
+CALM = -1.6
+#: Words before a match in which a negation is its own.
+NEGATION_REACH = 3
 #: Path weights (log odds added) before learning; learnt ones are drawn from these by ``PATH_PRIOR`` matches.
 PATH_PRIOR = 20
 NEGATED, REPORTED, TARGETED = -0.7, -0.4, 0.7
@@ -55,6 +63,8 @@ NEGATIONS = frozenset("not no never none cannot nicht kein keine nie pas jamais
 REPORTS = frozenset("said says say wrote writes called quoted claimed sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
 
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
+_QUOTES = tuple("\"“«„")
+_QUOTE_END = re.compile(r"[\"”»“]\W*$")
 _CLAUSE_END = re.compile(r"[.!?;:]$")
 
 
@@ -67,29 +77,22 @@ class Grammar:
     terms: dict[str, float] = field(default_factory=dict)  # a word, or a beginning with *
     paths: dict[tuple[bool, bool, bool], float] = field(default_factory=dict)  # targeted, negated, reported
     base: float = 0.02
+    threats: dict[str, float] = field(default_factory=dict)
 
-    def weight(self, word: str) -> float:
-        """The insult transducer: a whole word first, else its longest known beginning; 0 is no match."""
+    def weight(self, word: str) -> float | None:
+        """The insult and threat transducers: a whole word first, else its longest known beginning; None is no match."""
         plain = _plain(word)
+        if plain in THREATS:
+            return self.threats.get(plain, THREAT)
         if plain in self.terms:
             return self.terms[plain]
-        if plain in THREATS:
-            return THREAT
         for n in reversed(STEMS):
             if len(plain) > n and plain[:n] + "*" in self.terms:
                 return self.terms[plain[:n] + "*"]
-        return 0.0
-
-    def path(self, clause: list[str], at: int) -> tuple[bool, bool, bool]:
-        """Runs the composed automaton over a clause: (targeted, negated, reported) of the match at ``at``."""
-        targeted = negated = reported = False
-        for i, word in enumerate(clause):
-            plain = _plain(word)
-            targeted |= plain in TARGETS
-            if i < at:
-                negated |= plain in NEGATIONS and at - i <= 3
-                reported |= plain in REPORTS or word[:1] in "\"“«„"
-        return targeted, negated, reported
+        return None
+
+    def log_odds(self, weight: float, path: tuple[bool, bool, bool]) -> float:
+        return (min(weight, CALM) if _calm(path) else weight) + self.path_weight(path)
 
     def path_weight(self, path: tuple[bool, bool, bool]) -> float:
         prior = TARGETED * path[0] + NEGATED * path[1] + REPORTED * path[2]
@@ -98,32 +101,73 @@ class Grammar:
     def score(self, matches: list[tuple[float, tuple[bool, bool, bool]]]) -> float:
         if not matches:
             return self.base
-        best = max(w + self.path_weight(p) for w, p in matches)
+        best = max(self.log_odds(w, p) for w, p in matches)
         return max(self.base, 1 / (1 + math.exp(-best)))
 
 
+def _calm(path: tuple[bool, bool, bool]) -> bool:
+    return path[1] or path[2]
+
+
 def matches(texts: pa.Array, grammar: Grammar) -> list[list[tuple[float, tuple[bool, bool, bool]]]]:
     """Each text's matches: the term's weight and the path it left the automaton by."""
+    return [[(w, p) for _, w, p in found] for found in _matches(texts, grammar)]
+
+
+def _matches(texts: pa.Array, grammar: Grammar) -> list[list[tuple[str, float, tuple[bool, bool, bool]]]]:
+    """Each text's matches: the word, its weight and its path (targeted, negated, reported). The composed
+    automaton reads whole clauses: targets anywhere in the match's clause, before the match the reports,
+    open quotation marks (one at the match itself unless it opens the clause) and near negations."""
     split = pc.ascii_split_whitespace(texts)
     words = split.flatten().dictionary_encode()
     out: list[list] = [[] for _ in range(len(texts))]
     if not len(words):
         return out
     forms = words.dictionary.to_pylist()
-    weight = np.fromiter(map(grammar.weight, forms), np.float64, len(forms))
+    weight = [grammar.weight(w) for w in forms]
+    matched = np.fromiter((w is not None for w in weight), bool, len(forms))
     code = words.indices.to_numpy()
-    ends = np.cumsum(pc.list_value_length(split).to_numpy())
-    for at in np.flatnonzero(weight[code]):
-        row = int(np.searchsorted(ends, at, side="right"))
-        first, last = int(ends[row - 1]) if row else 0, int(ends[row])
-        a = at
-        while a > max(first, at - REACH) and not _CLAUSE_END.search(forms[code[a - 1]]):
-            a -= 1
-        b = at
-        while b < min(last, at + REACH) - 1 and not _CLAUSE_END.search(forms[code[b]]):
-            b += 1
-        clause = [forms[c] for c in code[a:b + 1]]
-        out[row].append((float(weight[code[at]]), grammar.path(clause, int(at - a))))
+    places = np.flatnonzero(matched[code])
+    if not len(places):
+        return out
+    size = pc.list_value_length(split).to_numpy()
+    ends = np.cumsum(size)
+    rows = np.searchsorted(ends, places, side="right")
+    hit = np.zeros(len(size), bool)
+    hit[rows] = True
+    used = np.unique(code[np.repeat(hit, size)])  # forms of texts with matches; clauses don't leave a text
+    some = [forms[i] for i in used.tolist()]
+    plain = dict(zip(used.tolist(), map(_plain, some), strict=True))
+
+    def flag(is_it: Iterator[bool]) -> np.ndarray:
+        """A property of each word, in texts with matches."""
+        of_form = np.zeros(len(forms), bool)
+        of_form[used] = np.fromiter(is_it, bool, len(used))
+        return of_form[code]
+
+    def before(is_it: Iterator[bool]) -> np.ndarray:
+        """The number of words with a property before each place."""
+        return np.concatenate([[0], np.cumsum(flag(is_it))])
+
+    targets, negations, reports = (before(w in listed for w in plain.values()) for listed in (TARGETS, NEGATIONS, REPORTS))
+    opening = flag(w[:1] in _QUOTES for w in some)
+    number = np.arange(len(code))
+    opened = np.maximum.accumulate(np.where(opening, number, -1))  # last opening mark up to here
+    closed = np.maximum.accumulate(np.where(flag(bool(_QUOTE_END.search(w)) for w in some), number, -1))
+    last_word = flag(bool(_CLAUSE_END.search(w)) for w in some)
+    last_word[ends[ends > 0] - 1] = True
+    clause_ends = np.flatnonzero(last_word)
+    clauses = np.searchsorted(clause_ends, places)
+    for at, row, clause in zip(places.tolist(), rows.tolist(), clauses.tolist(), strict=True):
+        a = int(clause_ends[clause - 1]) + 1 if clause else 0
+        b = int(clause_ends[clause]) + 1
+        targeted = bool(targets[b] > targets[a])
+        form = int(code[at])
+        if plain[form] in THREATS and not targeted:
+            continue
+        negated = bool(negations[at] > negations[max(a, at - NEGATION_REACH)])
+        quoted = at > a and (opening[at] or opened[at - 1] >= a and closed[at - 1] < opened[at - 1])
+        out[row].append((plain[form], float(weight[form]), (targeted, negated, bool(quoted or reports[at] > reports[a]))))
     return out
 
 
@@ -174,32 +218,43 @@ def _fit(sample: DataFrame) -> Grammar:
     gain = F.col("n") * (F.col("p") * F.log(F.col("p") / share) + rest)  # Chernoff's exponent against chance
     chance = math.log(max(2, contexts.count())) + 2
     found = both.where(gain >= chance).collect()  # terms of the bounded sample
-    terms = {r.key: math.log((r.yes + 0.5) / (r.no + 0.5)) for r in found}
+    terms = {r.key: math.log((r.yes + 0.5) / (r.no + 0.5)) for r in found if r.key not in THREATS}
     draft = Grammar(terms)
 
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label = b.column("toxic").to_pylist()
+            label, doc = b.column("toxic").to_pylist(), b.column("doc").to_pylist()
             for row, texts in text_slices(b.column("text")):
-                got = matches(texts, draft)
-                rows = [(label[row + i], 4 * p[0] + 2 * p[1] + p[2]) for i, m in enumerate(got)
-                        for p in ({path for _, path in m} or {(0, 0, 0)})]
-                some = [bool(m) for m in got for _ in range(max(1, len({path for _, path in m})))]
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.bool_()), pa.array([p if s else -1 for (_, p), s in zip(rows, some, strict=True)], pa.int32())],
-                                                 ["toxic", "path"])
-
-    table = {(r.path, r.toxic): r.n for r in sample.mapInArrow(paths, "toxic boolean, path int").groupBy("path", "toxic").agg(
-        F.count("*").alias("n")).collect()}  # at most 18 rows
-    yes = sum(n for (p, t), n in table.items() if p >= 0 and t)
-    no = sum(n for (p, t), n in table.items() if p >= 0 and not t)
+                rows = [(label[row + i], doc[row + i], key) for i, m in enumerate(_matches(texts, draft)) for key in _uses(m)]
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _, _ in rows], pa.bool_()), pa.array([d for _, d, _ in rows], pa.int64()),
+                                                  pa.array([k for _, _, k in rows], pa.string())], ["toxic", "doc", "key"])
+
+    used = sample.select("toxic", F.xxhash64("text").alias("doc"), "text").mapInArrow(uses, "toxic boolean, doc long, key string").groupBy(
+        "key", "toxic").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("texts")).collect()  # two rows a path and threat at most
+    table, texts = {(r.key, r.toxic): r.n for r in used}, {(r.key, r.toxic): r.texts for r in used}
+    every = [tuple(bool(p & bit) for bit in (4, 2, 1)) for p in range(8)]
+    yes, no = (sum(table.get((str(p), t), 0) for p in every if not _calm(p)) for t in (True, False))
     weights = {}
-    for p in range(8):
-        path = bool(p & 4), bool(p & 2), bool(p & 1)
-        y, n = table.get((p, True), 0), table.get((p, False), 0)
-        learnt = math.log((y + 0.5) / (n + 0.5)) - math.log((yes + 0.5) / (no + 0.5))
+    for path in every:
+        y, n = table.get((str(path), True), 0), table.get((str(path), False), 0)
+        learnt = math.log((y + 0.5) / (n + 0.5)) - (CALM if _calm(path) else math.log((yes + 0.5) / (no + 0.5)))
         weights[path] = (PATH_PRIOR * draft.path_weight(path) + (y + n) * learnt) / (PATH_PRIOR + y + n)
-    none = table.get((-1, True), 0), table.get((-1, False), 0)
-    return Grammar(terms, weights, min(0.29, (none[0] + 0.5) / (sum(none) + 1)))
+    # texts count on a path with a target, so its weight goes off again; without texts this is THREAT
+    threats = {w: math.log((texts.get((w, True), 0) + 0.5 * math.exp(THREAT + TARGETED)) / (texts.get((w, False), 0) + 0.5)) - TARGETED
+               for w in sorted(THREATS) if (w, True) in texts or (w, False) in texts}
+    none = table.get(("", True), 0), table.get(("", False), 0)
+    return Grammar(terms, weights, min(0.29, (none[0] + 0.5) / (sum(none) + 1)), threats)
+
+
+def _uses(found: list[tuple[str, float, tuple[bool, bool, bool]]]) -> list[str]:
+    """What a labelled text teaches about: the paths of its terms (negated and reported ones if it has no
+    others, else its label says nothing of them), and threats that count; nothing matched is ''."""
+    if not found:
+        return [""]
+    threats = {w for w, _, p in found if w in THREATS and not _calm(p)}
+    paths = {p for w, _, p in found if w not in THREATS or _calm(p)}
+    calm = {p for p in paths if _calm(p)}
+    return sorted({str(p) for p in (paths - calm or (set() if threats else calm))} | threats)
 
 
 def predict(docs: DataFrame, grammar: Grammar, keep: list[str]) -> DataFrame:

@@ -87,3 +87,37 @@ def test_no_labels_and_no_rows(spark):
     assert {r.predicted for r in scored(frame, labels).collect()} == {0}
     assert scored(frame.where("false"), labels).count() == 0
     assert predict(frame, Grammar(), ["text", "toxic"]).columns == ["text", "toxic", "score", "predicted"]
+
+
+def _predicted(spark, grammar, texts):
+    got = predict(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), grammar, ["i"]).orderBy("i").collect()
+    return [r.predicted for r in got]
+
+
+def test_clean_negated_reported_and_lone_words(spark):
+    strong = Grammar({"fool": 9.0, "nast*": 2.0})
+    clean = ["kill", "kill time on a train", "stab", "you are not a fool", "no fool, you see", "she said fool", "she said you are a fool",
+             'he laughed: "you fool" was in a letter', 'the word "fool" is old', "she said that I will kill you", "I will not kill you"]
+    assert _predicted(spark, strong, clean) == [0] * len(clean)
+    toxic = ["you fool", '"Fool!"', "I will kill you", "kill" + " w" * 40 + " you", 'a "small" word, you fool', "not now. you fool",
+             "you are not a fool. you nastier fool"]
+    assert _predicted(spark, strong, toxic) == [1] * len(toxic)
+
+
+def test_whole_clause_is_read():
+    assert _match("you" + " w" * 40 + " fool")[0][1] == (True, False, False)
+    assert _match("word said" + " w" * 40 + " fool")[0][1] == (False, False, True)
+    assert _match("she said. w fool")[0][1] == (False, False, False)
+
+
+def test_threats_and_negated_matches_follow_the_labels(spark):
+    docs, labels = _rows()
+    more = [(3000 + i, f"du siehst w{i} stab am w{i + 7}", 0) for i in range(60)]
+    more += [(4000 + i, f"w{i} you must strangle w{i + 3}", 1) for i in range(60)]
+    more += [(5000 + i, f"w{i} w{i + 2} nicht zilch w{i + 5}", 1) for i in range(60)]
+    ask = ["du siehst einen stab", "you I shall strangle", "I shall shoot you", "nicht zilch", "said zilch"]
+    plain = fit(*_frames(spark, docs, labels))
+    assert _predicted(spark, plain, ask) == [1, 1, 1, 0, 0]
+    taught = fit(*_frames(spark, docs + [r[:2] for r in more], labels + [(i, t) for i, _, t in more]))
+    assert taught.threats["stab"] < 0 < THREAT < taught.threats["strangle"] and "strangle" not in taught.terms
+    assert _predicted(spark, taught, ask) == [0, 1, 1, 1, 0]
