@@ -44,6 +44,7 @@ from acct_health.sources.fixtures import (
     account_month_from_tables,
     attempts_from_events,
     outcome_log_from_events,
+    padded_id,
 )
 from acct_health.streaming.stream import (
     compact_latest,
@@ -243,7 +244,7 @@ def q_deliver_replay(spark, sf_dir):
 def _current(spark, sf_dir, string_ids=False):
     log = outcome_log_from_events(spark, sf_dir)
     if string_ids:
-        log = log.withColumn("account_id", F.concat(F.lit("a"), F.lpad(F.col("account_id").cast("string"), 5, "0")))
+        log = log.withColumn("account_id", padded_id("a", F.col("account_id"), 5))
     return current_outcomes(log, key=("account_id",))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the test-data mapping: region names to account regions
@@ -37,6 +37,12 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("n_nationkey", code.alias("account_region")))
 
 
+def padded_id(prefix: str, key: Column, width: int) -> Column:
+    """``prefix`` and the key with leading zeros up to ``width`` digits; longer keys stay whole."""
+    digits = key.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")))
+
+
 def account_month_from_tables(spark: SparkSession, sf_dir: str, first_of_month: bool = True) -> DataFrame:
     """The nine-column ``account_month`` frame built from the TPC-H-like tables.
 
@@ -58,7 +64,7 @@ def account_month_from_tables(spark: SparkSession, sf_dir: str, first_of_month:
     j = li.join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
     ln = F.col("l_linenumber")
     return j.select(
-        F.concat(F.lit("a"), F.lpad(F.col("l_suppkey").cast("string"), 5, "0")).alias("account_id"),
+        padded_id("a", F.col("l_suppkey"), 5).alias("account_id"),
         F.col("s_name").alias("account_name"),
         F.col("account_region"),
         (F.trunc(counted, "month") if first_of_month else counted).alias("month"),
@@ -92,7 +98,7 @@ def account_month_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = o.join(cust, F.col("o_custkey") == F.col("c_custkey"))
     st, pr = F.col("o_orderstatus"), F.col("o_orderpriority")
     return j.select(
-        F.concat(F.lit("c"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("account_id"),
+        padded_id("c", F.col("o_custkey"), 6).alias("account_id"),
         F.col("c_name").alias("account_name"),
         F.col("account_region"),
         F.trunc(F.to_date("o_orderdate"), "month").alias("month"),
