@@ -3,8 +3,10 @@
 Each page is cut into containers (article, main, section, div, table cell, ...). Text whose nearest
 container is c counts for c, and half of a container's score for the one around it; links and hidden
 parts (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) count
-nothing. The best container votes, with its share of the page's score, for its generalised path: tags
-and classes from the root, digits as ``#``. Spark adds up the votes per host, and each page's text is
+nothing. From the best container on, the article is whole: the article or main around it, and further
+containers below the body that add text and no block of mostly links. That container votes, with the
+best one's share of the page's score, for its generalised path: tags and classes from the root, digits
+as ``#``. Spark adds up the votes per host, and each page's text is
 taken from the containers with its host's winning path; a page that has none takes its own best one.
 
 White space and block borders become one space, character references are decoded, hidden parts inside
@@ -132,17 +134,50 @@ class Page:
                 node = inner
 
     def best(self) -> tuple[int, float]:
-        """(container of the highest score, its share of all scores); -1 if there is no text."""
+        """(container of the whole article around the highest score, that score's share of all); -1 if there is no text."""
         score = [0.0] * len(self.parent)
+        linked = [0.0] * len(self.parent)
         for node, text, link in self.pieces:
-            if not link and not self.hidden[node]:
-                score[node] += len(text.strip())
+            if not self.hidden[node]:
+                (linked if link else score)[node] += len(text.strip())
+        own = score.copy()
         for node in range(len(score) - 1, 0, -1):
             if self.tag[node] in ("article", "main"):
                 score[node] *= 1.5
             score[self.parent[node]] += score[node] / 2
         top = max(range(len(score)), key=lambda i: (score[i], i))
-        return (top, score[top] / sum(score)) if score[top] > 0 else (-1, 0.0)
+        return (self._whole(top, own, linked), score[top] / sum(score)) if score[top] > 0 else (-1, 0.0)
+
+    def _whole(self, top: int, text: list[float], linked: list[float]) -> int:
+        """The container of the whole article around the best one: the enclosing article or main, then the
+        outermost container below the body that adds text and no block of mostly links. A table adds none
+        by its cells, which may be columns of a layout. ``text`` and ``linked`` are characters outside and
+        inside links."""
+        text, linked = text.copy(), linked.copy()
+        for node in range(len(text) - 1, 0, -1):
+            text[self.parent[node]] += text[node]
+            linked[self.parent[node]] += linked[node]
+        links = [0] * len(text)  # blocks of mostly links in and under a container
+        for node in range(len(text) - 1, 0, -1):
+            links[node] += linked[node] > text[node]
+            links[self.parent[node]] += links[node]
+        around = []
+        node = self.parent[top]
+        while node > 0 and self.tag[node] != "body":
+            around.append(node)
+            node = self.parent[node]
+        for i in range(len(around) - 1, -1, -1):
+            if self.tag[around[i]] in ("article", "main"):
+                top, around = around[i], around[i + 1:]
+                break
+        whole, chars = top, text[top]
+        for node in around:
+            if links[node] > links[top]:
+                break
+            if text[node] > chars and self.tag[node] != "table":
+                whole = node
+            chars = text[node]
+        return whole
 
     def text(self, path: str | None) -> str:
         """Text of the containers of ``path``, or of the best one where there are none."""

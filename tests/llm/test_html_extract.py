@@ -24,6 +24,21 @@ def test_pages(html, text):
     assert _text(html) == text
 
 
+@pytest.mark.parametrize("html", [
+    "<article><h1>title</h1><div class=body>{}</div></article>", "<main><article><p>lead</p><section>{}</section><section>end</section></article></main>",
+    "<body><div class=content><div class=lead>lead</div><div class=text>{}</div></div></body>",
+    "<body><div id=wrap><div class=links><a href=x>one</a><a href=y>two</a></div><div class=content><div><h2>head</h2></div><div><div class=text>{}</div></div></div></div></body>",
+    "<main><h1>head</h1><div class=tags><a href=x>tag</a></div><div class=text>{}</div><table><tr><td>cell</table></main>",
+    "<div class=content><p>lead</p><table><tr><td>cell<td>{}</table></div>",
+])
+def test_nested_bodies_are_whole(html):
+    inner = "Words of the text. " * 5
+    got = _text(html.format(inner))
+    for word in ("title", "lead", "head", "end", "cell", "tag"):
+        assert (word in got.split()) == (f">{word}<" in html)
+    assert inner.strip() in got and "one" not in got.split()
+
+
 def test_very_long_page():
     assert len(_text("<article>" + "<p>word</p>" * 50_000 + "</article>")) == 50_000 * 5 - 1
     assert _text("<" * 50_000 + "<p>x") .endswith("x")
