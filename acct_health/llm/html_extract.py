@@ -13,7 +13,8 @@ White space and block borders become one space, character references are decoded
 the container are left out, everything else is kept in page order.
 
 Defined results: null html is as empty and gives the empty text; markup cut off at the end is dropped;
-a page without containers is one container; pages without a host vote together; rows with equal ids or
+a page without containers is one container; one left without text by its hidden parts is judged again
+without hiding by class and id; pages without a host vote together; rows with equal ids or
 urls are pages of their own; a tie between paths goes to the greater string.
 """
 
@@ -44,6 +45,7 @@ _DIGITS = re.compile(r"\d+")
 # Fixed element sets.
 _CONTAINERS = frozenset("body div article section main table td th aside nav header footer form".split())
 _HIDDEN = frozenset("nav header footer aside form button label fieldset dialog menu head".split())
+_NEVER_HIDDEN = frozenset("html body main article".split())  # by class, id or role, which often tell their layout or state
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ROLES = frozenset("navigation banner complementary contentinfo search dialog alert form menu".split())
@@ -58,22 +60,34 @@ class Page:
     """Containers of a page and its text in pieces. Container 0 is the page itself."""
 
     def __init__(self, html: str):
+        self._judge(html, True)
+        if any(self.hidden) and not self._has_text():
+            self._judge(html, False)
+
+    def _judge(self, html: str, by_class: bool) -> None:
+        """Cuts the page up; without ``by_class`` names of classes and ids hide nothing."""
+        self.by_class = by_class
         self.parent, self.path, self.hidden, self.tag = [-1], [""], [False], [""]
         self.pieces: list[tuple[int, str, bool]] = []  # container, text, in a link
         self._parse(html)
 
+    def _has_text(self) -> bool:
+        return any(not link and not self.hidden[node] and text.strip() for node, text, link in self.pieces)
+
     def _open(self, tag: str, attributes: str, node: int) -> int:
         names, off = [], tag in _HIDDEN
+        named = tag not in _NEVER_HIDDEN
+        by_class = named and self.by_class
         if attributes:
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if name == "class":
                     names = sorted(set(value.split()))
-                    off |= any(_BOILERPLATE.match(c) for c in names)
+                    off |= by_class and any(_BOILERPLATE.match(c) for c in names)
                 elif name == "id":
-                    off |= bool(_BOILERPLATE.match(value))
+                    off |= by_class and bool(_BOILERPLATE.match(value))
                 elif name == "role":
-                    off |= value.lower() in _ROLES
+                    off |= named and value.lower() in _ROLES
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                     off = True
         if tag not in _CONTAINERS and not off:

@@ -39,6 +39,19 @@ def test_nested_bodies_are_whole(html):
     assert inner.strip() in got and "one" not in got.split()
 
 
+@pytest.mark.parametrize("name", ["sidebar-first", "one-sidebar", "page-with-sidebar", "nav-open", "header-fixed", "comments-open", "search-results"])
+def test_layout_names_hide_no_page(name):
+    for attribute in ("class", "id"):
+        for tag in ("html", "body", "main", "article", "div", "section"):
+            assert _text(f"<{tag} {attribute}='{name}'><p>Text of the page</p></{tag}>") == "Text of the page"
+    assert _text(f"<body class='{name}'><div class='sidebar'>side</div><div class='story'>Story text</div></body>") == "Story text"
+    assert _text("<main role=search>found</main>") == "found"
+
+
+def test_pages_hidden_by_more_than_names_stay_empty():
+    assert _text("<body hidden>no</body>") == "" and _text("<nav>menu</nav><div class='sidebar' hidden>no</div>") == ""
+
+
 def test_very_long_page():
     assert len(_text("<article>" + "<p>word</p>" * 50_000 + "</article>")) == 50_000 * 5 - 1
     assert _text("<" * 50_000 + "<p>x") .endswith("x")
