@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from acct_health.llm import (
+    conversation_repair,
     html_extract,
     jaccard_join,
     language_id,
     packing,
+    prefix_trie,
     quality_rules,
     sentencepiece_codec,
+    simhash_dedup,
     substring_dedup,
     topk,
     toxicity,
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_simhash_dedup": simhash_dedup.op12_simhash_dedup,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 SQL = {
@@ -34,4 +40,5 @@ SQL = {
     "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
