@@ -350,3 +350,72 @@ def damaged(conversations: DataFrame) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damages every conversation and repairs it: one row per conversation."""
     return repair(damaged(read_table(spark, sf_dir, "conversations")))
+
+
+# crc32 of the key bit by bit, then a search over (conversation, rows read, state of the grammar) that keeps the
+# cheapest cost and least audit of each, with up to two inserts before every row and at the end.
+ORACLE_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+        lambda crc, x: list_reduce(list_prepend(xor(crc, x), range(8)),
+          lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384::BIGINT) ELSE y // 2 END)),
+        4294967295::BIGINT) % 20 AS f
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM keyed
+), marked AS (
+  SELECT *, sha256(length(role) || ':' || role || ':' || text) AS mark,
+    trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged
+), placed AS (
+  SELECT *, i > min(i) OVER (PARTITION BY conv_id, mark) AS again FROM (
+    SELECT conv_id, turn, role, text, mark, bare, left(role, 1) AS initial,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark) AS i
+    FROM marked)
+), judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated'
+    ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS wrong
+  FROM placed
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (wrong) AS illegal, count(*) AS n
+  FROM judged GROUP BY conv_id
+), best AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': '', 'kept': []::VARCHAR[]} AS b FROM counts
+  UNION ALL
+  SELECT conv_id, i, q, min(b) AS b FROM (
+    SELECT conv_id, i, CASE e WHEN 'D' THEN q WHEN 'R' THEN CASE q WHEN 2 THEN 3 ELSE 2 END
+        ELSE CASE WHEN initial = 's' AND q = 0 THEN 1 WHEN initial = 'u' AND q <> 2 THEN 2 WHEN initial = 'a' AND q = 2 THEN 3 END END AS q,
+      {'cost': cost + CASE e WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + (CASE WHEN e <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END),
+       'audit': audit || e,
+       'kept': CASE e WHEN 'D' THEN kept WHEN 'K' THEN list_append(kept, role || ':' || text)
+               ELSE list_append(kept, CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END || text) END} AS b
+    FROM (
+      SELECT r.conv_id, r.i, r.role, r.text, r.initial, r.fault, unnest(['D', 'K', 'R']) AS e,
+        CASE x.k WHEN 0 THEN a.q WHEN 1 THEN CASE a.q WHEN 2 THEN 3 ELSE 2 END ELSE CASE a.q WHEN 2 THEN 2 ELSE 3 END END AS q,
+        a.b.cost + 2 * x.k AS cost, a.b.audit || repeat('I', x.k) AS audit,
+        CASE x.k WHEN 0 THEN a.b.kept WHEN 1 THEN list_append(a.b.kept, CASE a.q WHEN 2 THEN 'assistant:' ELSE 'user:' END)
+          ELSE list_concat(a.b.kept, CASE a.q WHEN 2 THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END) END AS kept
+      FROM best a JOIN judged r ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.i = a.i + 1, (SELECT unnest([0, 1, 2]) AS k) x
+    ) WHERE e = 'D' OR fault NOT IN ('blank', 'duplicate')
+  ) WHERE q IS NOT NULL GROUP BY conv_id, i, q
+), ended AS (
+  SELECT a.conv_id, min({'cost': a.b.cost + CASE a.q WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END,
+    'audit': a.b.audit || CASE a.q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    'kept': CASE a.q WHEN 1 THEN list_concat(a.b.kept, ['user:', 'assistant:']) WHEN 2 THEN list_append(a.b.kept, 'assistant:')
+            ELSE a.b.kept END}) AS b
+  FROM best a JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id AND c.n = a.i GROUP BY a.conv_id
+)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+  coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(e.b.cost, 0) AS cost,
+  coalesce(e.b.audit, '') AS audit, sha256(coalesce(array_to_string(e.b.kept, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

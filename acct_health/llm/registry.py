@@ -40,5 +40,6 @@ SQL = {
     "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_conversation_repair": conversation_repair.ORACLE_SQL,
     "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
