@@ -70,7 +70,7 @@ def target_url(channel_col: str, base_url: str | None, single_url: str | None):
         return F.concat(F.lit(base_url.rstrip("/") + "/"), F.col(channel_col))
     if single_url:
         return F.lit(single_url)
-    raise ValueError("No webhook target configured: set webhook_base_url or webhook_url.")
+    raise ValueError("a run that posts needs webhook_base_url (one target a channel) or webhook_url (one for all)")
 
 
 def http_transport(timeout: float = 10.0, headers: dict | None = None) -> Transport:
@@ -179,6 +179,8 @@ def deliver(df: DataFrame, transport: Transport, policy: RetryPolicy | None = No
     The idempotency key ``{prefix}{key cols joined by '|'}`` goes to the transport so a receiver
     can drop repeats after a task retry (delivery itself is at-least-once).
     """
+    if df.sparkSession.sparkContext.getConf().get("spark.speculation", "false").lower() == "true":
+        raise ValueError("a delivery stage must not run with spark.speculation: a task run twice posts twice")
     policy = policy or RetryPolicy()
     url = target_url(channel_col, base_url, single_url)
     ship_package(df.sparkSession)

@@ -1,11 +1,11 @@
 """Outcome ledger and idempotency.
 
-The ledger is an append-only Parquet log partitioned by month plus a deterministic "current"
-view: per (account_id, month, alert_type) the first ``sent`` row, else the latest row. A ``sent``
-row is therefore terminal, a failed outcome is replaced by the next attempt, and replays
-are kept in a table beside the log, which lookups don't read. Uniqueness is a property of the view's group
-key rather than a constraint; one writer per month is assumed (concurrent runs of the same month
-need an external lock).
+The ledger is a log of outcome rows per month plus a deterministic "current" view: per (account_id,
+month, alert_type) the first ``sent`` row, else the latest row. A ``sent`` row is therefore terminal, a
+failed outcome is replaced by the next attempt, and replays are kept in a table beside the log, which
+lookups don't read. Uniqueness is a property of the view's group key. Rows count once they are
+committed (``operators/commits.py``): concurrent runs of a month claim the keys they send, and
+``compact_month`` turns a month's entries into one snapshot without changing the view.
 """
 
 from __future__ import annotations
@@ -14,6 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from acct_health.operators.commits import (
+    commit_next,
+    compact,
+    months,
+    new_entry,
+    read_entries,
+    read_state,
+    write_entry,
+)
+
 OUTCOME_KEY = ("account_id", "month", "alert_type")
 
 LOG_SCHEMA = T.StructType([
@@ -45,15 +55,13 @@ RUNS_SCHEMA = T.StructType([
     T.StructField("skipped_replay", T.LongType()),
     T.StructField("failed_deliveries", T.LongType()),
     T.StructField("rejected_rows", T.LongType()),
+    T.StructField("claimed_elsewhere", T.LongType()),
+    T.StructField("held_unknown", T.LongType()),
     T.StructField("error", T.StringType()),
     T.StructField("created_at", T.TimestampType()),
 ])
 
 
-def log_path(ledger_dir: str) -> str:
-    return f"{ledger_dir.rstrip('/')}/alert_outcomes_log"
-
-
 def replays_path(ledger_dir: str) -> str:
     return f"{ledger_dir.rstrip('/')}/alert_replays"
 
@@ -76,27 +84,35 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
-def read_log(spark: SparkSession, ledger_dir: str) -> DataFrame:
-    return read_table(spark, log_path(ledger_dir), LOG_SCHEMA)
+def read_log(spark: SparkSession, ledger_dir: str, month=None) -> DataFrame:
+    """Committed outcome rows, of one month or of all."""
+    names = months(spark, ledger_dir) if month is None else [month]
+    return read_entries(spark, ledger_dir, [e for m in names for e in read_state(spark, ledger_dir, m).entries], LOG_SCHEMA)
 
 
 def read_runs(spark: SparkSession, ledger_dir: str) -> DataFrame:
     return read_table(spark, runs_path(ledger_dir), RUNS_SCHEMA)
 
 
-def _append_outcomes(rows: DataFrame, path: str) -> None:
-    (rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields])
-     .write.mode("append").partitionBy("month").parquet(path))
+def log_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields])
+
 
+def append_log(rows: DataFrame, ledger_dir: str, month) -> None:
+    """Add outcome rows of one month that rest on no decision of another writer."""
+    entry = new_entry(month)
+    write_entry(log_rows(rows), ledger_dir, entry)
+    commit_next(rows.sparkSession, ledger_dir, month, {"kind": "outcomes", "entry": entry})
 
-def append_log(rows: DataFrame, ledger_dir: str) -> None:
-    """One append; the log is partitioned by month so a month's lookups prune the rest."""
-    _append_outcomes(rows, log_path(ledger_dir))
+
+def compact_month(spark: SparkSession, ledger_dir: str, month) -> int:
+    """One snapshot of the month's current outcomes in place of its entries (H3); returns how many it replaced."""
+    return compact(spark, ledger_dir, month, current_outcomes, LOG_SCHEMA)
 
 
 def append_replays(rows: DataFrame, ledger_dir: str) -> None:
     """Replays skipped by a run, in a table of their own: lookups of outcomes never read them."""
-    _append_outcomes(rows, replays_path(ledger_dir))
+    log_rows(rows).write.mode("append").partitionBy("month").parquet(replays_path(ledger_dir))
 
 
 def read_replays(spark: SparkSession, ledger_dir: str) -> DataFrame:
@@ -136,19 +152,28 @@ def sent_keys(current: DataFrame, month=None, alert_type: str | None = None,
     return current.where(cond).select(key).distinct()
 
 
-# Fixed decision labels of a candidate, in order of precedence.
+# Fixed decision labels of a candidate, in order of precedence. The last two are of runs beside others:
+# another run has claimed the key, or a dead run may have posted it and such keys are held.
 UNKNOWN_REGION, WOULD_SEND, SKIPPED, SEND = "unknown_region", "would_send", "skipped_replay", "send"
-
-
-def decide(candidates: DataFrame, sent: DataFrame, dry_run: bool, key: str = "account_id") -> DataFrame:
-    """Decision per candidate (H2): no channel -> unknown_region; dry run -> would_send;
-    already sent -> skipped_replay; else send. The sent set is joined, never collected."""
-    flagged = candidates.join(sent.select(key).withColumn("_already", F.lit(True)), on=key, how="left")
+CLAIMED, HELD = "claimed_elsewhere", "held_unknown"
+
+
+def decide(candidates: DataFrame, sent: DataFrame, dry_run: bool, key: str = "account_id",
+           claimed: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
+    """Decision per candidate (H2): no channel -> unknown_region; dry run -> would_send; already sent ->
+    skipped_replay; claimed by another run, or held -> not now; else send. The sets are joined, never collected."""
+    known = sent.select(key).withColumn("_known", F.lit(SKIPPED))
+    for rows, label in ((claimed, CLAIMED), (held, HELD)):
+        if rows is not None:
+            known = known.unionByName(rows.select(key).withColumn("_known", F.lit(label)))
+    if claimed is not None or held is not None:
+        first = F.when(F.col("_known") == SKIPPED, 0).when(F.col("_known") == CLAIMED, 1).otherwise(2)
+        known = known.groupBy(key).agg(F.min_by("_known", first).alias("_known"))
+    flagged = candidates.join(known, on=key, how="left")
     decision = (F.when(~F.col("routable"), F.lit(UNKNOWN_REGION))
                 .when(F.lit(bool(dry_run)), F.lit(WOULD_SEND))
-                .when(F.coalesce(F.col("_already"), F.lit(False)), F.lit(SKIPPED))
-                .otherwise(F.lit(SEND)))
-    return flagged.withColumn("decision", decision).drop("_already")
+                .otherwise(F.coalesce("_known", F.lit(SEND))))
+    return flagged.withColumn("decision", decision).drop("_known")
 
 
 def decision_counts(decisions: DataFrame) -> DataFrame:

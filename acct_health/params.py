@@ -66,6 +66,10 @@ class Params:
     max_delivery_tasks: int = 256
     delivery_waves: int | None = None
     wave_size: int = 50_000
+    # How long a run's claim on the keys it sends outlives its last commit: longer than its slowest wave.
+    claim_seconds: float = 3600.0
+    # Keys that a dead run may have posted: "resend" with the same idempotency key, or "hold".
+    unknown_sends: str = "resend"
 
     def with_region_json(self, text: str | None) -> "Params":
         """The same parameters with the region map parsed from JSON text."""

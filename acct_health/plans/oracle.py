@@ -370,3 +370,16 @@ SELECT a.account_id, cast(greatest(coalesce(s.d, 0), 1) AS bigint) AS duration_m
        cast({TARGET} - to_months(cast(greatest(coalesce(s.d, 0), 1) - 1 AS integer)) AS date) AS risk_start_month
 FROM (SELECT DISTINCT account_id FROM latest) a LEFT JOIN streak s ON a.account_id = s.account_id""",
 })
+
+
+SQL.update({
+    "send_intents_recovery": base() + """
+SELECT account_id, state, CASE WHEN state IN ('recorded', 'salvaged') THEN 'crashed' ELSE 'repeat' END AS run_id, 'sent' AS status
+FROM (SELECT account_id, CASE cast(right(account_id, 1) AS integer) % 3 WHEN 0 THEN 'recorded' WHEN 2 THEN 'never_posted'
+        ELSE CASE WHEN cast(substr(account_id, length(account_id) - 1, 1) AS integer) < 5 THEN 'salvaged' ELSE 'unknown' END END AS state
+      FROM routed WHERE routable) x""",
+    "interleaved_runs": base() + """
+SELECT account_id, CASE WHEN NOT routable THEN 'first' WHEN cast(right(account_id, 1) AS integer) % 2 = 0 THEN 'second' ELSE 'first' END AS run_id,
+       CASE WHEN routable THEN 'sent' ELSE 'failed' END AS status, reason FROM routed""",
+    "outcomes_compacted": SQL["outcomes_current"],
+})

@@ -19,12 +19,18 @@ from acct_health.operators.delivery import (
     resolve_attempts,
     target_url,
 )
+from acct_health.operators.commits import new_entry, read_state, write_entry
 from acct_health.operators.digest import digest_lines, unknown_region_digest
+from acct_health.operators.intents import claim_sends, claim_states, record_wave, start_wave
 from acct_health.operators.ledger import (
+    LOG_SCHEMA,
+    append_log,
+    compact_month,
     current_outcomes,
     decide,
     decision_counts,
     key_violations,
+    log_rows,
     read_log,
     read_runs,
     sent_keys,
@@ -32,9 +38,9 @@ from acct_health.operators.ledger import (
 )
 from acct_health.operators.routing import route, route_counts
 from acct_health.operators.streak import month_gaps, streak_to, streaks_all
-from acct_health.params import Params, parse_region_map, region_dim, region_dim_from_json
+from acct_health.params import ALERT_TYPE, Params, parse_region_map, region_dim, region_dim_from_json
 from acct_health.plans.alerts import ALERT_COLUMNS, backfill_alerts, candidates, preview
-from acct_health.plans.run import run_month
+from acct_health.plans.run import decide_and_deliver, run_month
 from acct_health.session import scratch_path
 from acct_health.sources.account_month import month_window
 from acct_health.sources.fixtures import (
@@ -229,8 +235,7 @@ def q_resolve_attempts(spark, sf_dir):
 def q_deliver_replay(spark, sf_dir):
     """The delivery stage itself (retry loop in mapInPandas) answering from the recorded responses;
     must equal the closed form of ``resolve_attempts``."""
-    # two responses more than the loop may ask for show that it stops by itself
-    att = attempts_from_events(spark, sf_dir).where(F.col("attempt_no") < NO_JITTER.max_attempts + 2)
+    att = attempts_from_events(spark, sf_dir)  # all responses on record: the loop stops by itself
     rows = (att.groupBy("delivery_id")
             .agg(F.array_sort(F.collect_list(F.struct("attempt_no", "status", "retry_after"))).alias("responses"))
             .select("delivery_id", F.lit("replay").alias("channel"), F.lit('{"text": "replay"}').alias("payload"),
@@ -337,6 +342,94 @@ QUERIES.update({
 })
 
 
+# --- the ledger under crashes, concurrent writers and compaction --------------------------------
+
+def _outcomes(rows, run_id, seq, status="sent"):
+    """Log rows of a run for (account_id, channel) rows of the target month."""
+    return log_rows(rows.select(
+        F.lit(run_id).alias("run_id"), F.lit(seq).cast("bigint").alias("seq"), "account_id", F.lit(ALERT_TYPE).alias("alert_type"),
+        "channel", F.lit(status).alias("status"), F.when(F.lit(status == "failed"), "delivery_failed").alias("reason"),
+        F.lit(None).cast("timestamp").alias("sent_at"), F.lit(None).cast("string").alias("error"), F.lit(1).cast("bigint").alias("attempts"),
+        F.lit(200).alias("status_code"), F.lit(None).cast("timestamp").alias("recorded_at"), F.lit(TARGET_MONTH).cast("date").alias("month")))
+
+
+def _crashed_run(spark, ledger, routable):
+    """A run that died in its second wave of three: the first is recorded, of the second only the tasks with an account
+    whose last digit but one is below 5 had written their rows, the third was not started."""
+    digit = lambda at: F.substring("account_id", at, 1).cast("int")
+    sends = routable.select("account_id", "channel", (digit(-1) % 3).alias("wave"))
+    if not claim_sends(spark, ledger, TARGET_MONTH, "crashed", sends, 3, 1, seconds=-1.0):
+        raise RuntimeError("a new ledger had a commit")
+    for wave, kept in ((0, F.lit(True)), (1, digit(-2) < 5)):
+        entry = new_entry(TARGET_MONTH)
+        start_wave(spark, ledger, TARGET_MONTH, "crashed", wave, entry, seconds=-1.0)
+        write_entry(_outcomes(sends.where((F.col("wave") == wave) & kept), "crashed", 1), ledger, entry)
+        if wave == 0:
+            record_wave(spark, ledger, TARGET_MONTH, "crashed", wave, entry, seconds=-1.0)
+
+
+def q_send_intents_recovery(spark, sf_dir):
+    """What became of every intent of a crashed run, and which run's outcome counts after the month ran again."""
+    ledger = scratch_path(spark, "ledger")
+    alerts = _routed(spark, sf_dir)
+    _crashed_run(spark, ledger, alerts.where("routable"))
+    claim = read_state(spark, ledger, TARGET_MONTH).claims["crashed"]
+    path = scratch_path(spark, "states")
+    claim_states(spark, ledger, claim, LOG_SCHEMA).write.parquet(path)
+    params = Params(webhook_base_url="http://receiver.invalid", retry_base_seconds=0.0)
+    decide_and_deliver(spark, alerts, TARGET_MONTH, ledger, params, _accept_all, "repeat", 2, sleep=lambda s: None)
+    outcome = current_outcomes(read_log(spark, ledger, TARGET_MONTH)).select("account_id", "run_id", "status")
+    states = spark.read.schema("account_id string, channel string, state string, wave int").parquet(path)
+    return states.join(outcome, "account_id", "left").select("account_id", "state", "run_id", "status")
+
+
+def q_interleaved_runs(spark, sf_dir):
+    """Two runs of a month at once: a second run claims the accounts with an even last digit between the decision and the
+    commit of the first, which decides again; the first then delivers before the second does. Outcomes by run."""
+    ledger = scratch_path(spark, "ledger")
+    alerts = _routed(spark, sf_dir)
+    even = alerts.where("routable").where(F.substring("account_id", -1, 1).cast("int") % 2 == 0) \
+                 .select("account_id", "channel", F.lit(0).alias("wave"))
+    params = Params(webhook_base_url="http://receiver.invalid", retry_base_seconds=0.0)
+    came = []
+
+    def second_run():
+        if not came:
+            came.append(claim_sends(spark, ledger, TARGET_MONTH, "second", even, 1, 1, seconds=3600.0))
+
+    decide_and_deliver(spark, alerts, TARGET_MONTH, ledger, params, _accept_all, "first", 1, sleep=lambda s: None,
+                       before_commit=second_run)
+    entry = new_entry(TARGET_MONTH)
+    start_wave(spark, ledger, TARGET_MONTH, "second", 0, entry, 3600.0)
+    write_entry(_outcomes(even, "second", 2), ledger, entry)
+    record_wave(spark, ledger, TARGET_MONTH, "second", 0, entry, 3600.0)
+    return read_log(spark, ledger, TARGET_MONTH).select("account_id", "run_id", "status", "reason")
+
+
+def q_outcomes_compacted(spark, sf_dir):
+    """Current outcomes of a log that was compacted twice, with entries after the last snapshot: those of the whole log."""
+    ledger = scratch_path(spark, "ledger")
+    log = outcome_log_from_events(spark, sf_dir)
+    rows = log.select("run_id", "seq", F.col("account_id").cast("string").alias("account_id"), F.lit(ALERT_TYPE).alias("alert_type"),
+                      F.lit("all").alias("channel"), "status", "reason", F.lit(None).cast("timestamp").alias("sent_at"),
+                      F.lit(None).cast("string").alias("error"), F.lit(1).cast("bigint").alias("attempts"),
+                      F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("timestamp").alias("recorded_at"),
+                      F.lit(TARGET_MONTH).cast("date").alias("month"))
+    for part in range(5):
+        append_log(rows.where(F.col("seq") % 5 == part), ledger, TARGET_MONTH)
+        if part in (1, 3):
+            compact_month(spark, ledger, TARGET_MONTH)
+    current = current_outcomes(read_log(spark, ledger, TARGET_MONTH))
+    return current.select(F.col("account_id").cast("bigint").alias("account_id"), "seq", "run_id", "status", "reason")
+
+
+QUERIES.update({
+    "send_intents_recovery": q_send_intents_recovery,
+    "interleaved_runs": q_interleaved_runs,
+    "outcomes_compacted": q_outcomes_compacted,
+})
+
+
 # --- streaming ----------------------------------------------------------------------------
 
 def _feed(spark, sf_dir, batches=4, order=None):

@@ -4,14 +4,16 @@
    checkpoints only the candidates into the shared checkpoint folder (the lineage cut; also the
    load guard: any load error becomes a failed run row, H7).
 2. Current outcomes of the month from the ledger (partition-pruned), anti/semi logic as a join.
-3. Decisions (H2) are made once and stored by wave. Each wave reads its own slice and is one
-   ``mapInPandas`` delivery stage written straight to the log in the same action; unroutable alerts
-   are written with the first wave, replays to a table of their own.
+3. Decisions (H2) are made once and stored by wave. The sends are claimed as intents before any is posted
+   (``operators/intents.py``); a run that finds another one's commits in its way decides again. Each wave
+   reads its own slice and is one ``mapInPandas`` delivery stage written straight to an entry of the log in the
+   same action; unroutable alerts are written with the first wave, replays to a table of their own.
 4. Run counts observed while the outcome rows are written (no read-back); one run row appended;
    the unknown-region digest appended.
 
-Delivery is at-least-once: a lost task or two concurrent runs of one month can repeat a post. The
-idempotency key sent with each post lets the receiver drop such repeats.
+Delivery is at-least-once: a lost task, or the repeat of a run that died between a post and its record, can
+post again, with the same idempotency key, which lets the receiver drop it. Concurrent runs don't post
+one key both: each sends only what it claimed.
 """
 
 from __future__ import annotations
@@ -27,9 +29,14 @@ from pyspark.sql import functions as F
 
 from acct_health.functions.render import payload_json
 from acct_health.operators.delivery import RetryPolicy, Transport, deliver, target_url
+from acct_health.operators.commits import claimed_keys, new_entry, read_entries, read_state, write_entry
 from acct_health.operators.digest import unknown_region_digest
+from acct_health.operators.intents import UNKNOWN_SCHEMA, claim_sends, end_claim, held_keys, record_wave, recover, start_wave
 from acct_health.operators.ledger import (
     RUNS_SCHEMA,
+    CLAIMED,
+    HELD,
+    LOG_SCHEMA,
     SEND,
     SKIPPED,
     UNKNOWN_REGION,
@@ -40,6 +47,7 @@ from acct_health.operators.ledger import (
     decide,
     decision_counts,
     digests_path,
+    log_rows,
     outcome_count_columns,
     read_log,
     read_runs,
@@ -87,38 +95,63 @@ def delivery_layout(max_sends: int, params: Params) -> tuple[int, int]:
 def record_run(spark: SparkSession, ledger_dir: str, **fields) -> None:
     """Append one run row (H9); missing counts are 0, ``created_at`` defaults to now."""
     base = dict(dry_run=False, status="succeeded", created_at=_now(), rows_scanned=0, duplicate_rows=0,
-                alerts_sent=0, skipped_replay=0, failed_deliveries=0, rejected_rows=0)
+                alerts_sent=0, skipped_replay=0, failed_deliveries=0, rejected_rows=0, claimed_elsewhere=0, held_unknown=0)
     append_run(_run_row(spark, base, **fields), ledger_dir)
 
 
 _NO_WAVE = -1
 
 
-def store_decisions(spark: SparkSession, decisions: DataFrame, waves: int, tasks: int) -> tuple[DataFrame, int]:
-    """(decisions, number of replays): the decisions, made once and written to the shared folder by wave,
+def store_decisions(spark: SparkSession, decisions: DataFrame, waves: int, tasks: int) -> tuple[DataFrame, dict[str, int]]:
+    """(decisions, how many of each label): the decisions, made once and written to the shared folder by wave,
     so a wave reads nothing but its own slice."""
     wave = F.when(F.col("decision") == SEND, F.pmod(F.xxhash64("account_id"), F.lit(waves))).otherwise(F.lit(_NO_WAVE))
     rows = decisions.select("account_id", "month", "channel", payload_json("message"), "decision", wave.cast("int").alias("wave"))
     seen = Observation(f"decisions-{uuid.uuid4().hex}")
     path = scratch_path(spark, "decisions")
-    (rows.observe(seen, F.count(F.when(F.col("decision") == SKIPPED, 1)).alias("replays"))
+    labels = (SEND, SKIPPED, UNKNOWN_REGION, CLAIMED, HELD)
+    (rows.observe(seen, *[F.count(F.when(F.col("decision") == x, 1)).alias(x) for x in labels])
      .repartition(max(1, waves * tasks), "wave", F.pmod(F.xxhash64("account_id", F.lit(1)), F.lit(max(1, tasks))))
      .write.partitionBy("wave").parquet(path))
-    return read_table(spark, path, rows.schema), int(seen.get["replays"] or 0)
+    return read_table(spark, path, rows.schema), {k: int(v or 0) for k, v in seen.get.items()}
+
+
+def claim_run(spark: SparkSession, alerts: DataFrame, target, ledger_dir: str, params: Params, run_id: str,
+              max_sends: int | None = None, before_commit: Callable[[], None] | None = None) -> tuple[DataFrame, dict[str, int], int, int]:
+    """Decide every alert against the month's commits and claim the sends, deciding again for as long as another
+    writer commits in between. (decisions, how many of each label, tasks per wave, waves).
+
+    ``before_commit`` is called between a decision and its commit; tests let a second writer in there."""
+    tasks, waves = delivery_layout(max_sends if max_sends is not None else params.wave_size, params)
+    while True:
+        state = read_state(spark, ledger_dir, target)
+        log = read_entries(spark, ledger_dir, state.entries, LOG_SCHEMA)
+        sent = sent_keys(current_outcomes(log), target, ALERT_TYPE)
+        held = None
+        if params.unknown_sends == "hold" and state.unknown:
+            held = held_keys(read_entries(spark, ledger_dir, state.unknown, UNKNOWN_SCHEMA), log)
+        decided = decide(alerts, sent, False, claimed=claimed_keys(spark, ledger_dir, state, run_id), held=held)
+        decisions, found = store_decisions(spark, decided, waves, tasks)
+        if before_commit:
+            before_commit()
+        sends = decisions.where(F.col("wave") != F.lit(_NO_WAVE))
+        if not found[SEND] or claim_sends(spark, ledger_dir, target, run_id, sends, waves, state.version + 1, params.claim_seconds):
+            return decisions, found, tasks, waves
 
 
 def decide_and_deliver(spark: SparkSession, alerts: DataFrame, target, ledger_dir: str, params: Params,
                        transport: Transport, run_id: str, seq: int,
-                       sleep: Callable[[float], None] = time.sleep, max_sends: int | None = None) -> dict:
-    """H1-H3 for a frame of routed candidates: decide against the ledger's sent set, post the
-    sends in waves, and append every outcome; returns the run counts (observed during the writes).
-    The ledger decides, so running it again for the same alerts posts nothing new."""
+                       sleep: Callable[[float], None] = time.sleep, max_sends: int | None = None,
+                       take_over: str | None = None, before_commit: Callable[[], None] | None = None) -> dict:
+    """H1-H3 for a frame of routed candidates: decide against the ledger, claim and post the sends in waves, and
+    record every outcome; returns the run counts (observed during the writes). The ledger decides, so running it
+    again for the same alerts posts nothing new. Claims that have expired are recovered first, and so are those
+    of runs whose id begins with ``take_over``, which the caller knows to be dead."""
     if transport is None:
         raise ValueError("a real run needs a transport")
-    month_log = read_log(spark, ledger_dir).where(F.col("month") == F.lit(target))
-    sent = sent_keys(current_outcomes(month_log), target, ALERT_TYPE)
-    partitions, waves = delivery_layout(max_sends if max_sends is not None else params.wave_size, params)
-    decisions, replays = store_decisions(spark, decide(alerts, sent, dry_run=False), waves, partitions)
+    recover(spark, ledger_dir, target, LOG_SCHEMA, ALERT_TYPE, None if take_over is None else
+            lambda c: c.until < time.time() or c.run_id.startswith(take_over))
+    decisions, found, partitions, waves = claim_run(spark, alerts, target, ledger_dir, params, run_id, max_sends, before_commit)
 
     def unsent(which: str, status: str, reason: str | None) -> DataFrame:
         return decisions.where(F.col("wave") == F.lit(_NO_WAVE)).where(F.col("decision") == which).select(
@@ -127,10 +160,26 @@ def decide_and_deliver(spark: SparkSession, alerts: DataFrame, target, ledger_di
             F.lit(None).cast("bigint").alias("attempts"), F.lit(None).cast("int").alias("status_code"))
 
     policy = RetryPolicy(params.retry_max_attempts, params.retry_base_seconds, params.retry_cap_seconds)
-    totals = {"alerts_sent": 0, "skipped_replay": replays, "failed_deliveries": 0}
-    if replays:
-        append_replays(_outcome_rows(unsent(SKIPPED, "skipped_replay", None), run_id, seq, _now()), ledger_dir)
+    totals = {"alerts_sent": 0, "skipped_replay": found[SKIPPED], "failed_deliveries": 0, CLAIMED: found[CLAIMED], HELD: found[HELD]}
+    for label in (SKIPPED, CLAIMED, HELD):
+        if found[label]:
+            append_replays(_outcome_rows(unsent(label, label, None), run_id, seq, _now()), ledger_dir)
+    unroutable = unsent(UNKNOWN_REGION, "failed", "unknown_region")
+
+    def write(rows: DataFrame, write_rows: Callable[[DataFrame], None], name: str) -> None:
+        # counts are observed while the rows are written: one action, no read-back
+        seen = Observation(f"outcomes-{run_id}-{name}")
+        write_rows(_outcome_rows(rows, run_id, seq, _now()).observe(seen, *outcome_count_columns()))
+        for k, v in seen.get.items():
+            totals[k] += int(v or 0)
+
+    if not found[SEND]:
+        if found[UNKNOWN_REGION]:
+            write(unroutable, lambda rows: append_log(rows, ledger_dir, target), "unroutable")
+        return totals
     for w in range(waves):
+        entry = new_entry(target)
+        start_wave(spark, ledger_dir, target, run_id, w, entry, params.claim_seconds)
         wave = decisions.where(F.col("wave") == F.lit(w)).select("account_id", "month", "channel", "payload")
         results = deliver(wave, transport, policy, params.webhook_base_url, params.webhook_url,
                           key_prefix=ALERT_TYPE, partitions=partitions, sleep=sleep)
@@ -141,19 +190,19 @@ def decide_and_deliver(spark: SparkSession, alerts: DataFrame, target, ledger_di
             F.when(~ok, F.lit("delivery_failed")).alias("reason"),
             "sent_at", "error", "attempts", "status_code")
         if w == 0:  # unroutable alerts ride along with the first wave's append
-            rows = unsent(UNKNOWN_REGION, "failed", "unknown_region").unionByName(rows)
-        # counts are observed while the rows are written: one action per wave, no read-back
-        seen = Observation(f"outcomes-{run_id}-{w}")
-        append_log(_outcome_rows(rows, run_id, seq, _now()).observe(seen, *outcome_count_columns()), ledger_dir)
-        for k, v in seen.get.items():
-            totals[k] += int(v or 0)
+            rows = unroutable.unionByName(rows)
+        write(rows, lambda x, e=entry: write_entry(log_rows(x), ledger_dir, e), str(w))
+        record_wave(spark, ledger_dir, target, run_id, w, entry, params.claim_seconds)
+    end_claim(spark, ledger_dir, target, run_id)
     return totals
 
 
 def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Params | None = None,
               transport: Transport | None = None, dry_run: bool = False,
-              sleep: Callable[[float], None] = time.sleep, run_id: str | None = None) -> str:
-    """Run one month; returns the run id. ``source`` is a URI or an already loaded DataFrame."""
+              sleep: Callable[[float], None] = time.sleep, run_id: str | None = None, take_over: str | None = None) -> str:
+    """Run one month; returns the run id. ``source`` is a URI or an already loaded DataFrame. ``take_over`` names
+    runs (by the beginning of their ids; "" is all) that the caller knows to be dead: their claims are
+    recovered now, and not when they expire."""
     params = params or Params()
     target = validate_month(month)
     ensure_checkpoint_dir(spark)
@@ -185,7 +234,7 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
                 rejected_rows=counts["rejected_rows"])
 
     if dry_run:
-        month_log = read_log(spark, ledger_dir).where(F.col("month") == F.lit(target))
+        month_log = read_log(spark, ledger_dir, target)
         decisions = decide(alerts, sent_keys(current_outcomes(month_log), target, ALERT_TYPE), dry_run=True)
         c = decision_counts(decisions).first()
         append_run(_run_row(spark, base, status="succeeded", alerts_sent=c["alerts_sent"],
@@ -193,7 +242,7 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
         return run_id
 
     totals = decide_and_deliver(spark, alerts, target, ledger_dir, params, transport, run_id, seq, sleep,
-                                max_sends=counts["at_risk_count"] - counts["unknown_region_count"])
+                                max_sends=counts["at_risk_count"] - counts["unknown_region_count"], take_over=take_over)
     append_run(_run_row(spark, base, status="succeeded", **totals), ledger_dir)
 
     write_digest(alerts, run_id, counts["unknown_region_count"], ledger_dir, params)
@@ -214,8 +263,7 @@ def run_status(spark: SparkSession, ledger_dir: str, run_id: str, limit: int = 1
     if not found:
         return None
     run = found[0].asDict()
-    log = read_log(spark, ledger_dir).where(F.col("month") == F.lit(run["month"]))
-    mine = current_outcomes(log).where(F.col("run_id") == run_id)
+    mine = current_outcomes(read_log(spark, ledger_dir, run["month"])).where(F.col("run_id") == run_id)
     samples = (status_samples(mine, limit)
                .select("sample", "account_id", "channel", "status", "reason", "error")
                .orderBy("sample", "account_id").collect())

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import time
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -243,7 +244,7 @@ def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params:
                 _write_snapshots(spark, current.unionByName(marks, allowMissingColumns=True), alerts_dir, touched, batch_id, tasks_per_bucket)
                 if ledger_dir is not None:
                     changed = routed.join(emitted.select("account_id").distinct(), "account_id", "left_semi")
-                    _alert_batch(spark, changed, target, params, ledger_dir, transport, sleep, batch_id)
+                    _alert_batch(spark, changed, target, params, ledger_dir, transport, sleep, batch_id, checkpoint)
             finally:
                 routed.unpersist()
         finally:
@@ -255,13 +256,15 @@ def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params:
     return q
 
 
-def _alert_batch(spark, routed, target, params, ledger_dir, transport, sleep, batch_id) -> None:
-    """H1-H3 for the accounts a micro-batch touched, recorded as one run of the month."""
-    run_id = f"stream-{batch_id}-{uuid.uuid4().hex[:12]}"
+def _alert_batch(spark, routed, target, params, ledger_dir, transport, sleep, batch_id, checkpoint) -> None:
+    """H1-H3 for the accounts a micro-batch touched, recorded as one run of the month. A stream is one writer: claims
+    that an earlier start of it left open are taken over, so a batch that died in the middle is finished now."""
+    stream = f"stream-{zlib.crc32(checkpoint.encode()):08x}-"
+    run_id = f"{stream}{batch_id}-{uuid.uuid4().hex[:12]}"
     seq = time.time_ns() // 1000
     cands, counts = materialize_candidates(spark, routed, run_id)
     totals = decide_and_deliver(spark, cands, target, ledger_dir, params, transport, run_id, seq, sleep,
-                                max_sends=counts["at_risk_count"] - counts["unknown_region_count"])
+                                max_sends=counts["at_risk_count"] - counts["unknown_region_count"], take_over=stream)
     record_run(spark, ledger_dir, id=run_id, seq=seq, source_uri=f"stream batch {batch_id}", month=target,
                rows_scanned=counts["rows_scanned"], duplicate_rows=counts["duplicate_rows"],
                rejected_rows=counts["rejected_rows"], **totals)
