@@ -353,6 +353,12 @@ def _outcomes(rows, run_id, seq, status="sent"):
         F.lit(200).alias("status_code"), F.lit(None).cast("timestamp").alias("recorded_at"), F.lit(TARGET_MONTH).cast("date").alias("month")))
 
 
+def _alerts(spark, sf_dir):
+    """The month's routed alerts, evaluated once."""
+    alerts = preview(spark, _am(spark, sf_dir), TARGET_MONTH, Params(), materialize=True)[0]
+    return alerts.withColumn("month", F.lit(TARGET_MONTH).cast("date"))
+
+
 def _crashed_run(spark, ledger, routable):
     """A run that died in its second wave of three: the first is recorded, of the second only the tasks with an account
     whose last digit but one is below 5 had written their rows, the third was not started."""
@@ -371,7 +377,7 @@ def _crashed_run(spark, ledger, routable):
 def q_send_intents_recovery(spark, sf_dir):
     """What became of every intent of a crashed run, and which run's outcome counts after the month ran again."""
     ledger = scratch_path(spark, "ledger")
-    alerts = _routed(spark, sf_dir)
+    alerts = _alerts(spark, sf_dir)
     _crashed_run(spark, ledger, alerts.where("routable"))
     claim = read_state(spark, ledger, TARGET_MONTH).claims["crashed"]
     path = scratch_path(spark, "states")
@@ -387,7 +393,7 @@ def q_interleaved_runs(spark, sf_dir):
     """Two runs of a month at once: a second run claims the accounts with an even last digit between the decision and the
     commit of the first, which decides again; the first then delivers before the second does. Outcomes by run."""
     ledger = scratch_path(spark, "ledger")
-    alerts = _routed(spark, sf_dir)
+    alerts = _alerts(spark, sf_dir)
     even = alerts.where("routable").where(F.substring("account_id", -1, 1).cast("int") % 2 == 0) \
                  .select("account_id", "channel", F.lit(0).alias("wave"))
     params = Params(webhook_base_url="http://receiver.invalid", retry_base_seconds=0.0)
