@@ -383,3 +383,15 @@ SELECT account_id, CASE WHEN NOT routable THEN 'first' WHEN cast(right(account_i
        CASE WHEN routable THEN 'sent' ELSE 'failed' END AS status, reason FROM routed""",
     "outcomes_compacted": SQL["outcomes_current"],
 })
+
+SQL.update({
+    "stream_latest_state": base() + """
+SELECT l.*, v.n_versions FROM latest l
+JOIN (SELECT account_id, month, count(*) AS n_versions FROM win GROUP BY account_id, month) v USING (account_id, month)""",
+    "stream_late_rows": with_(am=AM_MONTH) + f"""
+SELECT month, CASE WHEN early THEN 0 ELSE n END AS accepted_rows, CASE WHEN early THEN n ELSE 0 END AS late_rows
+FROM (SELECT month, month < {TARGET} - INTERVAL 24 MONTH AS early, count(*) AS n FROM am WHERE month <= {TARGET} GROUP BY month) x""",
+    "stream_ledger": base() + """
+SELECT account_id, CASE WHEN routable THEN 'sent' ELSE 'failed' END AS status, reason,
+       cast(CASE WHEN routable THEN 1 ELSE 0 END AS bigint) AS sent_rows FROM routed""",
+})

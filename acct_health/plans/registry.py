@@ -42,7 +42,7 @@ from acct_health.params import ALERT_TYPE, Params, parse_region_map, region_dim,
 from acct_health.plans.alerts import ALERT_COLUMNS, backfill_alerts, candidates, preview
 from acct_health.plans.run import decide_and_deliver, run_month
 from acct_health.session import scratch_path
-from acct_health.sources.account_month import month_window
+from acct_health.sources.account_month import month_window, validate_month
 from acct_health.sources.fixtures import (
     LOOKBACK,
     TARGET_MONTH,
@@ -56,8 +56,11 @@ from acct_health.streaming.stream import (
     compact_latest,
     read_alerts,
     read_feed,
+    read_late_rows,
     read_latest,
+    read_latest_state,
     run_alert_stream,
+    run_latest_state,
     run_latest_stream,
 )
 
@@ -503,7 +506,44 @@ def q_stream_alerts_restarted(spark, sf_dir):
     return read_alerts(spark, state)
 
 
+def q_stream_latest_state(spark, sf_dir):
+    """K1 on bucketed snapshots: winners and their numbers of versions."""
+    out, ckpt = scratch_path(spark, "stream-state"), scratch_path(spark, "stream-ckpt")
+    run_latest_state(spark, month_window(_feed(spark, sf_dir), TARGET_MONTH, LOOKBACK), out, ckpt)
+    return read_latest_state(spark, out)
+
+
+def q_stream_late_rows(spark, sf_dir):
+    """K2 over a feed that brings the newest year first: per month, the rows that were accepted and the rows that came
+    too late for a watermark of the lookback. Together they are the input up to the target."""
+    out, ckpt = scratch_path(spark, "stream-state"), scratch_path(spark, "stream-ckpt")
+    run_latest_state(spark, _feed(spark, sf_dir, order=-F.year("month")), out, ckpt, LOOKBACK, TARGET_MONTH)
+    accepted = read_latest_state(spark, out).groupBy("month").agg(F.sum("n_versions").alias("accepted_rows"))
+    late = read_late_rows(spark, out).groupBy("month").agg(F.count(F.lit(1)).alias("late_rows"))
+    return accepted.join(late, "month", "full").select(
+        "month", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("accepted_rows", "late_rows")])
+
+
+def q_stream_ledger(spark, sf_dir):
+    """K3 with H1-H3: a month-ordered stream whose batches decide, post and record, then the last year's rows delivered a
+    second time. Per account its outcome and how many of its rows in the log say sent."""
+    state, ckpt, src, ledger = (scratch_path(spark, n) for n in ("stream-state", "stream-ckpt", "feed", "ledger"))
+    am = month_window(_am(spark, sf_dir), TARGET_MONTH, LOOKBACK)
+    params = Params(webhook_base_url="http://receiver.invalid", retry_base_seconds=0.0)
+    last = F.year("month") == F.lit(validate_month(TARGET_MONTH).year)
+    for part in (~last, last, last):
+        am.where(part).write.mode("append").parquet(src)
+        run_alert_stream(spark, read_feed(spark, src), TARGET_MONTH, params, state, ckpt, ledger_dir=ledger,
+                         transport=_accept_all, sleep=lambda s: None)
+    log = read_log(spark, ledger, TARGET_MONTH)
+    sent = log.groupBy("account_id").agg(F.count(F.when(F.col("status") == "sent", 1)).alias("sent_rows"))
+    return current_outcomes(log).select("account_id", "status", "reason").join(sent, "account_id")
+
+
 QUERIES.update({
+    "stream_latest_state": q_stream_latest_state,
+    "stream_late_rows": q_stream_late_rows,
+    "stream_ledger": q_stream_ledger,
     "stream_dedup": q_stream_dedup,
     "stream_watermark": q_stream_watermark,
     "stream_compacted": q_stream_compacted,

@@ -1,14 +1,16 @@
 """Structured Streaming forms (K1-K3) of the same DataFrame functions.
 
-K1  ``latest_stream``: incremental latest-by-key of an arriving feed; update mode emits, per
-    micro-batch, the current winner and row count of every key that changed.
-K2  optional watermark on the month (event time) so state older than the lookback is dropped.
-    Only valid for a month-ordered feed and targets at or after the newest month seen. Rows after
+K1  ``run_latest_state``: latest-by-key of an arriving feed, kept as one snapshot per account-hash bucket.
+    A micro-batch reads the last snapshot of each bucket it touches, merges its own rows in, and writes the
+    bucket's next snapshot; older ones go. So a batch costs what the touched buckets hold, and reading the
+    result costs one snapshot a bucket, however many batches came before. ``latest_stream`` and
+    ``run_latest_stream`` are the form with Spark's own streaming aggregate, whose emissions are appended.
+K2  a watermark on the month (event time): ``run_latest_state`` writes rows that come too late to a table of
+    late rows, so that late and accepted rows together are the input, and moves months that can't change
+    any more out of the state into a table of closed ones. (``latest_stream`` has Spark's watermark, which drops
+    late rows.) Only valid for a month-ordered feed and targets at or after the newest month seen. Rows after
     the target are taken out before the watermark, which they would push ahead, and are counted.
-K3  ``run_alert_stream``: ``foreachBatch`` keeps the current winners and the current alerts as
-    snapshots per account-hash bucket. A micro-batch reads the last snapshot of each bucket it
-    touches, puts its own rows in, and writes the bucket's next snapshot and alerts; older ones go.
-    So a batch costs what the touched buckets hold, however many batches came before it.
+K3  ``run_alert_stream``: the state of K1 plus the current alerts, in snapshots of the same buckets.
     A late correction to an old month changes the streaks of later months, so the whole lookback of
     a bucket's accounts is computed anew rather than patched.
 
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from acct_health.functions.months import month_minus
 from acct_health.operators.dedup import latest_columns, latest_struct
 from acct_health.params import Params
 from acct_health.plans.alerts import ALERT_COLUMNS, materialize_candidates, routed_snapshot
@@ -199,6 +202,129 @@ def _write_snapshots(spark: SparkSession, rows: DataFrame, table: str, buckets,
             fs.delete(where, True)
 
 
+def _marks(spark: SparkSession, buckets) -> DataFrame:
+    """A marker row for each bucket: it keeps the bucket's snapshot present when its last row goes."""
+    return spark.createDataFrame([(int(b), True) for b in buckets], "bucket int, mark boolean")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Winner and number of versions per key, of rows that may be winners of earlier rows (``n_versions`` each).
+    The winner of winners is the winner of all rows, since the order among rows is fixed by the rows."""
+    own = rows.select(*ACCOUNT_MONTH_COLUMNS)
+    grouped = rows.groupBy(*KEYS, "bucket").agg(latest_struct(own, KEYS), F.sum("n_versions").alias("n_versions"))
+    return grouped.select(*latest_columns(ACCOUNT_MONTH_COLUMNS, KEYS), "n_versions", "bucket")
+
+
+def _arriving(feed: DataFrame, target_month=None) -> DataFrame:
+    """The feed's rows as they are merged; rows after the target month are left out and counted."""
+    df = feed.select(*ACCOUNT_MONTH_COLUMNS)
+    if target_month is None:
+        return df
+    late = F.col("month") > F.lit(validate_month(target_month))
+    return df.observe(REJECTED, F.count(F.when(late, 1)).alias("n")).where(~F.coalesce(late, F.lit(False)))
+
+
+def _append(stream: DataFrame, handler, checkpoint: str, available_now: bool):
+    """A stateless stream: all state is in the snapshots."""
+    w = stream.writeStream.outputMode("append").foreachBatch(handler).option("checkpointLocation", checkpoint)
+    q = (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
+    if available_now:
+        q.awaitTermination()
+    return q
+
+
+def _stored_batch(rows: DataFrame, table: str, batch_id: int) -> None:
+    """Rows of one batch in a table of all batches; a replayed batch writes the same again."""
+    (rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(table))
+
+
+def _newest_month(spark: SparkSession, out_dir: str, before: int):
+    """The newest month that batches before this one brought (one row a batch, the last two are kept)."""
+    table = f"{out_dir}/progress"
+    known = sorted(int(f.getPath().getName().split("=")[1]) for f in _listed(spark, table) if f.getPath().getName().startswith("batch_id="))
+    past = [b for b in known if b < before]
+    for b in past[:-1]:
+        fs, where = _folder(spark, f"{table}/batch_id={b}")
+        fs.delete(where, True)
+    return spark.read.schema("newest date").parquet(f"{table}/batch_id={past[-1]}").first()["newest"] if past else None
+
+
+def run_latest_state(spark: SparkSession, feed: DataFrame, out_dir: str, checkpoint: str, watermark_months: int | None = None,
+                     target_month=None, available_now: bool = True, state_buckets: int = 8, tasks_per_bucket: int = 1,
+                     contract: FeedContract | None = None):
+    """K1 and K2: keep the latest row per key under ``out_dir`` (see :func:`read_latest_state`).
+
+    With ``watermark_months`` (which needs the target month) a row whose month is more than that many months before the
+    newest month of the batches before it is late: it goes to the late rows (:func:`read_late_rows`), not into the
+    state, and keys of such months are moved to a table of closed keys. Rows without a month are never late."""
+    if watermark_months is not None and target_month is None:
+        raise ValueError("a watermark needs the target month")
+    fix_buckets(spark, out_dir, state_buckets)
+    latest_dir = f"{out_dir}/latest"
+
+    def handle(batch: DataFrame, batch_id: int):
+        if contract:
+            contract.check()
+        rows = batch.withColumn("bucket", account_bucket(state_buckets)).persist()
+        try:
+            found = rows.agg(F.collect_set("bucket").alias("buckets"), F.max("month").alias("newest")).first()
+            if not found["buckets"]:  # at most state_buckets values
+                return
+            touched, bound = found["buckets"], None
+            accepted = rows.withColumn("n_versions", F.lit(1).cast("bigint"))
+            if watermark_months is not None:
+                seen = _newest_month(spark, out_dir, batch_id)
+                bound = seen and month_minus(seen, watermark_months)
+                newest = max(m for m in (seen, found["newest"]) if m) if seen or found["newest"] else None
+                _stored_batch(spark.createDataFrame([(newest,)], "newest date").coalesce(1), f"{out_dir}/progress", batch_id)
+            if bound:
+                late = F.coalesce(F.col("month") < F.lit(bound), F.lit(False))
+                _stored_batch(rows.where(late).drop("bucket"), f"{out_dir}/late", batch_id)
+                accepted = accepted.where(~late)
+            before = _snapshots(spark, latest_dir, touched, batch_id)
+            if before is not None:
+                accepted = accepted.unionByName(before.where("not mark").drop("version", "mark"))
+            merged = _merged(accepted).withColumn("mark", F.lit(False))
+            if bound:
+                merged = merged.persist()
+                over = F.coalesce(F.col("month") < F.lit(bound), F.lit(False))
+                _stored_batch(merged.where(over).drop("bucket", "mark"), f"{out_dir}/closed", batch_id)
+                live = merged.where(~over)
+            else:
+                live = merged
+            _write_snapshots(spark, live.unionByName(_marks(spark, touched), allowMissingColumns=True), latest_dir, touched,
+                             batch_id, tasks_per_bucket)
+            if bound:
+                merged.unpersist()
+        finally:
+            rows.unpersist()
+
+    return _append(_arriving(feed, target_month), handle, checkpoint, available_now)
+
+
+_LATEST_SCHEMA = T.StructType([*ACCOUNT_MONTH_SCHEMA.fields, T.StructField("n_versions", T.LongType())])
+
+
+def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    if not any(f.getPath().getName().startswith("batch_id=") for f in _listed(spark, path)):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def read_latest_state(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The latest row per key and its number of versions: the buckets' newest snapshots and the closed keys."""
+    buckets = spark.read.parquet(f"{out_dir}/layout").first()["buckets"]
+    live = _snapshots(spark, f"{out_dir}/latest", range(buckets))
+    closed = _table(spark, f"{out_dir}/closed", _LATEST_SCHEMA)
+    return closed if live is None else live.where("not mark").select(*_LATEST_SCHEMA.names).unionByName(closed)
+
+
+def read_late_rows(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Rows that came too late, as they came."""
+    return _table(spark, f"{out_dir}/late", ACCOUNT_MONTH_SCHEMA)
+
+
 def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params: Params, state_dir: str,
                      checkpoint: str, available_now: bool = True, state_buckets: int = 8,
                      ledger_dir: str | None = None, transport=None, sleep=time.sleep,
@@ -223,18 +349,17 @@ def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params:
     def handle(batch: DataFrame, batch_id: int):
         if contract:
             contract.check()
-        # the batch frame is used more than once; persisting it keeps the stateful aggregate from running again
-        emitted = batch.withColumn("bucket", account_bucket(state_buckets)).persist()
+        emitted = batch.withColumn("bucket", account_bucket(state_buckets)).persist()  # used more than once
         try:
             # the touched buckets: at most state_buckets values
             touched = [r["bucket"] for r in emitted.select("bucket").distinct().collect()]
             if not touched:
                 return
-            rows = emitted.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            rows = emitted.withColumn("n_versions", F.lit(1).cast("bigint"))
             before = _snapshots(spark, latest_dir, touched, batch_id)
             if before is not None:
-                rows = rows.unionByName(before.drop("version").withColumn("batch_id", F.lit(-1).cast("bigint")))
-            _write_snapshots(spark, current_latest(rows), latest_dir, touched, batch_id, tasks_per_bucket)
+                rows = rows.unionByName(before.drop("version"))
+            _write_snapshots(spark, _merged(rows), latest_dir, touched, batch_id, tasks_per_bucket)
             state = _snapshots(spark, latest_dir, touched, batch_id + 1).drop("bucket", "version")
             routed = routed_snapshot(spark, None, target, params, latest=state).persist()
             try:
@@ -250,10 +375,7 @@ def run_alert_stream(spark: SparkSession, feed: DataFrame, target_month, params:
         finally:
             emitted.unpersist()
 
-    q = _start(latest_stream(window), handle, checkpoint, available_now)
-    if available_now:
-        q.awaitTermination()
-    return q
+    return _append(_arriving(window), handle, checkpoint, available_now)
 
 
 def _alert_batch(spark, routed, target, params, ledger_dir, transport, sleep, batch_id, checkpoint) -> None:

@@ -170,3 +170,38 @@ def test_stream_alerting_posts_each_alert_once(spark, tmp_path, params):
     assert [(r["alerts_sent"], r["skipped_replay"], r["failed_deliveries"]) for r in runs] == [(1, 0, 1), (1, 1, 0)]
     digests = spark.read.parquet(f"{ledger}/digests").collect()
     assert len(digests) == 1 and digests[0]["run_id"] == runs[0]["id"] and "a3 (C) region=None" in digests[0]["body"]
+
+
+def test_twenty_batches_of_the_latest_state_cost_no_more_than_two(spark, tmp_path):
+    from acct_health.streaming.stream import read_latest_state, run_latest_state
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    for i in range(20):
+        feed = _feed_of(tmp_path, [row(f"acc{k}", "N", "AMER", TARGET, "At Risk", dt.datetime(2024, 3, 1 + i)) for k in range(6)])
+    run_latest_state(spark, read_feed(spark, feed, 1), out, ckpt, state_buckets=4)
+    versions = spark.read.parquet(f"{out}/latest").where("not mark")
+    assert versions.select("version").distinct().count() == 2 and versions.where("version = 19").count() == 6
+    assert len(read_latest_state(spark, out).inputFiles()) <= 4
+    assert {(r["updated_at"].day, r["n_versions"]) for r in read_latest_state(spark, out).collect()} == {(20, 20)}
+
+
+def test_late_rows_are_kept_and_old_months_closed(spark, tmp_path):
+    from acct_health.streaming.stream import read_late_rows, read_latest_state, run_latest_state
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    month = lambda m: dt.date(2024, m, 1)
+    batches = [[row("a", "A", "AMER", month(1), "At Risk", None), row("b", "B", "AMER", None, "At Risk", None)],
+               [row("a", "A", "AMER", month(6), "Healthy", None), row("c", "C", "AMER", dt.date(2099, 1, 1), "Healthy", None)],
+               [row("a", "A", "AMER", month(1), "Churned", None), row("a", "A", "AMER", month(5), "Healthy", None),
+                row("d", "D", "AMER", month(4), "Healthy", None), row("d", "D", "AMER", month(4), "Healthy", None)]]
+    for b in batches:
+        feed = _feed_of(tmp_path, b)
+    for _ in range(2):  # the second start finds nothing new
+        run_latest_state(spark, read_feed(spark, feed, 1), out, ckpt, watermark_months=2, target_month=month(6), state_buckets=2)
+    late = sorted((r["account_id"], r["month"].month, r["status"]) for r in read_late_rows(spark, out).collect())
+    assert late == [("a", 1, "Churned")]
+    state = {(r["account_id"], r["month"] and r["month"].month): r["n_versions"] for r in read_latest_state(spark, out).collect()}
+    assert state == {("a", 1): 1, ("a", 5): 1, ("a", 6): 1, ("b", None): 1, ("d", 4): 2}
+    assert sum(state.values()) + len(late) + 1 == sum(map(len, batches))  # one row is after the target
+    live = spark.read.parquet(f"{out}/latest").where("not mark and month = '2024-01-01'")
+    assert live.where("version = 2").count() == 0  # January is closed
+    with pytest.raises(ValueError):
+        run_latest_state(spark, read_feed(spark, feed), out, ckpt, watermark_months=2)
