@@ -1,9 +1,10 @@
 """Unknown-region digest (I1, I2): which accounts of a run could not be routed.
 
 ``digest_lines`` is a table with one row per such account; it has the same form at every size.
-``unknown_region_digest`` puts the lines together as texts to send: one, or as many parts as the
-caller asks for (accounts are dealt over parts by hash, lines are in account order within a part).
-Neither form depends on how many accounts there are, and no rows come out when there are none.
+``unknown_region_digest`` puts the lines together as texts to send: parts by ranges of account ids, so the
+parts one after the other are the whole digest in account order. Runs cut it every ``LINES_PER_TEXT`` lines
+unless their parameters name a number of parts, so no text or group grows with the accounts. No rows come
+out when there are none.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 # The digest's wording is this library's own.
 SUBJECT = "Accounts without a routed region"
+LINES_PER_TEXT = 10_000
 HEADER_TAIL = " account(s) got no alert because their region maps to no channel:"
 
 
@@ -44,11 +46,12 @@ def unknown_region_digest(routed: DataFrame, run_id: str, n_accounts: int, parts
                           to: str | None = None) -> DataFrame:
     """(run_id, to, subject, part, n_accounts, n_lines, body) for the unroutable rows of ``routed``.
 
-    ``n_accounts`` is their number, which a run's counts have; nothing is counted here. A part holds
-    its share of the lines in one row: ask for more parts, or use ``digest_lines``, where a text of
-    all accounts would be too long."""
-    part = F.pmod(F.xxhash64("account_id"), F.lit(parts)) if parts > 1 else F.lit(0)
-    lines = digest_lines(routed, run_id, to).withColumn("part", part.cast("int"))
+    ``n_accounts`` is their number, which a run's counts have; nothing is counted here. A part holds its range of
+    account ids in one row (ranges are sampled by Spark, so parts differ a little in length)."""
+    lines = digest_lines(routed, run_id, to)
+    if parts > 1:
+        lines = lines.repartitionByRange(parts, "account_id")
+    lines = lines.withColumn("part", F.spark_partition_id() if parts > 1 else F.lit(0))
     per_part = lines.groupBy("run_id", "to", "subject", "part").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("account_id", "line"))),

@@ -56,9 +56,10 @@ class Params:
     retry_max_attempts: int = DEFAULT_MAX_ATTEMPTS
     retry_base_seconds: float = DEFAULT_RETRY_BASE
     retry_cap_seconds: float = DEFAULT_RETRY_CAP
-    # The digest of unroutable accounts: its recipient, and into how many texts it is cut.
+    # The digest of unroutable accounts: its recipient, and into how many texts it is cut
+    # (None: one for every digest.LINES_PER_TEXT lines).
     support_email: str | None = None
-    digest_parts: int = 1
+    digest_parts: int | None = None
     # Delivery parallelism: None sizes it from the number of sends (sends_per_task each, at most
     # max_delivery_tasks at once); waves bound how much one failed job can leave unrecorded.
     delivery_partitions: int | None = None

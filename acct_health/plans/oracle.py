@@ -395,3 +395,16 @@ FROM (SELECT month, month < {TARGET} - INTERVAL 24 MONTH AS early, count(*) AS n
 SELECT account_id, CASE WHEN routable THEN 'sent' ELSE 'failed' END AS status, reason,
        cast(CASE WHEN routable THEN 1 ELSE 0 END AS bigint) AS sent_rows FROM routed""",
 })
+
+AM_PLACED = AM_MONTH.replace("AS updated_at\n", "AS updated_at, row_number() OVER (ORDER BY l.l_orderkey, l.l_linenumber) AS pos\n", 1)
+SQL.update({
+    "dedup_scan_order": with_(am=AM_PLACED, win=window()) + """
+SELECT account_id, account_name, account_region, month, status, renewal_date, account_owner, arr, updated_at
+FROM (SELECT *, row_number() OVER (PARTITION BY account_id, month ORDER BY updated_at DESC NULLS LAST,
+        CASE WHEN updated_at IS NULL THEN -pos ELSE pos END DESC) AS rn FROM win) q WHERE rn = 1""",
+    "dedup_bucketed": SQL["dedup_latest"],
+    "streaks_bucketed": SQL["streaks_all_months"],
+    "unknown_region_digest_ordered": base() + f"""
+SELECT row_number() OVER (ORDER BY account_id) - 1 AS place, {DIGEST_LINE} AS line, count(*) OVER () AS n_accounts
+FROM routed WHERE NOT routable""",
+})

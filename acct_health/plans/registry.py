@@ -42,7 +42,7 @@ from acct_health.params import ALERT_TYPE, Params, parse_region_map, region_dim,
 from acct_health.plans.alerts import ALERT_COLUMNS, backfill_alerts, candidates, preview
 from acct_health.plans.run import decide_and_deliver, run_month
 from acct_health.session import scratch_path
-from acct_health.sources.account_month import month_window, validate_month
+from acct_health.sources.account_month import month_window, read_account_month, validate_month, write_account_table
 from acct_health.sources.fixtures import (
     LOOKBACK,
     TARGET_MONTH,
@@ -626,3 +626,48 @@ QUERIES.update({
     "failed_run": q_failed_run,
     "streak_long_lookback": q_streak_long_lookback,
 })
+
+
+# --- layouts, scan order, ordered parts ---------------------------------------------------------
+
+def q_dedup_scan_order(spark, sf_dir):
+    """The latest row per key where ties go by the scan, over files written in the order of the line items."""
+    path = scratch_path(spark, "scan")
+    place = ("l_orderkey", "l_linenumber")
+    rows = account_month_from_tables(spark, sf_dir, keep=place)
+    rows.repartitionByRange(8, *place).sortWithinPartitions(*place).drop(*place).write.parquet(path)
+    uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    win = month_window(read_account_month(spark, uri, scan_position=True), TARGET_MONTH, LOOKBACK)
+    return latest_by_key(win, tie_break="scan_order")
+
+
+def _bucketed(spark, sf_dir, buckets=16):
+    path = scratch_path(spark, "bucketed")
+    return write_account_table(_am(spark, sf_dir), f"account_month_{path.rsplit('-', 1)[1]}", path, buckets)
+
+
+def q_dedup_bucketed(spark, sf_dir):
+    """The latest row per key from a table bucketed by account: no exchange."""
+    return latest_by_key(month_window(_bucketed(spark, sf_dir), TARGET_MONTH, LOOKBACK))
+
+
+def q_streaks_bucketed(spark, sf_dir):
+    """Streaks of every month from the bucketed table: no exchange either."""
+    return streaks_all(latest_by_key(_bucketed(spark, sf_dir)), LOOKBACK)
+
+
+def q_unknown_region_digest_ordered(spark, sf_dir):
+    """The lines of a digest in four texts, one text after the other: those of the one-part digest."""
+    parts = _digest(spark, sf_dir, 4).select("part", F.slice(F.split("body", "\n"), 2, 1 << 30).alias("lines"), "n_accounts")
+    whole = parts.groupBy("n_accounts").agg(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("part", "lines"))), lambda p: p["lines"])).alias("lines"))  # four rows
+    return whole.select(F.posexplode("lines").alias("i", "line"), "n_accounts").select(
+        F.col("i").cast("bigint").alias("place"), "line", "n_accounts")
+
+
+QUERIES.update({
+    "dedup_scan_order": q_dedup_scan_order,
+    "dedup_bucketed": q_dedup_bucketed,
+    "streaks_bucketed": q_streaks_bucketed,
+    "unknown_region_digest_ordered": q_unknown_region_digest_ordered,
+})

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from acct_health.functions.render import payload_json
 from acct_health.operators.delivery import RetryPolicy, Transport, deliver, target_url
 from acct_health.operators.commits import claimed_keys, new_entry, read_entries, read_state, write_entry
-from acct_health.operators.digest import unknown_region_digest
+from acct_health.operators.digest import LINES_PER_TEXT, unknown_region_digest
 from acct_health.operators.intents import UNKNOWN_SCHEMA, claim_sends, end_claim, held_keys, record_wave, recover, start_wave
 from acct_health.operators.ledger import (
     RUNS_SCHEMA,
@@ -252,7 +252,8 @@ def run_month(spark: SparkSession, source, month, ledger_dir: str, params: Param
 def write_digest(alerts: DataFrame, run_id: str, n_unknown: int, ledger_dir: str, params: Params) -> None:
     """Append the unknown-region digest of a run (I1); nothing when every alert was routable."""
     if n_unknown:
-        (unknown_region_digest(alerts, run_id, n_unknown, params.digest_parts, params.support_email)
+        parts = params.digest_parts or math.ceil(n_unknown / LINES_PER_TEXT)
+        (unknown_region_digest(alerts, run_id, n_unknown, parts, params.support_email)
          .withColumn("recorded_at", F.lit(_now()))
          .write.mode("append").parquet(digests_path(ledger_dir)))
 

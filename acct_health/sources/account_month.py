@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acct_health.functions.months import month_minus
+from acct_health.session import scratch_path
 from acct_health.sources.uri import resolve_uri
 
 ACCOUNT_MONTH_SCHEMA = T.StructType([
@@ -98,16 +99,31 @@ def conform_account_month(df: DataFrame) -> DataFrame:
     return df.select(*[_conform(by_name[c]) for c in ACCOUNT_MONTH_COLUMNS], *extra)
 
 
+def file_ordinals(raw: DataFrame) -> DataFrame:
+    """(_file, _file_ord): the files of a frame numbered in path order.
+
+    Paths are range-partitioned and stored; a file's number is its place in its partition plus the files of the
+    partitions before it, whose counts (one number a partition) are all that reaches the driver."""
+    spark = raw.sparkSession
+    path = scratch_path(spark, "files")
+    files = raw.select(F.input_file_name().alias("_file")).distinct()
+    files.repartitionByRange("_file").withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    files = spark.read.schema("_file string, _part int").parquet(path)
+    before, offsets = 0, [F.lit(-1), F.lit(0).cast("bigint")]  # never empty: a map needs a type
+    for r in sorted(files.groupBy("_part").count().collect()):
+        offsets += [F.lit(r["_part"]), F.lit(before).cast("bigint")]
+        before += r["count"]
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_file")) - 1
+    return files.select("_file", (F.element_at(F.create_map(*offsets), F.col("_part")) + place).alias("_file_ord"))
+
+
 def with_scan_position(raw: DataFrame) -> DataFrame:
     """Add ``_scan_pos``: the row's place in a scan that reads files in path order and rows in file
     order (file ordinal * 2^40 + row index in the file). Used by the ``scan_order`` tie-break.
 
-    The ordinals are a table of one row per file, numbered in Spark from a scan without columns; its
-    size decides how it is joined."""
-    files = raw.select(F.input_file_name().alias("_file")).distinct()
-    ordinals = files.withColumn("_file_ord", (F.row_number().over(Window.orderBy("_file")) - 1).cast("bigint"))
+    The ordinals are a table of one row per file; its size decides how it is joined."""
     pos = raw.withColumn("_file", F.input_file_name()).withColumn("_row", F.col("_metadata.row_index"))
-    joined = pos.join(ordinals, on="_file", how="left")
+    joined = pos.join(file_ordinals(raw), on="_file", how="left")
     return joined.withColumn(SCAN_POSITION, F.col("_file_ord") * F.lit(1 << 40) + F.col("_row")) \
                  .drop("_file", "_row", "_file_ord")
 
@@ -148,3 +164,13 @@ def write_account_month(df: DataFrame, path: str, partitions: int | None = None,
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (df.repartitionByRange(n, "month", "account_id")
      .write.mode(mode).partitionBy("month").parquet(path))
+
+
+def write_account_table(df: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """Write an account-month table bucketed and sorted by account, as catalog table ``name`` stored at ``path``, and
+    read it back. The latest row per key, streaks and snapshots of it need no exchange, whatever the lookback; a month
+    window still prunes by the files' statistics only. For feeds where no account holds much of all rows: a
+    bucket is one task's. Other layouts are :func:`write_account_month`'s."""
+    (df.repartition(buckets, "account_id").write.bucketBy(buckets, "account_id").sortBy("account_id", "month")
+     .option("path", path).mode("errorifexists").saveAsTable(name))
+    return conform_account_month(df.sparkSession.table(name))

@@ -43,11 +43,13 @@ def padded_id(prefix: str, key: Column, width: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")))
 
 
-def account_month_from_tables(spark: SparkSession, sf_dir: str, first_of_month: bool = True) -> DataFrame:
+def account_month_from_tables(spark: SparkSession, sf_dir: str, first_of_month: bool = True, keep: tuple = ()) -> DataFrame:
     """The nine-column ``account_month`` frame built from the TPC-H-like tables.
 
-    With ``first_of_month=False`` the raw ship date is the ``month`` (mid-month dates, for J4)."""
+    With ``first_of_month=False`` the raw ship date is the ``month`` (mid-month dates, for J4). ``keep`` names
+    columns of lineitem that are added."""
     li = _read(spark, sf_dir, "lineitem").select(
+        *[c for c in keep if c != "l_linenumber"],
         "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_returnflag", "l_linestatus", "l_shipdate")
     # gaps: in some months of each supplier nothing counts; those rows count for the month before, so
@@ -79,6 +81,7 @@ def account_month_from_tables(spark: SparkSession, sf_dir: str, first_of_month:
          .otherwise(F.floor("l_extendedprice").cast("bigint") - 20000).alias("arr"),
         F.when(F.col("l_quantity") == 50, F.lit(None).cast("timestamp_ntz"))
          .otherwise(F.col("l_shipdate")).alias("updated_at"),
+        *keep,
     )
 
 
