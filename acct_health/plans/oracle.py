@@ -9,7 +9,7 @@ from __future__ import annotations
 
 # Account-month rows derived from the TPC-H-like tables (same mapping as sources.fixtures).
 AM = """
-SELECT concat('a', lpad(cast(l.l_suppkey AS varchar), 5, '0')) AS account_id,
+SELECT concat('a', lpad(cast(l.l_suppkey AS varchar), cast(greatest(5, length(cast(l.l_suppkey AS varchar))) AS integer), '0')) AS account_id,
        s.s_name AS account_name,
        CASE r.r_name WHEN 'AMERICA' THEN 'AMER' WHEN 'EUROPE' THEN 'EMEA' WHEN 'ASIA' THEN 'APAC'
                      WHEN 'AFRICA' THEN 'AFRICA' ELSE NULL END AS account_region,
@@ -35,7 +35,7 @@ AM_RAW = AM.format(month_expr=f"cast({COUNTED} AS date)")
 
 # Low-duplicate account months from orders (same mapping as sources.fixtures.account_month_from_orders).
 AM_ORDERS = """
-SELECT concat('c', lpad(cast(o.o_custkey AS varchar), 6, '0')) AS account_id,
+SELECT concat('c', lpad(cast(o.o_custkey AS varchar), cast(greatest(6, length(cast(o.o_custkey AS varchar))) AS integer), '0')) AS account_id,
        c.c_name AS account_name,
        CASE r.r_name WHEN 'AMERICA' THEN 'AMER' WHEN 'EUROPE' THEN 'EMEA' WHEN 'ASIA' THEN 'APAC'
                      WHEN 'AFRICA' THEN 'AFRICA' ELSE NULL END AS account_region,
@@ -259,7 +259,7 @@ def ledger_base() -> str:
     return base() + ",\n" + with_(
         log=OUTCOME_LOG,
         cur=CURRENT,
-        cur_s="SELECT concat('a', lpad(cast(account_id AS varchar), 5, '0')) AS account_id, seq, run_id, status, "
+        cur_s="SELECT concat('a', lpad(cast(account_id AS varchar), cast(greatest(5, length(cast(account_id AS varchar))) AS integer), '0')) AS account_id, seq, run_id, status, "
               "reason FROM cur",
         sent="SELECT DISTINCT account_id FROM cur_s WHERE status = 'sent'",
         dec="""

@@ -15,7 +15,7 @@ from tests.conftest import ARROW_SCHEMA, SAMPLE_ROWS, TARGET, row, write_rows
 
 
 def _row(account_id, month, status, updated_at, **kw):
-    return row(account_id, "Any", "EMEA", month, status, updated_at, arr=1, renewal=None, owner=None) | kw
+    return row(account_id, "Any", "EMEA", month, status, updated_at, arr=1, renewal_date=None, account_owner=None) | kw
 
 
 def _df(spark, rows):

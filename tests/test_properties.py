@@ -22,8 +22,8 @@ def test_arr_floor_null_negative_and_empty_region(spark, tmp_path):
         row("n2", "Negative", "AMER", JAN, "At Risk", T, arr=-1500),
         row("n3", "Zero", "EMEA", JAN, "At Risk", T, arr=0),
         row("n4", "Small", "EMEA", JAN, "At Risk", T, arr=9999),
-        row("n5", "Empty region", "", JAN, "At Risk", T, arr=20000, owner=""),
-        row("n6", "Lower case", "amer", JAN, "At Risk", T, arr=20000, renewal=None),
+        row("n5", "Empty region", "", JAN, "At Risk", T, arr=20000, account_owner=""),
+        row("n6", "Lower case", "amer", JAN, "At Risk", T, arr=20000, renewal_date=None),
     ]
     am = read_account_month(spark, write_rows(tmp_path / "edge.parquet", rows))
     got = {r["account_id"]: r for r in preview(spark, am, JAN, Params())[0].collect()}
