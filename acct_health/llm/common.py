@@ -12,16 +12,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from acct_health.session import scratch_path, ship_package
 
 #: Bytes of text hashed at once; bounds the arrays of 8 bytes per byte of text.
 SEGMENT_BYTES = 1 << 18
+#: Bytes and rows of an Arrow batch on its way to or from Python.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 2000
+
+
+def hash_share(column, seed: int, share: float):
+    """Whether a row is within ``share`` of all rows by a hash of a column; shares as small as 2^-62 count."""
+    return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 2) < F.lit(min(1 << 62, int((1 << 62) * share)))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; workers get the package as they need it for the operators' Python steps."""
+    """A test table; workers get the package as they need it for the operators' Python steps, and whole texts
+    in batches of bounded bytes."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,8 +2,8 @@
 
 Each language has a codeword of bits; for every bit a binary classifier (naive Bayes over hashed
 three-byte grams of the folded text) gives the mean log ratio of its two sides. Decoding weighs each
-bit's loss by how well its classifier separates the training rows, and takes the language of the
-codeword with the least loss. The score is that language's share of exp(-loss); a text whose two
+bit's loss by how far apart its classifier keeps the mean texts of the two sides' languages, and takes the
+language of the codeword with the least loss. The score is that language's share of exp(-loss); a text whose two
 nearest codewords lie close together is flagged as ambiguous.
 
 The classifiers are fitted on at most ``TRAIN_PER_LANGUAGE`` rows of each language, picked by a hash of
@@ -17,6 +17,7 @@ from and not held out. Rows with equal ids are judged each by itself.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,15 +25,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acct_health.llm.common import read_table, text_buffer
+from acct_health.llm.common import hash_share, read_table, text_buffer
 from acct_health.llm.wordcache import text_slices
 
 TRAIN_PER_LANGUAGE = 2000
-#: Languages with fewer learnable rows than this are not learnt.
-LEAST_ROWS = 3
 GRAM_BITS = 14
 #: Loss per bit grows by this per nat of mean log ratio.
 SHARPNESS = 8.0
@@ -112,15 +111,18 @@ class Model:
         return loss.argmin(axis=1), score, score < AMBIGUOUS
 
 
+def _any(conditions: list) -> Column:
+    return functools.reduce(lambda a, b: a | b, conditions)
+
+
 def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model | None:
     """Learns from rows of ``docs`` that are not held out (their text and lang)."""
     rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).collect()}
+    found = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     languages = sorted(found)
     if not languages:
         return None
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(1e6 * min(1, per_language / found[lang])))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < F.coalesce(share[F.col("lang")], F.lit(0)))
+    sample = rows.where(_any([(F.col("lang") == lang) & hash_share("doc_id", 5, per_language / found[lang]) for lang in languages]))
     number = {lang: i for i, lang in enumerate(languages)}
     size = 1 << GRAM_BITS
 
@@ -165,13 +167,14 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model | None
     return Model(languages, code, np.array(weights, np.float32), np.array(bias), trust)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (not ``text``) with lang_pred, score and ambiguous."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
+    """Columns ``keep`` of ``docs`` with lang_pred, score and ambiguous; the text is sent to Python once, kept or not."""
+    at = keep.index(text) if text in keep else len(keep)
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, score, unsure = [], [], []
-            for _, texts in text_slices(b.column("__text")):
+            for _, texts in text_slices(b.column(at)):
                 if model is None:
                     lang += ["und"] * len(texts)
                     score += [0.0] * len(texts)
@@ -187,8 +190,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 schema=pa.schema([*[b.schema.field(i) for i in range(len(keep))], pa.field("lang_pred", pa.string()),
                                   pa.field("score", pa.float64()), pa.field("ambiguous", pa.bool_())]))
 
-    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col(text).alias("__text")] * (at == len(keep)))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:len(keep)])
     return chosen.mapInArrow(batch, (fields + ", " if fields else "") + "lang_pred string, score double, ambiguous boolean")
 
 

@@ -40,6 +40,8 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "au", "sur", "avec", "pas"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no", "una", "su", "al", "es"],
 }
+#: From so many words on, windows are told apart by all 64 bits of their hash (below, by 50 at least).
+LONG_TEXT = 1 << 14
 CLASSES = ["lower", "upper", "digit", "punct", "other"]
 _BLANK = r"[\x20\x09-\x0D]+"
 
@@ -59,16 +61,23 @@ def features(docs: DataFrame, words_by_language: dict[str, list[str]] = COMMON_W
     rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t"))
     rows = rows.withColumn("w", F.filter(F.split("t", _BLANK), lambda x: x != ""))
     rows = rows.withColumn("n_words", _size(F.col("w")))
-    # words i, i + 1, i + 2 as one hash; the low bits of its place replace the hash's low bits
+    # words i, i + 1, i + 2 as one hash; the low bits of its place replace the hash's low bits. Texts of LONG_TEXT
+    # words or more, where that would leave too few bits, sort pairs of the whole hash and the place instead.
+    short = F.col("n_words") < LONG_TEXT
     rows = rows.withColumn("bits", F.length(F.conv(F.col("n_words").cast("string"), 10, 2)))
     rows = rows.withColumn("low", (F.pow(F.lit(2.0), F.col("bits")) - 1).cast("long"))
     firsts = F.slice("w", F.lit(1), F.greatest(F.col("n_words") - 2, F.lit(0)).cast("int"))
-    rows = rows.withColumn("s", F.sort_array(F.transform(firsts, lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)).bitwiseAND(
-        F.bitwise_not("low")).bitwiseOR(i.cast("long")))))
+    hashed = lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))
+    rows = rows.withColumn("s", F.when(short, F.sort_array(F.transform(firsts, lambda x, i: hashed(x, i).bitwiseAND(
+        F.bitwise_not("low")).bitwiseOR(i.cast("long"))))))
+    rows = rows.withColumn("z", F.when(~short, F.sort_array(F.transform(firsts, lambda x, i: F.struct(
+        hashed(x, i).alias("h"), i.cast("long").alias("at"))))))
     # sorted, equal windows are neighbours
     window = lambda x: F.call_function("shiftright", x, F.col("bits"))
     same = F.filter("s", lambda x, i: (window(x) == window(F.get("s", i + 1))) | (window(x) == window(F.get("s", i - 1))))
-    rows = rows.withColumn("p", F.sort_array(F.transform(same, lambda x: x.bitwiseAND(F.col("low")))))
+    alike = F.filter("z", lambda x, i: (x["h"] == F.get("z", i + 1)["h"]) | (x["h"] == F.get("z", i - 1)["h"]))
+    rows = rows.withColumn("p", F.when(short, F.sort_array(F.transform(same, lambda x: x.bitwiseAND(F.col("low"))))).otherwise(
+        F.sort_array(F.transform(alike, lambda x: x["at"]))))
     covered = F.aggregate(F.transform("p", lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("p", i + 1) - x, F.lit(3)))),
                           F.lit(0).cast("long"), lambda a, x: a + x)
     found = F.sort_array(F.filter("w", lambda x: x.isin(listed)))

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acct_health.llm.common import read_table
+from acct_health.llm.common import hash_share, read_table
 from acct_health.llm.language_id import held_out
 from acct_health.llm.wordcache import text_slices
 
@@ -176,8 +176,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
     usable = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = usable.count()
-    part = int(1e6 * min(1, rows / max(1, total)))
-    picked = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < part)
+    picked = usable.where(hash_share("doc_id", 9, rows / max(1, total)))
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(
         (F.col("toxic") > 0).alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -257,18 +256,19 @@ def _uses(found: list[tuple[str, float, tuple[bool, bool, bool]]]) -> list[str]:
     return sorted({str(p) for p in (paths - calm or (set() if threats else calm))} | threats)
 
 
-def predict(docs: DataFrame, grammar: Grammar, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (not ``text``) with score and predicted."""
+def predict(docs: DataFrame, grammar: Grammar, keep: list[str], text: str = "text") -> DataFrame:
+    """Columns ``keep`` of ``docs`` with score and predicted; the text is sent to Python once, kept or not."""
+    at = keep.index(text) if text in keep else len(keep)
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = [grammar.score(m) for _, texts in text_slices(b.column("__text")) for m in matches(texts, grammar)]
+            score = [grammar.score(m) for _, texts in text_slices(b.column(at)) for m in matches(texts, grammar)]
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(i) for i in range(len(keep))], pa.array(score, pa.float64()), pa.array([int(s >= THRESHOLD) for s in score], pa.int32())],
                 schema=pa.schema([*[b.schema.field(i) for i in range(len(keep))], pa.field("score", pa.float64()), pa.field("predicted", pa.int32())]))
 
-    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col(text).alias("__text")] * (at == len(keep)))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:len(keep)])
     return chosen.mapInArrow(batch, (fields + ", " if fields else "") + "score double, predicted int")
 
 

@@ -68,6 +68,21 @@ def test_nothing_to_learn_and_mixed_text(spark):
     _, sure, unsure = model.decode(model.margins(pa.array([_text(rng, "aa", 50)])))
     assert sure[0] > 0.99 and not unsure[0]
     _, sure, unsure = model.decode(np.zeros((1, model.code.shape[1])))  # no bit says anything
-    assert sure[0] == pytest.approx(1 / 4) and unsure[0]
+    assert sure[0] == pytest.approx(1 / len(model.languages)) and unsure[0]  # languages of a row or two are learnt too
     kept = predict(_frame(spark, _rows()), model, ["text", "lang"])
     assert kept.columns == ["text", "lang", "lang_pred", "score", "ambiguous"]
+
+
+def test_shares_below_a_millionth_and_rare_languages(spark):
+    from acct_health.llm.common import hash_share
+    ids = spark.range(1 << 20)
+    n = ids.where(hash_share("id", 5, 2.0 ** -12)).count()
+    assert 150 < n < 370 and ids.where(hash_share("id", 5, 2.0 ** -40)).count() == 0 and ids.where(hash_share("id", 5, 1.5)).count() == 1 << 20
+    plan = ids.where(hash_share("id", 5, 1e-12))._jdf.queryExecution().optimizedPlan().toString()
+    assert str(int((1 << 62) * 1e-12)) in plan  # a small share is no zero
+    rng = random.Random(3)
+    rows = _rows()
+    last = max(r[0] for r in rows)
+    odd = next(i for i in range(last + 1, last + 50) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows.append((odd, "ψωμί και νερό για όλους " * 20, "el"))
+    assert "el" in fit(_frame(spark, rows)).languages

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -84,3 +85,17 @@ def test_run(spark, corpus):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_stages_with_clashing_columns(spark, corpus):
+    """Columns named like the stages' own keep their values."""
+    folder, _, _, _, _ = corpus
+    names = ["score", "predicted", "lang_pred", "ambiguous", "__h", "__n", "__id", "__key", "__class", "__kept", "__text", "h", "class"]
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = plain.select("*", *[F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, alone = stage(spark, docs, folder), stage(spark, plain, folder)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in alone.select("doc_id").collect())
+        assert all(r[n] == f"{n} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for n in names), name

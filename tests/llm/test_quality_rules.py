@@ -90,3 +90,19 @@ def test_no_reference_and_no_rows(spark):
     (r,) = judged(_frame(spark, [(1, text, None)])).collect()
     assert r.kept and r.word_js is None
     assert judged(_frame(spark, _rows()).where("false")).count() == 0
+
+
+def test_windows_of_a_very_long_text(spark):
+    """A million and a half words of which one window is repeated, at the ends (a local heap holds no more)."""
+    n = 1_500_000
+    text = spark.range(1).selectExpr("0L as doc_id", "'en' as lang", f"concat(array_join(transform(sequence(1, {n}), x -> cast(x as string)), ' '), ' 1 2 3') as text")
+    assert [(r.n_words, r.n_repeat_words) for r in features(text).collect()] == [(n + 3, 6)]
+
+
+def test_long_texts_count_like_short_ones(spark, monkeypatch):
+    from acct_health.llm import quality_rules
+    rng = random.Random(17)
+    texts = [None, "", "a", "a a", "a a a a", *[" ".join(rng.choice("abcd") for _ in range(n)) for n in (5, 17, 60, 200)]]
+    monkeypatch.setattr(quality_rules, "LONG_TEXT", 10)
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.n_repeat_words for r in features(df).collect()} == {i: _counts(t)[4] for i, t in enumerate(texts)}

@@ -78,3 +78,18 @@ def test_hosts_that_link_to_blocked_ones(spark):
     assert got[6].verdict == "allow"
     # farm.org links to nothing but a blocked host
     assert got[3].verdict == "block"
+
+
+def test_distrust_along_a_long_chain(spark):
+    """Forty blocked hosts in a chain, and ten hosts that link to its first: the ranks have to converge."""
+    blocked = [("block", f"b{i}.bad/") for i in range(40)]
+    page = lambda i, host, to: (i, f"http://{host}/", f'<a href="http://{to}/x">' if to else None)
+    rows = [page(i, f"b{i}.bad", f"b{i + 1}.bad" if i < 39 else None) for i in range(40)]
+    rows += [page(100 + i, f"farm{i}.org", "b0.bad") for i in range(10)]
+    verdicts = {r.page_id: r.verdict for r in judge_urls(_pages(spark, rows), blocked).collect()}
+    seed, rank = 1 - DAMPING, 1 - DAMPING  # the chain's first host gets what the others' seeds hand down to it
+    for _ in range(39):
+        rank = seed + DAMPING * rank
+    farm = DAMPING * rank / 10
+    assert farm > seed * 0.5  # and the farms are blocked for it
+    assert set(verdicts.values()) == {"block"}
