@@ -82,7 +82,7 @@ def test_shares_below_a_millionth_and_rare_languages(spark):
     assert str(int((1 << 62) * 1e-12)) in plan  # a small share is no zero
     rng = random.Random(3)
     rows = _rows()
-    last = max(r[0] for r in rows)
+    last = max(r[0] for r in rows if r[0] is not None)
     odd = next(i for i in range(last + 1, last + 50) if zlib.crc32(str(i).encode()) % 4 != 2)
     rows.append((odd, "ψωμί και νερό για όλους " * 20, "el"))
     assert "el" in fit(_frame(spark, rows)).languages
