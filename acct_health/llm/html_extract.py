@@ -10,7 +10,11 @@ as ``#``. Spark adds up the votes per host, and each page's text is
 taken from the containers with its host's winning path; a page that has none takes its own best one.
 
 White space and block borders become one space, character references are decoded, hidden parts inside
-the container are left out, everything else is kept in page order.
+the container are left out, everything else is kept in page order. Names of boilerplate (``ad-top``,
+``related-posts``) hide a block; names that only begin like one (``search-strategy``) hide it if it is mostly
+links or has a form, and ids count only on containers, since headings carry anchors. A header inside an
+article belongs to it if it has a heading. Start tags end what HTML lets them end (p, li, dt, dd, cells, rows),
+so a hidden paragraph without an end tag hides nothing after it.
 
 Defined results: null html is as empty and gives the empty text; markup cut off at the end is dropped;
 a page without containers is one container; one left without text by its hidden parts is judged again
@@ -49,11 +53,59 @@ _NEVER_HIDDEN = frozenset("html body main article".split())  # by class, id or r
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ROLES = frozenset("navigation banner complementary contentinfo search dialog alert form menu".split())
+# Names of classes and ids. A head with generic words after it names boilerplate; with other words
+# (``search-strategy``, ``comment-on-law``) it may name a section of the article.
+_GENERIC = (r"(?:[-_](?:lists?|box|bar|wrap(?:per)?|container|block|section|area|form|inner|outer|content|body|widget|links?|items?|posts?|articles?|stories|"
+            r"buttons?|icons?|slot|unit|banner|notice|popup|modal|header|footer|nav|menu|top|bottom|left|right|main|primary|secondary|global|mobile|"
+            r"desktop|text|message|toggle|panel|group|row|col|us|this|meta|author|thread|children|reply|policy|consent|\d+|[a-z]))*$")
+_HEADS = (r"(?:banner|nav|navbar|navigation|menu|menubar|breadcrumbs?|header|footer|sidebar|aside|widgets?|cookies?|consent|notice|alert|popup|modal|overlay|"
+          r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|comments?|respond|repl(?:y|ies)|"
+          r"disqus|pagination|pager|skip|toolbar|search)")
 _BOILERPLATE = re.compile(
-    r"^(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|footer|sidebar|aside|widget\w*|cookies?|consent|"
-    r"notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|respond|"
-    r"repl(?:y|ies)|disqus|pagination|pager|skip|toolbar|search)(?:[-_].*)?$"
-    r"|^(?!has|with|no)[a-z0-9_-]*[-_](?:ads?|advert|nav|menu|sidebar|footer|header|comments?|cookies?|banner|notice)$", re.I)
+    rf"(?:ads?|advert\w*|sponsor(?:ed)?|promo)(?:[-_].*)?$|{_HEADS}{_GENERIC}"
+    r"|(?!has|with|no)[a-z0-9_-]*[-_](?:ads?|advert|nav|menu|sidebar|footer|header|comments?|cookies?|banner|notice)$", re.I)
+_DOUBTFUL = re.compile(rf"{_HEADS}[-_]", re.I)
+_HEADER = re.compile(r"(?:[a-z0-9_-]*[-_])?header$", re.I)
+_OWN_HEADER = re.compile(r"(?:entry|post|article|section|content|story|chapter)[-_]header$", re.I)
+# Open elements that a start tag ends, and elements beyond which neither it nor an end tag reaches.
+_TABLE, _LISTS = ("table",), ("ul", "ol", "menu")
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"),
+         **dict.fromkeys(("tbody", "thead", "tfoot"), ("tbody", "thead", "tfoot", "tr", "td", "th")),
+         **dict.fromkeys("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
+                         "hr main menu nav ol p pre section table ul".split(), ("p",))}
+_SCOPE = {"li": _LISTS, "dt": ("dl",), "dd": ("dl",), "p": ("table", "td", "th", "button"),
+          **dict.fromkeys(("td", "th", "tr", "tbody", "thead", "tfoot"), _TABLE)}
+_SCOPES = frozenset("ul ol dl".split())  # tables and buttons are containers anyway
+_FORM = frozenset("form input button textarea select".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+class _Open:
+    """Open elements, each with the container around it; finds and ends one without a walk over all."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, around: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, around))
+
+    def end(self, tags: tuple[str, ...], scope: tuple[str, ...], node: int, outermost: bool = False) -> int:
+        """Ends the innermost open element of ``tags`` within ``scope`` (or the outermost, if they are
+        parts of each other) and all in it; gives the container that is open then."""
+        found = [self.places[t][-1] for t in tags if self.places.get(t)]
+        if not found:
+            return node
+        border = max((self.places[t][-1] for t in scope if self.places.get(t)), default=-1)
+        found = [i for i in found if i > border]
+        if not found:
+            return node
+        first = min(found) if outermost else max(found)
+        node = self.stack[first][1]
+        while len(self.stack) > first:
+            self.places[self.stack.pop()[0]].pop()
+        return node
 
 
 class Page:
@@ -67,47 +119,79 @@ class Page:
     def _judge(self, html: str, by_class: bool) -> None:
         """Cuts the page up; without ``by_class`` names of classes and ids hide nothing."""
         self.by_class = by_class
-        self.parent, self.path, self.hidden, self.tag = [-1], [""], [False], [""]
+        self.parent, self.step, self.hidden, self.tag = [-1], [""], [False], [""]
+        self.doubt = [""]  # "block": hidden if it is mostly links or has a form; "header": unless it has a heading
+        self.in_article = [False]
+        self.forms, self.headings = set(), set()  # containers with such elements directly in them
         self.pieces: list[tuple[int, str, bool]] = []  # container, text, in a link
         self._parse(html)
+        if any(self.doubt):
+            self._settle()
+
+    def _settle(self) -> None:
+        """Hides the doubtful containers that look like boilerplate, and what is in them."""
+        n = len(self.parent)
+        text, linked = [0] * n, [0] * n
+        form, heading = [i in self.forms for i in range(n)], [i in self.headings for i in range(n)]
+        for node, piece, link in self.pieces:
+            (linked if link else text)[node] += len(piece.strip())
+        for i in range(n - 1, 0, -1):
+            mostly_links = linked[i] > text[i]
+            if self.doubt[i]:
+                self.hidden[i] |= mostly_links or form[i] or self.doubt[i] == "header" and not heading[i]
+            up = self.parent[i]
+            text[up], linked[up] = text[up] + text[i], linked[up] + linked[i]
+            form[up], heading[up] = form[up] or form[i], heading[up] or heading[i]
+        for i in range(1, n):
+            self.hidden[i] |= self.hidden[self.parent[i]]
 
     def _has_text(self) -> bool:
         return any(not link and not self.hidden[node] and text.strip() for node, text, link in self.pieces)
 
     def _open(self, tag: str, attributes: str, node: int) -> int:
-        names, off = [], tag in _HIDDEN
+        names, off, doubt = [], tag in _HIDDEN, ""
         named = tag not in _NEVER_HIDDEN
         by_class = named and self.by_class
+        block = tag in _CONTAINERS or tag in _SCOPES
+        if tag == "header" and self.in_article[node]:
+            off, doubt = False, "header"
         if attributes:
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if name == "class":
-                    names = sorted(set(value.split()))
-                    off |= by_class and any(_BOILERPLATE.match(c) for c in names)
-                elif name == "id":
-                    off |= by_class and bool(_BOILERPLATE.match(value))
+                if name == "class" or name == "id" and block:
+                    words = sorted(set(value.split())) if name == "class" else [value]
+                    names = words if name == "class" else names
+                    for c in words if by_class else ():
+                        if block and (_OWN_HEADER.match(c) or self.in_article[node] and _HEADER.match(c)):
+                            doubt = "header"
+                        elif _BOILERPLATE.match(c):
+                            off = True
+                        elif block and _DOUBTFUL.match(c):
+                            doubt = doubt or "block"
                 elif name == "role":
                     off |= named and value.lower() in _ROLES
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                     off = True
-        if tag not in _CONTAINERS and not off:
+        if tag not in _CONTAINERS and not off and not doubt:
             return node
         self.parent.append(node)
-        self.path.append(self.path[node] + "/" + _DIGITS.sub("#", ".".join([tag, *names]).lower()))
+        self.step.append(_DIGITS.sub("#", ".".join([tag, *names]).lower()).replace("/", "_"))
         self.hidden.append(self.hidden[node] or off)
         self.tag.append(tag)
+        self.doubt.append(doubt)
+        self.in_article.append(self.in_article[node] or tag in ("article", "main"))
         return len(self.parent) - 1
 
     def _parse(self, html: str) -> None:
-        node, link, at = 0, 0, 0
-        stack: list[tuple[str, int]] = []  # open containers by tag, with the container around each
+        node, link, at = 0, False, 0
+        opened = _Open()
         pieces = self.pieces
         search = _TOKEN.search
         while True:
             m = search(html, at)
             text = html[at:m.start() if m else len(html)]
             if text:
-                pieces.append((node, text, link > 0))
+                pieces.append((node, text, link))
             if not m:
                 return
             at = m.end()
@@ -116,35 +200,29 @@ class Page:
             tag = m[2].lower()
             if m[1]:
                 if tag == "a":
-                    link = max(0, link - 1)
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        node = stack[i][1]
-                        del stack[i:]
-                        break
+                    link = False
+                node = opened.end((tag,), _SCOPE.get(tag, ()), node)
                 if tag not in _INLINE:
                     pieces.append((node, " ", False))
                 continue
+            if tag in _ENDS:
+                node = opened.end(_ENDS[tag], _SCOPE[_ENDS[tag][0]], node, True)
             if tag not in _INLINE:
                 pieces.append((node, " ", False))
+            if tag in _FORM:
+                self.forms.add(node)
+            elif tag in _HEADINGS:
+                self.headings.add(node)
             if tag in _RAW:
                 at = _RAW[tag].search(html, at).end()
                 continue
             if tag in _VOID or m[3].endswith("/") and tag not in _INLINE and tag not in _CONTAINERS:
                 continue
-            if tag == "a":
-                link += 1
-            if tag in ("td", "th"):  # a cell's end tag may be missing
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "table":
-                        break
-                    if stack[i][0] in ("td", "th"):
-                        node = stack[i][1]
-                        del stack[i:]
-                        break
+            if tag == "a":  # a link ends the one before it; an anchor without a target is none
+                link = "href" in m[3].lower()
             inner = self._open(tag, m[3], node)
-            if inner != node:
-                stack.append((tag, node))
+            if inner != node or tag in _SCOPES:
+                opened.push(tag, node)
                 node = inner
 
     def best(self) -> tuple[int, float]:
@@ -193,9 +271,27 @@ class Page:
             chars = text[node]
         return whole
 
+    def path(self, node: int) -> str:
+        """The generalised path of a container from the root."""
+        steps = []
+        while node > 0:
+            steps.append("/" + self.step[node])
+            node = self.parent[node]
+        return "".join(reversed(steps))
+
+    def _on_path(self, path: str) -> list[bool]:
+        """Which containers have this path and aren't hidden."""
+        steps = path.split("/")[1:]
+        depth = [0] + [-1] * (len(self.parent) - 1)  # steps of the path that lead to a container; -1: off the path
+        for i in range(1, len(depth)):
+            before = depth[self.parent[i]]
+            if 0 <= before < len(steps) and steps[before] == self.step[i]:
+                depth[i] = before + 1
+        return [d == len(steps) and not h for d, h in zip(depth, self.hidden, strict=True)]
+
     def text(self, path: str | None) -> str:
         """Text of the containers of ``path``, or of the best one where there are none."""
-        inside = [path is not None and not self.hidden[i] and p == path for i, p in enumerate(self.path)]
+        inside = self._on_path(path) if path is not None else [False] * len(self.parent)
         if not any(inside):
             top, _ = self.best()
             if top < 0:
@@ -222,7 +318,7 @@ def votes(pages: DataFrame) -> DataFrame:
                 page = Page(html or "")
                 top, share = page.best()
                 if top >= 0:
-                    key = host, page.path[top]
+                    key = host, page.path(top)
                     total[key] = total.get(key, 0.0) + share
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in total], pa.string()), pa.array([p for _, p in total], pa.string()),
                                               pa.array(list(total.values()), pa.float64())], ["__host", "path", "votes"])

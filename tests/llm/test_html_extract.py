@@ -48,6 +48,32 @@ def test_layout_names_hide_no_page(name):
     assert _text("<main role=search>found</main>") == "found"
 
 
+@pytest.mark.parametrize("html, text", [
+    ('<article><h2 id="related-work">Related work</h2><p class="comment-on-law">a comment</p><p>text</p></article>', "Related work a comment text"),
+    ('<article><p>text</p><section id="search-strategy"><h3>Search</h3><p>We searched</p></section></article>', "text Search We searched"),
+    ('<div class=story><p>text</p><div class="notice-of-appeal">The notice</div></div>', "text The notice"),
+    ('<article>text <div class="search-tools"><input> find</div><div class="related-topics"><a href=x>one</a></div></article>', "text"),
+    ('<article>text <div class="related-posts">more</div><div id="comment-12">reader</div><ul class="share-buttons"><li>x</ul><li class=social>y</article>', "text"),
+    ('<article><p class="notice">Note<p>main text<p class=ad>buy<h2>head</h2>on</article>', "main text head on"),
+    ('<article><ul><li class="ad-x">buy<li>one<li class="ad-x">buy<ul><li>inner</li>still</ul>ad</li><li>two</ul>end</article>', "one two end"),
+    ('<article><dl><dt class="ad">x<dd>y<dt class="ad">z</dl>end</article>', "y end"),
+    ('<article><table><tr class="ad"><td>x<td>y<tr><td>z</table>end</article>', "z end"),
+    ('<article><header><h1>Title</h1><p>by me</p></header>text<footer>f</footer></article>', "Title by me text"),
+    ('<article><header><a href=x>menu</a></header>text</article>', "text"), ('<header><h1>Site</h1></header><article>text</article>', "text"),
+    ('<article><div class="entry-header"><h1>Title</h1></div>text</article>', "Title text"),
+    ('<a name=top><article>text <a href=x>linked <a href=y>twice</a> on</article>', "text linked twice on"),
+    ('<article><p class="ad">buy <table><tr><td>cell</table> on</article>', "cell on"),
+])
+def test_the_article_is_kept(html, text):
+    assert _text(html) == text
+
+
+def test_deep_pages_take_linear_time():
+    n = 100_000
+    assert _text("<p class=ad>x<button>" + "<div>" * n + "</x>" * n + "</button><p>text") == "text"
+    assert _text("<article>" + "<ul><li class=ad>" * 2000 + "</ul>" * 2000 + "text</article>") == "text"
+
+
 def test_pages_hidden_by_more_than_names_stay_empty():
     assert _text("<body hidden>no</body>") == "" and _text("<nav>menu</nav><div class='sidebar' hidden>no</div>") == ""
 
