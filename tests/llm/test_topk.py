@@ -3,8 +3,10 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from acct_health.llm import topk
 from acct_health.llm.topk import norm_sorted_topk
 
 
@@ -45,6 +47,26 @@ def test_many_blocks(spark):
     assert _got(_search(spark, rows, k=5, block_rows=40)) == _brute(rows, 5)
 
 
+def test_repeated_rows(spark):
+    rows = _rows()[:120]
+    rows += [rows[40], rows[40], rows[7], rows[60], (60, rows[3][1])]
+    assert _got(_search(spark, rows, k=20)) == _brute(rows, 20)
+    assert _got(_search(spark, rows, k=3, block_rows=30)) == _brute(rows, 3)
+
+
+def test_bounds_reach_past_the_longest_vectors(spark):
+    rows = _rows()
+    assert _got(_search(spark, rows, k=4, first_rows=32)) == _brute(rows, 4)
+
+
+def test_ties_beyond_the_bound_send_nothing():
+    same = pa.array([[3, 4]] * 2000, pa.list_(pa.int64()))
+    queries = pa.table({"q": [0, 1], "query_id": [20, 40], "v": same[:2], "bound": [25.0, 25.0], "bound_id": [30, 5]})
+    block = pa.table({"vec_id": range(10, 2010), "v": same})
+    got = topk._score(queries, block, 2, 5, np.eye(2), 0).to_pylist()
+    assert [(h["q"], h["vec_id"]) for h in got] == [(0, i) for i in range(10, 15)]
+
+
 def test_few_and_none(spark):
     rows = _rows()[:21]
     assert _got(_search(spark, rows, k=30)) == _brute(rows, 30)
