@@ -15,7 +15,6 @@ each by itself; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acct_health.llm.common import read_table, stored
-from acct_health.llm.wordcache import CACHE_CHUNKS, ChunkIds, expand, text_slices
+from acct_health.llm.wordcache import ChunkIds, expand, text_slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -35,9 +34,13 @@ BUCKET_ROWS = 1000
 
 
 class WordTokenizer:
-    """A ``tokenizers`` file whose pre-tokenizer never joins across white space, chunk by chunk."""
+    """A ``tokenizers`` file whose pre-tokenizer never joins across white space, chunk by chunk.
 
-    _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+    Most chunks are letters with at most a stop after them: Arrow takes the stop off and folds case over a
+    batch's distinct chunks, so that only distinct stems are looked up or tokenized one by one."""
+
+    _PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+    _STOPS = ("", ".", ",")
 
     def __init__(self, path: str):
         import os
@@ -54,47 +57,58 @@ class WordTokenizer:
         vocabulary = self.full.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.stop = {p: array("i", self.full.encode(p, add_special_tokens=False).ids).tobytes() if p else b"" for p in ("", ".", ",")}
-        self.stems: dict[str, bytes] = {}
-        self.cache = ChunkIds(self.encode_chunks)
-
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        plain = [self._PLAIN(c) for c in chunks]
-        parts = [(m[1].lower(), m[2]) if m else None for m in plain]
-        known = self.stems
-        new = list({p[0] for p in parts if p and p[0] not in known})
-        if len(known) + len(new) > CACHE_CHUNKS:
-            known.clear()
-            new = list({p[0] for p in parts if p})
-        for i in range(0, len(new), 500):
-            part = new[i:i + 500]
-            got = np.array(self.letters.encode(" ".join(part), add_special_tokens=False).ids, "<i4")
-            raw, at = got.tobytes(), 0
-            for stem, end in zip(part, (4 * np.flatnonzero(self.last[got]) + 4).tolist(), strict=True):
-                known[stem] = raw[at:end]
-                at = end
-        other = [c for c, p in zip(chunks, parts, strict=True) if p is None]
-        rest = dict(zip(other, (array("i", e.ids).tobytes() for e in self.full.encode_batch_fast(other, add_special_tokens=False)), strict=True))
-        stop = self.stop
-        return [(known[p[0]] + stop[p[1]] if p[1] else known[p[0]]) if p else rest[c] for c, p in zip(chunks, parts, strict=True)]
+        stops = [self.full.encode(p, add_special_tokens=False).ids if p else [] for p in self._STOPS] + [[END_ID]]
+        self.fixed = np.array([i for ids in stops for i in ids], np.int32)
+        self.fixed_length = np.array([len(ids) for ids in stops])
+        self.stems, self.others = ChunkIds(self._encode_stems), ChunkIds(self._encode_others)
+
+    def _encode_stems(self, stems: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(stems), 500):
+            part = stems[i:i + 500]
+            got = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<i4")
+            ends = (4 * np.flatnonzero(self.last[got]) + 4).tolist()
+            raw = got.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
+
+    def _encode_others(self, chunks: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in self.full.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def forget(self) -> None:
         """Gives a task's memory back: the worker may wait long for its next one."""
-        self.cache.forget()
-        self.stems.clear()
+        self.stems.forget()
+        self.others.forget()
         pa.default_memory_pool().release_unused()
 
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct chunks one after the other, number of each one's ids)."""
+        plain = pc.match_substring_regex(chunks, self._PLAIN)
+        letters, rest = chunks.filter(plain), chunks.filter(pc.invert(plain))
+        stop = pc.ends_with(letters, ".").to_numpy(zero_copy_only=False) + 2 * pc.ends_with(letters, ",").to_numpy(zero_copy_only=False)
+        stems = pc.utf8_lower(pc.utf8_rtrim(letters, ".,")).dictionary_encode()
+        # codes first: both caches may start anew then
+        stem = self.stems.codes(stems.dictionary.to_numpy(zero_copy_only=False).tolist())[stems.indices.to_numpy()]
+        other = self.others.codes(rest.to_numpy(zero_copy_only=False).tolist())
+        sources = [self.stems.flat(), self.others.flat(), (self.fixed, np.cumsum(self.fixed_length) - self.fixed_length, self.fixed_length)]
+        ids = np.concatenate([i for i, _, _ in sources])
+        shift = np.cumsum([0] + [len(i) for i, _, _ in sources])
+        begin, length = np.zeros((len(chunks), 2), np.int64), np.zeros((len(chunks), 2), np.int64)
+        mask = plain.to_numpy(zero_copy_only=False)
+        for at, part, code, (_, first, size), before in ((mask, 0, stem, sources[0], shift[0]), (~mask, 0, other, sources[1], shift[1]),
+                                                         (mask, 1, stop, sources[2], shift[2])):
+            begin[at, part], length[at, part] = first[code] + before, size[code]
+        return ids[expand(begin.ravel(), length.ravel())], length.sum(axis=1)
+
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with END_ID, one after the other; end of each text)."""
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
         ends = np.cumsum(pc.list_value_length(split).to_numpy())
-        codes = self.cache.codes(words.dictionary.to_pylist())
-        ids, begin, length = self.cache.flat()
-        ids = np.append(ids, np.int32(END_ID))
-        begin, length = np.append(begin, len(ids) - 1), np.append(length, 1)
-        own = codes[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        own = np.insert(own, ends, len(begin) - 1)
+        ids, length = self._chunk_ids(words.dictionary)
+        ids, length = np.append(ids, np.int32(END_ID)), np.append(length, 1)
+        begin = np.cumsum(length) - length
+        own = np.insert(words.indices.to_numpy().astype(np.int64), ends, len(begin) - 1)
         tokens = length[own]
         total = np.concatenate(([0], np.cumsum(tokens)))
         return ids[expand(begin[own], tokens)], total[ends + np.arange(1, len(ends) + 1)]
