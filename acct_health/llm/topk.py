@@ -10,7 +10,9 @@ their length into the first coordinates.
    query group, are met by bounds: the sum over the first ``HEAD`` rotated coordinates plus the product of
    the two remainders' lengths (Cauchy-Schwarz) bounds each score from above. Pairs below the query's
    bound are dropped, the rest are scored exactly; of scores equal to it only smaller ids go on.
-3. The best k of every query are kept per block and then overall: by score, then the smaller id.
+3. Blocks are searched in rounds, each of ``GROWTH`` times as many blocks as all before it, and every
+   round starts from the bounds of the best k so far (by score, then the smaller id). So a round finds a
+   few times k new pairs a query, however many blocks it has, and rounds grow with the logarithm of them.
 
 Bounds carry a margin for rounding, so nothing that could tie is dropped. A query group or a block is
 bounded; a pair of them is one row of work, so no task grows with the input and nothing is broadcast.
@@ -35,6 +37,7 @@ from acct_health.llm.common import read_table, stored
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
 FIRST_ROWS = 512
+GROWTH = 7
 HEAD = 16
 
 
@@ -191,18 +194,23 @@ def norm_sorted_topk(vectors: DataFrame, queries, k: int = 20, scale: int = 64,
     first = sorted_.where(F.col("block") == ends.first).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     start = asked.withColumn("bound", no_bound[0]).withColumn("bound_id", no_bound[1]).withColumn("block", F.lit(ends.first))
     seen = stored(_top(search(start, first.select("g", "block", "vec_id", "v"), first_rows), k), "seen")
-    bounds = seen.where(F.col("rank") == k).select("q", F.col("score").cast("double").alias("b"), F.col("vec_id").alias("b_id"))
-    bounded = asked.join(bounds, "q", "left").withColumn("bound", F.coalesce("b", no_bound[0])).withColumn("bound_id", F.coalesce("b_id", no_bound[1]))
-    # which query groups a block can still serve: by its longest vector and the group's easiest query
-    need = bounded.groupBy("g").agg(F.min(F.when(F.col("qn") > 0, F.col("bound") / F.col("qn")).otherwise(
-        F.when(F.col("bound") <= 0, F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))).alias("need"))
-    pairs = need.withColumn("block", F.explode(F.sequence(F.lit(ends.first + 1), F.lit(ends.last + 1)))).join(spans, "block").where(
-        F.sqrt("longest") * (1 + 1e-9) >= F.col("need") - 1e-6).select("g", "block")
-    pairs = stored(pairs, "pairs")
-    q = bounded.select("g", "q", "query_id", "v", "bound", "bound_id").join(pairs, "g")
-    x = sorted_.join(pairs, "block").select("g", "block", "vec_id", "v")
-    hits = seen.drop("rank").unionByName(search(q, x, 0))
-    return _top(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    start, stop = ends.first + 1, ends.first + 1 + GROWTH
+    while start <= ends.last:
+        bounds = seen.where(F.col("rank") == k).select("q", F.col("score").cast("double").alias("b"), F.col("vec_id").alias("b_id"))
+        bounded = asked.join(bounds, "q", "left").withColumn("bound", F.coalesce("b", no_bound[0])).withColumn("bound_id", F.coalesce("b_id", no_bound[1]))
+        # which query groups a block can still serve: by its longest vector and the group's easiest query
+        need = bounded.groupBy("g").agg(F.min(F.when(F.col("qn") > 0, F.col("bound") / F.col("qn")).otherwise(
+            F.when(F.col("bound") <= 0, F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))).alias("need"))
+        pairs = need.withColumn("block", F.explode(F.sequence(F.lit(start), F.lit(min(stop - 1, ends.last))))).join(spans, "block").where(
+            F.sqrt("longest") * (1 + 1e-9) >= F.col("need") - 1e-6).select("g", "block")
+        pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():  # no later block is longer, and no bound can fall
+            break
+        q = bounded.select("g", "q", "query_id", "v", "bound", "bound_id").join(pairs, "g")
+        x = sorted_.join(pairs, "block").select("g", "block", "vec_id", "v")
+        seen = stored(_top(seen.drop("rank").unionByName(search(q, x, 0)), k), "seen")
+        start, stop = stop, stop + (stop - ends.first) * GROWTH
+    return seen.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op2_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
