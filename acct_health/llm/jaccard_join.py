@@ -93,7 +93,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         return pa.table({"h": pa.array(s.h, pa.binary()), "n": pa.array(n, pa.int64()),
                          "shared": pa.array(shared, pa.list_(pa.int64()))})
 
-    asked = ask(classes, estimate, sketch.merge())
+    asked = ask(classes, estimate, sketch)
     return classes.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(survivors, _SETS)
 
 

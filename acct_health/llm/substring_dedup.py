@@ -73,8 +73,8 @@ def repeated_words(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
         gone = np.cumsum(cover[:-1]) > 0
         return _judged(w, gone, with_text)
 
-    asked = ask(classes, estimate, sketch.merge())
-    answered = ask_again(classes, asked, candidates, _keeping_own(exact.merge()))
+    asked = ask(classes, estimate, sketch)
+    answered = ask_again(classes, asked, candidates, exact)
     return classes.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(remove, _RESULT)
 
 
@@ -86,16 +86,6 @@ def _pass_on(block: int, which: np.ndarray) -> list[dict]:
     return [{"key": -1 - block, "block": block, "n": len(which), "first": bits, "second": None, "twice": None}]
 
 
-def _keeping_own(merge):
-    def shard(table: pa.Table) -> pa.Table:
-        if table.column("key")[0].as_py() >= 0:
-            return merge(table)
-        return pa.table({"block": table.column("block"), "key": pa.array([-1], pa.int32()),
-                         "n": table.column("n"), "bits": table.column("first")})
-
-    return shard
-
-
 def _judged(w: _Windows, gone: np.ndarray, with_text: bool) -> pa.Table:
     rows: dict[str, list] = {"__h": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
     removed = np.concatenate(([0], np.cumsum(gone)))

@@ -2,6 +2,7 @@
 
 import random
 
+from acct_health.llm import blocks
 from acct_health.llm.components import components
 from acct_health.llm.jaccard_join import jaccard_join
 
@@ -83,3 +84,11 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert sorted((r.u, r.v) for r in got) == sorted([(i, 0) for i in range(1, 21)] + [(35, 31), (40, 31)])
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_relays_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(blocks, "SHARD_ITEMS", 100)
+    monkeypatch.setattr(blocks, "DIRECT_SHARDS", 2)
+    rows = _corpus()
+    assert _got(jaccard_join(_frame(spark, rows))) == _expected(rows)

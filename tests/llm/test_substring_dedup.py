@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+from acct_health.llm import blocks
 from acct_health.llm.blocks import Exact, Layout, Sketch
 from acct_health.llm.substring_dedup import repeated_words, substring_dedup
 from acct_health.llm.blocks import text_hash
@@ -88,3 +89,42 @@ def test_a_sketch_never_misses():
             assert sum(h.sum() for h in hits) == 500
         else:
             assert sum(h.sum() for h in hits) < 9000  # a narrow sketch says yes too often, but not always
+
+
+def test_relays_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(blocks, "SHARD_ITEMS", 100)
+    monkeypatch.setattr(blocks, "DIRECT_SHARDS", 2)
+    rows = _rows()
+    layout = Layout.of(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert layout.shards >= 32 and layout.asked < layout.shards == layout.asked * layout.bands and layout.blocks > 8
+    assert _got(spark, rows, 5) == _expected(rows, 5)
+    assert substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").where("false")).count() == 0
+
+
+def test_messages_of_a_block_grow_with_the_root_of_the_shards():
+    rng = np.random.default_rng(1)
+    items = rng.integers(0, 1 << 63, 40_000, np.uint64) * np.uint64(2)
+    sent = {}
+    for shards in (256, 4096):
+        layout = Layout(100, shards, 40, 1 << (shards.bit_length() // 2))
+        for tool in (Sketch(layout, rows=1), Exact(layout)):
+            pair = (items, items) if isinstance(tool, Exact) else (items,)
+            asked = tool.questions(0, *pair, np.ones(len(items), np.int64))
+            relayed = tool.relay(asked[3]["key"], 7, [asked[3]])
+            assert len(relayed) <= layout.bands and sum(r["n"] for r in relayed) == asked[3]["n"]
+            sent[type(tool), shards] = len(asked)
+    assert all(sent[t, 4096] <= 4 * sent[t, 256] == 64 for t in (Sketch, Exact))
+
+
+def test_few_cells_in_a_wide_range():
+    """Gaps of over 32 bits between a question's cells."""
+    tool = Sketch(Layout(1, 16, 60, 4), rows=1)
+    items = np.array([5 << 4, 3 << 61, (3 << 61) + (9 << 4)], np.uint64)
+    asked = tool.questions(0, items, np.array([1, 2, 1]))
+    for q in asked:
+        up = tool.relay(q["key"], 0, [q])
+        answers = {r["key"]: np.unpackbits(blocks._unpack(r["twice"], -(-r["n"] // 8), np.uint8), count=r["n"]).astype(bool) for r in up}
+        back = tool.passed_back(q["key"], [q], answers)[0]
+        assert back.tolist() == ([False] if q["n"] == 1 else [True, False])
+    assert sorted(q["n"] for q in asked) == [1, 2]
