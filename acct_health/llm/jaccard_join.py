@@ -14,8 +14,10 @@ is one shingle as a whole. Two documents link if 100 * intersection >= 80 * unio
    Documents already in the query's component are left out of the merge, so a family of copies costs
    a few probes per member and its pairs are never listed.
 5. A family of more than ``PART_DOCS`` classes is cut into parts: each part is searched by itself,
-   then against the first part, then whatever is still outside the family's largest component against
-   every part. All pairs not yet in one component are covered, whatever the family's size.
+   then against the first part. What is still outside the family's largest component is searched in
+   parts by rarest shingle, and a text only goes to parts in which one of its prefix shingles is in a
+   prefix. All pairs that could link and are not yet in one component are covered, whatever the
+   family's size, and unlinked texts that share little more than a template meet few parts.
 
 Defined results: null and empty texts and texts without words have an empty set, link with nothing
 (not even with each other) and have their own id as component; rows of equal text and different ids
@@ -39,6 +41,8 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 #: Classes searched together in one task.
 PART_DOCS = 2000
+#: Length of the prefix of a set's shared shingles, less those that are in no other class.
+PREFIX = f"cast(size(shared) - (n * {PERCENT} + 99) div 100 + 1 as int)"
 #: DivideSkip's constant for the number of lists set apart as long.
 MU = 0.0085
 
@@ -104,8 +108,7 @@ def families(sets: DataFrame) -> DataFrame:
     known = postings.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     ranked = postings.join(known, "s").groupBy("uid").agg(
         F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("df", "s"))), lambda x: x.s).alias("shared"))
-    prefix = F.expr(f"size(shared) - (n * {PERCENT} + 99) div 100 + 1")  # less those that are in no other class
-    kept = stored(ranked.withColumn("p", prefix.cast("int")).where("p > 0"), "ranked")
+    kept = stored(ranked.withColumn("p", F.expr(PREFIX)).where("p > 0"), "ranked")
     rare = kept.select("uid", F.explode(F.slice("shared", 1, F.col("p"))).alias("s"))
     edges = rare.join(rare.groupBy("s").agg(F.min("uid").alias("m")), "s").select(F.col("uid").alias("u"), F.col("m").alias("v"))
     found = components(edges)
@@ -247,14 +250,31 @@ def links(found: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
     sizes = labelled.groupBy("family", "label").agg(F.count("*").alias("k"))
     most = sizes.groupBy("family").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all"))
     open_ = labelled.join(most.where("top.k < all"), "family")
-    rest = open_.where("label <> top.label").withColumn("groups", F.ceil((F.col("all") - F.col("top.k")) / part_docs))
-    groups = rest.groupBy("family").agg(F.first("groups").alias("groups"))
-    rest = rest.withColumn("g", F.pmod(F.xxhash64("uid", F.lit(1)), "groups"))
-    queries = rest.withColumn("task", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("role", F.lit(2))
-    index = open_.join(groups, "family").withColumn("g", F.explode(F.expr("sequence(0, groups - 1)"))).withColumn(
-        "task", F.col("part")).withColumn("role", F.lit(0))
-    columns = ["family", "task", "g", "uid", "n", "shared", "label", "role"]
-    return out.unionByName(_searched(index.select(columns).unionByName(queries.select(columns)), "family", "task", "g"))
+    return out.unionByName(_searched(routed(open_.withColumn("query", F.expr("label <> top.label")), part_docs),
+                                     "family", "bucket", "piece", "g"))
+
+
+def routed(rows: DataFrame, part_docs: int) -> DataFrame:
+    """Tasks (family, bucket, piece, g) in which rows marked ``query`` (role 2) meet the rows of their family
+    (role 0) that have a prefix shingle in common with them.
+
+    Rows lie in pieces of about ``part_docs`` by their rarest shingle. A query goes to the pieces that hold
+    one of its prefix shingles in a prefix; a piece is copied for every ``part_docs`` queries."""
+    piece = ["family", "bucket", "piece"]
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.get("shared", F.lit(0)), F.lit(2)), "parts"))
+    many = rows.groupBy("family", "bucket").agg(F.ceil(F.count("*") / part_docs).alias("pieces"))
+    rows = rows.join(many, ["family", "bucket"]).withColumn("piece", F.pmod(F.xxhash64("uid", F.lit(3)), "pieces"))
+    placed = stored(rows.select(*piece, "uid", "n", "shared", "label", "query"), "placed")
+    prefix = F.explode(F.slice("shared", F.lit(1), F.expr(PREFIX))).alias("s")
+    held = placed.select(*piece, prefix).distinct()
+    routes = placed.where("query").select("family", "uid", prefix).join(held, ["family", "s"]).select(*piece, "uid").distinct()
+    routes = stored(routes, "routes")
+    load = routes.groupBy(*piece).agg(F.ceil(F.count("*") / part_docs).alias("groups"))
+    columns = [*piece, "g", "uid", "n", "shared", "label", "role"]
+    queries = routes.join(load, piece).join(placed.where("query").drop("bucket", "piece", "query"), ["family", "uid"]).withColumn(
+        "g", F.pmod(F.xxhash64("uid", F.lit(1)), "groups")).withColumn("role", F.lit(2))
+    index = placed.join(load, piece).withColumn("g", F.explode(F.expr("sequence(0, groups - 1)"))).withColumn("role", F.lit(0))
+    return index.select(columns).unionByName(queries.select(columns))
 
 
 def _label(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ import random
 
 from acct_health.llm import blocks
 from acct_health.llm.components import components
-from acct_health.llm.jaccard_join import jaccard_join
+from acct_health.llm.jaccard_join import families, jaccard_join, routed, shingle_sets
+
+from pyspark.sql import functions as F
 
 
 def _sets(text):
@@ -92,3 +94,35 @@ def test_relays_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(blocks, "DIRECT_SHARDS", 2)
     rows = _corpus()
     assert _got(jaccard_join(_frame(spark, rows))) == _expected(rows)
+
+
+def _unlinked(n):
+    """Texts of 100 words, each sharing 70 with the next: none links, and they are one family."""
+    return [(i, " ".join(f"s{k}" for k in range(30 * i, 30 * i + 100))) for i in range(n)]
+
+
+def test_a_family_without_links_is_copied_in_proportion(spark):
+    """Where no text links, all are queries; copies must not grow with the square of the family."""
+    copies = {}
+    for n in (500, 2000):
+        sets = shingle_sets(_frame(spark, _unlinked(n))).withColumn("uid", F.monotonically_increasing_id())
+        found = families(sets).persist()
+        size = found.groupBy("family").count().agg(F.max("count")).first()[0]
+        assert size > 0.8 * n
+        rows = found.withColumn("parts", F.ceil(F.lit(size / 10))).withColumn("label", F.col("uid")).withColumn("query", F.lit(True))
+        copies[n] = routed(rows, 10).count() / size
+    assert copies[2000] < 1.2 * copies[500]
+
+
+def test_many_unlinked_texts_and_links_among_them(spark):
+    rows = _unlinked(900)
+    rows += [(2000 + i, rows[i * 7][1] + " end") for i in range(100)]
+    got = _got(jaccard_join(_frame(spark, rows), part_docs=20))
+    assert got == _expected(rows) and sum(c != d for d, _, c in got) >= 100
+
+
+def test_one_rarest_shingle_of_all(spark):
+    """All texts have the same rarest shingles, so the parts are cut by number."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(["t u v w x y"] + [f"w{rng.randrange(3)}q{k}" for k in range(20)])) for i in range(150)]
+    assert _got(jaccard_join(_frame(spark, rows), part_docs=10)) == _expected(rows)
