@@ -32,3 +32,19 @@ def test_a_year_of_an_ordered_feed_is_one_micro_batch(spark, tmp_path, monkeypat
 def test_a_feed_without_rows(spark, monkeypatch):
     monkeypatch.setattr(registry, "_am", lambda *_: _rows(spark, [(None, 3)]))
     assert registry._feed(spark, "", order=F.year("month")).isStreaming
+
+
+def test_scan_order_files_follow_the_rows(spark, monkeypatch):
+    place = [F.col("arr").alias("l_orderkey"), (F.col("arr") % 7).alias("l_linenumber")]
+    rows = _rows(spark, [(1998, 400), (1997, 400)]).select("*", *place)
+    monkeypatch.setattr(registry, "account_month_from_tables", lambda *_, **__: rows)
+    monkeypatch.setattr(registry, "FEED_FILE_ROWS", 20)
+    got = registry.q_dedup_scan_order(spark, "")
+    files = [f for f in got.inputFiles() if "/scan-" in f]
+    assert len(files) > 30 and max(spark.read.parquet(f).count() for f in files) <= 80
+    first = {}  # no row has an update time: the first in the scan wins
+    for i in range(400):
+        for year in (1998, 1997):
+            if (1996, 6) <= (year, 1 + i % 12) <= (1998, 6):
+                first.setdefault((f"a{i}", dt.date(year, 1 + i % 12, 1)), i)
+    assert {(r["account_id"], r["month"]): r["arr"] for r in got.collect()} == first
