@@ -39,6 +39,7 @@ QUERY_ROWS = 1024
 FIRST_ROWS = 512
 GROWTH = 7
 HEAD = 16
+DENSE = 32
 
 
 def integer_vectors(vectors: DataFrame, scale: int, vector: str = "embedding") -> DataFrame:
@@ -137,12 +138,17 @@ def _score(queries: pa.Table, block: pa.Table, dim: int, k: int, turn: np.ndarra
         if reach > start:
             upper = qh[rows] @ xh[start:reach].T + qr[rows, None] * xr[None, start:reach]
             margin = 1e-9 * (1 + qn[rows, None] * xn[None, start:reach])
-            i, j = np.nonzero(upper + margin >= bound[rows, None])
+            can = upper + margin >= bound[rows, None]
+            dense = DENSE * np.count_nonzero(can) > can.size
+            if dense:  # bounds leave many pairs: all scores at once cost less than theirs one by one
+                scores = q[rows] @ x[start:reach].T
+                can &= scores >= bound[rows, None]
+            i, j = np.nonzero(can)
+            exact = scores[i, j] if dense else np.empty(len(i))
             i, j = i + a, j + start
             own = qid[i] != xid[j]
-            i, j = i[own], j[own]
-            exact = np.empty(len(i))
-            for c in range(0, len(i), 1 << 16):
+            i, j, exact = i[own], j[own], exact[own]
+            for c in range(0, 0 if dense else len(i), 1 << 16):
                 exact[c:c + (1 << 16)] = np.einsum("ij,ij->i", q[i[c:c + (1 << 16)]], x[j[c:c + (1 << 16)]])
             keep = (exact > bound[i]) | (exact == bound[i]) & (xid[j] < bound_id[i])
             parts.append((i[keep], j[keep], exact[keep]))

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from acct_health.llm import topk
@@ -72,3 +73,31 @@ def test_few_and_none(spark):
     assert _got(_search(spark, rows, k=30)) == _brute(rows, 30)
     assert _search(spark, []).count() == 0
     assert _search(spark, [(20, [1.0])]).count() == 0
+
+
+def test_tiles_that_bounds_leave_whole_are_one_matrix_product(monkeypatch):
+    """Vectors without a strong direction: bounds drop few pairs, so none is scored by itself."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(-9, 10, (3000, 32)).astype(float)
+    ids, q = np.arange(3000), v[:200]
+    want = []
+    for i in range(200):
+        s = v @ q[i]
+        s[i] = -np.inf
+        want += [(i, int(j), int(s[j])) for j in np.lexsort((ids, -s))[:20]]
+    table = lambda m: pa.array(m.astype(int).tolist(), pa.list_(pa.int64()))
+    queries = pa.table({"q": ids[:200], "query_id": ids[:200], "v": table(q), "bound": np.full(200, -np.inf), "bound_id": np.full(200, topk._NO_ID)})
+    monkeypatch.setattr(np, "einsum", lambda *_: pytest.fail("scored pair by pair"))
+    got = topk._score(queries, pa.table({"vec_id": ids, "v": table(v)}), 32, 20, np.eye(32), 512).to_pylist()
+    assert [(h["q"], h["vec_id"], h["score"]) for h in got] == want
+
+
+def test_pairs_and_tiles_find_the_same(monkeypatch):
+    rows = _rows()
+    for dense in (0, 1 << 40):  # never, always
+        monkeypatch.setattr(topk, "DENSE", dense)
+        block = pa.table({"vec_id": [i for i, v in rows[:300]], "v": pa.array([[math.floor(64 * x) for x in v] for _, v in rows[:300]], pa.list_(pa.int64()))})
+        ask = block.take([i for i in range(300) if i % 20 == 0])
+        queries = pa.table({"q": ask["vec_id"], "query_id": ask["vec_id"], "v": ask["v"], "bound": np.full(len(ask), -np.inf), "bound_id": np.full(len(ask), topk._NO_ID)})
+        got = topk._score(queries, block, 8, 20, np.eye(8), 64).to_pylist()
+        assert [(h["query_id"], h["vec_id"], h["score"]) for h in got] == [(q, i, s) for q, _, i, s in _brute(rows[:300], 20)]
