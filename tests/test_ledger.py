@@ -201,3 +201,14 @@ def test_speculation_is_refused(spark, params, ledger, tmp_path, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "getConf", lambda self: Conf())
     with pytest.raises(ValueError, match="speculation"):
         deliver(frame, FakeTransport(200), base_url="http://x")
+
+
+def test_a_claim_without_sends_holds_nothing(spark, ledger):
+    from acct_health.operators.commits import claimed_keys
+    from acct_health.operators.intents import claim_sends
+    sends = spark.createDataFrame([("a", "all", 0), ("b", "all", 1)], "account_id string, channel string, wave int")
+    assert claim_sends(spark, ledger, TARGET, "none", sends.where("wave > 1"), 1, 1, 3600.0)
+    held = lambda: sorted(r[0] for r in claimed_keys(spark, ledger, read_state(spark, ledger, TARGET)).collect())
+    assert held() == []
+    assert claim_sends(spark, ledger, TARGET, "some", sends, 2, 2, 3600.0)
+    assert held() == ["a", "b"]
